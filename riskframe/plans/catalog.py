@@ -18,8 +18,10 @@ from riskframe import presets as P
 from riskframe.functions import columns as C
 from riskframe.operators import encoders as E
 from riskframe.operators import filters as FL
+from riskframe.operators import metrics as M
 from riskframe.operators import profile as PR
 from riskframe.operators import sampling as S
+from riskframe.operators import scoring as SC
 from riskframe.plans import features as FE
 from riskframe.sources.tables import loans
 
@@ -217,6 +219,88 @@ def q_preview(spark, sf):
     return rounded(PR.preview(FE.subset_features(loans(spark, sf)).frame, P.KEY, 10))
 
 
+# ------------------------------------------------------------------ M6 / V
+SCORE_HIDDEN = 5
+SWEEP_HIDDEN = [5, 10, 15, 20]
+
+
+def literal_model(n_inputs: int, hidden: int = SCORE_HIDDEN, phase: float = 0.0) -> SC.MLP:
+    """The fixed-weight network of the metric checks (no training)."""
+    return SC.rule_weights([n_inputs, hidden, 1], phase=phase)
+
+
+def scaled_split(spark, sf) -> tuple[DataFrame, list[str]]:
+    """Full-preset balanced split, standardised with a scaler fitted on the
+    training rows only."""
+    sp = split3(spark, sf)
+    feats = list(P.FULL_FEATURES)
+    scaler = E.fit_standard_scaler(sp.where(F.col("split") == "train"), feats)
+    return scaler.transform(sp, feats), feats
+
+
+def predictions(spark, sf) -> DataFrame:
+    """F-3 predictions: ``(id, split, loan_status, probability, prediction)``."""
+    scaled, feats = scaled_split(spark, sf)
+    out = SC.score(scaled, literal_model(len(feats)), feats, t=P.THRESHOLD)
+    return out.select("id", "split", P.TARGET, "probability", "prediction")
+
+
+def test_predictions(spark, sf) -> DataFrame:
+    return predictions(spark, sf).where(F.col("split") == "test")
+
+
+def q_mlp_score(spark, sf):
+    return rounded(predictions(spark, sf))
+
+
+def q_confusion(spark, sf):
+    return M.confusion_matrix(test_predictions(spark, sf), P.TARGET, "prediction", [0, 1])
+
+
+def q_confusion_norm(spark, sf):
+    return rounded(M.confusion_normalized(test_predictions(spark, sf), P.TARGET, "prediction",
+                                          [0, 1]))
+
+
+def q_class_report(spark, sf):
+    return rounded(M.classification_report(test_predictions(spark, sf), P.TARGET, "prediction",
+                                           [0, 1]))
+
+
+def q_accuracy(spark, sf):
+    return rounded(M.accuracy(test_predictions(spark, sf), P.TARGET, "prediction"))
+
+
+def q_bce(spark, sf):
+    return rounded(M.binary_cross_entropy(test_predictions(spark, sf), P.TARGET, "probability"))
+
+
+def q_eval_by_split(spark, sf):
+    return rounded(M.evaluate_by(predictions(spark, sf), "split", P.TARGET))
+
+
+def sweep_results(spark, sf) -> DataFrame:
+    """Test accuracy of one fixed-weight network per hidden size, scored in
+    one pass: ``(config_idx, neurons, accuracy)``."""
+    scaled, feats = scaled_split(spark, sf)
+    test = scaled.where(F.col("split") == "test")
+    frame = test
+    for i, h in enumerate(SWEEP_HIDDEN):
+        frame = SC.probability_columns(frame, literal_model(len(feats), h, phase=0.37 * i),
+                                       {f"p{i}": [F.col(f) for f in feats]})
+    acc = frame.agg(*[F.avg((C.threshold(f"p{i}", P.THRESHOLD) == F.col(P.TARGET))
+                            .cast("double")).alias(f"a{i}") for i in range(len(SWEEP_HIDDEN))])
+    items = ", ".join(f"{i}, {h}, a{i}" for i, h in enumerate(SWEEP_HIDDEN))
+    return acc.selectExpr(f"stack({len(SWEEP_HIDDEN)}, {items}) AS (config_idx, neurons, accuracy)")
+
+
+def q_best_config(spark, sf):
+    res = sweep_results(spark, sf).select(F.col("config_idx").cast("bigint").alias("config_idx"),
+                                          F.col("neurons").cast("bigint").alias("neurons"),
+                                          "accuracy")
+    return rounded(M.best_configuration(res))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "default_rate_by_grade": default_rate_by_grade,
     "outlier_filter": q_outlier_filter,
@@ -250,4 +334,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "histogram20": q_histogram20,
     "box_stats": q_box_stats,
     "preview": q_preview,
+    "mlp_score": q_mlp_score,
+    "confusion": q_confusion,
+    "confusion_norm": q_confusion_norm,
+    "class_report": q_class_report,
+    "accuracy": q_accuracy,
+    "bce": q_bce,
+    "eval_by_split": q_eval_by_split,
+    "best_config": q_best_config,
 }

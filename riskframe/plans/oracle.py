@@ -362,3 +362,140 @@ SQL["box_stats"] = with_(
 SQL["preview"] = with_(FILTERED, SUBSET) + (
     f"SELECT {_r_cols(['id'] + P.SUBSET_FEATURES + ['loan_status'], _SUB_DOUBLES)} FROM subset "
     "ORDER BY id LIMIT 10")
+
+
+# ------------------------------------------------------------------ M6 / V
+def D(x: float) -> str:
+    return f"CAST('{float(x)!r}' AS DOUBLE)"
+
+
+def mlp_sql(mlp, inputs: list[str], prefix: str) -> tuple[list[str], str]:
+    """SQL for a dense sigmoid network: a list of per-layer select lists
+    (hidden units named ``<prefix>_l<i>_<o>``) and the output expression."""
+    layers = []
+    cur = inputs
+    for li, (w, b) in enumerate(mlp.layers):
+        last = li == len(mlp.layers) - 1
+        exprs, names = [], []
+        for o, (row, bias) in enumerate(zip(w, b)):
+            z = " + ".join([D(bias)] + [f"{x} * {D(wi)}" for x, wi in zip(cur, row)])
+            name = f"{prefix}_l{li}_{o}"
+            exprs.append((f"({z})" if last else f"1.0 / (1.0 + exp(-({z})))") + f" AS {name}")
+            names.append(name)
+        layers.append(exprs)
+        cur = names
+    if mlp.output == "softmax2":
+        out = f"1.0 / (1.0 + exp(-({cur[1]} - {cur[0]})))"
+    else:
+        out = f"1.0 / (1.0 + exp(-({cur[0]})))"
+    return layers, out
+
+
+def _pred_ctes(models: dict, src: str = "scaled", keep: str = "id, split, loan_status") -> str:
+    """CTEs scoring each model on ``src``; final CTE ``scored`` has one
+    probability column per model name."""
+    ctes = []
+    prev = src
+    carry = keep
+    n_layers = len(next(iter(models.values())).layers)
+    outs = []
+    for li in range(n_layers):
+        sel = []
+        for name, mlp in models.items():
+            layers, out = mlp_sql(mlp, [f"z_{f}" for f in P.FULL_FEATURES], name)
+            sel += layers[li]
+            if li == n_layers - 1:
+                outs.append(f"{out} AS {name}")
+        ctes.append(f"layer{li} AS (SELECT {carry}, {', '.join(sel)} FROM {prev})")
+        carry_cols = [s.rsplit(' AS ', 1)[1] for s in sel]
+        prev = f"layer{li}"
+        if li < n_layers - 1:
+            carry = keep + ", " + ", ".join(carry_cols)
+    ctes.append(f"scored AS (SELECT {keep}, {', '.join(outs)} FROM {prev})")
+    return ",\n".join(ctes)
+
+
+def _scaled_split_cte() -> str:
+    stats = ", ".join(f"avg(CAST({c} AS DOUBLE)) AS m_{c}, stddev_pop(CAST({c} AS DOUBLE)) AS s_{c}"
+                      for c in _FF)
+    z = ", ".join(f"{_zs(c)} AS z_{c}" for c in _FF)
+    return (f"train_stats AS (SELECT {stats} FROM split WHERE split = 'train'),\n"
+            f"scaled AS (SELECT id, split, loan_status, {z} FROM split, train_stats)")
+
+
+def _literal(h: int, phase: float = 0.0):
+    from riskframe.operators.scoring import rule_weights
+    return rule_weights([len(P.FULL_FEATURES), h, 1], phase=phase)
+
+
+_PRED = [FILTERED, FULL, _balanced(), SPLIT, _scaled_split_cte(),
+         _pred_ctes({"p": _literal(5)}),
+         "preds AS (SELECT id, split, loan_status, p AS probability, "
+         "CAST(p >= 0.5 AS INTEGER) AS prediction FROM scored)",
+         "tpred AS (SELECT * FROM preds WHERE split = 'test')"]
+
+SQL["mlp_score"] = with_(*_PRED) + (
+    f"SELECT id, split, loan_status, {R('probability')} AS probability, prediction FROM preds")
+
+_CM = ("cm AS (SELECT a.v AS actual, b.v AS predicted, CAST(count(t.id) AS BIGINT) AS count "
+       "FROM (VALUES (0), (1)) a(v) CROSS JOIN (VALUES (0), (1)) b(v) "
+       "LEFT JOIN tpred t ON t.loan_status = a.v AND t.prediction = b.v GROUP BY a.v, b.v)")
+SQL["confusion"] = with_(*_PRED, _CM) + (
+    "SELECT CAST(actual AS INTEGER) AS actual, CAST(predicted AS INTEGER) AS predicted, count FROM cm")
+
+SQL["confusion_norm"] = with_(*_PRED, _CM) + (
+    "SELECT CAST(actual AS INTEGER) AS actual, CAST(predicted AS INTEGER) AS predicted, "
+    f"{R('COALESCE(count / NULLIF(sum(count) OVER (PARTITION BY actual), 0), 0.0)')} AS fraction "
+    "FROM cm")
+
+_PER = ("per AS (SELECT CAST(c.v AS VARCHAR) AS label, "
+        "COALESCE(sum(CASE WHEN actual = c.v AND predicted = c.v THEN count END) / "
+        "NULLIF(sum(CASE WHEN predicted = c.v THEN count END), 0), 0.0) AS precision, "
+        "COALESCE(sum(CASE WHEN actual = c.v AND predicted = c.v THEN count END) / "
+        "NULLIF(sum(CASE WHEN actual = c.v THEN count END), 0), 0.0) AS recall, "
+        "sum(CASE WHEN actual = c.v THEN count END) AS support, "
+        "sum(CASE WHEN actual = c.v AND predicted = c.v THEN count END) AS tp "
+        "FROM cm, (VALUES (0), (1)) c(v) GROUP BY c.v),\n"
+        "per2 AS (SELECT *, COALESCE(2 * precision * recall / NULLIF(precision + recall, 0), 0.0) "
+        "AS f1 FROM per)")
+SQL["class_report"] = with_(*_PRED, _CM, _PER) + f"""
+SELECT label, {R('precision')} AS precision, {R('recall')} AS recall, {R('f1')} AS f1,
+       CAST(support AS BIGINT) AS support FROM per2
+UNION ALL SELECT 'accuracy', NULL, NULL, {R('sum(tp) / sum(support)')}, CAST(sum(support) AS BIGINT) FROM per2
+UNION ALL SELECT 'macro avg', {R('avg(precision)')}, {R('avg(recall)')}, {R('avg(f1)')},
+       CAST(sum(support) AS BIGINT) FROM per2
+UNION ALL SELECT 'weighted avg', {R('sum(precision * support) / sum(support)')},
+       {R('sum(recall * support) / sum(support)')}, {R('sum(f1 * support) / sum(support)')},
+       CAST(sum(support) AS BIGINT) FROM per2"""
+
+SQL["accuracy"] = with_(*_PRED) + (
+    f"SELECT CAST(count(*) AS BIGINT) AS n, {R('avg(CAST(prediction = loan_status AS DOUBLE))')} "
+    "AS accuracy FROM tpred")
+
+_BCE = ("-(CAST(loan_status AS DOUBLE) * ln(least(greatest(probability, 1e-7), 1 - 1e-7)) + "
+        "(1.0 - CAST(loan_status AS DOUBLE)) * ln(1.0 - least(greatest(probability, 1e-7), 1 - 1e-7)))")
+SQL["bce"] = with_(*_PRED) + (
+    f"SELECT CAST(count(*) AS BIGINT) AS n, {R(f'avg({_BCE})')} AS bce FROM tpred")
+
+SQL["eval_by_split"] = with_(*_PRED) + f"""
+SELECT CASE WHEN grouping(split) = 1 THEN 'all' ELSE split END AS split,
+       CAST(count(*) AS BIGINT) AS n,
+       {R('avg(CAST(prediction = loan_status AS DOUBLE))')} AS accuracy,
+       {R(f'avg({_BCE})')} AS bce,
+       CAST(count(*) FILTER (WHERE loan_status = 1 AND prediction = 1) AS BIGINT) AS tp,
+       CAST(count(*) FILTER (WHERE loan_status = 0 AND prediction = 1) AS BIGINT) AS fp,
+       CAST(count(*) FILTER (WHERE loan_status = 0 AND prediction = 0) AS BIGINT) AS tn,
+       CAST(count(*) FILTER (WHERE loan_status = 1 AND prediction = 0) AS BIGINT) AS fn
+FROM preds GROUP BY GROUPING SETS ((split), ())"""
+
+_SWEEP = [5, 10, 15, 20]
+_SW_MODELS = {f"p{i}": _literal(h, 0.37 * i) for i, h in enumerate(_SWEEP)}
+SQL["best_config"] = with_(
+    FILTERED, FULL, _balanced(), SPLIT, _scaled_split_cte(),
+    _pred_ctes(_SW_MODELS, src="(SELECT * FROM scaled WHERE split = 'test')"),
+    "acc AS (" + " UNION ALL ".join(
+        f"SELECT CAST({i} AS BIGINT) AS config_idx, CAST({h} AS BIGINT) AS neurons, "
+        f"avg(CAST(CAST(p{i} >= 0.5 AS INTEGER) = loan_status AS DOUBLE)) AS accuracy FROM scored"
+        for i, h in enumerate(_SWEEP)) + ")") + (
+    f"SELECT config_idx, neurons, {R('accuracy')} AS accuracy FROM acc "
+    "ORDER BY accuracy DESC, config_idx LIMIT 1")
