@@ -22,6 +22,7 @@ from riskframe.operators import metrics as M
 from riskframe.operators import profile as PR
 from riskframe.operators import sampling as S
 from riskframe.operators import scoring as SC
+from riskframe.operators import sensitivity as Y
 from riskframe.plans import features as FE
 from riskframe.sources.tables import loans
 
@@ -301,6 +302,42 @@ def q_best_config(spark, sf):
     return rounded(M.best_configuration(res))
 
 
+# ------------------------------------------------------------------ Y
+def sobol_outputs(spark, sf) -> tuple[DataFrame, list[str]]:
+    """Saltelli design over the rows of the full-preset table (one base sample
+    per loan), bounds from the data, samples scaled with the fitted scaler,
+    scored with the fixed-weight network at all 2D+2 points."""
+    plan = full_plan(spark, sf)
+    frame, feats = plan.frame, plan.features
+    problem = Y.problem_from_data(frame, feats)
+    scaler = E.fit_standard_scaler(frame, feats)
+    design = Y.saltelli_design(frame, P.KEY, len(feats), seed=P.SEED)
+    out = Y.evaluate_design(design, P.KEY, problem, literal_model(len(feats)),
+                            transform=lambda j, x: scaler.column(feats[j], source=x))
+    return out, feats
+
+
+def q_sobol_design(spark, sf):
+    plan = full_plan(spark, sf)
+    return rounded(Y.saltelli_design(plan.frame, P.KEY, len(plan.features), seed=P.SEED))
+
+
+def q_sobol_indices(spark, sf):
+    out, feats = sobol_outputs(spark, sf)
+    return rounded(Y.sobol_indices(out, feats))
+
+
+def q_sobol_pairs(spark, sf):
+    out, feats = sobol_outputs(spark, sf)
+    return rounded(Y.sobol_pairs(out, feats))
+
+
+def q_sobol_conf(spark, sf):
+    out, feats = sobol_outputs(spark, sf)
+    ind, _pairs = Y.sobol_confidence(out, P.KEY, feats, n_resamples=P.SOBOL_BOOTSTRAP)
+    return rounded(ind)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "default_rate_by_grade": default_rate_by_grade,
     "outlier_filter": q_outlier_filter,
@@ -342,4 +379,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bce": q_bce,
     "eval_by_split": q_eval_by_split,
     "best_config": q_best_config,
+    "sobol_design": q_sobol_design,
+    "sobol_indices": q_sobol_indices,
+    "sobol_pairs": q_sobol_pairs,
+    "sobol_conf": q_sobol_conf,
 }

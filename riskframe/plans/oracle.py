@@ -499,3 +499,91 @@ SQL["best_config"] = with_(
         for i, h in enumerate(_SWEEP)) + ")") + (
     f"SELECT config_idx, neurons, {R('accuracy')} AS accuracy FROM acc "
     "ORDER BY accuracy DESC, config_idx LIMIT 1")
+
+
+# ------------------------------------------------------------------ Y
+def _u(salt: str) -> str:
+    h = f"md5('{salt}:{P.SEED}:' || CAST(id AS VARCHAR))"
+    return f"(CAST(('0x' || substr({h}, 1, 13))::BIGINT AS DOUBLE) / 4503599627370496.0)"
+
+
+_D = len(_FF)
+_DESIGN = ("design AS (SELECT id, " + ", ".join(
+    [f"{_u(f'sobol_a{j}')} AS a_{j}" for j in range(_D)]
+    + [f"{_u(f'sobol_b{j}')} AS b_{j}" for j in range(_D)]) + " FROM full_enc)")
+
+SQL["sobol_design"] = with_(FILTERED, FULL, _DESIGN) + (
+    "SELECT id, " + ", ".join([f"{R(f'a_{j}')} AS a_{j}" for j in range(_D)]
+                               + [f"{R(f'b_{j}')} AS b_{j}" for j in range(_D)]) + " FROM design")
+
+_BOUNDS = ("bounds AS (SELECT " + ", ".join(
+    f"min(CAST({c} AS DOUBLE)) AS lo_{c}, max(CAST({c} AS DOUBLE)) AS hi_{c}" for c in _FF)
+    + " FROM full_enc)")
+
+
+def _x(c: str, j: int, src: str) -> str:
+    raw = f"(lo_{c} + (hi_{c} - lo_{c}) * {src}_{j})"
+    return _z(raw, c)
+
+
+_POINTS = ("points AS (SELECT id, " + ", ".join(
+    [f"{_x(c, j, 'a')} AS xa_{j}" for j, c in enumerate(_FF)]
+    + [f"{_x(c, j, 'b')} AS xb_{j}" for j, c in enumerate(_FF)])
+    + " FROM design, bounds, scale_stats)")
+
+
+def _sets() -> dict:
+    A = [f"xa_{j}" for j in range(_D)]
+    B = [f"xb_{j}" for j in range(_D)]
+    sets = {"y_A": A, "y_B": B}
+    for j in range(_D):
+        sets[f"y_AB{j}"] = [B[i] if i == j else A[i] for i in range(_D)]
+        sets[f"y_BA{j}"] = [A[i] if i == j else B[i] for i in range(_D)]
+    return sets
+
+
+def _eval_ctes() -> str:
+    mlp = _literal(5)
+    hidden, lin, outs = [], [], []
+    for name, inputs in _sets().items():
+        layers, out = mlp_sql(mlp, inputs, name)
+        hidden += layers[0]
+        lin += layers[1]
+        outs.append(f"{out} AS {name}")
+    return (f"hid AS (SELECT id, {', '.join(hidden)} FROM points),\n"
+            f"lin AS (SELECT id, {', '.join(lin)} FROM hid),\n"
+            f"outs AS (SELECT id, {', '.join(outs)} FROM lin)")
+
+
+def _means() -> str:
+    allsum = " + ".join(["y_A", "y_B"] + [f"y_AB{j} + y_BA{j}" for j in range(_D)])
+    m = [("A", "y_A"), ("B", "y_B"), ("A2", "y_A * y_A"), ("B2", "y_B * y_B"),
+         ("mu", f"({allsum}) / {float(2 * _D + 2)}")]
+    for j in range(_D):
+        m += [(f"s1n{j}", f"y_B * (y_AB{j} - y_A)"), (f"d{j}", f"y_AB{j} - y_A"),
+              (f"st{j}", f"(y_A - y_AB{j}) * (y_A - y_AB{j})")]
+    for j in range(_D):
+        for k in range(j + 1, _D):
+            m += [(f"v{j}_{k}", f"y_BA{j} * y_AB{k} - y_A * y_B"),
+                  (f"e{j}_{k}", f"y_BA{j} + y_AB{k} - y_A - y_B")]
+    body = ", ".join(f"avg({e}) AS {n}" for n, e in m)
+    return (f"means AS (SELECT {body} FROM outs),\n"
+            "mv AS (SELECT *, (A2 - A * A + B2 - B * B) / 2.0 + ((A - B) / 2.0) * ((A - B) / 2.0) "
+            "AS var FROM means),\n"
+            "s1 AS (SELECT " + ", ".join(
+                [f"(s1n{j} - mu * d{j}) / NULLIF(var, 0) AS S1_{j}" for j in range(_D)]
+                + [f"(st{j} / 2.0) / NULLIF(var, 0) AS ST_{j}" for j in range(_D)]
+                + [f"(v{j}_{k} - mu * e{j}_{k}) / NULLIF(var, 0) AS V_{j}_{k}"
+                   for j in range(_D) for k in range(j + 1, _D)]) + " FROM mv)")
+
+
+_SOBOL = [FILTERED, FULL, _DESIGN, _BOUNDS, _SCALE_STATS, _POINTS, _eval_ctes(), _means()]
+
+SQL["sobol_indices"] = with_(*_SOBOL) + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {R(f'S1_{j}')} AS s1, {R(f'ST_{j}')} AS st FROM s1"
+    for j, c in enumerate(_FF))
+
+SQL["sobol_pairs"] = with_(*_SOBOL) + " UNION ALL ".join(
+    f"SELECT '{_FF[j]}' AS feature_i, '{_FF[k]}' AS feature_j, "
+    f"{R(f'V_{j}_{k} - S1_{j} - S1_{k}')} AS s2 FROM s1"
+    for j in range(_D) for k in range(j + 1, _D))
