@@ -98,12 +98,19 @@ def _activate(z: Column, kind: str) -> Column:
 
 
 def probability_columns(df: DataFrame, mlp: MLP, inputs: Mapping[str, Sequence[Column]],
-                        keep: Sequence[str] | None = None) -> DataFrame:
+                        keep: Sequence[str] | None = None,
+                        first_preactivations: Mapping[str, Sequence[Column]] | None = None
+                        ) -> DataFrame:
     """Evaluate the network once per entry of ``inputs`` (output name ->
     input Columns) and add the probabilities as columns.  One projection per
-    layer keeps every expression small however many evaluations are asked."""
+    layer keeps every expression small however many evaluations are asked.
+
+    ``first_preactivations`` (name -> first-layer ``W x + b`` Columns) lets a
+    caller supply cheaper equivalent first-layer values (see the Sobol
+    rank-one update); ``inputs`` is then ignored."""
     keep = list(keep) if keep is not None else df.columns
-    current = {name: list(cols) for name, cols in inputs.items()}
+    current = {name: list(cols) for name, cols in
+               (first_preactivations or inputs).items()}
     frame = df
     n_layers = len(mlp.layers)
     for li, (w, b) in enumerate(mlp.layers):
@@ -112,7 +119,10 @@ def probability_columns(df: DataFrame, mlp: MLP, inputs: Mapping[str, Sequence[C
         for name, xs in current.items():
             outs = []
             for o, (w_row, bias) in enumerate(zip(w, b)):
-                z = _affine(xs, w_row, bias)
+                if li == 0 and first_preactivations is not None:
+                    z = xs[o]
+                else:
+                    z = _affine(xs, w_row, bias)
                 col_name = f"__{name}_l{li}_{o}"
                 exprs.append((z if last else _activate(z, mlp.hidden_activation)).alias(col_name))
                 outs.append(F.col(col_name))

@@ -90,7 +90,26 @@ def evaluate_design(design: DataFrame, key: str, problem: Problem,
         if second_order:
             sets[f"y_BA{j}"] = [A[i] if i == j else B[i] for i in range(d)]
     if isinstance(model, MLP):
-        return probability_columns(inputs, model, sets, keep=[key])
+        # First layer is linear: W.AB_j + b = (W.A + b) + W[:, j] (xb_j - xa_j).
+        # Compute W.A + b and W.B + b once; every mixed point is a rank-one
+        # update, so the generated code grows with D + sets, not D x sets.
+        w0, b0 = model.layers[0]
+        units = range(len(b0))
+        pre = inputs.select(
+            key, *[(F.lit(float(b0[o])) + sum((A[i] * F.lit(float(w0[o][i])) for i in range(d)),
+                                             F.lit(0.0))).alias(f"za_{o}") for o in units],
+            *[(F.lit(float(b0[o])) + sum((B[i] * F.lit(float(w0[o][i])) for i in range(d)),
+                                        F.lit(0.0))).alias(f"zb_{o}") for o in units],
+            *[(B[j] - A[j]).alias(f"dx_{j}") for j in range(d)])
+        za = [F.col(f"za_{o}") for o in units]
+        zb = [F.col(f"zb_{o}") for o in units]
+        dx = [F.col(f"dx_{j}") for j in range(d)]
+        firsts = {"y_A": za, "y_B": zb}
+        for j in range(d):
+            firsts[f"y_AB{j}"] = [za[o] + dx[j] * F.lit(float(w0[o][j])) for o in units]
+            if second_order:
+                firsts[f"y_BA{j}"] = [zb[o] - dx[j] * F.lit(float(w0[o][j])) for o in units]
+        return probability_columns(pre, model, {}, keep=[key], first_preactivations=firsts)
     return inputs.select(key, *[model(cols).alias(name) for name, cols in sets.items()])
 
 

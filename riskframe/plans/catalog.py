@@ -23,6 +23,7 @@ from riskframe.operators import profile as PR
 from riskframe.operators import sampling as S
 from riskframe.operators import scoring as SC
 from riskframe.operators import sensitivity as Y
+from riskframe.operators import training as TR
 from riskframe.plans import features as FE
 from riskframe.sources.tables import loans
 
@@ -338,6 +339,34 @@ def q_sobol_conf(spark, sf):
     return rounded(ind)
 
 
+# ------------------------------------------------------------------ M1-M5 (rows-only)
+def q_mlp_train(spark, sf):
+    """History of the baseline configuration (5 hidden sigmoid units, L-BFGS
+    in rounds, early stopping on the validation split)."""
+    scaled, feats = scaled_split(spark, sf)
+    res = TR.train_mlpc(scaled, feats, P.TARGET, [5], rounds=5, iters_per_round=20)
+    return TR.history_frame(spark, res.history)
+
+
+def q_mlp_sweep(spark, sf):
+    """Sweep: hidden sizes of the subset preset's search, test accuracy each."""
+    scaled, feats = scaled_split(spark, sf)
+    configs = [{"hidden": [h]} for h in P.SWEEP_NEURONS_SUBSET]
+    rows, _ = TR.sweep(scaled, feats, P.TARGET, configs, rounds=3, iters_per_round=20)
+    return spark.createDataFrame(
+        rows, "config_idx int, hidden string, activation string, val_loss double, "
+              "test_accuracy double, seconds double").drop("seconds")
+
+
+def q_mlp_deep(spark, sf):
+    """Relu network of two hidden layers (the layer sweep's first config),
+    full-batch Adam; returns its history."""
+    scaled, feats = scaled_split(spark, sf)
+    res = TR.train_dense(scaled, feats, P.TARGET, [10, 10], "relu", steps=20, lr=0.05,
+                         eval_every=5)
+    return TR.history_frame(spark, res.history)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "default_rate_by_grade": default_rate_by_grade,
     "outlier_filter": q_outlier_filter,
@@ -383,4 +412,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sobol_indices": q_sobol_indices,
     "sobol_pairs": q_sobol_pairs,
     "sobol_conf": q_sobol_conf,
+    "mlp_train": q_mlp_train,
+    "mlp_sweep": q_mlp_sweep,
+    "mlp_deep": q_mlp_deep,
 }
