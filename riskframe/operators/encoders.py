@@ -25,26 +25,27 @@ MAX_CATEGORIES = 2_000_000
 
 
 def _distinct_values(df: DataFrame, cols: Sequence[str]) -> dict[str, list]:
-    """Sorted distinct non-NULL values per column, and whether NULL occurs.
+    """Distinct values per column (NULL included as ``None``), one pass.
 
-    One pass: unpivot to (column, value) and aggregate; partial aggregation
-    collapses duplicates map-side, so a hot value costs one row per task.
-    The distinct count per column is checked before anything is collected.
+    Unpivot to (column, value) and aggregate; partial aggregation collapses
+    duplicates map-side, so a hot value costs one row per task.  At most
+    ``MAX_CATEGORIES`` rows per column are brought back (a bounded collect);
+    more than that fails instead of filling the driver.
     """
     if not cols:
         return {}
     pairs = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in cols)
     long = df.selectExpr(f"stack({len(cols)}, {pairs}) AS (column, value)")
-    distinct = long.groupBy("column", "value").agg(F.lit(1).alias("one"))
-    sizes = {r["column"]: r["n"] for r in distinct.groupBy("column").agg(
-        F.count(F.lit(1)).alias("n")).collect()}
-    too_big = {c: n for c, n in sizes.items() if n > MAX_CATEGORIES}
-    if too_big:
-        raise ValueError(f"columns with more than {MAX_CATEGORIES} distinct values "
-                         f"cannot be label/one-hot encoded: {too_big}")
+    cap = MAX_CATEGORIES * len(cols)
+    rows = long.groupBy("column", "value").count().select("column", "value") \
+        .limit(cap + 1).collect()
     out: dict[str, list] = {c: [] for c in cols}
-    for r in distinct.select("column", "value").collect():
+    for r in rows:
         out[r["column"]].append(r["value"])
+    too_big = {c: len(v) for c, v in out.items() if len(v) > MAX_CATEGORIES}
+    if too_big or len(rows) > cap:
+        raise ValueError(f"columns with more than {MAX_CATEGORIES} distinct values "
+                         f"cannot be label/one-hot encoded: {too_big or cols}")
     return out
 
 

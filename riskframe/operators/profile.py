@@ -122,29 +122,50 @@ def crosstab_percent(df: DataFrame, cols: Sequence[str], target: str,
 def correlation(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation over pairwise-complete rows, all ordered pairs.
 
-    One aggregation with ``covar_pop`` and ``stddev_pop`` restricted to rows
-    where both values are present (numerically stable merges); a constant
-    column gives NULL instead of a divide-by-zero error.
+    Pairs whose columns the schema proves non-NULL use two cheap passes:
+    column means, then plain sums of centred cross products (one buffer per
+    pair, numerically stable).  Pairs that may hold NULLs use ``covar_pop``
+    and ``stddev_pop`` restricted to the pair's complete rows.  A constant
+    column gives NULL, not a divide-by-zero error.
     """
     cols = list(cols) if cols is not None else columns_of(df)
+    nullable = {c: df.schema[c].nullable for c in cols}
+    dense = [c for c in cols if not nullable[c]]
+    means = {}
+    if dense:
+        r = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}")
+                     for i, c in enumerate(dense)]).collect()[0]
+        means = {c: r[f"m{i}"] for i, c in enumerate(dense)}
+
+    def centred(c: str):
+        return F.col(c).cast("double") - F.lit(means[c] if means[c] is not None else 0.0)
+
     aggs, pairs = [], []
     for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if j < i:
-                continue
-            x, y = F.col(a).cast("double"), F.col(b).cast("double")
-            both = x.isNotNull() & y.isNotNull()
+        for b in cols[i:]:
             k = len(pairs)
-            aggs += [F.covar_pop(x, y).alias(f"c{k}"),
-                     F.stddev_pop(F.when(both, x)).alias(f"sa{k}"),
-                     F.stddev_pop(F.when(both, y)).alias(f"sb{k}")]
-            pairs.append((a, b))
+            if a in means and b in means:
+                aggs.append(F.sum(centred(a) * centred(b)).alias(f"c{k}"))
+                pairs.append((a, b, "dense"))
+            else:
+                x, y = F.col(a).cast("double"), F.col(b).cast("double")
+                both = x.isNotNull() & y.isNotNull()
+                aggs += [F.covar_pop(x, y).alias(f"c{k}"),
+                         F.stddev_pop(F.when(both, x)).alias(f"sa{k}"),
+                         F.stddev_pop(F.when(both, y)).alias(f"sb{k}")]
+                pairs.append((a, b, "masked"))
     wide = df.agg(*aggs)
-    rs = [F.try_divide(F.col(f"c{k}"), F.col(f"sa{k}") * F.col(f"sb{k}")).alias(f"r{k}")
-          for k in range(len(pairs))]
+    diag = {a: k for k, (a, b, kind) in enumerate(pairs) if a == b and kind == "dense"}
+    rs = []
+    for k, (a, b, kind) in enumerate(pairs):
+        if kind == "dense":
+            denom = F.sqrt(F.col(f"c{diag[a]}") * F.col(f"c{diag[b]}"))
+        else:
+            denom = F.col(f"sa{k}") * F.col(f"sb{k}")
+        rs.append(F.try_divide(F.col(f"c{k}"), F.when(denom != 0, denom)).alias(f"r{k}"))
     wide = wide.select(*rs)
     items = []
-    for k, (a, b) in enumerate(pairs):
+    for k, (a, b, _kind) in enumerate(pairs):
         items.append(f"'{a}', '{b}', r{k}")
         if a != b:
             items.append(f"'{b}', '{a}', r{k}")

@@ -53,62 +53,82 @@ def _eq(c: Column, v) -> Column:
 
 
 def rank_segments(df: DataFrame, key: str, seed: int, salt: str,
-                  cuts: dict, group: str | None = None,
+                  cuts, group: str | None = None,
                   counts: dict | None = None,
                   max_rank_rows: int = MAX_RANK_ROWS) -> DataFrame:
     """Add ``__segment`` = number of cut points the row's rank (1-based, by
     ``(h, key)`` within ``group``) exceeds.  ``cuts`` maps group value -> list
-    of ranks (ascending)."""
-    counts = counts if counts is not None else group_counts(df, group)
+    of ranks (ascending), or is a function of the per-group row counts that
+    returns that mapping (then the counts come out of the first radix pass,
+    no separate counting scan)."""
     spark = df.sparkSession
     work = df.withColumn(_H, hash_hex(key, seed, salt)).withColumn(
         _G, F.col(group) if group is not None else F.lit(0))
     g, h = F.col(_G), F.col(_H)
-
-    always, never, search = [], [], []          # trivial and real cut points
-    for gv, qs in cuts.items():
-        n = counts.get(gv, 0)
-        for q in qs:
-            if q <= 0:
-                always.append(gv)
-            elif q >= n:
-                never.append(gv)
+    g_type = df.schema[group].dataType.simpleString() if group else "int"
+
+    # level-1 bucket counts of every group: small (groups x 65,536 rows at most),
+    # kept for the driver-side steps below and released before returning
+    level1 = (work.groupBy(_G, F.substring(h, 1, DIGITS_PER_LEVEL).alias("b")).count()
+              .withColumn("parent", F.lit("")).persist())
+    try:
+        if counts is None:
+            rows = level1.groupBy(_G).agg(F.sum("count").alias("n")).collect()
+            if len(rows) > MAX_GROUPS:
+                raise ValueError(f"more than {MAX_GROUPS} groups to sample from")
+            counts = {r[_G]: r["n"] for r in rows}
+        if callable(cuts):
+            cuts = cuts(counts)
+
+        always, never, search = [], [], []          # trivial and real cut points
+        for gv, qs in cuts.items():
+            n = counts.get(gv, 0)
+            for q in qs:
+                if q <= 0:
+                    always.append(gv)
+                elif q >= n:
+                    never.append(gv)
+                else:
+                    search.append({"g": gv, "prefix": "", "quota": q})
+
+        # -- radix selection ---------------------------------------------------
+        level = 0
+        active = list(search)
+        while active:
+            level += 1
+            plen = DIGITS_PER_LEVEL * level
+            if level == 1:
+                bucket_counts = level1
             else:
-                search.append({"g": gv, "prefix": "", "quota": q})
-
-    # -- radix selection -----------------------------------------------------
-    level = 0
-    active = list(search)
-    while active:
-        level += 1
-        plen = DIGITS_PER_LEVEL * level
-        in_parent = reduce(lambda a, b: a | b, [
-            _eq(g, c["g"]) & (F.substring(h, 1, plen - DIGITS_PER_LEVEL) == F.lit(c["prefix"]))
-            for c in active])
-        bucket_counts = (work.where(in_parent)
-                         .groupBy(_G, F.substring(h, 1, plen).alias("b")).count()
-                         .withColumn("parent", F.substring("b", 1, plen - DIGITS_PER_LEVEL)))
-        cut_rows = spark.createDataFrame(
-            [(i, c["g"], c["prefix"], c["quota"]) for i, c in enumerate(active)],
-            f"cut_id int, {_G} {df.schema[group].dataType.simpleString() if group else 'int'},"
-            " parent string, quota bigint")
-        # cut_rows has one row per cut point: a proven-small broadcast side
-        cum = (bucket_counts.join(F.broadcast(cut_rows), [_G, "parent"])
-               .withColumn("cum", F.sum("count").over(
-                   Window.partitionBy("cut_id").orderBy("b")
-                   .rowsBetween(Window.unboundedPreceding, 0))))
-        found = (cum.where((F.col("cum") >= F.col("quota")) &
-                           (F.col("cum") - F.col("count") < F.col("quota")))
-                 .select("cut_id", "b", "count", (F.col("quota") - F.col("cum")
-                                                  + F.col("count")).alias("within"))
-                 .collect())
-        nxt = []
-        for r in found:
-            c = active[r["cut_id"]]
-            c["prefix"], c["quota"], c["size"] = r["b"], r["within"], r["count"]
-            if r["count"] > max_rank_rows and len(c["prefix"]) + DIGITS_PER_LEVEL <= 32:
-                nxt.append(c)
-        active = nxt
+                in_parent = reduce(lambda a, b: a | b, [
+                    _eq(g, c["g"]) & (F.substring(h, 1, plen - DIGITS_PER_LEVEL)
+                                      == F.lit(c["prefix"])) for c in active])
+                bucket_counts = (work.where(in_parent)
+                                 .groupBy(_G, F.substring(h, 1, plen).alias("b")).count()
+                                 .withColumn("parent",
+                                             F.substring("b", 1, plen - DIGITS_PER_LEVEL)))
+            cut_rows = spark.createDataFrame(
+                [(i, c["g"], c["prefix"], c["quota"]) for i, c in enumerate(active)],
+                f"cut_id int, {_G} {g_type}, parent string, quota bigint")
+            # cut_rows has one row per cut point: a proven-small broadcast side
+            cum = (bucket_counts.join(F.broadcast(cut_rows), [_G, "parent"])
+                   .withColumn("cum", F.sum("count").over(
+                       Window.partitionBy("cut_id").orderBy("b")
+                       .rowsBetween(Window.unboundedPreceding, 0))))
+            found = (cum.where((F.col("cum") >= F.col("quota")) &
+                               (F.col("cum") - F.col("count") < F.col("quota")))
+                     .select("cut_id", "b", "count", (F.col("quota") - F.col("cum")
+                                                      + F.col("count")).alias("within"))
+                     .collect())
+            nxt = []
+            for r in found:
+                c = active[r["cut_id"]]
+                c["prefix"], c["quota"], c["size"] = r["b"], r["within"], r["count"]
+                if r["count"] > max_rank_rows and len(c["prefix"]) + DIGITS_PER_LEVEL <= 32:
+                    nxt.append(c)
+            active = nxt
+    finally:
+        level1.unpersist()
 
     # -- assignment ------------------------------------------------------------
     exceed_terms: list[Column] = [_eq(g, gv).cast("int") for gv in always]
@@ -140,10 +160,10 @@ def balanced_undersample(df: DataFrame, label: str, key: str, seed: int = 42,
                          salt: str = "sample") -> DataFrame:
     """Keep every row of the smallest class and exactly that many rows,
     without replacement, from each other class (same seed -> same rows)."""
-    counts = group_counts(df, label)
-    n_min = min(counts.values())
-    segs = rank_segments(df, key, seed, salt, {gv: [n_min] for gv in counts},
-                         group=label, counts=counts)
+    def cuts(counts):
+        n_min = min(counts.values())
+        return {gv: [n_min] for gv in counts}
+    segs = rank_segments(df, key, seed, salt, cuts, group=label)
     return segs.where(F.col(_SEG) == 0).drop(_SEG)
 
 
@@ -166,10 +186,10 @@ def random_split(df: DataFrame, key: str, fractions: Sequence[float] = (0.2, 0.2
     (0.64 / 0.16 / 0.20)."""
     if len(names) != len(fractions) + 1:
         raise ValueError("need one name per fraction plus one for the rest")
-    n = df.count()
-    sizes = split_sizes(n, fractions)
-    cuts = [sum(sizes[: i + 1]) for i in range(len(sizes))]
-    segs = rank_segments(df, key, seed, salt, {0: cuts}, counts={0: n})
+    def cuts(counts):
+        sizes = split_sizes(counts.get(0, 0), fractions)
+        return {0: [sum(sizes[: i + 1]) for i in range(len(sizes))]}
+    segs = rank_segments(df, key, seed, salt, cuts)
     label = F.element_at(F.array(*[F.lit(x) for x in names]), F.col(_SEG) + 1)
     return segs.withColumn(output, label).drop(_SEG)
 

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.hashing import uniform
 from riskframe.operators.scoring import MLP, probability_columns
+from riskframe.session import spread
 
 Z_975 = 1.959963984540054          # standard normal quantile for a 95 % interval
 
@@ -56,7 +57,10 @@ def problem_from_data(df: DataFrame, names: Sequence[str]) -> Problem:
 
 def saltelli_design(base: DataFrame, key: str, d: int, seed: int = 42) -> DataFrame:
     """``(key, a_0..a_{d-1}, b_0..b_{d-1})`` uniforms in [0, 1), one row per
-    base row; the number of model evaluations is ``rows x (2d + 2)``."""
+    base row; the number of model evaluations is ``rows x (2d + 2)``.  Only
+    the key is carried; a small base is spread over all cores first because
+    every row costs 2d + 2 model evaluations."""
+    base = spread(base.select(key))
     return base.select(
         key, *[uniform(key, seed, f"sobol_a{j}").alias(f"a_{j}") for j in range(d)],
         *[uniform(key, seed, f"sobol_b{j}").alias(f"b_{j}") for j in range(d)])
@@ -156,10 +160,11 @@ def _estimators(m: Callable[[str], Column], d: int, second_order: bool) -> dict:
 
 
 def _indices_row(outputs: DataFrame, d: int, second_order: bool) -> DataFrame:
+    """One aggregation of plain sums (one buffer each) and a row count."""
     q = _quantities(d, second_order)
-    means = outputs.agg(*[F.avg(e).alias(n) for n, e in q.items()])
-    est = _estimators(F.col, d, second_order)
-    return means.select(*[e.alias(n) for n, e in est.items()])
+    sums = outputs.agg(F.count(F.lit(1)).alias("__n"), *[F.sum(e).alias(n) for n, e in q.items()])
+    est = _estimators(lambda name: F.col(name) / F.col("__n"), d, second_order)
+    return sums.select(*[e.alias(n) for n, e in est.items()])
 
 
 def sobol_indices(outputs: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -226,12 +226,20 @@ def train_dense(data: DataFrame, features: Sequence[str], label: str, hidden: Se
 
 # --------------------------------------------------------------------------- M5
 def sweep(data: DataFrame, features: Sequence[str], label: str, configs: Sequence[dict],
-          test: str = "test", split_col: str = "split", **kw) -> tuple[list, list]:
+          test: str = "test", split_col: str = "split", parallelism: int = 4,
+          **kw) -> tuple[list, list]:
     """Train one model per config (``{"hidden": [..], "activation": ..}``);
     returns result rows ``(config_idx, hidden, activation, val_loss,
-    test_accuracy, seconds)`` and the fitted models, in config order."""
-    results, models = [], []
-    for i, cfg in enumerate(configs):
+    test_accuracy, seconds)`` and the fitted models, in config order.
+
+    Up to ``parallelism`` configurations train at once (concurrent Spark jobs
+    from driver threads, as ``CrossValidator(parallelism=n)`` does); the
+    training table is materialised once and shared."""
+    from concurrent.futures import ThreadPoolExecutor
+    data = cut_lineage(data)
+
+    def one(i_cfg):
+        i, cfg = i_cfg
         act = cfg.get("activation", "sigmoid")
         hidden = list(cfg["hidden"])
         if act == "sigmoid" and cfg.get("trainer", "mlpc") == "mlpc":
@@ -245,12 +253,14 @@ def sweep(data: DataFrame, features: Sequence[str], label: str, configs: Sequenc
                           split_col)
         best_hist = [h for h in res.history if h["val_loss"] is not None]
         vl = min(h["val_loss"] for h in best_hist) if best_hist else None
-        results.append({"config_idx": i, "hidden": "x".join(map(str, hidden)),
-                        "activation": act, "val_loss": vl,
-                        "test_accuracy": m.get(test, (None, None))[1],
-                        "seconds": res.seconds})
-        models.append(res)
-    return results, models
+        return ({"config_idx": i, "hidden": "x".join(map(str, hidden)),
+                 "activation": act, "val_loss": vl,
+                 "test_accuracy": m.get(test, (None, None))[1],
+                 "seconds": res.seconds}, res)
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        done = list(pool.map(one, enumerate(configs)))
+    return [d[0] for d in done], [d[1] for d in done]
 
 
 def history_frame(spark, rows: list) -> DataFrame:

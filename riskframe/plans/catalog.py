@@ -25,6 +25,7 @@ from riskframe.operators import scoring as SC
 from riskframe.operators import sensitivity as Y
 from riskframe.operators import training as TR
 from riskframe.plans import features as FE
+from riskframe.session import cut_lineage
 from riskframe.sources.tables import loans
 
 
@@ -45,13 +46,15 @@ def full_plan(spark, sf) -> FE.FeaturePlan:
 
 
 def balanced(spark, sf) -> DataFrame:
+    """Balanced training table, materialised once in the shared checkpoint
+    folder: every later fit/evaluation reads it instead of its lineage."""
     frame = full_plan(spark, sf).frame
-    return S.balanced_undersample(frame, P.TARGET, P.KEY, seed=P.SEED)
+    return cut_lineage(S.balanced_undersample(frame, P.TARGET, P.KEY, seed=P.SEED))
 
 
 def split3(spark, sf) -> DataFrame:
-    return S.random_split(balanced(spark, sf), P.KEY, (P.TEST_FRACTION, P.VAL_FRACTION),
-                          seed=P.SEED)
+    return cut_lineage(S.random_split(balanced(spark, sf), P.KEY,
+                                      (P.TEST_FRACTION, P.VAL_FRACTION), seed=P.SEED))
 
 
 NUMERIC_LOAN_COLUMNS = ["person_age", "person_income", "person_emp_length", "loan_amnt",
@@ -140,6 +143,23 @@ def q_features_subset(spark, sf):
     return rounded(FE.subset_features(loans(spark, sf)).frame)
 
 
+def q_select_dtypes(spark, sf):
+    """Numeric columns only (after dropping the key, P1)."""
+    df = FL.drop_columns(loans(spark, sf), [P.KEY])
+    return rounded(FL.select_dtypes(df, ["numeric"]))
+
+
+def q_csv_source(spark, sf):
+    """The loan table written as header CSV to the shared folder and read
+    back with the explicit schema (NULLs written as empty fields)."""
+    import uuid
+    from riskframe.session import ensure_checkpoint_dir
+    from riskframe.sources import io as IO
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskframe-csv/{uuid.uuid4().hex}"
+    loans(spark, sf).write.option("header", True).csv(path)
+    return rounded(IO.read_csv(spark, path, P.LOAN_SCHEMA))
+
+
 # ------------------------------------------------------------------ R
 def q_under_sample(spark, sf):
     return balanced(spark, sf).select("id", "loan_status")
@@ -380,6 +400,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "label_encode": q_label_encode,
     "one_hot": q_one_hot,
     "standard_scale": q_standard_scale,
+    "select_dtypes": q_select_dtypes,
+    "csv_source": q_csv_source,
     "features_full": q_features_full,
     "features_subset": q_features_subset,
     "under_sample": q_under_sample,

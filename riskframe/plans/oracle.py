@@ -209,6 +209,11 @@ def _zs(c: str) -> str:
     return _z(c, c)
 
 
+SQL["select_dtypes"] = with_() + (
+    f"SELECT {_r_cols([c for c in NUM_COLS], DOUBLE_LOAN_COLS)} FROM loans")
+
+SQL["csv_source"] = with_() + f"SELECT {_r_cols(P.LOAN_COLUMNS, DOUBLE_LOAN_COLS)} FROM loans"
+
 SQL["standard_scale"] = with_(FILTERED, FULL, _SCALE_STATS) + (
     "SELECT id, " + ", ".join(f"{R(_zs(c))} AS {c}" for c in _FF) + " FROM full_enc, scale_stats")
 

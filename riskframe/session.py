@@ -61,8 +61,37 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df, eager: bool = True):
-    """Materialise ``df`` into the shared checkpoint folder (survives executor
-    loss, unlike a local checkpoint) and return the re-read frame."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut_lineage(df):
+    """Materialise ``df`` as a parquet table in the shared checkpoint folder
+    and return the re-read frame.
+
+    One computation plus one write (``Dataset.checkpoint`` would compute the
+    plan a second time to save it); the files survive executor loss, unlike a
+    local checkpoint, and later readers get column pruning and pushdown."""
+    import uuid
+    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{base}/riskframe-tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def estimated_bytes(df) -> int | None:
+    """The optimizer's size estimate of ``df`` (no job runs)."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - estimate unavailable
+        return None
+
+
+def spread(df, min_partitions: int | None = None, max_bytes: int = 1 << 30):
+    """Spread a *small* input over every core before CPU-heavy per-row work.
+
+    A small table often arrives as one scan split; a large one already
+    arrives in many partitions and is returned unchanged (no shuffle).  The
+    decision uses the optimizer's size estimate only.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    size = estimated_bytes(df)
+    if size is not None and size <= max_bytes:
+        return df.repartition(target)
+    return df

@@ -178,3 +178,29 @@ def test_missing_source_raises(spark):
     from pyspark.errors import AnalysisException
     with pytest.raises(AnalysisException):
         IO.read_csv(spark, "/nonexistent/riskframe/file.csv")
+
+
+def test_report_and_metrics_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, 1), (0, 1)], "label int, prediction int")
+    rep = M.classification_report(df)
+    IO.write_report(rep, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).count() == 5
+    IO.append_metrics(M.accuracy(df), str(tmp_path / "metrics"))
+    IO.append_metrics(M.accuracy(df), str(tmp_path / "metrics"))
+    assert spark.read.parquet(str(tmp_path / "metrics")).count() == 2
+
+
+def test_target_guard(spark):
+    from riskframe.operators.filters import require_target
+    df = spark.createDataFrame([(1,)], "a long")
+    with pytest.raises(ValueError):
+        require_target(df, "loan_status")
+    require_target(df, "a")
+
+
+def test_sweep_runs_configs_in_parallel(spark):
+    rows, models = TR.sweep(_xor_frame(spark, 600), ["x1", "x2"], "y",
+                            [{"hidden": [4]}, {"hidden": [8]}], test="val",
+                            rounds=2, iters_per_round=15, parallelism=2)
+    assert [r["config_idx"] for r in rows] == [0, 1]
+    assert all(r["test_accuracy"] is not None for r in rows)
