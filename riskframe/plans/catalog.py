@@ -165,6 +165,13 @@ def q_under_sample(spark, sf):
     return balanced(spark, sf).select("id", "loan_status")
 
 
+def q_split_2way(spark, sf):
+    """R2: a single 20 % hold-out of the balanced table."""
+    out = S.random_split(balanced(spark, sf), P.KEY, (P.TEST_FRACTION,), ("test", "train"),
+                         seed=P.SEED)
+    return out.select("id", "loan_status", "split")
+
+
 def q_split_3way(spark, sf):
     return split3(spark, sf).select("id", "loan_status", "split")
 
@@ -405,6 +412,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "features_full": q_features_full,
     "features_subset": q_features_subset,
     "under_sample": q_under_sample,
+    "split_2way": q_split_2way,
     "split_3way": q_split_3way,
     "describe": q_describe,
     "distinct_counts": q_distinct_counts,

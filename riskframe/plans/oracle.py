@@ -230,6 +230,14 @@ SQL["under_sample"] = with_(FILTERED, FULL, _balanced()) + "SELECT id, loan_stat
 SQL["split_3way"] = with_(FILTERED, FULL, _balanced(), SPLIT) + (
     "SELECT id, loan_status, split FROM split")
 
+SQL["split_2way"] = with_(FILTERED, FULL, _balanced(), (
+    f"s2_rank AS (SELECT *, row_number() OVER (ORDER BY md5('split:{P.SEED}:' || "
+    f"CAST({P.KEY} AS VARCHAR)), {P.KEY}) AS rn2 FROM balanced),\n"
+    f"s2_size AS (SELECT CAST(ceil(CAST({P.TEST_FRACTION} AS DOUBLE) * count(*)) AS BIGINT) "
+    "AS n_test FROM balanced)")) + (
+    "SELECT id, loan_status, CASE WHEN rn2 <= n_test THEN 'test' ELSE 'train' END AS split "
+    "FROM s2_rank, s2_size")
+
 SQL["describe"] = with_() + " UNION ALL ".join(
     f"SELECT '{c}' AS column, CAST(count({c}) AS BIGINT) AS count, "
     f"{R(f'avg(CAST({c} AS DOUBLE))')} AS mean, {R(f'stddev_samp(CAST({c} AS DOUBLE))')} AS std, "
