@@ -47,12 +47,23 @@ def unit_problem(names: Sequence[str]) -> Problem:
     return Problem(list(names), [(0.0, 1.0)] * len(names))
 
 
-def problem_from_data(df: DataFrame, names: Sequence[str]) -> Problem:
-    """Bounds = observed min/max of each feature (one aggregation)."""
-    r = df.agg(*[e for i, c in enumerate(names) for e in (
-        F.min(F.col(c).cast("double")).alias(f"lo{i}"),
-        F.max(F.col(c).cast("double")).alias(f"hi{i}"))]).collect()[0]
-    return Problem(list(names), [(r[f"lo{i}"], r[f"hi{i}"]) for i in range(len(names))])
+def problem_from_data(df: DataFrame, names: Sequence[str], with_scaler: bool = False):
+    """Bounds = observed min/max of each feature (one aggregation).  With
+    ``with_scaler`` the same pass also fits the standard scaler (Y3) and
+    ``(problem, scaler)`` is returned."""
+    from riskframe.operators.encoders import Standardization
+    aggs = []
+    for i, c in enumerate(names):
+        x = F.col(c).cast("double")
+        aggs += [F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+        if with_scaler:
+            aggs += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}")]
+    r = df.agg(*aggs).collect()[0]
+    problem = Problem(list(names), [(r[f"lo{i}"], r[f"hi{i}"]) for i in range(len(names))])
+    if not with_scaler:
+        return problem
+    return problem, Standardization({c: r[f"m{i}"] for i, c in enumerate(names)},
+                                    {c: r[f"s{i}"] for i, c in enumerate(names)})
 
 
 def saltelli_design(base: DataFrame, key: str, d: int, seed: int = 42) -> DataFrame:

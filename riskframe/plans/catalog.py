@@ -337,8 +337,7 @@ def sobol_outputs(spark, sf) -> tuple[DataFrame, list[str]]:
     scored with the fixed-weight network at all 2D+2 points."""
     plan = full_plan(spark, sf)
     frame, feats = plan.frame, plan.features
-    problem = Y.problem_from_data(frame, feats)
-    scaler = E.fit_standard_scaler(frame, feats)
+    problem, scaler = Y.problem_from_data(frame, feats, with_scaler=True)
     design = Y.saltelli_design(frame, P.KEY, len(feats), seed=P.SEED)
     out = Y.evaluate_design(design, P.KEY, problem, literal_model(len(feats)),
                             transform=lambda j, x: scaler.column(feats[j], source=x))

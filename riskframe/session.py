@@ -75,11 +75,18 @@ def cut_lineage(df):
     return df.sparkSession.read.parquet(path)
 
 
-def estimated_bytes(df) -> int | None:
-    """The optimizer's size estimate of ``df`` (no job runs)."""
+def input_bytes(df) -> int | None:
+    """Bytes of the relations ``df`` scans, from the optimizer's leaf
+    statistics (file sizes; no job runs).  Joins are not multiplied out as in
+    the plan-level estimate without cost-based statistics."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - estimate unavailable
+        it = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+        total = 0
+        while it.hasNext():
+            size = it.next().stats().sizeInBytes()
+            total += size if isinstance(size, int) else int(size.toString())
+        return total
+    except Exception:  # noqa: BLE001 - statistics unavailable
         return None
 
 
@@ -91,7 +98,7 @@ def spread(df, min_partitions: int | None = None, max_bytes: int = 1 << 30):
     decision uses the optimizer's size estimate only.
     """
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    size = estimated_bytes(df)
+    size = input_bytes(df)
     if size is not None and size <= max_bytes:
         return df.repartition(target)
     return df
