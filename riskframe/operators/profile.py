@@ -339,6 +339,68 @@ def box_stats(df: DataFrame, cols: Sequence[str], by: str, whis: float = 1.5) ->
         "column", by, "q1", "median", "q3", "whisker_lo", "whisker_hi", "n_outliers")
 
 
+# --------------------------------------------------------------------- A13
+def class_density(df: DataFrame, cols: Sequence[str], by: str, bins: int = 64) -> DataFrame:
+    """Class-conditional Gaussian density of each column on a grid.
+
+    Binned kernel density estimate: values are counted into ``bins`` equal
+    bins over the column's range (one pass), then for every (class, column)
+    the density at each bin centre is the Gaussian-weighted sum of all bin
+    counts of its group (a ``bins``-entry array gathered by one window, so
+    no pairs are materialised and nothing grows with the data).  Bandwidth is
+    Scott's rule per class, ``h = std * n^(-1/5)``; each class density
+    integrates to 1.  Output ``(column, by, bin, x, density)``.
+    """
+    cols = list(cols)
+    r = df.agg(*[e for i, c in enumerate(cols) for e in (
+        F.min(F.col(c).cast("double")).alias(f"lo{i}"),
+        F.max(F.col(c).cast("double")).alias(f"hi{i}"))]).collect()[0]
+    ranges = {}
+    for i, c in enumerate(cols):
+        lo, hi = r[f"lo{i}"], r[f"hi{i}"]
+        if lo is None:
+            continue
+        if lo == hi:
+            lo, hi = lo - 0.5, hi + 0.5
+        ranges[c] = (lo, (hi - lo) / bins)
+    lo_of = F.lit(None).cast("double")
+    step_of = F.lit(None).cast("double")
+    for c, (lo, step) in ranges.items():
+        is_c = F.col("column") == F.lit(c)
+        lo_of = F.when(is_c, F.lit(lo)).otherwise(lo_of)
+        step_of = F.when(is_c, F.lit(step)).otherwise(step_of)
+    long = _stack(df, list(ranges), "DOUBLE", keep=[by]).where(F.col("value").isNotNull())
+    long = long.withColumn("bin", F.least(F.greatest(
+        F.floor((F.col("value") - lo_of) / step_of), F.lit(0)), F.lit(bins - 1)))
+    stats = long.groupBy(by, "column").agg(
+        F.count(F.lit(1)).alias("n"), F.stddev_samp("value").alias("sd"))
+    counts = long.groupBy(by, "column", "bin").agg(F.count(F.lit(1)).alias("c"))
+    groups = [g[0] for g in df.select(by).distinct().collect()]
+    grid = df.sparkSession.createDataFrame(
+        [(g, c, b) for g in groups for c in ranges for b in range(bins)],
+        T.StructType([df.schema[by], T.StructField("column", T.StringType()),
+                      T.StructField("bin", T.LongType())]))
+    dense = (grid.join(counts, [by, "column", "bin"], "left")
+             .join(stats, [by, "column"])
+             .withColumn("c", F.coalesce(F.col("c"), F.lit(0)).cast("double"))
+             .withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
+             .withColumn("step", step_of))
+    # the group's bin counts as one array (``bins`` entries, independent of
+    # the data size), then the Gaussian-weighted sum over it
+    w = (Window.partitionBy(by, "column").orderBy("bin")
+         .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    dense = dense.withColumn("cs", F.collect_list("c").over(w))
+    acc = F.aggregate(
+        F.sequence(F.lit(0), F.lit(bins - 1)), F.lit(0.0),
+        lambda total, j: total + F.element_at("cs", j + 1) * F.exp(
+            F.lit(-0.5) * F.pow((F.col("bin") - j).cast("double") * F.col("step") / F.col("h"),
+                                F.lit(2.0))))
+    norm = F.col("n").cast("double") * F.col("h") * F.lit(math.sqrt(2 * math.pi))
+    return dense.select("column", by, "bin",
+                        (lo_of + (F.col("bin") + F.lit(0.5)) * F.col("step")).alias("x"),
+                        F.try_divide(acc, norm).alias("density"))
+
+
 # --------------------------------------------------------------------- O2
 def preview(df: DataFrame, key: str, n: int = 10) -> DataFrame:
     """First ``n`` rows by key (top-k, not a full sort)."""

@@ -244,6 +244,11 @@ def q_box_stats(spark, sf):
     return rounded(PR.box_stats(filtered(spark, sf), NUMERIC_LOAN_COLUMNS[:-1], P.TARGET))
 
 
+def q_class_density(spark, sf):
+    return rounded(PR.class_density(filtered(spark, sf), NUMERIC_LOAN_COLUMNS[:-1], P.TARGET,
+                                    bins=32))
+
+
 def q_preview(spark, sf):
     return rounded(PR.preview(FE.subset_features(loans(spark, sf)).frame, P.KEY, 10))
 
@@ -428,6 +433,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "select_k_best": q_select_k_best,
     "histogram20": q_histogram20,
     "box_stats": q_box_stats,
+    "class_density": q_class_density,
     "preview": q_preview,
     "mlp_score": q_mlp_score,
     "confusion": q_confusion,

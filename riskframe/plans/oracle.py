@@ -372,6 +372,27 @@ SQL["box_stats"] = with_(
     f"FROM b_f f JOIN b_long l ON f.col = l.col AND f.{P.TARGET} = l.{P.TARGET} "
     f"WHERE value IS NOT NULL GROUP BY f.col, f.{P.TARGET}, q1, median, q3")
 
+_KB = 32
+SQL["class_density"] = with_(
+    FILTERED,
+    f"d_long AS ({_unpivot('filtered', _H_COLS, 'DOUBLE', P.TARGET)}),\n"
+    "d_rng AS (SELECT col, min(value) AS lo0, max(value) AS hi0 FROM d_long GROUP BY col),\n"
+    "d_r AS (SELECT col, CASE WHEN lo0 = hi0 THEN lo0 - 0.5 ELSE lo0 END AS lo, "
+    f"(CASE WHEN lo0 = hi0 THEN hi0 + 0.5 ELSE hi0 END - CASE WHEN lo0 = hi0 THEN lo0 - 0.5 "
+    f"ELSE lo0 END) / {_KB} AS step FROM d_rng),\n"
+    f"d_bin AS (SELECT l.col, {P.TARGET}, value, CAST(least(greatest(floor((value - lo) / step), "
+    f"0), {_KB - 1}) AS BIGINT) AS bin FROM d_long l JOIN d_r USING (col) "
+    "WHERE value IS NOT NULL),\n"
+    f"d_stats AS (SELECT col, {P.TARGET}, count(*) AS n, stddev_samp(value) AS sd FROM d_bin "
+    f"GROUP BY col, {P.TARGET}),\n"
+    f"d_cnt AS (SELECT col, {P.TARGET}, bin, count(*) AS c FROM d_bin GROUP BY col, {P.TARGET}, bin),\n"
+    f"d_grid AS (SELECT s.col, s.{P.TARGET}, CAST(b AS BIGINT) AS bin, n, sd * pow(n, -0.2) AS h, "
+    f"lo, step FROM d_stats s JOIN d_r USING (col), range({_KB}) t(b))") + (
+    f"SELECT g.col AS column, g.{P.TARGET}, g.bin, {R('lo + (g.bin + 0.5) * step')} AS x, "
+    f"{R('sum(COALESCE(c.c, 0) * exp(-0.5 * ((g.bin - c.bin) * step / h) * ((g.bin - c.bin) * step / h))) / (n * h * sqrt(2 * pi()))')} AS density "
+    f"FROM d_grid g LEFT JOIN d_cnt c ON c.col = g.col AND c.{P.TARGET} = g.{P.TARGET} "
+    f"GROUP BY g.col, g.{P.TARGET}, g.bin, lo, step, n, h")
+
 SQL["preview"] = with_(FILTERED, SUBSET) + (
     f"SELECT {_r_cols(['id'] + P.SUBSET_FEATURES + ['loan_status'], _SUB_DOUBLES)} FROM subset "
     "ORDER BY id LIMIT 10")

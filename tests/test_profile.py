@@ -102,3 +102,22 @@ def test_crosstab_absent_pair_is_null(spark):
     pct = {(r.column, r.value): (r.pct_0, r.pct_1)
            for r in PR.crosstab_percent(df, ["g"], "y").collect()}
     assert pct[("g", "B")] == (100.0, None)
+
+
+def test_class_density_matches_direct_kde(spark):
+    rng = np.random.RandomState(5)
+    x = np.concatenate([rng.normal(0, 1, 400), rng.normal(3, 0.5, 200)])
+    y = np.array([0] * 400 + [1] * 200)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, y)], "x double, y int")
+    out = PR.class_density(df, ["x"], "y", bins=200).collect()
+    step = (x.max() - x.min()) / 200
+    for k in (0, 1):
+        rows = sorted((r.bin, r.x, r.density) for r in out if r.y == k)
+        dens = np.array([d for _, _, d in rows])
+        assert dens.sum() * step == pytest.approx(1.0, abs=0.02)
+        xs = x[y == k]
+        h = xs.std(ddof=1) * len(xs) ** -0.2
+        grid = np.array([g for _, g, _ in rows])
+        direct = np.exp(-0.5 * ((grid[:, None] - xs[None, :]) / h) ** 2).sum(1) / (
+            len(xs) * h * np.sqrt(2 * np.pi))
+        assert np.abs(dens - direct).max() < 0.02 * direct.max()
