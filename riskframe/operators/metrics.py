@@ -33,7 +33,8 @@ def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "pre
     grid = df.sparkSession.createDataFrame(
         [(a, p) for a in labs for p in labs],
         T.StructType([T.StructField("actual", dtype), T.StructField("predicted", dtype)]))
-    return (grid.join(counts, ["actual", "predicted"], "left")
+    # counts has at most labels^2 rows: broadcast it
+    return (grid.join(F.broadcast(counts), ["actual", "predicted"], "left")
             .select("actual", "predicted",
                     F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("count")))
 

@@ -98,11 +98,18 @@ def group_sizes(df: DataFrame, col: str, target: str) -> DataFrame:
     return df.groupBy(col, target).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
+def _count_or_null(cond) -> "F.Column":
+    """Rows matching ``cond``; NULL when none (an absent cross-tab cell)."""
+    n = F.count_if(cond)
+    return F.when(n > 0, n).cast("bigint")
+
+
 def crosstab(df: DataFrame, col: str, target: str, values: Sequence = (0, 1)) -> DataFrame:
     """Target values become columns ``n_<v>``; an absent pair is NULL.
-    The pivot values are explicit, so no extra pass discovers them."""
-    p = df.groupBy(col).pivot(target, list(values)).agg(F.count(F.lit(1)))
-    return p.select(col, *[F.col(f"`{v}`").cast("bigint").alias(f"n_{v}") for v in values])
+    The target values are explicit, so no extra pass discovers them."""
+    # conditional counts in one aggregation (one shuffle; a pivot plans two)
+    return df.groupBy(col).agg(*[_count_or_null(F.col(target) == F.lit(v)).alias(f"n_{v}")
+                                 for v in values])
 
 
 def crosstab_percent(df: DataFrame, cols: Sequence[str], target: str,
@@ -110,10 +117,10 @@ def crosstab_percent(df: DataFrame, cols: Sequence[str], target: str,
     """Stacked count + row-percent table for several categoricals (A14, P10):
     ``(column, value, n_<v>..., pct_<v>...)``; one unpivot, one group-by."""
     long = _stack(df, cols, "STRING", keep=[target])
-    p = long.groupBy("column", "value").pivot(target, list(values)).agg(F.count(F.lit(1)))
-    counts = {f"n_{v}": F.col(f"`{v}`").cast("bigint") for v in values}
-    p = p.select("column", "value", *[e.alias(n) for n, e in counts.items()])
-    row_total = sum((F.coalesce(F.col(n), F.lit(0)) for n in counts), F.lit(0))
+    names = [f"n_{v}" for v in values]
+    p = long.groupBy("column", "value").agg(
+        *[_count_or_null(F.col(target) == F.lit(v)).alias(f"n_{v}") for v in values])
+    row_total = sum((F.coalesce(F.col(n), F.lit(0)) for n in names), F.lit(0))
     return p.select("*", *[row_percent(F.col(f"n_{v}"), row_total).alias(f"pct_{v}")
                            for v in values])
 
@@ -297,7 +304,8 @@ def histogram(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 20)
         [(c, b, lo + (hi - lo) * b / bins, lo + (hi - lo) * (b + 1) / bins)
          for c, (lo, hi) in ranges.items() for b in range(bins)],
         "column string, bin bigint, bin_lo double, bin_hi double")
-    return (grid.join(counts, ["column", "bin"], "left")
+    # counts has at most columns x bins rows (bin index is clamped): broadcast
+    return (grid.join(F.broadcast(counts), ["column", "bin"], "left")
             .select("column", "bin", "bin_lo", "bin_hi",
                     F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count")))
 
@@ -335,7 +343,8 @@ def box_stats(df: DataFrame, cols: Sequence[str], by: str, whis: float = 1.5) ->
         rows, T.StructType([df.schema[by], T.StructField("column", T.StringType()),
                             *[T.StructField(n, T.DoubleType()) for n in
                               ("q1", "median", "q3", "fence_lo", "fence_hi")]]))
-    return quart.join(agg, [by, "column"]).select(
+    # quart holds one row per (class, column), built on the driver: broadcast
+    return agg.join(F.broadcast(quart), [by, "column"]).select(
         "column", by, "q1", "median", "q3", "whisker_lo", "whisker_hi", "n_outliers")
 
 
@@ -380,8 +389,9 @@ def class_density(df: DataFrame, cols: Sequence[str], by: str, bins: int = 64) -
         [(g, c, b) for g in groups for c in ranges for b in range(bins)],
         T.StructType([df.schema[by], T.StructField("column", T.StringType()),
                       T.StructField("bin", T.LongType())]))
-    dense = (grid.join(counts, [by, "column", "bin"], "left")
-             .join(stats, [by, "column"])
+    # counts / stats have at most classes x columns x bins rows: broadcast
+    dense = (grid.join(F.broadcast(counts), [by, "column", "bin"], "left")
+             .join(F.broadcast(stats), [by, "column"])
              .withColumn("c", F.coalesce(F.col("c"), F.lit(0)).cast("double"))
              .withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
              .withColumn("step", step_of))
