@@ -26,7 +26,7 @@ from riskframe.operators import sensitivity as Y
 from riskframe.operators import training as TR
 from riskframe.plans import features as FE
 from riskframe.session import cut_lineage
-from riskframe.sources.tables import loans
+from riskframe.sources.tables import embedding_features, loans
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -335,6 +335,25 @@ def q_best_config(spark, sf):
     return rounded(M.best_configuration(res))
 
 
+# ------------------------------------------------------------------ wide inputs
+EMBED_DIMS = 64
+
+
+def q_embedding_score(spark, sf):
+    """M6 on a 64-wide input: fixed-weight 64 -> 8 -> 1 network over the
+    ``embeddings`` table, thresholded."""
+    df = embedding_features(spark, sf, EMBED_DIMS)
+    feats = [f"e_{i}" for i in range(EMBED_DIMS)]
+    out = SC.score(df, SC.rule_weights([EMBED_DIMS, 8, 1], scale=0.3), feats, t=P.THRESHOLD)
+    return rounded(out.select("vec_id", "label", "probability", "prediction"))
+
+
+def q_embedding_anova(spark, sf):
+    """A9 with ten classes: F score of each embedding dimension against ``label``."""
+    df = embedding_features(spark, sf, EMBED_DIMS)
+    return rounded(PR.anova_f(df, [f"e_{i}" for i in range(EMBED_DIMS)], "label"))
+
+
 # ------------------------------------------------------------------ Y
 def sobol_outputs(spark, sf) -> tuple[DataFrame, list[str]]:
     """Saltelli design over the rows of the full-preset table (one base sample
@@ -443,6 +462,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bce": q_bce,
     "eval_by_split": q_eval_by_split,
     "best_config": q_best_config,
+    "embedding_score": q_embedding_score,
+    "embedding_anova": q_embedding_anova,
     "sobol_design": q_sobol_design,
     "sobol_indices": q_sobol_indices,
     "sobol_pairs": q_sobol_pairs,

@@ -621,3 +621,27 @@ SQL["sobol_pairs"] = with_(*_SOBOL) + " UNION ALL ".join(
     f"SELECT '{_FF[j]}' AS feature_i, '{_FF[k]}' AS feature_j, "
     f"{R(f'V_{j}_{k} - S1_{j} - S1_{k}')} AS s2 FROM s1"
     for j in range(_D) for k in range(j + 1, _D))
+
+
+# ------------------------------------------------------------------ wide inputs
+_E = 64
+_EMB = ("emb AS (SELECT vec_id, label, " + ", ".join(
+    f"CAST(embedding[{i + 1}] AS DOUBLE) AS e_{i}" for i in range(_E)) + " FROM embeddings)")
+
+
+def _emb_model():
+    from riskframe.operators.scoring import rule_weights
+    return rule_weights([_E, 8, 1], scale=0.3)
+
+
+_el, _eo = mlp_sql(_emb_model(), [f"e_{i}" for i in range(_E)], "m")
+SQL["embedding_score"] = ("WITH " + _EMB + ",\n"
+                          f"eh AS (SELECT vec_id, label, {', '.join(_el[0])} FROM emb),\n"
+                          f"el AS (SELECT vec_id, label, {', '.join(_el[1])} FROM eh),\n"
+                          f"ep AS (SELECT vec_id, label, {_eo} AS p FROM el)\n"
+                          f"SELECT vec_id, label, {R('p')} AS probability, "
+                          "CAST(p >= 0.5 AS INTEGER) AS prediction FROM ep")
+
+_ea_cte, _ea_body = _anova_sql("emb", [f"e_{i}" for i in range(_E)])
+SQL["embedding_anova"] = ("WITH " + _EMB + ",\n" + _ea_cte.replace(P.TARGET, "label")
+                          + "\n" + _ea_body)

@@ -67,3 +67,10 @@ def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = base.select(*[F.expr(e).alias(n) for n, e in _BASE_EXPRS.items()])
     full = base.select("*", *[F.expr(e).alias(n) for n, e in _DERIVED_EXPRS.items()])
     return full.select(*presets.LOAN_COLUMNS)
+
+
+def embedding_features(spark: SparkSession, sf_dir: str, dims: int = 64) -> DataFrame:
+    """``embeddings`` as ``(vec_id, label, e_0..e_{dims-1})`` double columns."""
+    emb = table(spark, sf_dir, "embeddings")
+    return emb.select("vec_id", "label", *[
+        F.element_at("embedding", i + 1).cast("double").alias(f"e_{i}") for i in range(dims)])
