@@ -126,50 +126,69 @@ def crosstab_percent(df: DataFrame, cols: Sequence[str], target: str,
 
 
 # --------------------------------------------------------------------- A8
+CORR_SHIFT_SAMPLE = 10_000
+
+
 def correlation(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation over pairwise-complete rows, all ordered pairs.
 
-    Pairs whose columns the schema proves non-NULL use two cheap passes:
-    column means, then plain sums of centred cross products (one buffer per
-    pair, numerically stable).  Pairs that may hold NULLs use ``covar_pop``
-    and ``stddev_pop`` restricted to the pair's complete rows.  A constant
-    column gives NULL, not a divide-by-zero error.
+    One pass of plain sums (one buffer each): values are shifted by a
+    per-column constant - the mean of a small leading sample, close to the
+    true mean, which keeps the shifted co-moments free of cancellation - then
+    ``cov = S_xy/n - (S_x/n)(S_y/n)`` per pair.  For pairs that may hold
+    NULLs (per the schema) the sums run over the pair's complete rows only.
+    A constant column gives NULL, not a divide-by-zero error.
     """
     cols = list(cols) if cols is not None else columns_of(df)
     nullable = {c: df.schema[c].nullable for c in cols}
-    dense = [c for c in cols if not nullable[c]]
-    means = {}
-    if dense:
-        r = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}")
-                     for i, c in enumerate(dense)]).collect()[0]
-        means = {c: r[f"m{i}"] for i, c in enumerate(dense)}
+    sample = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)]) \
+        .limit(CORR_SHIFT_SAMPLE).agg(*[F.avg(f"v{i}").alias(f"k{i}") for i in range(len(cols))]) \
+        .collect()[0]
+    shift = {c: (sample[f"k{i}"] or 0.0) for i, c in enumerate(cols)}
 
-    def centred(c: str):
-        return F.col(c).cast("double") - F.lit(means[c] if means[c] is not None else 0.0)
+    def z(c: str):
+        return F.col(c).cast("double") - F.lit(shift[c])
 
-    aggs, pairs = [], []
+    aggs = [F.count(F.lit(1)).alias("n_all")]
+    idx = {}
+    pairs = []
     for i, a in enumerate(cols):
         for b in cols[i:]:
             k = len(pairs)
-            if a in means and b in means:
-                aggs.append(F.sum(centred(a) * centred(b)).alias(f"c{k}"))
-                pairs.append((a, b, "dense"))
-            else:
-                x, y = F.col(a).cast("double"), F.col(b).cast("double")
-                both = x.isNotNull() & y.isNotNull()
-                aggs += [F.covar_pop(x, y).alias(f"c{k}"),
-                         F.stddev_pop(F.when(both, x)).alias(f"sa{k}"),
-                         F.stddev_pop(F.when(both, y)).alias(f"sb{k}")]
+            if nullable[a] or nullable[b]:
+                both = F.col(a).isNotNull() & F.col(b).isNotNull()
+                za, zb = F.when(both, z(a)), F.when(both, z(b))
+                aggs += [F.count_if(both).alias(f"pn{k}"), F.sum(za).alias(f"pa{k}"),
+                         F.sum(zb).alias(f"pb{k}"), F.sum(za * za).alias(f"paa{k}"),
+                         F.sum(zb * zb).alias(f"pbb{k}"), F.sum(za * zb).alias(f"pab{k}")]
                 pairs.append((a, b, "masked"))
+            else:
+                for c in (a, b):
+                    if c not in idx:
+                        idx[c] = len(idx)
+                        aggs += [F.sum(z(c)).alias(f"s{idx[c]}"),
+                                 F.sum(z(c) * z(c)).alias(f"q{idx[c]}")]
+                if a != b:
+                    aggs.append(F.sum(z(a) * z(b)).alias(f"x{k}"))
+                pairs.append((a, b, "dense"))
     wide = df.agg(*aggs)
-    diag = {a: k for k, (a, b, kind) in enumerate(pairs) if a == b and kind == "dense"}
+
+    def cov(n, sa, sb, sab):
+        return F.try_divide(sab, n) - F.try_divide(sa, n) * F.try_divide(sb, n)
+
     rs = []
     for k, (a, b, kind) in enumerate(pairs):
         if kind == "dense":
-            denom = F.sqrt(F.col(f"c{diag[a]}") * F.col(f"c{diag[b]}"))
+            n = F.col("n_all").cast("double")
+            sa, sb = F.col(f"s{idx[a]}"), F.col(f"s{idx[b]}")
+            sab = F.col(f"q{idx[a]}") if a == b else F.col(f"x{k}")
+            va, vb = cov(n, sa, sa, F.col(f"q{idx[a]}")), cov(n, sb, sb, F.col(f"q{idx[b]}"))
         else:
-            denom = F.col(f"sa{k}") * F.col(f"sb{k}")
-        rs.append(F.try_divide(F.col(f"c{k}"), F.when(denom != 0, denom)).alias(f"r{k}"))
+            n = F.col(f"pn{k}").cast("double")
+            sa, sb, sab = F.col(f"pa{k}"), F.col(f"pb{k}"), F.col(f"pab{k}")
+            va, vb = cov(n, sa, sa, F.col(f"paa{k}")), cov(n, sb, sb, F.col(f"pbb{k}"))
+        denom = F.sqrt(F.greatest(va, F.lit(0.0)) * F.greatest(vb, F.lit(0.0)))
+        rs.append(F.try_divide(cov(n, sa, sb, sab), F.when(denom > 0, denom)).alias(f"r{k}"))
     wide = wide.select(*rs)
     items = []
     for k, (a, b, _kind) in enumerate(pairs):

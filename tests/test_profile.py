@@ -121,3 +121,12 @@ def test_class_density_matches_direct_kde(spark):
         direct = np.exp(-0.5 * ((grid[:, None] - xs[None, :]) / h) ** 2).sum(1) / (
             len(xs) * h * np.sqrt(2 * np.pi))
         assert np.abs(dens - direct).max() < 0.02 * direct.max()
+
+
+def test_correlation_stable_under_large_offset(spark):
+    rng = np.random.RandomState(11)
+    a = 1e9 + rng.normal(size=2000)
+    b = 0.5 * (a - 1e9) + rng.normal(size=2000) - 3e8
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double")
+    got = {(r.col_a, r.col_b): r.r for r in PR.correlation(df).collect()}
+    assert got[("a", "b")] == pytest.approx(np.corrcoef(a, b)[0, 1], abs=1e-9)
