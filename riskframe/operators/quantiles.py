@@ -13,6 +13,12 @@ which a high-cardinality column on a large table cannot afford.  Instead:
 3. one pass: the distinct values inside the brackets with their counts (a
    bounded set), from which the exact order statistics follow.
 
+When the sketch's guarantee already bounds every bracket below
+``max_candidates`` rows (the usual case), passes 2 and 3 are one grouped pass:
+each value is labelled "inside bracket j" (kept exactly) or "in gap j"
+(only counted), which yields the ranks below every bracket and the candidates
+together; if a wanted rank lands in a gap the general path runs instead.
+
 Interpolation is linear between order statistics ``floor(p(n-1))`` and the
 next one (the usual "linear" quantile definition).  The driver only ever sees
 per-(group, column, p) bounds and the bracketed candidates.
@@ -32,10 +38,6 @@ MAX_CANDIDATES = 1_000_000
 MAX_GROUPS = 10_000
 
 
-def _key(g: tuple) -> str:
-    return repr(g)
-
-
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                     group_cols: Sequence[str] = (), accuracy: int = ACCURACY,
                     max_candidates: int = MAX_CANDIDATES) -> dict:
@@ -85,9 +87,6 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     if not targets:
         return out
 
-    def in_bracket(t, x):
-        return (x >= F.lit(t["lo"])) & (x <= F.lit(t["hi"]))
-
     def group_match(t):
         if not group_cols:
             return F.lit(True)
@@ -95,6 +94,80 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                       [(F.col(gc) == F.lit(v)) if v is not None else F.col(gc).isNull()
                        for gc, v in zip(group_cols, t["g"])])
 
+    bound = max(6.0 * t["n"] / accuracy for t in targets)
+    if bound <= max_candidates and _single_pass(df, cols, group_cols, targets, out,
+                                                group_match):
+        return out
+    return _general(df, cols, group_cols, targets, out, accuracy, max_candidates,
+                    group_match)
+
+
+def _single_pass(df, cols, group_cols, targets, out, group_match) -> bool:
+    """Below-counts and candidates of every bracket in one grouped pass."""
+    by_gc: dict = {}
+    for t in targets:
+        by_gc.setdefault((t["g"], t["c"]), []).append(t)
+    seg_expr = None
+    intervals: dict = {}
+    v = F.col("__v")
+    for (g, c), ts in by_gc.items():
+        merged = []
+        for lo, hi in sorted((t["lo"], t["hi"]) for t in ts):
+            if merged and lo <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], hi)
+            else:
+                merged.append([lo, hi])
+        intervals[(g, c)] = merged
+        seg = None
+        for j, (lo, hi) in enumerate(merged):          # inside bracket j -> 2j+1
+            cond = (v >= F.lit(lo)) & (v <= F.lit(hi))
+            seg = F.when(cond, F.lit(2 * j + 1)) if seg is None else seg.when(cond, F.lit(2 * j + 1))
+        for j, (lo, _hi) in enumerate(merged):          # gap before bracket j -> 2j
+            seg = seg.when(v < F.lit(lo), F.lit(2 * j))
+        seg = seg.otherwise(F.lit(2 * len(merged)))
+        cond = (F.col("__col") == F.lit(c)) & group_match(ts[0])
+        seg_expr = F.when(cond, seg) if seg_expr is None else seg_expr.when(cond, seg)
+    pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
+    long = df.select(*group_cols, F.expr(f"stack({len(cols)}, {pairs}) AS (__col, __v)")) \
+        .where(v.isNotNull())
+    long = long.withColumn("__seg", seg_expr).where(F.col("__seg").isNotNull())
+    rows = (long.groupBy(*group_cols, "__col", "__seg",
+                         F.when(F.col("__seg") % 2 == 1, v).alias("__val"))
+            .count().collect())
+    items: dict = {}
+    for r in rows:
+        g = tuple(r[gc] for gc in group_cols)
+        items.setdefault((g, r["__col"]), []).append((r["__seg"], r["__val"], r["count"]))
+    found: dict = {}
+    for (g, c), ts in by_gc.items():
+        seq = sorted(items.get((g, c), []), key=lambda x: (x[0], -1e308 if x[1] is None else x[1]))
+        for t in ts:
+            vals = {}
+            rank = 0
+            for seg, val, cnt in seq:
+                for need in t["need"]:
+                    if need not in vals and rank <= need < rank + cnt:
+                        vals[need] = val
+                rank += cnt
+            if any(vals.get(need) is None for need in t["need"]):
+                return False                         # a wanted rank fell in a gap
+            found[id(t)] = vals
+    for t in targets:
+        vals = found[id(t)]
+        k = t["need"][0]
+        q = vals[k]
+        if len(t["need"]) > 1:
+            q = q + (vals[k + 1] - q) * (t["pos"] - k)
+        out[(t["g"], t["c"])][t["p"]] = q
+    return True
+
+
+def _general(df, cols, group_cols, targets, out, accuracy, max_candidates, group_match):
+    delta = 2.0 / accuracy
+
+    def in_bracket(t, x):
+        return (x >= F.lit(t["lo"])) & (x <= F.lit(t["hi"]))
+
     # -- pass 2 (+ refinement): counts below and inside each bracket ---------
     for _round in range(8):
         aggs = []
