@@ -17,8 +17,8 @@ selection on the hex digits of ``h`` instead:
    only rows inside a cut bucket are ranked with a window, a bounded set
    because md5 spreads rows evenly over buckets whatever the data skew.
 
-Counts per class are collected (one row per class); nothing else reaches the
-driver except one row per cut point.
+The per-class counts come out of the first radix pass (one row per class
+reaches the driver); otherwise only one row per cut point does.
 """
 
 from __future__ import annotations
@@ -39,15 +39,6 @@ MAX_GROUPS = 10_000
 _H, _G, _SEG = "__h", "__g", "__segment"
 
 
-def group_counts(df: DataFrame, group: str | None) -> dict:
-    if group is None:
-        return {0: df.count()}
-    rows = df.groupBy(group).count().collect()
-    if len(rows) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups to sample from")
-    return {r[group]: r["count"] for r in rows}
-
-
 def _eq(c: Column, v) -> Column:
     return c.isNull() if v is None else (c == F.lit(v))
 
