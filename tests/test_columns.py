@@ -101,3 +101,18 @@ def test_missing_counts(spark):
     df = spark.createDataFrame([(1.0,), (None,), (float("nan"),), (float("inf"),)], "x double")
     r = FL.missing_counts(df, ["x"]).collect()[0]
     assert (r.n_missing, r.n_infinite) == (2, 1)
+
+
+def test_spread_small_input_uses_all_cores(spark):
+    from riskframe.session import input_bytes, spread
+    df = spark.range(100).coalesce(1)
+    assert input_bytes(df) is not None
+    assert spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_cut_lineage_writes_to_checkpoint_folder(spark):
+    from riskframe.session import checkpoint_dir, cut_lineage
+    df = cut_lineage(spark.range(10).withColumnRenamed("id", "k"))
+    assert df.count() == 10
+    assert any(checkpoint_dir(spark).rstrip("/") in f or "riskframe-tables" in f
+               for f in df.inputFiles())
