@@ -14,11 +14,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+MAX_CLASSES = 1_000
+
+
 def _labels(df: DataFrame, label: str, prediction: str, labels: Sequence | None) -> list:
+    """The class labels (given, or the distinct values of truth and
+    prediction - a bounded list; the k x k grid is built from it)."""
     if labels is not None:
         return sorted(labels)
     vals = (df.select(F.col(label).alias("v")).union(df.select(F.col(prediction).alias("v")))
-            .distinct().collect())
+            .distinct().limit(MAX_CLASSES + 1).collect())
+    if len(vals) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
     return sorted(r["v"] for r in vals if r["v"] is not None)
 
 

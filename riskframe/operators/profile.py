@@ -22,6 +22,11 @@ from riskframe.operators.filters import columns_of
 from riskframe.operators.quantiles import exact_quantiles
 
 
+# Class-conditional operators build per-class literals/grids on the driver;
+# a class column beyond this many values is not a class label.
+MAX_CLASSES = 1_000
+
+
 def _stack(df: DataFrame, cols: Sequence[str], cast: str, keep: Sequence[str] = (),
            name: str = "column", value: str = "value") -> DataFrame:
     pairs = ", ".join(f"'{c}', CAST(`{c}` AS {cast})" for c in cols)
@@ -336,6 +341,8 @@ def box_stats(df: DataFrame, cols: Sequence[str], by: str, whis: float = 1.5) ->
     of values beyond them."""
     q = exact_quantiles(df, cols, (0.25, 0.5, 0.75), group_cols=[by])
     groups = sorted({g for (g, _c) in q}, key=lambda g: (g[0] is None, g[0]))
+    if len(groups) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes in {by}")
     long = _stack(df, cols, "DOUBLE", keep=[by]).where(F.col("value").isNotNull())
     lo_fence, hi_fence = None, None
     rows = []
@@ -403,7 +410,9 @@ def class_density(df: DataFrame, cols: Sequence[str], by: str, bins: int = 64) -
     stats = long.groupBy(by, "column").agg(
         F.count(F.lit(1)).alias("n"), F.stddev_samp("value").alias("sd"))
     counts = long.groupBy(by, "column", "bin").agg(F.count(F.lit(1)).alias("c"))
-    groups = [g[0] for g in df.select(by).distinct().collect()]
+    groups = [g[0] for g in df.select(by).distinct().limit(MAX_CLASSES + 1).collect()]
+    if len(groups) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes in {by}")
     grid = df.sparkSession.createDataFrame(
         [(g, c, b) for g in groups for c in ranges for b in range(bins)],
         T.StructType([df.schema[by], T.StructField("column", T.StringType()),
