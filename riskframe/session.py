@@ -72,7 +72,7 @@ def cut_lineage(df):
     base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
     path = f"{base}/riskframe-tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def input_bytes(df) -> int | None:
