@@ -34,25 +34,30 @@ from riskframe.session import cut_lineage
 from riskframe.sources import io as IO
 
 
-def _prepare(loans: DataFrame, preset: str, seed: int):
+def _prepare(loans: DataFrame, preset: str, seed: int, fit_on: str = "train"):
+    """Features, exact balance, nested split, scaler.  ``fit_on="train"``
+    fits the scaler on training rows only; ``"all"`` fits it on the whole
+    balanced table before splitting, as the modelled scripts do (it lets test
+    statistics into the scaler - for parity runs only)."""
     plan = {"full": FE.full_features, "subset": FE.subset_features,
             "raw_with_id": FE.raw_with_id_features}[preset](loans)
     balanced = cut_lineage(S.balanced_undersample(plan.frame, plan.target, P.KEY, seed=seed))
     split = cut_lineage(S.random_split(balanced, P.KEY, (P.TEST_FRACTION, P.VAL_FRACTION),
                                        seed=seed))
-    scaler = E.fit_standard_scaler(split.where(F.col("split") == "train"), plan.features)
+    fit_rows = split.where(F.col("split") == "train") if fit_on == "train" else split
+    scaler = E.fit_standard_scaler(fit_rows, plan.features)
     scaled = scaler.transform(split, plan.features)
     return plan, scaled, scaler
 
 
 def train_and_evaluate(loans: DataFrame, out_dir: str, preset: str = "full",
                        configs: Sequence[dict] | None = None, seed: int = P.SEED,
-                       **train_kw) -> dict:
+                       fit_on: str = "train", **train_kw) -> dict:
     """E-1.  Returns ``{"results", "best", "report", "confusion"}`` DataFrames
     and writes ``model``, ``history``, ``report`` and ``metrics`` under
     ``out_dir`` (any shared filesystem path)."""
     spark = loans.sparkSession
-    plan, scaled, scaler = _prepare(loans, preset, seed)
+    plan, scaled, scaler = _prepare(loans, preset, seed, fit_on)
     configs = list(configs or [{"hidden": [h]} for h in P.SWEEP_NEURONS_FULL])
     rows, models = TR.sweep(scaled, plan.features, plan.target, configs, **train_kw)
     results = spark.createDataFrame(
@@ -116,14 +121,20 @@ def feature_scores(loans: DataFrame, k: int | None = None) -> DataFrame:
     return ranked if k is None else ranked.limit(k)
 
 
-def sensitivity(loans: DataFrame, model_dir: str, n_resamples: int = P.SOBOL_BOOTSTRAP):
-    """E-3: Sobol indices of a saved bundle over the observed feature ranges
-    (one base sample per row), with bootstrap half-widths."""
+def sensitivity(loans: DataFrame, model_dir: str, n_resamples: int = P.SOBOL_BOOTSTRAP,
+                bounds: str = "data"):
+    """E-3: Sobol indices of a saved bundle (one base sample per row) with
+    bootstrap half-widths.  ``bounds="data"`` samples each feature over its
+    observed range; ``"unit"`` samples [0, 1] in raw units as the modelled
+    script does."""
     bundle = IO.load_model(loans.sparkSession, model_dir)
     scaled, feats = _apply_bundle(loans, bundle)
     raw = scaled.select(P.KEY)  # the design only needs the keys
-    unscaled, _ = _apply_bundle_raw(loans, bundle)
-    problem = Y.problem_from_data(unscaled, feats)
+    if bounds == "unit":
+        problem = Y.unit_problem(feats)
+    else:
+        unscaled, _ = _apply_bundle_raw(loans, bundle)
+        problem = Y.problem_from_data(unscaled, feats)
     scaler = E.Standardization.from_json(bundle["scaler"])
     design = Y.saltelli_design(raw, P.KEY, len(feats))
     out = Y.evaluate_design(design, P.KEY, problem, SC.MLP.from_json(bundle["mlp"]),

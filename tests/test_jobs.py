@@ -15,6 +15,7 @@ def test_train_persist_evaluate(spark, tmp_path, preset):
     out = str(tmp_path / preset)
     res = jobs.train_and_evaluate(df, out, preset=preset,
                                   configs=[{"hidden": [5]}, {"hidden": [3]}],
+                                  fit_on="train" if preset == "full" else "all",
                                   rounds=2, iters_per_round=20)
     rows = res["results"].collect()
     assert len(rows) == 2 and all(r.test_accuracy > 0.5 for r in rows)
@@ -27,6 +28,8 @@ def test_train_persist_evaluate(spark, tmp_path, preset):
     assert ev["test"].accuracy == pytest.approx(best_acc)
     if preset == "full":
         ind, pairs = jobs.sensitivity(df, f"{out}/model", n_resamples=20)
+        unit, _ = jobs.sensitivity(df, f"{out}/model", n_resamples=5, bounds="unit")
+        assert unit.count() == 11
         got = ind.collect()
         assert len(got) == 11 and all(r.st is not None for r in got)
         assert pairs.count() == 55
