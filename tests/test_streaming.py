@@ -1,7 +1,6 @@
 """The stateless per-row stages (feature functions, fitted encoders, compiled
 network) apply to a streaming frame unchanged."""
 
-from pyspark.sql import functions as F
 
 from riskframe.operators import scoring as SC
 from riskframe.sources.tables import embedding_features
