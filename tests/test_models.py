@@ -72,6 +72,16 @@ def test_confusion_report_and_accuracy(spark):
     assert norm[(1, 1)] == pytest.approx(2 / 3) and norm[(0, 1)] == 0.0
 
 
+def test_confusion_sums_to_n(spark):
+    rng = np.random.RandomState(2)
+    rows = [(int(a), int(b)) for a, b in zip(rng.randint(0, 3, 500), rng.randint(0, 3, 500))]
+    df = spark.createDataFrame(rows, "label int, prediction int")
+    cm = M.confusion_matrix(df).collect()
+    assert len(cm) == 9 and sum(r["count"] for r in cm) == 500
+    rep = {r.label: r for r in M.classification_report(df).collect()}
+    assert rep["accuracy"].f1 == pytest.approx(np.mean([a == b for a, b in rows]))
+
+
 def test_report_class_never_predicted(spark):
     df = spark.createDataFrame([(1, 0), (0, 0)], "label int, prediction int")
     rep = {r.label: r for r in M.classification_report(df, labels=[0, 1]).collect()}
@@ -123,6 +133,7 @@ def test_linear_model_indices(spark):
     tot = sum(w * w for w in a)
     for f, w in zip(prob.names, a):
         assert abs(s[f].s1 - w * w / tot) < 0.03 and abs(s[f].st - w * w / tot) < 0.03
+    assert all(abs(r.s2) < 0.03 for r in Y.sobol_pairs(out, prob.names).collect())
 
 
 def test_mlp_rank_one_design_equals_direct(spark):

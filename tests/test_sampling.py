@@ -65,3 +65,21 @@ def test_skewed_class_spreads(spark):
     df = spark.range(5000).withColumn("y", (F.col("id") % 50 == 0).cast("int"))
     out = S.balanced_undersample(df, "y", "id")
     assert dict(out.groupBy("y").count().collect()) == {0: 100, 1: 100}
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.integers(min_value=0, max_value=3), min_size=2, max_size=300),
+       st.integers(min_value=1, max_value=6))
+def test_balanced_property(spark, labels, parts):
+    df = spark.createDataFrame([(i, y) for i, y in enumerate(labels)], "id long, y int") \
+        .repartition(parts)
+    out = S.balanced_undersample(df, "y", "id", seed=3)
+    rows = out.collect()
+    counts = {}
+    for r in rows:
+        counts[r.y] = counts.get(r.y, 0) + 1
+    n_min = min(labels.count(v) for v in set(labels))
+    assert set(counts) == set(labels) and set(counts.values()) == {n_min}
+    assert {(r.id, r.y) for r in rows} <= set(enumerate(labels))
+    again = S.balanced_undersample(df.coalesce(1), "y", "id", seed=3)
+    assert {r.id for r in rows} == {r.id for r in again.collect()}
