@@ -283,6 +283,8 @@ def anova_f(df: DataFrame, features: Sequence[str], label: str,
                      F.try_divide(F.col("ssw"), (F.col("n") - F.col("k")).cast("double"))
                      ).alias("f_score"))
     if with_pvalue:
+        from riskframe.session import ship_package
+        ship_package(df.sparkSession)     # the p-value UDF runs in Python workers
         res = res.withColumn("p_value", f_pvalue(
             F.col("f_score"), (F.col("k") - 1).cast("double"),
             (F.col("n") - F.col("k")).cast("double")))

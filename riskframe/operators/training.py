@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from riskframe.operators.encoders import assemble
 from riskframe.operators.metrics import bce_column
 from riskframe.operators.scoring import MLP, mlp_from_spark, probability_columns
-from riskframe.session import cut_lineage
+from riskframe.session import cut_lineage, ship_package
 
 
 @dataclass
@@ -184,6 +184,7 @@ def train_dense(data: DataFrame, features: Sequence[str], label: str, hidden: Se
     ``eval_every`` steps with early stopping on validation loss."""
     t0 = time.time()
     spark = data.sparkSession
+    ship_package(spark)               # the gradient function runs in Python workers
     cols = list(features)
     run_id = run_id or f"dense_{activation}_{'x'.join(map(str, hidden))}"
     frame = cut_lineage(data.select(*[F.col(c).cast("double").alias(c) for c in cols],
@@ -237,6 +238,9 @@ def sweep(data: DataFrame, features: Sequence[str], label: str, configs: Sequenc
     training table is materialised once and shared."""
     from concurrent.futures import ThreadPoolExecutor
     data = cut_lineage(data)
+    if any(c.get("activation", "sigmoid") != "sigmoid" or c.get("trainer") == "dense"
+           for c in configs):
+        ship_package(data.sparkSession)
 
     def one(i_cfg):
         i, cfg = i_cfg
@@ -244,7 +248,8 @@ def sweep(data: DataFrame, features: Sequence[str], label: str, configs: Sequenc
         hidden = list(cfg["hidden"])
         if act == "sigmoid" and cfg.get("trainer", "mlpc") == "mlpc":
             res = train_mlpc(data, features, label, hidden, split_col=split_col,
-                             run_id=f"config_{i}", **kw)
+                             run_id=f"config_{i}", **{k: v for k, v in kw.items()
+                                                      if k not in ("steps", "lr")})
         else:
             res = train_dense(data, features, label, hidden, act, split_col=split_col,
                               run_id=f"config_{i}", **{k: v for k, v in kw.items()

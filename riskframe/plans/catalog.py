@@ -408,6 +408,19 @@ def q_mlp_sweep(spark, sf):
               "test_accuracy double, seconds double").drop("seconds")
 
 
+def q_mlp_layer_sweep(spark, sf):
+    """Sweep over depth x activation (10 units per layer): sigmoid networks by
+    L-BFGS, relu networks by full-batch Adam, trained concurrently."""
+    scaled, feats = scaled_split(spark, sf)
+    configs = [{"hidden": [10] * n, "activation": act}
+               for n, act in P.SWEEP_LAYERS_ACT if n <= 3]
+    rows, _ = TR.sweep(scaled, feats, P.TARGET, configs, rounds=2, iters_per_round=20,
+                       steps=20, lr=0.05)
+    return spark.createDataFrame(
+        rows, "config_idx int, hidden string, activation string, val_loss double, "
+              "test_accuracy double, seconds double").drop("seconds")
+
+
 def q_mlp_deep(spark, sf):
     """Relu network of two hidden layers (the layer sweep's first config),
     full-batch Adam; returns its history."""
@@ -471,4 +484,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mlp_train": q_mlp_train,
     "mlp_sweep": q_mlp_sweep,
     "mlp_deep": q_mlp_deep,
+    "mlp_layer_sweep": q_mlp_layer_sweep,
 }

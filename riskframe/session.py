@@ -8,10 +8,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 
 from pyspark.sql import SparkSession
 
 
+_SHIP_LOCK = threading.Lock()
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "riskframe") -> SparkSession:
     """A local session configured like the tests and the bench expect."""
@@ -102,3 +106,25 @@ def spread(df, min_partitions: int | None = None, max_bytes: int = 1 << 30):
     if size is not None and size <= max_bytes:
         return df.repartition(target)
     return df
+
+
+def ship_package(spark) -> None:
+    """Make ``riskframe`` importable in Python workers (like ``--py-files``).
+
+    Operators that run Python inside tasks (``mapInPandas`` gradients, the
+    p-value UDF) pickle functions by module reference; the workers must be
+    able to import the package.  A zip of the package is added to the
+    context once; Spark ships it to every executor."""
+    import shutil
+
+    sc = spark.sparkContext
+    with _SHIP_LOCK:                  # sweeps train from several driver threads
+        if getattr(sc, "_riskframe_shipped", False):
+            return
+        import riskframe
+        pkg_dir = os.path.dirname(os.path.abspath(riskframe.__file__))
+        out = tempfile.mkdtemp(prefix="riskframe-pyfiles-")
+        archive = shutil.make_archive(os.path.join(out, "riskframe"), "zip",
+                                      root_dir=os.path.dirname(pkg_dir), base_dir="riskframe")
+        sc.addPyFile(archive)
+        sc._riskframe_shipped = True
