@@ -129,44 +129,54 @@ def evaluate_design(design: DataFrame, key: str, problem: Problem,
 
 
 def _quantities(d: int, second_order: bool):
-    """Per-row quantities whose means give every estimator."""
+    """Per-row quantities whose means give every estimator.
+
+    Linear terms come from the means of the output columns themselves, so
+    only products need their own sums: B.AB_j, A.B, (A - AB_j)^2, A^2, B^2
+    and, for second order, BA_j.AB_k."""
+    outs = ["y_A", "y_B"] + [f"y_AB{j}" for j in range(d)]
+    if second_order:
+        outs += [f"y_BA{j}" for j in range(d)]
     yA, yB = F.col("y_A"), F.col("y_B")
-    q = {"A": yA, "B": yB, "A2": yA * yA, "B2": yB * yB}
-    allsum = yA + yB
-    for j in range(d):
-        allsum = allsum + F.col(f"y_AB{j}")
-        if second_order:
-            allsum = allsum + F.col(f"y_BA{j}")
-    q["mu"] = allsum / F.lit(float(2 * d + 2 if second_order else d + 2))
+    q = {o: F.col(o) for o in outs}
+    q.update({"A2": yA * yA, "B2": yB * yB, "AxB": yA * yB})
     for j in range(d):
         ab = F.col(f"y_AB{j}")
-        q[f"s1n{j}"] = yB * (ab - yA)
-        q[f"d{j}"] = ab - yA
+        q[f"BxAB{j}"] = yB * ab
         q[f"st{j}"] = (yA - ab) * (yA - ab)
     if second_order:
         for j in range(d):
             for k in range(j + 1, d):
-                ba, ab = F.col(f"y_BA{j}"), F.col(f"y_AB{k}")
-                q[f"v{j}_{k}"] = ba * ab - yA * yB
-                q[f"e{j}_{k}"] = ba + ab - yA - yB
+                q[f"BA{j}xAB{k}"] = F.col(f"y_BA{j}") * F.col(f"y_AB{k}")
     return q
 
 
 def _estimators(m: Callable[[str], Column], d: int, second_order: bool) -> dict:
-    """Index Columns from a mean accessor ``m(name)``."""
-    var = (m("A2") - m("A") * m("A") + m("B2") - m("B") * m("B")) / F.lit(2.0) \
-        + ((m("A") - m("B")) / F.lit(2.0)) ** 2
+    """Index Columns from a mean accessor ``m(name)``; outputs are centred by
+    their overall mean ``mu`` (Saltelli 2010 first order, Jansen total
+    order, second order as Saltelli 2002 with the same centring)."""
+    var = (m("A2") - m("y_A") * m("y_A") + m("B2") - m("y_B") * m("y_B")) / F.lit(2.0) \
+        + ((m("y_A") - m("y_B")) / F.lit(2.0)) ** 2
+    n_out = 2 * d + 2 if second_order else d + 2
+    total = m("y_A") + m("y_B")
+    for j in range(d):
+        total = total + m(f"y_AB{j}")
+        if second_order:
+            total = total + m(f"y_BA{j}")
+    mu = total / F.lit(float(n_out))
     out = {}
     s1 = {}
     for j in range(d):
-        s1[j] = F.try_divide(m(f"s1n{j}") - m("mu") * m(f"d{j}"), var)
+        num = m(f"BxAB{j}") - m("AxB") - mu * (m(f"y_AB{j}") - m("y_A"))
+        s1[j] = F.try_divide(num, var)
         out[f"S1_{j}"] = s1[j]
         out[f"ST_{j}"] = F.try_divide(m(f"st{j}") / F.lit(2.0), var)
     if second_order:
         for j in range(d):
             for k in range(j + 1, d):
-                vjk = F.try_divide(m(f"v{j}_{k}") - m("mu") * m(f"e{j}_{k}"), var)
-                out[f"S2_{j}_{k}"] = vjk - s1[j] - s1[k]
+                vjk = (m(f"BA{j}xAB{k}") - m("AxB")
+                       - mu * (m(f"y_BA{j}") + m(f"y_AB{k}") - m("y_A") - m("y_B")))
+                out[f"S2_{j}_{k}"] = F.try_divide(vjk, var) - s1[j] - s1[k]
     return out
 
 
