@@ -78,39 +78,48 @@ def mlp_from_spark(model) -> MLP:
     return MLP(layers, "sigmoid", "softmax2")
 
 
-def _sigmoid(z: Column) -> Column:
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+def sql_double(x: float) -> str:
+    """A double literal in Spark SQL text (exact round trip)."""
+    return f"({float(x)!r}D)".replace("inf", "Infinity")
 
 
-def _affine(inputs: Sequence[Column], w_row: Sequence[float], bias: float) -> Column:
-    acc = F.lit(float(bias))
-    for x, wi in zip(inputs, w_row):
-        acc = acc + x * F.lit(float(wi))
-    return acc
+def quote(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def _activate(z: Column, kind: str) -> Column:
+def _sigmoid(z: str) -> str:
+    return f"(1.0D / (1.0D + exp(-({z}))))"
+
+
+def affine(inputs: Sequence[str], w_row: Sequence[float], bias: float) -> str:
+    terms = [sql_double(bias)] + [f"{x} * {sql_double(wi)}" for x, wi in zip(inputs, w_row)]
+    return "(" + " + ".join(terms) + ")"
+
+
+def _activate(z: str, kind: str) -> str:
     if kind == "sigmoid":
         return _sigmoid(z)
     if kind == "relu":
-        return F.greatest(z, F.lit(0.0))
+        return f"greatest({z}, 0.0D)"
     raise ValueError(f"unknown activation {kind}")
 
 
-def probability_columns(df: DataFrame, mlp: MLP, inputs: Mapping[str, Sequence[Column]],
+def probability_columns(df: DataFrame, mlp: MLP, inputs: Mapping[str, Sequence[str]],
                         keep: Sequence[str] | None = None,
-                        first_preactivations: Mapping[str, Sequence[Column]] | None = None
+                        first_preactivations: Mapping[str, Sequence[str]] | None = None
                         ) -> DataFrame:
     """Evaluate the network once per entry of ``inputs`` (output name ->
-    input Columns) and add the probabilities as columns.  One projection per
-    layer keeps every expression small however many evaluations are asked.
-
-    ``first_preactivations`` (name -> first-layer ``W x + b`` Columns) lets a
-    caller supply cheaper equivalent first-layer values (see the Sobol
+    input expressions as Spark SQL text, e.g. quoted column names) and add
+    the probabilities as columns.  One projection per layer keeps every
+    expression small however many evaluations are asked; the layers are
+    written as SQL text so building a wide evaluation costs one call per
+    column, and Catalyst sees the same expression trees as with Columns.
+
+    ``first_preactivations`` (name -> first-layer ``W x + b`` expressions)
+    lets a caller supply cheaper equivalent first-layer values (see the Sobol
     rank-one update); ``inputs`` is then ignored."""
-    keep = list(keep) if keep is not None else df.columns
-    current = {name: list(cols) for name, cols in
-               (first_preactivations or inputs).items()}
+    keep = [quote(k) for k in (keep if keep is not None else df.columns)]
+    current = {name: list(cols) for name, cols in (first_preactivations or inputs).items()}
     frame = df
     n_layers = len(mlp.layers)
     for li, (w, b) in enumerate(mlp.layers):
@@ -122,24 +131,30 @@ def probability_columns(df: DataFrame, mlp: MLP, inputs: Mapping[str, Sequence[C
                 if li == 0 and first_preactivations is not None:
                     z = xs[o]
                 else:
-                    z = _affine(xs, w_row, bias)
+                    z = affine(xs, w_row, bias)
                 col_name = f"__{name}_l{li}_{o}"
-                exprs.append((z if last else _activate(z, mlp.hidden_activation)).alias(col_name))
-                outs.append(F.col(col_name))
+                exprs.append(f"{z if last else _activate(z, mlp.hidden_activation)} AS "
+                             f"{quote(col_name)}")
+                outs.append(quote(col_name))
             nxt[name] = outs
-        frame = frame.select(*keep, *exprs)
+        frame = frame.selectExpr(*keep, *exprs)
         current = nxt
     finals = []
     for name, zs in current.items():
-        p = _sigmoid(zs[1] - zs[0]) if mlp.output == "softmax2" else _sigmoid(zs[0])
-        finals.append(p.alias(name))
-    return frame.select(*keep, *finals)
+        p = _sigmoid(f"{zs[1]} - {zs[0]}") if mlp.output == "softmax2" else _sigmoid(zs[0])
+        finals.append(f"{p} AS {quote(name)}")
+    return frame.selectExpr(*keep, *finals)
+
+
+def feature_inputs(features: Sequence[str]) -> list[str]:
+    """Input expressions for named feature columns (as doubles)."""
+    return [f"CAST({quote(f)} AS DOUBLE)" for f in features]
 
 
 def score(df: DataFrame, mlp: MLP, features: Sequence[str], output: str = "probability",
           prediction: str | None = "prediction", t: float = 0.5) -> DataFrame:
     """Append P(class 1) (and the thresholded class, ``p >= t`` -> 1)."""
-    out = probability_columns(df, mlp, {output: [F.col(f).cast("double") for f in features]})
+    out = probability_columns(df, mlp, {output: feature_inputs(features)})
     if prediction:
         out = out.withColumn(prediction, threshold(output, t))
     return out

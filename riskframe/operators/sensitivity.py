@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.hashing import uniform
-from riskframe.operators.scoring import MLP, probability_columns
+from riskframe.operators.scoring import MLP, affine, probability_columns, quote, sql_double
 from riskframe.session import spread
 
 Z_975 = 1.959963984540054          # standard normal quantile for a 95 % interval
@@ -97,39 +97,38 @@ def evaluate_design(design: DataFrame, key: str, problem: Problem,
     xa, xb, d = _points(problem, transform)
     inputs = design.select(key, *[x.alias(f"xa_{j}") for j, x in enumerate(xa)],
                            *[x.alias(f"xb_{j}") for j, x in enumerate(xb)])
-    A = [F.col(f"xa_{j}") for j in range(d)]
-    B = [F.col(f"xb_{j}") for j in range(d)]
-    sets = {"y_A": A, "y_B": B}
-    for j in range(d):
-        sets[f"y_AB{j}"] = [B[i] if i == j else A[i] for i in range(d)]
-        if second_order:
-            sets[f"y_BA{j}"] = [A[i] if i == j else B[i] for i in range(d)]
     if isinstance(model, MLP):
         # First layer is linear: W.AB_j + b = (W.A + b) + W[:, j] (xb_j - xa_j).
         # Compute W.A + b and W.B + b once; every mixed point is a rank-one
         # update, so the generated code grows with D + sets, not D x sets.
         w0, b0 = model.layers[0]
         units = range(len(b0))
-        pre = inputs.select(
-            key, *[(F.lit(float(b0[o])) + sum((A[i] * F.lit(float(w0[o][i])) for i in range(d)),
-                                             F.lit(0.0))).alias(f"za_{o}") for o in units],
-            *[(F.lit(float(b0[o])) + sum((B[i] * F.lit(float(w0[o][i])) for i in range(d)),
-                                        F.lit(0.0))).alias(f"zb_{o}") for o in units],
-            *[(B[j] - A[j]).alias(f"dx_{j}") for j in range(d)])
-        za = [F.col(f"za_{o}") for o in units]
-        zb = [F.col(f"zb_{o}") for o in units]
-        dx = [F.col(f"dx_{j}") for j in range(d)]
-        firsts = {"y_A": za, "y_B": zb}
+        A = [f"xa_{j}" for j in range(d)]
+        B = [f"xb_{j}" for j in range(d)]
+        pre = inputs.selectExpr(
+            quote(key),
+            *[f"{affine(A, w0[o], b0[o])} AS za_{o}" for o in units],
+            *[f"{affine(B, w0[o], b0[o])} AS zb_{o}" for o in units],
+            *[f"(xb_{j} - xa_{j}) AS dx_{j}" for j in range(d)])
+        firsts = {"y_A": [f"za_{o}" for o in units], "y_B": [f"zb_{o}" for o in units]}
         for j in range(d):
-            firsts[f"y_AB{j}"] = [za[o] + dx[j] * F.lit(float(w0[o][j])) for o in units]
+            firsts[f"y_AB{j}"] = [f"(za_{o} + dx_{j} * {sql_double(w0[o][j])})" for o in units]
             if second_order:
-                firsts[f"y_BA{j}"] = [zb[o] - dx[j] * F.lit(float(w0[o][j])) for o in units]
+                firsts[f"y_BA{j}"] = [f"(zb_{o} - dx_{j} * {sql_double(w0[o][j])})"
+                                      for o in units]
         return probability_columns(pre, model, {}, keep=[key], first_preactivations=firsts)
+    A = [F.col(f"xa_{j}") for j in range(d)]
+    B = [F.col(f"xb_{j}") for j in range(d)]
+    sets = {"y_A": A, "y_B": B}
+    for j in range(d):
+        sets[f"y_AB{j}"] = [B[i] if i == j else A[i] for i in range(d)]
+        if second_order:
+            sets[f"y_BA{j}"] = [A[i] if i == j else B[i] for i in range(d)]
     return inputs.select(key, *[model(cols).alias(name) for name, cols in sets.items()])
 
 
-def _quantities(d: int, second_order: bool):
-    """Per-row quantities whose means give every estimator.
+def _quantities(d: int, second_order: bool) -> dict:
+    """Per-row quantities (Spark SQL text) whose means give every estimator.
 
     Linear terms come from the means of the output columns themselves, so
     only products need their own sums: B.AB_j, A.B, (A - AB_j)^2, A^2, B^2
@@ -137,61 +136,67 @@ def _quantities(d: int, second_order: bool):
     outs = ["y_A", "y_B"] + [f"y_AB{j}" for j in range(d)]
     if second_order:
         outs += [f"y_BA{j}" for j in range(d)]
-    yA, yB = F.col("y_A"), F.col("y_B")
-    q = {o: F.col(o) for o in outs}
-    q.update({"A2": yA * yA, "B2": yB * yB, "AxB": yA * yB})
+    q = {o: o for o in outs}
+    q.update({"A2": "y_A * y_A", "B2": "y_B * y_B", "AxB": "y_A * y_B"})
     for j in range(d):
-        ab = F.col(f"y_AB{j}")
-        q[f"BxAB{j}"] = yB * ab
-        q[f"st{j}"] = (yA - ab) * (yA - ab)
+        q[f"BxAB{j}"] = f"y_B * y_AB{j}"
+        q[f"st{j}"] = f"(y_A - y_AB{j}) * (y_A - y_AB{j})"
     if second_order:
         for j in range(d):
             for k in range(j + 1, d):
-                q[f"BA{j}xAB{k}"] = F.col(f"y_BA{j}") * F.col(f"y_AB{k}")
+                q[f"BA{j}xAB{k}"] = f"y_BA{j} * y_AB{k}"
     return q
 
 
-def _estimators(m: Callable[[str], Column], d: int, second_order: bool) -> dict:
-    """Index Columns from a mean accessor ``m(name)``; outputs are centred by
-    their overall mean ``mu`` (Saltelli 2010 first order, Jansen total
-    order, second order as Saltelli 2002 with the same centring)."""
-    var = (m("A2") - m("y_A") * m("y_A") + m("B2") - m("y_B") * m("y_B")) / F.lit(2.0) \
-        + ((m("y_A") - m("y_B")) / F.lit(2.0)) ** 2
-    n_out = 2 * d + 2 if second_order else d + 2
-    total = m("y_A") + m("y_B")
-    for j in range(d):
-        total = total + m(f"y_AB{j}")
-        if second_order:
-            total = total + m(f"y_BA{j}")
-    mu = total / F.lit(float(n_out))
-    out = {}
-    s1 = {}
+def _estimate(frame: DataFrame, d: int, second_order: bool, keep: Sequence[str] = ()) -> DataFrame:
+    """Indices from a frame of sums: column ``n`` and ``s_<quantity>``.
+
+    Staged projections (means -> variance and centre -> S1, ST -> S2) keep
+    every expression small.  Outputs are centred by their overall mean
+    ``mu`` (Saltelli 2010 first order, Jansen total order, second order as
+    Saltelli 2002 with the same centring)."""
+    k = [quote(c) for c in keep]
+    names = list(_quantities(d, second_order))
+    f = frame.selectExpr(*k, *[f"s_{q} / n AS m_{q}" for q in names])
+    outs = ["m_y_A", "m_y_B"] + [f"m_y_AB{j}" for j in range(d)]
+    if second_order:
+        outs += [f"m_y_BA{j}" for j in range(d)]
+    f = f.selectExpr(
+        "*",
+        "(m_A2 - m_y_A * m_y_A + m_B2 - m_y_B * m_y_B) / 2.0D"
+        " + pow((m_y_A - m_y_B) / 2.0D, 2.0D) AS var",
+        f"({' + '.join(outs)}) / {float(len(outs))!r}D AS mu")
+    first = []
     for j in range(d):
-        num = m(f"BxAB{j}") - m("AxB") - mu * (m(f"y_AB{j}") - m("y_A"))
-        s1[j] = F.try_divide(num, var)
-        out[f"S1_{j}"] = s1[j]
-        out[f"ST_{j}"] = F.try_divide(m(f"st{j}") / F.lit(2.0), var)
+        first += [f"try_divide(m_BxAB{j} - m_AxB - mu * (m_y_AB{j} - m_y_A), var) AS S1_{j}",
+                  f"try_divide(m_st{j} / 2.0D, var) AS ST_{j}"]
+    f = f.selectExpr("*", *first)
+    cols = k + [f"S1_{j}" for j in range(d)] + [f"ST_{j}" for j in range(d)]
     if second_order:
-        for j in range(d):
-            for k in range(j + 1, d):
-                vjk = (m(f"BA{j}xAB{k}") - m("AxB")
-                       - mu * (m(f"y_BA{j}") + m(f"y_AB{k}") - m("y_A") - m("y_B")))
-                out[f"S2_{j}_{k}"] = F.try_divide(vjk, var) - s1[j] - s1[k]
-    return out
+        cols += [f"try_divide(m_BA{j}xAB{m} - m_AxB - mu * (m_y_BA{j} + m_y_AB{m} - m_y_A"
+                 f" - m_y_B), var) - S1_{j} - S1_{m} AS S2_{j}_{m}"
+                 for j in range(d) for m in range(j + 1, d)]
+    return f.selectExpr(*cols)
+
+
+def _sums(frame: DataFrame, group: Sequence, q: dict, weight: str | None = None) -> DataFrame:
+    """``n`` and ``s_<quantity>`` per group; ``weight`` multiplies every term."""
+    w = f"{weight} * " if weight else ""
+    aggs = [F.expr(f"sum({w}n)" if weight else "count(1)").alias("n")]
+    aggs += [F.expr(f"sum({w}{('s_' + name) if weight else '(' + e + ')'})").alias(f"s_{name}")
+             for name, e in q.items()]
+    return (frame.groupBy(*group) if group else frame).agg(*aggs)
 
 
 def _indices_row(outputs: DataFrame, d: int, second_order: bool) -> DataFrame:
     """One aggregation of plain sums (one buffer each) and a row count."""
-    q = _quantities(d, second_order)
-    sums = outputs.agg(F.count(F.lit(1)).alias("__n"), *[F.sum(e).alias(n) for n, e in q.items()])
-    est = _estimators(lambda name: F.col(name) / F.col("__n"), d, second_order)
-    return sums.select(*[e.alias(n) for n, e in est.items()])
+    return _estimate(_sums(outputs, (), _quantities(d, second_order)), d, second_order)
 
 
 def sobol_indices(outputs: DataFrame, names: Sequence[str]) -> DataFrame:
     """``(feature, s1, st)`` from the evaluated design."""
     d = len(names)
-    row = _indices_row(outputs, d, second_order=f"y_BA0" in outputs.columns)
+    row = _indices_row(outputs, d, second_order="y_BA0" in outputs.columns)
     items = ", ".join(f"'{n}', S1_{j}, ST_{j}" for j, n in enumerate(names))
     return row.selectExpr(f"stack({d}, {items}) AS (feature, s1, st)")
 
@@ -222,7 +227,8 @@ def sobol_confidence(outputs: DataFrame, key: str, names: Sequence[str],
 
     Rows are hashed into ``n_blocks`` blocks and reduced to per-block sums
     (one scan); every replicate re-weights the blocks with Poisson(1) weights
-    (blocks x replicates rows, independent of the data size).  Returns
+    (blocks x replicates rows, independent of the data size).  Replicate 0
+    has weight 1 everywhere and carries the point estimate.  Returns
     ``(feature, s1, s1_conf, st, st_conf)`` and, with second-order outputs,
     ``(feature_i, feature_j, s2, s2_conf)``.
     """
@@ -230,21 +236,14 @@ def sobol_confidence(outputs: DataFrame, key: str, names: Sequence[str],
     second = "y_BA0" in outputs.columns
     q = _quantities(d, second)
     block = F.floor(uniform(key, seed, "boot_block") * F.lit(n_blocks)).cast("int")
-    sums = outputs.groupBy(block.alias("blk")).agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(e).alias(n) for n, e in q.items()])
-    # replicate 0 carries weight 1 everywhere: the point estimate rides along
+    sums = _sums(outputs.withColumn("blk", block), ["blk"], q)
     reps = sums.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_resamples))).alias("rep"))
     w = _poisson1(uniform(F.concat_ws(":", F.col("blk").cast("string"), F.col("rep").cast("string")),
                           seed, "boot_weight"))
     reps = reps.withColumn("w", F.when(F.col("rep") == 0, F.lit(1)).otherwise(w))
-    rep_sums = reps.groupBy("rep").agg(F.sum(F.col("w") * F.col("n")).alias("n"),
-                                       *[F.sum(F.col("w") * F.col(n)).alias(n) for n in q])
-
-    def mean_of(name: str) -> Column:
-        return F.try_divide(F.col(name), F.col("n"))
-
-    est = _estimators(mean_of, d, second)
-    est_rep = rep_sums.select("rep", *[e.alias(n) for n, e in est.items()])
+    rep_sums = _sums(reps, ["rep"], q, weight="w")
+    est_rep = _estimate(rep_sums, d, second, keep=["rep"])
+    est = [c for c in est_rep.columns if c != "rep"]
     is_point = F.col("rep") == 0
     both = est_rep.agg(*[F.max(F.when(is_point, F.col(n))).alias(n) for n in est],
                        *[(F.stddev_samp(F.when(~is_point, F.col(n))) * F.lit(z)).alias(f"c_{n}")

@@ -321,7 +321,7 @@ def sweep_results(spark, sf) -> DataFrame:
     frame = test
     for i, h in enumerate(SWEEP_HIDDEN):
         frame = SC.probability_columns(frame, literal_model(len(feats), h, phase=0.37 * i),
-                                       {f"p{i}": [F.col(f) for f in feats]})
+                                       {f"p{i}": SC.feature_inputs(feats)})
     acc = frame.agg(*[F.avg((C.threshold(f"p{i}", P.THRESHOLD) == F.col(P.TARGET))
                             .cast("double")).alias(f"a{i}") for i in range(len(SWEEP_HIDDEN))])
     items = ", ".join(f"{i}, {h}, a{i}" for i, h in enumerate(SWEEP_HIDDEN))
