@@ -64,14 +64,14 @@ NUMERIC_LOAN_COLUMNS = ["person_age", "person_income", "person_emp_length", "loa
 
 # ------------------------------------------------------------------ flagship
 def default_rate_by_grade(spark: SparkSession, sf: str) -> DataFrame:
-    """Outlier filter -> grade code -> (grade, status) counts pivoted ->
-    row percentages, ordered by grade."""
+    """Outlier filter -> per-grade counts of each status as columns ->
+    row percentages, with the grade code, ordered by grade."""
     ct = PR.crosstab(filtered(spark, sf), "loan_grade", P.TARGET)
     tot = F.coalesce(F.col("n_0"), F.lit(0)) + F.coalesce(F.col("n_1"), F.lit(0))
     grade_num = C.map_values("loan_grade", P.GRADE_CODES).cast("int")
-    out = ct.select("loan_grade", grade_num.alias("loan_grade_num"),
-                       "n_0", "n_1", C.row_percent("n_0", tot).alias("pct_0"),
-                       C.row_percent("n_1", tot).alias("pct_1"))
+    out = ct.select("loan_grade", grade_num.alias("loan_grade_num"), "n_0", "n_1",
+                    C.row_percent("n_0", tot).alias("pct_0"),
+                    C.row_percent("n_1", tot).alias("pct_1"))
     return rounded(out).orderBy("loan_grade")
 
 
