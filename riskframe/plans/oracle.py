@@ -645,3 +645,61 @@ SQL["embedding_score"] = ("WITH " + _EMB + ",\n"
 _ea_cte, _ea_body = _anova_sql("emb", [f"e_{i}" for i in range(_E)])
 SQL["embedding_anova"] = ("WITH " + _EMB + ",\n" + _ea_cte.replace(P.TARGET, "label")
                           + "\n" + _ea_body)
+
+
+
+def _u_text(text_sql: str, salt: str) -> str:
+    """Uniform from md5('salt:seed:' || text) (same rule as the Spark side)."""
+    h = f"md5('{salt}:{P.SEED}:' || {text_sql})"
+    return f"(CAST(('0x' || substr({h}, 1, 13))::BIGINT AS DOUBLE) / 4503599627370496.0)"
+
+
+def _poisson_sql(u: str) -> str:
+    import math
+    cdf, p, total = [], math.exp(-1.0), 0.0
+    for k in range(12):
+        total += p
+        cdf.append(total)
+        p /= (k + 1)
+    return "(" + " + ".join(f"CAST({u} > {D(c)} AS INTEGER)" for c in cdf) + ")"
+
+
+def _boot_sql(n_rep: int = 100, n_blocks: int = 1000) -> str:
+    qs = [("y_A", "y_A"), ("y_B", "y_B")] + [(f"y_AB{j}", f"y_AB{j}") for j in range(_D)] \
+        + [(f"y_BA{j}", f"y_BA{j}") for j in range(_D)] \
+        + [("A2", "y_A * y_A"), ("B2", "y_B * y_B"), ("AxB", "y_A * y_B")] \
+        + [(f"BxAB{j}", f"y_B * y_AB{j}") for j in range(_D)] \
+        + [(f"st{j}", f"(y_A - y_AB{j}) * (y_A - y_AB{j})") for j in range(_D)]
+    blk = f"CAST(floor({_u_text('CAST(id AS VARCHAR)', 'boot_block')} * {n_blocks}) AS INTEGER)"
+    blocks = ("b_sums AS (SELECT blk, count(*) AS n, " + ", ".join(
+        f"sum({e}) AS s_{n}" for n, e in qs) + f" FROM (SELECT *, {blk} AS blk FROM outs) "
+        "GROUP BY blk)")
+    w_u = _u_text("CAST(blk AS VARCHAR) || ':' || CAST(rep AS VARCHAR)", "boot_weight")
+    reps = (f"b_reps AS (SELECT b.*, rep, CASE WHEN rep = 0 THEN 1 ELSE {_poisson_sql(w_u)} END "
+            f"AS w FROM b_sums b, range(0, {n_rep + 1}) t(rep))")
+    rsums = ("r_sums AS (SELECT rep, sum(w * n) AS n, " + ", ".join(
+        f"sum(w * s_{n}) AS s_{n}" for n, _ in qs) + " FROM b_reps GROUP BY rep)")
+    means = ("r_m AS (SELECT rep, " + ", ".join(f"s_{n} / n AS m_{n}" for n, _ in qs)
+             + " FROM r_sums)")
+    outs = ["m_y_A", "m_y_B"] + [f"m_y_AB{j}" for j in range(_D)] + [f"m_y_BA{j}" for j in range(_D)]
+    mv = ("r_v AS (SELECT *, (m_A2 - m_y_A * m_y_A + m_B2 - m_y_B * m_y_B) / 2.0 "
+          "+ ((m_y_A - m_y_B) / 2.0) * ((m_y_A - m_y_B) / 2.0) AS var, "
+          f"({' + '.join(outs)}) / {float(len(outs))} AS mu FROM r_m)")
+    est = ("r_e AS (SELECT rep, " + ", ".join(
+        [f"(m_BxAB{j} - m_AxB - mu * (m_y_AB{j} - m_y_A)) / NULLIF(var, 0) AS S1_{j}"
+         for j in range(_D)]
+        + [f"(m_st{j} / 2.0) / NULLIF(var, 0) AS ST_{j}" for j in range(_D)]) + " FROM r_v)")
+    z = 1.959963984540054
+    fin = ("r_f AS (SELECT " + ", ".join(
+        [f"max(CASE WHEN rep = 0 THEN S1_{j} END) AS S1_{j}, "
+         f"stddev_samp(CASE WHEN rep > 0 THEN S1_{j} END) * {z} AS c_S1_{j}, "
+         f"max(CASE WHEN rep = 0 THEN ST_{j} END) AS ST_{j}, "
+         f"stddev_samp(CASE WHEN rep > 0 THEN ST_{j} END) * {z} AS c_ST_{j}"
+         for j in range(_D)]) + " FROM r_e)")
+    body = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, {R(f'S1_{j}')} AS s1, {R(f'c_S1_{j}')} AS s1_conf, "
+        f"{R(f'ST_{j}')} AS st, {R(f'c_ST_{j}')} AS st_conf FROM r_f" for j, c in enumerate(_FF))
+    return with_(*_SOBOL[:-1], blocks, reps, rsums, means, mv, est, fin) + body
+
+
+SQL["sobol_conf"] = _boot_sql(P.SOBOL_BOOTSTRAP)
