@@ -4,7 +4,10 @@
                         (fitted on train) -> sweep -> best -> reports ->
                         persisted bundle, histories and run metrics
 ``evaluate_saved``      (V8) reload a bundle and score test and all rows
-``feature_scores``      (E-2) subset preset -> ANOVA F ranking
+``explore``             profile tables of a labelled table (summary, distincts,
+                        histograms, box statistics, densities, correlations,
+                        cross-tabs)
+``feature_scores``      (E-2) preset features -> ANOVA F ranking
 ``sensitivity``         (E-3) Sobol indices of a saved bundle
 
 Each job is a composition of the operators; the bundle holds everything a
@@ -113,9 +116,33 @@ def evaluate_saved(loans: DataFrame, model_dir: str, seed: int = P.SEED) -> Data
     return M.evaluate_by(scored, "split", P.TARGET)
 
 
-def feature_scores(loans: DataFrame, k: int | None = None) -> DataFrame:
-    """E-2: subset-preset features ranked by ANOVA F (with p-values)."""
-    sub = FE.subset_features(loans)
+def explore(df: DataFrame, target: str = P.TARGET, key: str | None = P.KEY,
+            bins: int = 20) -> dict:
+    """Profile tables of a labelled table, all lazy or bounded: column info,
+    summary statistics, distinct counts and values, histograms, box
+    statistics and densities by target, correlations of the numeric columns,
+    counts and row percentages of every string column by target."""
+    from riskframe.operators.filters import columns_of
+    cols = [c for c in df.columns if c != key]
+    numeric = [c for c in columns_of(df.select(*cols)) if c != target]
+    strings = columns_of(df.select(*cols), ["string"])
+    return {
+        "column_info": PR.column_info(df),
+        "describe": PR.describe(df, numeric + [target]),
+        "distinct_counts": PR.distinct_counts(df, cols),
+        "distinct_values": PR.distinct_values(df, strings) if strings else None,
+        "histogram": PR.histogram(df, numeric, bins),
+        "box_stats": PR.box_stats(df, numeric, target),
+        "class_density": PR.class_density(df, numeric, target),
+        "correlation": PR.correlation(df, numeric + [target]),
+        "crosstab_pct": PR.crosstab_percent(df, strings, target) if strings else None,
+    }
+
+
+def feature_scores(loans: DataFrame, k: int | None = None, preset: str = "subset") -> DataFrame:
+    """E-2: preset features (``"subset"`` engineered, or ``"full"`` label
+    encoded) ranked by ANOVA F, with p-values."""
+    sub = FE.subset_features(loans) if preset == "subset" else FE.full_features(loans)
     ranked = PR.anova_f(sub.frame, sub.features, sub.target, with_pvalue=True)
     ranked = ranked.orderBy(F.desc_nulls_last("f_score"), "feature")
     return ranked if k is None else ranked.limit(k)

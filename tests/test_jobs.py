@@ -39,3 +39,13 @@ def test_feature_scores(spark):
     got = jobs.feature_scores(loans(spark, SF001), k=3).collect()
     assert len(got) == 3 and got[0].f_score >= got[1].f_score >= got[2].f_score
     assert all(0.0 <= r.p_value <= 1.0 for r in got)
+
+
+def test_explore_tables(spark):
+    out = jobs.explore(loans(spark, SF001))
+    assert out["describe"].count() == 8
+    assert out["column_info"].count() == 13
+    assert out["crosstab_pct"].count() > 0 and out["correlation"].count() == 64
+    assert out["box_stats"].count() == 14 and out["histogram"].count() == 7 * 20
+    full = jobs.feature_scores(loans(spark, SF001), preset="full").collect()
+    assert len(full) == 11
