@@ -39,12 +39,13 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None,
     """count (non-NULL), mean, sample std, min, exact linear quantiles, max per
     numeric column, one row per column (the transposed ``describe``)."""
     cols = list(cols) if cols is not None else columns_of(df)
-    q = exact_quantiles(df, cols, probs)
-    aggs = []
+    moments = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
-        aggs += [F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}")]
-    r = df.agg(*aggs).collect()[0]
+        moments += [F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}")]
+    # mean and std ride along in the quantile sketch pass
+    q = exact_quantiles(df, cols, probs, extra_aggs=moments)
+    r = q[((), "__extra__")]
     rows = []
     for i, c in enumerate(cols):
         e = q[((), c)]

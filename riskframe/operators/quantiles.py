@@ -40,8 +40,11 @@ MAX_GROUPS = 10_000
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                     group_cols: Sequence[str] = (), accuracy: int = ACCURACY,
-                    max_candidates: int = MAX_CANDIDATES) -> dict:
-    """Return ``{(group_tuple, column): {"n": n, "min":..., "max":..., p: q}}``."""
+                    max_candidates: int = MAX_CANDIDATES, extra_aggs: Sequence = ()) -> dict:
+    """Return ``{(group_tuple, column): {"n": n, "min":..., "max":..., p: q}}``.
+
+    ``extra_aggs`` (aliased aggregate Columns) ride along in the first pass;
+    their values are returned per group under ``(group_tuple, "__extra__")``."""
     cols = list(cols)
     group_cols = list(group_cols)
     probs = list(probs)
@@ -56,7 +59,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                  F.max(x).alias(f"hi{i}"),
                  F.percentile_approx(x, bracket_ps, accuracy).alias(f"a{i}")]
     grouped = df.groupBy(*group_cols) if group_cols else df
-    rows = grouped.agg(*aggs).collect()
+    rows = grouped.agg(*aggs, *extra_aggs).collect()
     if len(rows) > MAX_GROUPS:
         raise ValueError(f"more than {MAX_GROUPS} groups")
 
@@ -65,6 +68,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     targets = []
     for r in rows:
         g = tuple(r[gc] for gc in group_cols)
+        out[(g, "__extra__")] = r.asDict()
         for i, c in enumerate(cols):
             n = r[f"n{i}"]
             entry = {"n": n, "min": r[f"lo{i}"], "max": r[f"hi{i}"]}
