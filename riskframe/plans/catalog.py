@@ -231,6 +231,13 @@ def q_anova_f(spark, sf):
     return rounded(PR.anova_f(plan.frame, plan.features, P.TARGET))
 
 
+def q_anova_pvalue(spark, sf):
+    """A9 with p-values (upper tail of F; the F distribution is not in SQL,
+    so this one is rows-only; the p-value is unit-tested)."""
+    plan = full_plan(spark, sf)
+    return rounded(PR.anova_f(plan.frame, plan.features, P.TARGET, with_pvalue=True))
+
+
 def q_select_k_best(spark, sf):
     sub = FE.subset_features(loans(spark, sf))
     return rounded(PR.select_k_best(sub.frame, sub.features, P.TARGET, k=5))
@@ -462,6 +469,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "crosstab_pct": q_crosstab_pct,
     "correlation": q_correlation,
     "anova_f": q_anova_f,
+    "anova_pvalue": q_anova_pvalue,
     "select_k_best": q_select_k_best,
     "histogram20": q_histogram20,
     "box_stats": q_box_stats,
