@@ -100,9 +100,11 @@ def rank_segments(df: DataFrame, key: str, seed: int, salt: str,
                                              F.substring("b", 1, plen - DIGITS_PER_LEVEL)))
             cut_rows = spark.createDataFrame(
                 [(i, c["g"], c["prefix"], c["quota"]) for i, c in enumerate(active)],
-                f"cut_id int, {_G} {g_type}, parent string, quota bigint")
-            # cut_rows has one row per cut point: a proven-small broadcast side
-            cum = (bucket_counts.join(F.broadcast(cut_rows), [_G, "parent"])
+                f"cut_id int, __cg {g_type}, __cp string, quota bigint")
+            # cut_rows has one row per cut point: a proven-small broadcast side;
+            # null-safe on the group so a NULL class is a class like any other
+            on = F.col(_G).eqNullSafe(F.col("__cg")) & (F.col("parent") == F.col("__cp"))
+            cum = (bucket_counts.join(F.broadcast(cut_rows), on)
                    .withColumn("cum", F.sum("count").over(
                        Window.partitionBy("cut_id").orderBy("b")
                        .rowsBetween(Window.unboundedPreceding, 0))))

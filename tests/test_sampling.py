@@ -83,3 +83,14 @@ def test_balanced_property(spark, labels, parts):
     assert {(r.id, r.y) for r in rows} <= set(enumerate(labels))
     again = S.balanced_undersample(df.coalesce(1), "y", "id", seed=3)
     assert {r.id for r in rows} == {r.id for r in again.collect()}
+
+
+def test_null_class_is_a_class(spark):
+    rows = [(i, None if i % 3 == 0 else i % 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, y int")
+    out = S.balanced_undersample(df, "y", "id")
+    counts = {}
+    for r in out.collect():
+        counts[r.y] = counts.get(r.y, 0) + 1
+    n_min = min(sum(1 for _, y in rows if y == v) for v in (None, 0, 1))
+    assert counts == {None: n_min, 0: n_min, 1: n_min}
