@@ -79,8 +79,11 @@ def distinct_values(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
 
 
 # --------------------------------------------------------------------- A4-A7
-def value_counts(df: DataFrame, col: str) -> DataFrame:
-    """``(value, count)`` by descending count (ties by value)."""
+def value_counts(df: DataFrame, col: str, dropna: bool = True) -> DataFrame:
+    """``(value, count)`` by descending count (ties by value); missing values
+    are left out unless ``dropna=False``."""
+    if dropna:
+        df = df.where(F.col(col).isNotNull())
     return (df.groupBy(F.col(col).alias("value"))
             .agg(F.count(F.lit(1)).cast("bigint").alias("count"))
             .orderBy(F.desc("count"), "value"))
@@ -99,8 +102,11 @@ def column_info(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, schema)
 
 
-def group_sizes(df: DataFrame, col: str, target: str) -> DataFrame:
-    """Two-key group size ``(col, target, n)``."""
+def group_sizes(df: DataFrame, col: str, target: str, dropna: bool = True) -> DataFrame:
+    """Two-key group size ``(col, target, n)`` (A6); keys with a missing
+    part are left out unless ``dropna=False``."""
+    if dropna:
+        df = df.where(F.col(col).isNotNull() & F.col(target).isNotNull())
     return df.groupBy(col, target).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 
 

@@ -130,3 +130,10 @@ def test_correlation_stable_under_large_offset(spark):
     df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double")
     got = {(r.col_a, r.col_b): r.r for r in PR.correlation(df).collect()}
     assert got[("a", "b")] == pytest.approx(np.corrcoef(a, b)[0, 1], abs=1e-9)
+
+
+def test_value_counts_and_group_sizes_drop_missing(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 0), (None, 1), ("b", None)], "c string, y int")
+    assert {r.value: r["count"] for r in PR.value_counts(df, "c").collect()} == {"a": 2, "b": 1}
+    assert len(PR.value_counts(df, "c", dropna=False).collect()) == 3
+    assert PR.group_sizes(df, "c", "y").count() == 2
