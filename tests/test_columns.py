@@ -116,3 +116,12 @@ def test_cut_lineage_writes_to_checkpoint_folder(spark):
     assert df.count() == 10
     assert any(checkpoint_dir(spark).rstrip("/") in f or "riskframe-tables" in f
                for f in df.inputFiles())
+
+
+def test_label_encoder_join_path_equals_inline(spark, monkeypatch):
+    df = spark.createDataFrame([(v,) for v in ["b", "a", "c", None, "a", "d"]], "c string")
+    inline = [r[0] for r in E.fit_label_encoder(df, ["c"]).transform(df).collect()]
+    monkeypatch.setattr(E, "INLINE_LIMIT", 2)        # force the dictionary join
+    joined_df = E.fit_label_encoder(df, ["c"]).transform(df.withColumn("k", F.lit(1)))
+    assert joined_df.columns == ["c", "k"]
+    assert sorted(r[0] for r in joined_df.collect()) == sorted(inline) == [0, 0, 1, 2, 3, 4]

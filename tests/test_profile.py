@@ -137,3 +137,15 @@ def test_value_counts_and_group_sizes_drop_missing(spark):
     assert {r.value: r["count"] for r in PR.value_counts(df, "c").collect()} == {"a": 2, "b": 1}
     assert len(PR.value_counts(df, "c", dropna=False).collect()) == 3
     assert PR.group_sizes(df, "c", "y").count() == 2
+
+
+def test_exact_quantiles_grouped_general_path(spark):
+    rng = np.random.RandomState(4)
+    vals = rng.randint(0, 40, 600).astype(float)
+    grp = rng.randint(0, 3, 600)
+    df = spark.createDataFrame([(float(v), int(g)) for v, g in zip(vals, grp)], "x double, g int")
+    q = exact_quantiles(df, ["x"], [0.1, 0.5, 0.9], group_cols=["g"], accuracy=20,
+                        max_candidates=5)
+    for g in range(3):
+        for p in (0.1, 0.5, 0.9):
+            assert q[((g,), "x")][p] == pytest.approx(np.quantile(vals[grp == g], p))
