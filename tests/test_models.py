@@ -215,3 +215,35 @@ def test_sweep_runs_configs_in_parallel(spark):
                             rounds=2, iters_per_round=15, parallelism=2)
     assert [r["config_idx"] for r in rows] == [0, 1]
     assert all(r["test_accuracy"] is not None for r in rows)
+
+
+@pytest.mark.parametrize("activation", ["relu", "sigmoid"])
+def test_partition_gradient_matches_finite_differences(activation):
+    import pandas as pd
+
+    rng = np.random.RandomState(0)
+    sizes = [3, 4, 3, 1]
+    x = rng.normal(size=(40, 3))
+    y = (rng.uniform(size=40) > 0.5).astype(float)
+    pdf = pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": y})
+    vec = TR._flatten(TR._init_layers(sizes, 1))
+    vec = vec + rng.normal(scale=0.1, size=len(vec))
+
+    class Box:
+        def __init__(self, v):
+            self.value = list(v)
+
+    def loss_and_grad(v):
+        out = next(TR._partition_gradients(sizes, activation, ["a", "b", "c"], "y",
+                                           Box(v))(iter([pdf])))
+        d = dict(zip(out["i"], out["v"]))
+        return d[-1], np.array([d[i] for i in range(len(v))])
+
+    _, grad = loss_and_grad(vec)
+    eps = 1e-6
+    for i in range(0, len(vec), 5):
+        up, down = vec.copy(), vec.copy()
+        up[i] += eps
+        down[i] -= eps
+        numeric = (loss_and_grad(up)[0] - loss_and_grad(down)[0]) / (2 * eps)
+        assert grad[i] == pytest.approx(numeric, rel=1e-4, abs=1e-6)
