@@ -4,13 +4,15 @@ Y1 ``Problem``: feature names and bounds (fixed, or from data min/max).
 Y2 ``saltelli_design``: for each base row two independent uniform vectors
    ``a`` and ``b`` (md5 of the row key, so re-runs and other engines agree).
    The layout is wide: the 2D+2 evaluation points A, B, AB_j (A with column j
-   from B) and BA_j are Column expressions of the same row, so the design
-   needs no shuffle and no explode.
+   from B) and BA_j are expressions of the same row, so the design needs no
+   explode and no join (a small base is only spread over the cores first).
 Y3 optional scaling of the raw samples with a fitted scaler.
-Y4 model evaluation of all points (compiled MLP or any Column function).
-Y5 ``sobol_indices``: one aggregation of 2D + D(D-1)/2 + 4 means gives the
-   Saltelli (2010) first-order, Jansen total-order and second-order indices,
-   outputs centred by their overall mean.
+Y4 model evaluation of all points (compiled MLP - first layer by rank-one
+   updates - or any Column function).
+Y5 ``sobol_indices``: one aggregation of plain sums - the 2D+2 output columns
+   and 3 + 2D (+ D(D-1)/2 for second order) products - gives the Saltelli
+   (2010) first-order, Jansen total-order and second-order indices, outputs
+   centred by their overall mean.
 Y6 ``sobol_confidence``: Poisson bootstrap over hash blocks; replicate
    estimates from (blocks x replicates) weighted block sums.
 Y7 long result tables.
