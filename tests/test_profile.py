@@ -149,3 +149,27 @@ def test_exact_quantiles_grouped_general_path(spark):
     for g in range(3):
         for p in (0.1, 0.5, 0.9):
             assert q[((g,), "x")][p] == pytest.approx(np.quantile(vals[grp == g], p))
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(st.one_of(st.none(), st.floats(-1e3, 1e3)),
+                          st.one_of(st.none(), st.floats(-1e3, 1e3))), min_size=3, max_size=60))
+def test_correlation_property_vs_pandas(spark, rows):
+    df = spark.createDataFrame(rows, "a double, b double")
+    got = {(r.col_a, r.col_b): r.r for r in PR.correlation(df).collect()}
+    want = pd.DataFrame(rows, columns=["a", "b"], dtype=float).corr().loc["a", "b"]
+    if got[("a", "b")] is None or np.isnan(want):
+        # undefined either way: fewer than two complete rows or a constant column
+        assert got[("a", "b")] is None or abs(got[("a", "b")]) <= 1 + 1e-9
+    else:
+        assert got[("a", "b")] == pytest.approx(want, abs=1e-6)
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.integers(-1000, 1000), min_size=2, max_size=80))
+def test_histogram_property_vs_numpy(spark, values):
+    df = spark.createDataFrame([(float(v),) for v in values], "x double")
+    got = [c for _, c in sorted((r.bin, r["count"]) for r in PR.histogram(df, ["x"], 20).collect())]
+    counts, _ = np.histogram(np.array(values, dtype=float), bins=20)
+    assert sum(got) == len(values)
+    assert got == counts.tolist()
