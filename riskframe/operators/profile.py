@@ -35,10 +35,17 @@ def _stack(df: DataFrame, cols: Sequence[str], cast: str, keep: Sequence[str] =
 
 # --------------------------------------------------------------------- A1
 def describe(df: DataFrame, cols: Sequence[str] | None = None,
-             probs: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+             probs: Sequence[float] = (0.25, 0.5, 0.75), exact: bool = True,
+             accuracy: int = 10_000) -> DataFrame:
     """count (non-NULL), mean, sample std, min, exact linear quantiles, max per
-    numeric column, one row per column (the transposed ``describe``)."""
+    numeric column, one row per column (the transposed ``describe``).
+
+    ``exact=False`` answers in one pass with mergeable ``percentile_approx``
+    sketches (rank error <= n / accuracy) for very large or wide tables."""
     cols = list(cols) if cols is not None else columns_of(df)
+    qnames = [f"p{int(round(p * 100))}" for p in probs]
+    if not exact:
+        return _describe_one_pass(df, cols, probs, qnames, accuracy)
     moments = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
@@ -51,17 +58,45 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None,
         e = q[((), c)]
         rows.append((c, int(e["n"]), r[f"m{i}"], r[f"s{i}"], e["min"],
                      *[e[p] for p in probs], e["max"]))
-    qnames = [f"p{int(round(p * 100))}" for p in probs]
     schema = T.StructType(
         [T.StructField("column", T.StringType()), T.StructField("count", T.LongType())]
         + [T.StructField(n, T.DoubleType()) for n in ["mean", "std", "min", *qnames, "max"]])
     return df.sparkSession.createDataFrame(rows, schema)
 
 
+def _describe_one_pass(df, cols, probs, qnames, accuracy) -> DataFrame:
+    """Approximate describe: one aggregation over all columns, unpivoted."""
+    aggs = []
+    for i, c in enumerate(cols):
+        x = F.col(c).cast("double")
+        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"),
+                 F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"),
+                 F.max(x).alias(f"hi{i}"),
+                 F.percentile_approx(x, list(probs), accuracy).alias(f"q{i}")]
+    wide = df.agg(*aggs)
+    items = ", ".join(
+        f"'{c}', n{i}, m{i}, s{i}, lo{i}, " + ", ".join(f"q{i}[{k}]" for k in range(len(probs)))
+        + f", hi{i}" for i, c in enumerate(cols))
+    names = ", ".join(["column", "count", "mean", "std", "min", *qnames, "max"])
+    return wide.selectExpr(f"stack({len(cols)}, {items}) AS ({names})").select(
+        "column", F.col("count").cast("bigint").alias("count"), "mean", "std", "min",
+        *qnames, "max")
+
+
 # --------------------------------------------------------------------- A2, A3
-def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Distinct non-NULL values per column: ``(column, n_distinct)``."""
+def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None,
+                    approx: bool = False, rsd: float = 0.01) -> DataFrame:
+    """Distinct non-NULL values per column: ``(column, n_distinct)``.
+
+    ``approx=True`` uses one pass of HyperLogLog++ sketches (relative
+    standard deviation ``rsd``) instead of shuffling the distinct values."""
     cols = list(cols) if cols is not None else df.columns
+    if approx:
+        wide = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`"), rsd).alias(f"d{i}")
+                        for i, c in enumerate(cols)])
+        items = ", ".join(f"'{c}', d{i}" for i, c in enumerate(cols))
+        return wide.selectExpr(f"stack({len(cols)}, {items}) AS (column, n_distinct)").select(
+            "column", F.col("n_distinct").cast("bigint").alias("n_distinct"))
     long = _stack(df, cols, "STRING")
     return (long.where(F.col("value").isNotNull()).distinct()
             .groupBy("column").agg(F.count(F.lit(1)).cast("bigint").alias("n_distinct")))

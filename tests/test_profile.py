@@ -173,3 +173,17 @@ def test_histogram_property_vs_numpy(spark, values):
     counts, _ = np.histogram(np.array(values, dtype=float), bins=20)
     assert sum(got) == len(values)
     assert got == counts.tolist()
+
+
+def test_approximate_modes_close_to_exact(spark):
+    rng = np.random.RandomState(9)
+    v = rng.normal(size=5000)
+    k = rng.randint(0, 700, 5000)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(v, k)], "x double, k long")
+    approx = {r.column: r for r in PR.describe(df, ["x"], exact=False).collect()}["x"]
+    exact = {r.column: r for r in PR.describe(df, ["x"]).collect()}["x"]
+    assert approx["count"] == exact["count"] and approx.mean == pytest.approx(exact.mean)
+    for p in ("p25", "p50", "p75"):
+        assert abs(approx[p] - exact[p]) < 0.01
+    d = {r.column: r.n_distinct for r in PR.distinct_counts(df, ["k"], approx=True).collect()}
+    assert abs(d["k"] - len(set(k.tolist()))) <= 0.05 * len(set(k.tolist()))
