@@ -64,7 +64,8 @@ def rank_segments(df: DataFrame, key: str, seed: int, salt: str,
               .withColumn("parent", F.lit("")).persist())
     try:
         if counts is None:
-            rows = level1.groupBy(_G).agg(F.sum("count").alias("n")).collect()
+            rows = (level1.groupBy(_G).agg(F.sum("count").alias("n"))
+                    .limit(MAX_GROUPS + 1).collect())
             if len(rows) > MAX_GROUPS:
                 raise ValueError(f"more than {MAX_GROUPS} groups to sample from")
             counts = {r[_G]: r["n"] for r in rows}
