@@ -149,14 +149,19 @@ def feature_scores(loans: DataFrame, k: int | None = None, preset: str = "subset
 
 
 def sensitivity(loans: DataFrame, model_dir: str, n_resamples: int = P.SOBOL_BOOTSTRAP,
-                bounds: str = "data"):
-    """E-3: Sobol indices of a saved bundle (one base sample per row) with
-    bootstrap half-widths.  ``bounds="data"`` samples each feature over its
-    observed range; ``"unit"`` samples [0, 1] in raw units as the modelled
-    script does."""
+                bounds: str = "data", n_base: int | None = None):
+    """E-3: Sobol indices of a saved bundle with bootstrap half-widths.
+
+    The base samples are the table's rows (one per row), or exactly
+    ``n_base`` of them drawn without replacement (``P.SOBOL_BASE_SAMPLES`` is
+    the modelled run's size).  ``bounds="data"`` samples each feature over
+    its observed range; ``"unit"`` samples [0, 1] in raw units as the
+    modelled script does."""
     bundle = IO.load_model(loans.sparkSession, model_dir)
     scaled, feats = _apply_bundle(loans, bundle)
     raw = scaled.select(P.KEY)  # the design only needs the keys
+    if n_base is not None:
+        raw = S.sample_exact(raw, P.KEY, n_base, salt="sobol_base")
     if bounds == "unit":
         problem = Y.unit_problem(feats)
     else:

@@ -28,7 +28,8 @@ def test_train_persist_evaluate(spark, tmp_path, preset):
     assert ev["test"].accuracy == pytest.approx(best_acc)
     if preset == "full":
         ind, pairs = jobs.sensitivity(df, f"{out}/model", n_resamples=20)
-        unit, _ = jobs.sensitivity(df, f"{out}/model", n_resamples=5, bounds="unit")
+        unit, _ = jobs.sensitivity(df, f"{out}/model", n_resamples=5, bounds="unit",
+                                   n_base=500)
         assert unit.count() == 11
         got = ind.collect()
         assert len(got) == 11 and all(r.st is not None for r in got)
