@@ -415,14 +415,24 @@ def q_mlp_sweep(spark, sf):
               "test_accuracy double, seconds double").drop("seconds")
 
 
+def scaled_split_subset(spark, sf) -> tuple[DataFrame, list[str]]:
+    """As ``scaled_split`` for the subset preset's nine engineered features."""
+    sub = FE.subset_features(loans(spark, sf))
+    bal = cut_lineage(S.balanced_undersample(sub.frame, P.TARGET, P.KEY, seed=P.SEED))
+    sp = cut_lineage(S.random_split(bal, P.KEY, (P.TEST_FRACTION, P.VAL_FRACTION), seed=P.SEED))
+    scaler = E.fit_standard_scaler(sp.where(F.col("split") == "train"), sub.features)
+    return scaler.transform(sp, sub.features), sub.features
+
+
 def q_mlp_layer_sweep(spark, sf):
-    """Sweep over depth x activation (10 units per layer): sigmoid networks by
-    L-BFGS, relu networks by full-batch Adam, trained concurrently."""
-    scaled, feats = scaled_split(spark, sf)
-    configs = [{"hidden": [10] * n, "activation": act}
-               for n, act in P.SWEEP_LAYERS_ACT if n <= 3]
+    """Depth x activation sweep on the subset features (2, 3, 5 hidden layers
+    of 15 units; relu and sigmoid): sigmoid networks by L-BFGS, relu networks
+    by full-batch Adam, trained concurrently."""
+    scaled, feats = scaled_split_subset(spark, sf)
+    configs = [{"hidden": [P.LAYER_SWEEP_NEURONS] * n, "activation": act}
+               for n, act in P.SWEEP_LAYERS_ACT]
     rows, _ = TR.sweep(scaled, feats, P.TARGET, configs, rounds=2, iters_per_round=20,
-                       steps=20, lr=0.05)
+                       steps=20, lr=0.05, parallelism=len(configs))
     return spark.createDataFrame(
         rows, "config_idx int, hidden string, activation string, val_loss double, "
               "test_accuracy double, seconds double").drop("seconds")
@@ -432,8 +442,8 @@ def q_mlp_deep(spark, sf):
     """Relu network of two hidden layers (the layer sweep's first config),
     full-batch Adam; returns its history."""
     scaled, feats = scaled_split(spark, sf)
-    res = TR.train_dense(scaled, feats, P.TARGET, [10, 10], "relu", steps=20, lr=0.05,
-                         eval_every=5)
+    res = TR.train_dense(scaled, feats, P.TARGET, [P.DEEP_NEURONS] * 2, "relu", steps=20,
+                         lr=0.05, eval_every=5)
     return TR.history_frame(spark, res.history)
 
 
