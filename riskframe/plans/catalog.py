@@ -25,6 +25,7 @@ from riskframe.operators import scoring as SC
 from riskframe.operators import sensitivity as Y
 from riskframe.operators import training as TR
 from riskframe.plans import features as FE
+from riskframe.plans.jobs import prepare
 from riskframe.session import cut_lineage
 from riskframe.sources.tables import embedding_features, loans
 
@@ -273,10 +274,8 @@ def literal_model(n_inputs: int, hidden: int = SCORE_HIDDEN, phase: float = 0.0)
 def scaled_split(spark, sf) -> tuple[DataFrame, list[str]]:
     """Full-preset balanced split, standardised with a scaler fitted on the
     training rows only."""
-    sp = split3(spark, sf)
-    feats = list(P.FULL_FEATURES)
-    scaler = E.fit_standard_scaler(sp.where(F.col("split") == "train"), feats)
-    return scaler.transform(sp, feats), feats
+    plan, scaled, _scaler = prepare(loans(spark, sf), "full", P.SEED)
+    return scaled, plan.features
 
 
 def predictions(spark, sf) -> DataFrame:
@@ -418,11 +417,8 @@ def q_mlp_sweep(spark, sf):
 
 def scaled_split_subset(spark, sf) -> tuple[DataFrame, list[str]]:
     """As ``scaled_split`` for the subset preset's nine engineered features."""
-    sub = FE.subset_features(loans(spark, sf))
-    bal = cut_lineage(S.balanced_undersample(sub.frame, P.TARGET, P.KEY, seed=P.SEED))
-    sp = cut_lineage(S.random_split(bal, P.KEY, (P.TEST_FRACTION, P.VAL_FRACTION), seed=P.SEED))
-    scaler = E.fit_standard_scaler(sp.where(F.col("split") == "train"), sub.features)
-    return scaler.transform(sp, sub.features), sub.features
+    plan, scaled, _scaler = prepare(loans(spark, sf), "subset", P.SEED)
+    return scaled, plan.features
 
 
 def q_mlp_layer_sweep(spark, sf):

@@ -37,7 +37,7 @@ from riskframe.session import cut_lineage
 from riskframe.sources import io as IO
 
 
-def _prepare(loans: DataFrame, preset: str, seed: int, fit_on: str = "train"):
+def prepare(loans: DataFrame, preset: str = "full", seed: int = P.SEED, fit_on: str = "train"):
     """Features, exact balance, nested split, scaler.  ``fit_on="train"``
     fits the scaler on training rows only; ``"all"`` fits it on the whole
     balanced table before splitting, as the modelled scripts do (it lets test
@@ -60,7 +60,7 @@ def train_and_evaluate(loans: DataFrame, out_dir: str, preset: str = "full",
     and writes ``model``, ``history``, ``report`` and ``metrics`` under
     ``out_dir`` (any shared filesystem path)."""
     spark = loans.sparkSession
-    plan, scaled, scaler = _prepare(loans, preset, seed, fit_on)
+    plan, scaled, scaler = prepare(loans, preset, seed, fit_on)
     configs = list(configs or [{"hidden": [h]} for h in P.SWEEP_NEURONS_FULL])
     rows, models = TR.sweep(scaled, plan.features, plan.target, configs, **train_kw)
     results = spark.createDataFrame(
