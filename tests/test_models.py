@@ -247,3 +247,13 @@ def test_partition_gradient_matches_finite_differences(activation):
         down[i] -= eps
         numeric = (loss_and_grad(up)[0] - loss_and_grad(down)[0]) / (2 * eps)
         assert grad[i] == pytest.approx(numeric, rel=1e-4, abs=1e-6)
+
+
+def test_csv_source_failfast_rejects_bad_numbers(spark, tmp_path):
+    from pyspark.sql import types as T
+    p = tmp_path / "bad.csv"
+    p.write_text("a\n1.5\nnot-a-number\n")
+    schema = T.StructType([T.StructField("a", T.DoubleType())])
+    assert [r.a for r in IO.read_csv(spark, str(p), schema).collect()] == [1.5, None]
+    with pytest.raises(Exception):
+        IO.read_csv(spark, str(p), schema, mode="FAILFAST").collect()
