@@ -62,6 +62,15 @@ def _history_row(run_id: str, epoch: int, m: dict, train: str, val: str) -> dict
             "train_accuracy": ta, "val_accuracy": va}
 
 
+def assembled_frame(data: DataFrame, features: Sequence[str], label: str,
+                    split_col: str = "split") -> DataFrame:
+    """Features, label and split with the assembled vector, materialised once
+    so every round (and every configuration of a sweep) re-reads it."""
+    cols = list(features)
+    return cut_lineage(assemble(data.select(*cols, label, split_col), cols)
+                       .withColumn("__label", F.col(label).cast("double")))
+
+
 def train_mlpc(data: DataFrame, features: Sequence[str], label: str, hidden: Sequence[int],
                split_col: str = "split", train: str = "train", val: str = "val",
                rounds: int = 10, iters_per_round: int = 10, patience: int = 3,
@@ -77,8 +86,8 @@ def train_mlpc(data: DataFrame, features: Sequence[str], label: str, hidden: Seq
     t0 = time.time()
     run_id = run_id or f"mlpc_{'x'.join(map(str, hidden))}"
     cols = list(features)
-    frame = cut_lineage(assemble(data.select(*cols, label, split_col), cols)
-                        .withColumn("__label", F.col(label).cast("double")))
+    frame = (data if "features" in data.columns and "__label" in data.columns
+             else assembled_frame(data, cols, label, split_col))
     train_df = frame.where(F.col(split_col) == train)
     layers = [len(cols), *hidden, 2]
     weights = None
@@ -237,7 +246,7 @@ def sweep(data: DataFrame, features: Sequence[str], label: str, configs: Sequenc
     from driver threads, as ``CrossValidator(parallelism=n)`` does); the
     training table is materialised once and shared."""
     from concurrent.futures import ThreadPoolExecutor
-    data = cut_lineage(data)
+    data = assembled_frame(data, features, label, split_col)
     if any(c.get("activation", "sigmoid") != "sigmoid" or c.get("trainer") == "dense"
            for c in configs):
         ship_package(data.sparkSession)
