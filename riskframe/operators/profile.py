@@ -173,70 +173,77 @@ def crosstab_percent(df: DataFrame, cols: Sequence[str], target: str,
 
 
 # --------------------------------------------------------------------- A8
-CORR_SHIFT_SAMPLE = 10_000
+CORR_SHIFT_SAMPLE = 1_000
 
 
 def correlation(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation over pairwise-complete rows, all ordered pairs.
 
     One pass of plain sums (one buffer each): values are shifted by a
-    per-column constant - the mean of a small leading sample, close to the
-    true mean, which keeps the shifted co-moments free of cancellation - then
+    per-column constant - the mean of the first ``CORR_SHIFT_SAMPLE`` rows;
+    anything within a few standard deviations of the true mean keeps the
+    shifted co-moments free of cancellation - then
     ``cov = S_xy/n - (S_x/n)(S_y/n)`` per pair.  For pairs that may hold
     NULLs (per the schema) the sums run over the pair's complete rows only.
     A constant column gives NULL, not a divide-by-zero error.
     """
     cols = list(cols) if cols is not None else columns_of(df)
     nullable = {c: df.schema[c].nullable for c in cols}
-    sample = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)]) \
-        .limit(CORR_SHIFT_SAMPLE).agg(*[F.avg(f"v{i}").alias(f"k{i}") for i in range(len(cols))]) \
-        .collect()[0]
-    shift = {c: (sample[f"k{i}"] or 0.0) for i, c in enumerate(cols)}
+    # leading rows only (``take`` computes just as many partitions as it needs)
+    head = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)]) \
+        .take(CORR_SHIFT_SAMPLE)
+    shift = {}
+    for i, c in enumerate(cols):
+        vals = [r[i] for r in head if r[i] is not None and r[i] == r[i]]
+        shift[c] = sum(vals) / len(vals) if vals else 0.0
+
+    def q(c: str) -> str:
+        return "`" + c.replace("`", "``") + "`"
 
-    def z(c: str):
-        return F.col(c).cast("double") - F.lit(shift[c])
+    def z(c: str) -> str:
+        return f"(CAST({q(c)} AS DOUBLE) - ({float(shift[c])!r}D))"
 
-    aggs = [F.count(F.lit(1)).alias("n_all")]
+    # sums and formulas as SQL text: one driver call per column, small trees
+    aggs = ["count(1) AS n_all"]
     idx = {}
     pairs = []
     for i, a in enumerate(cols):
         for b in cols[i:]:
             k = len(pairs)
             if nullable[a] or nullable[b]:
-                both = F.col(a).isNotNull() & F.col(b).isNotNull()
-                za, zb = F.when(both, z(a)), F.when(both, z(b))
-                aggs += [F.count_if(both).alias(f"pn{k}"), F.sum(za).alias(f"pa{k}"),
-                         F.sum(zb).alias(f"pb{k}"), F.sum(za * za).alias(f"paa{k}"),
-                         F.sum(zb * zb).alias(f"pbb{k}"), F.sum(za * zb).alias(f"pab{k}")]
+                both = f"({q(a)} IS NOT NULL AND {q(b)} IS NOT NULL)"
+                za, zb = f"IF({both}, {z(a)}, NULL)", f"IF({both}, {z(b)}, NULL)"
+                aggs += [f"count_if({both}) AS pn{k}", f"sum({za}) AS pa{k}",
+                         f"sum({zb}) AS pb{k}", f"sum({za} * {za}) AS paa{k}",
+                         f"sum({zb} * {zb}) AS pbb{k}", f"sum({za} * {zb}) AS pab{k}"]
                 pairs.append((a, b, "masked"))
             else:
                 for c in (a, b):
                     if c not in idx:
                         idx[c] = len(idx)
-                        aggs += [F.sum(z(c)).alias(f"s{idx[c]}"),
-                                 F.sum(z(c) * z(c)).alias(f"q{idx[c]}")]
+                        aggs += [f"sum({z(c)}) AS s{idx[c]}", f"sum({z(c)} * {z(c)}) AS q{idx[c]}"]
                 if a != b:
-                    aggs.append(F.sum(z(a) * z(b)).alias(f"x{k}"))
+                    aggs.append(f"sum({z(a)} * {z(b)}) AS x{k}")
                 pairs.append((a, b, "dense"))
-    wide = df.agg(*aggs)
+    wide = df.agg(*[F.expr(e) for e in aggs])
 
     def cov(n, sa, sb, sab):
-        return F.try_divide(sab, n) - F.try_divide(sa, n) * F.try_divide(sb, n)
+        return f"(try_divide({sab}, {n}) - try_divide({sa}, {n}) * try_divide({sb}, {n}))"
 
     rs = []
     for k, (a, b, kind) in enumerate(pairs):
         if kind == "dense":
-            n = F.col("n_all").cast("double")
-            sa, sb = F.col(f"s{idx[a]}"), F.col(f"s{idx[b]}")
-            sab = F.col(f"q{idx[a]}") if a == b else F.col(f"x{k}")
-            va, vb = cov(n, sa, sa, F.col(f"q{idx[a]}")), cov(n, sb, sb, F.col(f"q{idx[b]}"))
+            n = "CAST(n_all AS DOUBLE)"
+            sa, sb = f"s{idx[a]}", f"s{idx[b]}"
+            sab = f"q{idx[a]}" if a == b else f"x{k}"
+            va, vb = cov(n, sa, sa, f"q{idx[a]}"), cov(n, sb, sb, f"q{idx[b]}")
         else:
-            n = F.col(f"pn{k}").cast("double")
-            sa, sb, sab = F.col(f"pa{k}"), F.col(f"pb{k}"), F.col(f"pab{k}")
-            va, vb = cov(n, sa, sa, F.col(f"paa{k}")), cov(n, sb, sb, F.col(f"pbb{k}"))
-        denom = F.sqrt(F.greatest(va, F.lit(0.0)) * F.greatest(vb, F.lit(0.0)))
-        rs.append(F.try_divide(cov(n, sa, sb, sab), F.when(denom > 0, denom)).alias(f"r{k}"))
-    wide = wide.select(*rs)
+            n = f"CAST(pn{k} AS DOUBLE)"
+            sa, sb, sab = f"pa{k}", f"pb{k}", f"pab{k}"
+            va, vb = cov(n, sa, sa, f"paa{k}"), cov(n, sb, sb, f"pbb{k}")
+        denom = f"sqrt(greatest({va}, 0.0D) * greatest({vb}, 0.0D))"
+        rs.append(f"try_divide({cov(n, sa, sb, sab)}, IF({denom} > 0, {denom}, NULL)) AS r{k}")
+    wide = wide.selectExpr(*rs)
     items = []
     for k, (a, b, _kind) in enumerate(pairs):
         items.append(f"'{a}', '{b}', r{k}")
