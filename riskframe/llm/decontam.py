@@ -36,16 +36,16 @@ BROADCAST_SEEDS = 1_000_000
 
 
 def tokens_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"),
-                    lambda x: x != "")
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"),
+                                F.lit(0))
 
 
 def _seeds(rows: DataFrame) -> DataFrame:
     """Explode rows with ``tokens`` to their (at, seed): one row per position
     and mask that fits there."""
     at = F.col("at")
-    placed = rows.where(F.size("tokens") >= SPAN).withColumn(
-        "at", F.explode(F.sequence(F.lit(0), F.size("tokens") - 1)))
+    placed = rows.withColumn("at", F.explode(F.when(
+        F.size("tokens") >= SPAN, F.sequence(F.lit(0), F.size("tokens") - 1))))
     hashes = [F.when(at + mask[-1] < F.size("tokens"), F.xxhash64(
         F.lit(k), *[F.get("tokens", at + o) for o in mask])) for k, mask in enumerate(MASKS)]
     return placed.withColumn("seed", F.explode(F.array(*hashes)))
@@ -80,9 +80,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, keys: list[str], text: str =
     best = F.array_max(F.transform(
         F.sequence(F.lit(1), F.greatest(F.size("same") - width + 1, F.lit(1))),
         lambda i: F.aggregate(F.slice("same", i, width), F.lit(0), lambda n, x: n + x)))
-    return (hits.withColumn("same", same).withColumn("n_match", best).where(F.col("n_match") >= need)
-            .groupBy(*names, "item").agg(F.max("n_match").alias("n_match"),
-                                         F.min("diagonal").alias("diagonal"))
+    # no filter on the verified count before the aggregate: it would enter the
+    # join, whose rows hold whole token arrays, and take it out of generated code
+    fits = F.col("n_match") >= need
+    return (hits.withColumn("same", same).withColumn("n_match", best)
+            .groupBy(*names, "item").agg(F.max(F.when(fits, F.col("n_match"))).alias("n_match"),
+                                         F.min(F.when(fits, F.col("diagonal"))).alias("diagonal"))
+            .where("n_match is not null")
             .select(*[F.col(n).alias(k) for k, n in zip(keys, names)], F.col("item").alias(item),
                     F.col("n_match").cast("long").alias("n_match"),
                     F.col("diagonal").cast("long").alias("diagonal")))
