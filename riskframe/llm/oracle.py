@@ -42,6 +42,43 @@ SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, CAST(length(loss) AS BIG
        sha256(loss) AS loss_sha256, CAST(formatted AS BIGINT) AS formatted_chars FROM g
 """
 
+SQL["op5_embedding_join"] = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT r, label, e FROM v
+       WHERE label IS NOT NULL AND len(e) > 0
+         AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+         AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.r, b.r AS o FROM ok a JOIN ok b
+      ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
+      AND list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(r, o) AS (SELECT r, o FROM l UNION SELECT reach.r, l.o FROM reach JOIN l ON reach.o = l.r),
+n AS (SELECT r, count(*) AS k FROM l GROUP BY r),
+c AS (SELECT reach.r, min(v.vec_id) AS least FROM reach JOIN v ON v.r = reach.o GROUP BY reach.r)
+SELECT vec_id, coalesce(k, 0) AS n_links, least(vec_id, coalesce(c.least, vec_id)) AS component_id,
+       vec_id = least(vec_id, coalesce(c.least, vec_id)) AS kept
+FROM v LEFT JOIN n USING (r) LEFT JOIN c USING (r)
+"""
+
+SQL["op6_ngram_join"] = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w
+  FROM documents),
+s AS (SELECT DISTINCT r, unnest(list_transform(range(greatest(len(w) - 4, 1)),
+                         lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS g
+      FROM d WHERE len(w) > 0),
+z AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+c AS (SELECT a.r, b.r AS o, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY ALL),
+l AS (SELECT c.r, c.o FROM c JOIN z x ON x.r = c.r JOIN z y ON y.r = c.o
+      WHERE c.k * 10 >= 8 * (x.n + y.n - c.k)),
+reach(r, o) AS (SELECT r, o FROM l UNION SELECT reach.r, l.o FROM reach JOIN l ON reach.o = l.r),
+m AS (SELECT r, count(*) AS k FROM l GROUP BY r),
+b AS (SELECT reach.r, min(d.doc_id) AS least FROM reach JOIN d ON d.r = reach.o GROUP BY reach.r)
+SELECT doc_id, least(doc_id, coalesce(b.least, doc_id)) AS class_id, coalesce(m.k, 0) AS n_links,
+       doc_id = least(doc_id, coalesce(b.least, doc_id)) AS kept
+FROM d LEFT JOIN m USING (r) LEFT JOIN b USING (r)
+"""
+
 SQL["op7_line_dedup"] = """
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, source, text,
                      string_split(text, chr(10)) AS lines FROM documents),

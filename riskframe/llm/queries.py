@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import bpe, chat, decontam, langid, linededup, shards, urlfilter
+from riskframe.llm import (bpe, chat, decontam, embedjoin, langid, linededup, lm, ngramjoin,
+                           shards, urlfilter)
 from riskframe.llm.common import remainder
 from riskframe.sources.tables import table
 
@@ -51,6 +52,26 @@ def op3_chat_format(spark: SparkSession, sf: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op4_lm_score(spark: SparkSession, sf: str) -> DataFrame:
+    """Unigram and model scores of every document, learnt from the documents
+    not held out."""
+    held_out = remainder(F.col("doc_id"), 10) == 0
+    docs = table(spark, sf, "documents").select("doc_id", held_out.alias("held_out"), "text")
+    return lm.score(docs, ~F.col("held_out"))
+
+
+def op5_embedding_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Links and components of all embeddings."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    return embedjoin.range_join(vectors).select("vec_id", "n_links", "component_id", "kept")
+
+
+def op6_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Near-duplicate groups and links of all documents."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return ngramjoin.near_duplicates(docs).select("doc_id", "class_id", "n_links", "kept")
+
+
 def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Documents without the lines that spread over many sites."""
     docs = table(spark, sf, "documents").select("doc_id", "text", "source")
@@ -84,5 +105,6 @@ def op10_url_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_decontamination, op3_chat_format, op7_line_dedup,
+    f.__name__: f for f in (op1_language_id, op2_decontamination, op3_chat_format,
+                            op4_lm_score, op5_embedding_join, op6_ngram_join, op7_line_dedup,
                             op8_token_shards, op9_bpe, op10_url_filter)}
