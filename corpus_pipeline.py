@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import bpe, decontam, langid, linededup
+from riskframe.llm import bpe, decontam, langid, linededup, ngramjoin
 from riskframe.llm.common import shared_table
 from riskframe.sources.tables import table
 
@@ -33,6 +33,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         "n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of every group of near duplicates."""
+    return ngramjoin.near_duplicates(docs).where("kept").select(*COLUMNS)
+
+
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a benchmark item."""
     return decontam.remove_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
@@ -45,8 +50,8 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language", language), ("lines", lines), ("clean_of_benchmarks", clean_of_benchmarks),
-    ("encoded", encoded)]
+    ("language", language), ("lines", lines), ("near_duplicates", near_duplicates),
+    ("clean_of_benchmarks", clean_of_benchmarks), ("encoded", encoded)]
 
 #: Learnt prototypes and a tokenizer are beyond SQL.
 ORACLE_SQL: str | None = None
