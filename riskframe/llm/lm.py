@@ -33,7 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -150,7 +150,8 @@ def lexicon(counts: DataFrame, hot_words: int = HOT_WORDS) -> tuple[Lexicon, Dat
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(CLASSES)), pa.array(n), pa.array(mass)], ["kind", "n", "mass"])
 
-    n, mass = np.bincount(kind, c, CLASSES), np.bincount(kind, c + SMOOTH, CLASSES)
+    n = np.bincount(kind, c, CLASSES).astype(np.float64)
+    mass = np.bincount(kind, c + SMOOTH, CLASSES).astype(np.float64)
     for r in (map_arrow(rest, sums, "kind bigint, n double, mass double").groupBy("kind")
               .agg(F.sum("n").alias("n"), F.sum("mass").alias("mass")).collect()):
         n[r["kind"]] += r["n"]
@@ -367,7 +368,8 @@ def normalisers(spark, model: Model) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, train_on, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, train_on: Column, text: str = "text", rounds: int = ROUNDS,
+          hot_words: int = HOT_WORDS) -> DataFrame:
     """``docs`` without ``text``, plus ``n_tokens``, ``n_known``,
     ``train_tokens``, ``base_score`` (smoothed unigram) and ``score`` (model),
     both log10 probabilities of the whole text.  ``train_on`` is a condition on
@@ -381,7 +383,7 @@ def score(docs: DataFrame, train_on, text: str = "text", rounds: int = ROUNDS) -
                         F.coalesce(train_on, F.lit(False)).alias("learns"),
                         col(text).alias("the_text"))
     counts = count_words(given.where("learns"), "the_text")
-    lex, rest = lexicon(counts)
+    lex, rest = lexicon(counts, hot_words)
     coded = encoded(given, lex, "the_text")
     model = train(coded.where("learns").select("row", "ids"), lex.noise, rounds)
     near = model.r @ model.c[0] @ model.q.T + model.b
