@@ -75,8 +75,8 @@ def parts_of(chunk: str) -> tuple[str, ...]:
 
 
 def word_table(docs: DataFrame, text: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """(word, n, ids) of all distinct words, written to the shared folder.
-    ``n`` counts occurrences, ``ids`` are the word's token ids."""
+    """(word, n, h, ids) of all distinct words, written to the shared folder.
+    ``n`` counts occurrences, ``h`` is the word's hash, ``ids`` its token ids."""
     vocabulary = vocabulary or default_vocabulary()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,37 +104,41 @@ def word_table(docs: DataFrame, text: str = "text", vocabulary: str | None = Non
         tokenizer = load_tokenizer(vocabulary)
         for batch in batches:
             for part in slices(batch, 4096):
-                coded = tokenizer.encode_batch(part.column(0).to_pylist(),
-                                               add_special_tokens=False)
+                words = part.column(0).to_pylist()
+                coded = tokenizer.encode_batch(words, add_special_tokens=False)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array([x.ids for x in coded], pa.list_(pa.int32()))],
-                    ["word", "n", "ids"])
+                    [*part.columns, pa.array(hashes(words).view(np.int64)),
+                     pa.array([x.ids for x in coded], pa.list_(pa.int32()))],
+                    ["word", "n", "h", "ids"])
 
     counted = (map_arrow(docs.select(col(text)).where(col(text).isNotNull()), count,
                          "word string, n bigint")
                .groupBy("word").agg(F.sum("n").alias("n")))
-    return shared_table(map_arrow(counted, encode, "word string, n bigint, ids array<int>"))
+    return shared_table(map_arrow(counted, encode, "word string, n bigint, h bigint, ids array<int>"))
+
+
+def hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), dtype=np.uint64,
+                       count=len(words))
 
 
 class Packed:
     """Words as sorted 64-bit hashes with their ids end to end."""
 
-    def __init__(self, words: pa.ChunkedArray, ids: pa.ChunkedArray):
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.to_pylist()),
-                             dtype=np.uint64, count=len(words))
-        order = np.argsort(hashes)
-        self.hashes = hashes[order]
+    def __init__(self, table: pa.Table):
+        """``table``: ``h`` and ``ids`` of the words."""
+        own = table["h"].to_numpy().view(np.uint64)
+        order = np.argsort(own)
+        self.hashes = own[order]
         if (self.hashes[1:] == self.hashes[:-1]).any():
             raise ValueError("two words share a hash")
-        lists = ids.combine_chunks() if len(ids) else pa.array([], pa.list_(pa.int32()))
-        taken = lists.take(pa.array(order))
-        self.ids = taken.flatten().to_numpy().astype(np.int32)
+        taken = table["ids"].combine_chunks().take(pa.array(order))
+        self.ids = taken.flatten().to_numpy().astype("<i4")
         self.ends = np.cumsum(taken.value_lengths().to_numpy()).astype(np.int64)
 
     def look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Start and number of the words' ids in ``ids``; -1 ids: not here."""
-        wanted = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), dtype=np.uint64,
-                             count=len(words))
+        wanted = hashes(words)
         if not len(self.hashes):
             return np.zeros(len(words), np.int64), np.full(len(words), -1, np.int64)
         at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
@@ -163,8 +167,7 @@ def split_hot(table: DataFrame, hot_bytes: int = HOT_BYTES) -> tuple[Packed, Dat
     else:
         hot = table.where(power >= least)
         rest = table.where(power < least) if total > hot_bytes else None
-    got = hot.select("word", "ids").toArrow()
-    return Packed(got["word"], got["ids"]), None if rest is None else rest.select("word", "ids")
+    return Packed(hot.select("h", "ids").toArrow()), None if rest is None else rest.select("word", "ids")
 
 
 def encode(docs: DataFrame, text: str = "text", ids: str = "ids", vocabulary: str | None = None,
@@ -205,8 +208,6 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", vocabulary: st
         kept: dict[bytes, bytes] = {}
 
         def remember(chunks: set[bytes], extra: list | None) -> None:
-            if len(kept) > KEPT_WORDS:
-                kept.clear()
             chunks = list(chunks)
             split = [parts_of(c.decode()) for c in chunks]
             starts, sizes = hot.look_up([w for p in split for w in p])
@@ -225,10 +226,9 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", vocabulary: st
                     try:
                         out.append(b"".join([kept[c] for c in chunks]))
                     except KeyError:
-                        own = set(chunks)
-                        if len(kept) <= KEPT_WORDS:
-                            own.difference_update(kept)
-                        remember(own, extra)
+                        if len(kept) > KEPT_WORDS:
+                            kept.clear()
+                        remember({c for c in chunks if c not in kept}, extra)
                         out.append(b"".join([kept[c] for c in chunks]))
                 ends = np.cumsum([0, *map(len, out)]) // 4
                 lists = pa.ListArray.from_arrays(
