@@ -36,9 +36,9 @@ from riskframe.llm.words import parts, split_words
 #: Bytes of packed words that may be broadcast.
 HOT_BYTES = 160_000_000
 #: Distinct words a counting task holds before it passes them on.
-FLUSH_WORDS = 200_000
+FLUSH_WORDS = 60_000
 #: Distinct chunks with their ids that a task keeps at hand.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 80_000
 #: Texts decoded together.
 ROWS = 128
 
@@ -125,16 +125,16 @@ def hashes(words: list[str]) -> np.ndarray:
 class Packed:
     """Words as sorted 64-bit hashes with their ids end to end."""
 
-    def __init__(self, table: pa.Table):
-        """``table``: ``h`` and ``ids`` of the words."""
+    def __init__(self, table: pa.Table, kind: str):
+        """``table``: ``h`` and ``ids`` of the words; ``kind``: type of an id."""
         own = table["h"].to_numpy().view(np.uint64)
         order = np.argsort(own)
         self.hashes = own[order]
         if (self.hashes[1:] == self.hashes[:-1]).any():
             raise ValueError("two words share a hash")
         taken = table["ids"].combine_chunks().take(pa.array(order))
-        self.ids = taken.flatten().to_numpy().astype("<i4")
-        self.ends = np.cumsum(taken.value_lengths().to_numpy()).astype(np.int64)
+        self.ids = taken.flatten().to_numpy().astype(kind)
+        self.ends = np.cumsum(taken.value_lengths().to_numpy()).astype(np.uint32)
 
     def look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Start and number of the words' ids in ``ids``; -1 ids: not here."""
@@ -142,11 +142,17 @@ class Packed:
         if not len(self.hashes):
             return np.zeros(len(words), np.int64), np.full(len(words), -1, np.int64)
         at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
-        starts = np.where(at > 0, self.ends[at - 1], 0)
+        starts = np.where(at > 0, self.ends[at - 1], 0).astype(np.int64)
         return starts, np.where(self.hashes[at] == wanted, self.ends[at] - starts, -1)
 
 
-def split_hot(table: DataFrame, hot_bytes: int = HOT_BYTES) -> tuple[Packed, DataFrame | None]:
+def id_type(vocabulary: str) -> str:
+    """Smallest type that holds every id of the vocabulary."""
+    return "<u2" if load_tokenizer(vocabulary).get_vocab_size() <= 65536 else "<i4"
+
+
+def split_hot(table: DataFrame, kind: str, hot_bytes: int = HOT_BYTES
+              ) -> tuple[Packed, DataFrame | None]:
     """The packed frequent words and the rest of the table (null: none is left).
 
     A word costs 16 bytes and 4 per id.  If all words together cost more than
@@ -167,14 +173,16 @@ def split_hot(table: DataFrame, hot_bytes: int = HOT_BYTES) -> tuple[Packed, Dat
     else:
         hot = table.where(power >= least)
         rest = table.where(power < least) if total > hot_bytes else None
-    return Packed(hot.select("h", "ids").toArrow()), None if rest is None else rest.select("word", "ids")
+    packed = Packed(hot.select("h", "ids").toArrow(), kind)
+    return packed, None if rest is None else rest.select("word", "ids")
 
 
 def encode(docs: DataFrame, text: str = "text", ids: str = "ids", vocabulary: str | None = None,
            hot_bytes: int = HOT_BYTES) -> DataFrame:
     """``docs`` plus the token ids of ``text`` (array of int)."""
-    table = word_table(docs, text, vocabulary)
-    packed, rest = split_hot(table, hot_bytes)
+    vocabulary = vocabulary or default_vocabulary()
+    kind = id_type(vocabulary)
+    packed, rest = split_hot(word_table(docs, text, vocabulary), kind, hot_bytes)
     shared = docs.sparkSession.sparkContext.broadcast(packed)
     names = docs.columns
     own, more, key = (fresh_name(docs, n) for n in ("the_text", "more", "text_key"))
@@ -211,7 +219,7 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", vocabulary: st
             chunks = list(chunks)
             split = [parts_of(c.decode()) for c in chunks]
             starts, sizes = hot.look_up([w for p in split for w in p])
-            joined = {x["word"]: np.array(x["ids"], dtype="<i4").tobytes() for x in extra or ()}
+            joined = {x["word"]: np.array(x["ids"], dtype=kind).tobytes() for x in extra or ()}
             found = zip(starts.tolist(), sizes.tolist())
             for chunk, words in zip(chunks, split):
                 kept[chunk] = b"".join([hot.ids[s:s + n].tobytes() if n >= 0 else joined[w]
@@ -230,9 +238,9 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", vocabulary: st
                             kept.clear()
                         remember({c for c in chunks if c not in kept}, extra)
                         out.append(b"".join([kept[c] for c in chunks]))
-                ends = np.cumsum([0, *map(len, out)]) // 4
-                lists = pa.ListArray.from_arrays(
-                    pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(out), "<i4")))
+                ids = np.frombuffer(b"".join(out), kind).astype(np.int32)
+                ends = np.cumsum([0, *map(len, out)]) // np.dtype(kind).itemsize
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:len(names)], lists],
                     [f"c{i}" for i in range(len(names) + 1)])

@@ -64,7 +64,7 @@ class Binder:
         base = rng.integers(0, 2, (LETTERS + 1, dimensions), dtype=np.int8) * 2 - 1
         self.parts = [np.roll(base, shift, axis=1) for shift in (2, 1, 0)]
         self.classes = letter_classes()
-        self.dense = np.full((LETTERS + 1) ** 3, -1, dtype=np.int32)
+        self.dense = np.zeros((LETTERS + 1) ** 3, dtype=np.int32)   # dense id + 1; pages come with use
         self.grams = np.empty(0, dtype=np.int64)          # dense id -> gram
         self.cache = np.empty((0, dimensions), dtype=np.int8)
 
@@ -83,15 +83,15 @@ class Binder:
         grams = (x[:-2] * n + x[1:-1]) * n + x[2:]
         grams = grams[x[1:-1] != 0]                       # a space only at an edge
         found = self.dense[grams]
-        if found.min() < 0:
-            new = np.unique(grams[found < 0])
-            self.dense[new] = np.arange(len(self.grams), len(self.grams) + len(new))
+        if found.min() == 0:
+            new = np.unique(grams[found == 0])
+            self.dense[new] = np.arange(len(self.grams), len(self.grams) + len(new)) + 1
             self.grams = np.concatenate((self.grams, new))
             room = max(0, CACHED_GRAMS - len(self.cache))
             if room:
                 self.cache = np.concatenate((self.cache, self.bind(new[:room])))
             found = self.dense[grams]
-        return found, True
+        return found - 1, True
 
     def bind(self, grams: np.ndarray) -> np.ndarray:
         n = LETTERS + 1

@@ -49,7 +49,7 @@ CHUNK_SHINGLES = 400_000
 #: Representatives (8 bytes each) up to which their row numbers are broadcast.
 BROADCAST_ROWS = 2_000_000
 #: Word hashes that a task keeps at hand.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 150_000
 
 _WORD = re.compile(r"[^\W_]+")
 _M = np.uint64(0x9E3779B97F4A7C15)

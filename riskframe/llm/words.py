@@ -8,8 +8,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Characters and rows that are handled together at most (one text may be longer).
-PART_CHARS = 8_000_000
-PART_ROWS = 2048
+PART_CHARS = 2_000_000
+PART_ROWS = 512
 
 
 def parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
