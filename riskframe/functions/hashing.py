@@ -16,9 +16,13 @@ UNIFORM_SCALE = float(16 ** HEX_DIGITS_PER_UNIFORM)
 
 
 def hash_hex(key: str | Column, seed: int, salt: str) -> Column:
-    """32-char lowercase hex md5 of ``salt:seed:key``; orders rows uniformly."""
-    k = F.col(key) if isinstance(key, str) else key
-    return F.md5(F.concat_ws(":", F.lit(salt), F.lit(str(seed)), k.cast("string")))
+    """32-char lowercase hex md5 of ``salt:seed:key``; orders rows uniformly.
+
+    A NULL key fails the job: all such rows would share one hash, and which of
+    them a sample takes would be left to chance."""
+    k = (F.col(key) if isinstance(key, str) else key).cast("string")
+    k = F.coalesce(k, F.raise_error(F.lit("a row to be hashed has no key")).cast("string"))
+    return F.md5(F.concat_ws(":", F.lit(salt), F.lit(str(seed)), k))
 
 
 def uniform(key: str | Column, seed: int, salt: str) -> Column:

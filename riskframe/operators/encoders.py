@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -126,8 +127,8 @@ def _bools_to_int(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 @dataclass
 class OneHotEncoding:
-    """Fitted one-hot encoder (E2): one 0/1 column ``<col>_<value>`` per sorted
-    value; NULL or unseen -> all zeros; the source column is removed."""
+    """Fitted one-hot encoder (E2): one 0/1 column ``<col>_<value>`` per value,
+    sorted as numbers for a numeric column and as text for others; NULL or unseen -> all zeros; the source column is removed."""
 
     categories: dict[str, list[str]] = field(default_factory=dict)
 
@@ -148,7 +149,9 @@ def fit_one_hot(df: DataFrame, cols: Sequence[str]) -> OneHotEncoding:
     too_wide = {c: len(v) for c, v in values.items() if len(v) > INLINE_LIMIT}
     if too_wide:
         raise ValueError(f"one-hot would create too many columns: {too_wide}")
-    return OneHotEncoding({c: sorted(v for v in values[c] if v is not None) for c in cols})
+    numeric = {c for c in cols if isinstance(df.schema[c].dataType, T.NumericType)}
+    return OneHotEncoding({c: sorted((v for v in values[c] if v is not None),
+                                     key=Decimal if c in numeric else None) for c in cols})
 
 
 def one_hot(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -3,6 +3,10 @@
 Everything aggregates to (class x class) counts first - a partial aggregation
 that leaves a handful of rows per task - and derives the metrics from those
 counts, so evaluating a billion predictions costs one scan.
+
+Missing values: a row without a truth label is not evaluated.  A NULL
+prediction is an error of its row: it counts towards ``n`` and the support, is
+never correct, and shows in the confusion matrix as ``predicted`` NULL.
 """
 
 from __future__ import annotations
@@ -32,17 +36,21 @@ def _labels(df: DataFrame, label: str, prediction: str, labels: Sequence | None)
 def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "prediction",
                      labels: Sequence | None = None) -> DataFrame:
     """Long confusion matrix ``(actual, predicted, count)``, every label pair
-    present (zeros filled); rows are truth, columns prediction (V1)."""
+    present (zeros filled); rows are truth, columns prediction (V1).  Rows
+    without a prediction add a line with ``predicted`` NULL per truth label
+    that has some."""
     labs = _labels(df, label, prediction, labels)
     counts = df.groupBy(F.col(label).alias("actual"), F.col(prediction).alias("predicted")).agg(
         F.count(F.lit(1)).alias("n"))
     dtype = df.schema[label].dataType
     grid = df.sparkSession.createDataFrame(
-        [(a, p) for a in labs for p in labs],
-        T.StructType([T.StructField("actual", dtype), T.StructField("predicted", dtype)]))
-    # counts has at most labels^2 rows: broadcast it
-    return (grid.join(F.broadcast(counts), ["actual", "predicted"], "left")
-            .select("actual", "predicted",
+        [(a, p) for a in labs for p in [*labs, None]],
+        T.StructType([T.StructField("a", dtype), T.StructField("p", dtype)]))
+    # counts has at most (labels + 1)^2 rows: broadcast it
+    on = (F.col("a") == F.col("actual")) & F.col("p").eqNullSafe(F.col("predicted"))
+    return (grid.join(F.broadcast(counts), on, "left")
+            .where(F.col("p").isNotNull() | F.col("n").isNotNull())
+            .select(F.col("a").alias("actual"), F.col("p").alias("predicted"),
                     F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("count")))
 
 
@@ -101,22 +109,32 @@ def classification_report(df: DataFrame, label: str = "label", prediction: str =
 
 
 def accuracy(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """``(n, accuracy)`` = mean(prediction == label) (V4)."""
-    return df.agg(F.count(F.lit(1)).cast("bigint").alias("n"),
-                  F.avg((F.col(prediction) == F.col(label)).cast("double")).alias("accuracy"))
+    """``(n, accuracy)`` = mean(prediction == label) over the labelled rows; a
+    NULL prediction is an error (V4)."""
+    return df.agg(F.count(F.col(label)).cast("bigint").alias("n"),
+                  F.avg(_correct(label, prediction)).alias("accuracy"))
+
+
+def _correct(label: str, prediction: str) -> Column:
+    """1.0 or 0.0 for a labelled row, NULL without a label."""
+    right = F.coalesce(F.col(prediction) == F.col(label), F.lit(False))
+    return F.when(F.col(label).isNotNull(), right.cast("double"))
 
 
 def bce_column(label: str, probability: str, eps: float = 1e-7) -> Column:
-    p = F.least(F.greatest(F.col(probability), F.lit(eps)), F.lit(1.0 - eps))
+    given = F.col(probability)          # least and greatest would skip a NULL
+    p = F.when(given.isNotNull(), F.least(F.greatest(given, F.lit(eps)), F.lit(1.0 - eps)))
     y = F.col(label).cast("double")
     return -(y * F.log(p) + (F.lit(1.0) - y) * F.log(F.lit(1.0) - p))
 
 
 def binary_cross_entropy(df: DataFrame, label: str = "label", probability: str = "probability",
                          eps: float = 1e-7) -> DataFrame:
-    """``(n, bce)`` = -mean(y ln p + (1-y) ln(1-p)), p clipped to [eps, 1-eps] (V5)."""
-    return df.agg(F.count(F.lit(1)).cast("bigint").alias("n"),
-                  F.avg(bce_column(label, probability, eps)).alias("bce"))
+    """``(n, bce)`` = -mean(y ln p + (1-y) ln(1-p)), p clipped to [eps, 1-eps]
+    (V5).  ``n`` counts the rows that the mean is taken over: those with a
+    label and a probability."""
+    loss = bce_column(label, probability, eps)
+    return df.agg(F.count(loss).cast("bigint").alias("n"), F.avg(loss).alias("bce"))
 
 
 def evaluate_by(df: DataFrame, by: str = "split", label: str = "label",
@@ -124,12 +142,13 @@ def evaluate_by(df: DataFrame, by: str = "split", label: str = "label",
                 overall: str = "all") -> DataFrame:
     """Per-group and overall metrics in one pass (grouping sets (by), ()):
     ``(by, n, accuracy, bce, tp, fp, tn, fn)``; the overall row has
-    ``by = overall`` (V8)."""
+    ``by = overall`` (V8).  ``n`` counts the labelled rows; those without a
+    prediction are in none of the four cells and count as errors."""
     y, p = F.col(label), F.col(prediction)
     agg = df.rollup(by).agg(
         F.grouping(by).alias("__g"),
-        F.count(F.lit(1)).cast("bigint").alias("n"),
-        F.avg((p == y).cast("double")).alias("accuracy"),
+        F.count(y).cast("bigint").alias("n"),
+        F.avg(_correct(label, prediction)).alias("accuracy"),
         F.avg(bce_column(label, probability)).alias("bce"),
         F.count_if((y == 1) & (p == 1)).cast("bigint").alias("tp"),
         F.count_if((y == 0) & (p == 1)).cast("bigint").alias("fp"),

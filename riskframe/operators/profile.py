@@ -29,7 +29,14 @@ MAX_CLASSES = 1_000
 
 def _stack(df: DataFrame, cols: Sequence[str], cast: str, keep: Sequence[str] = (),
            name: str = "column", value: str = "value") -> DataFrame:
-    pairs = ", ".join(f"'{c}', CAST(`{c}` AS {cast})" for c in cols)
+    def item(c: str) -> str:
+        kind = df.schema[c].dataType
+        if cast == "STRING" and isinstance(kind, (T.DoubleType, T.FloatType)):
+            zero = f"CAST(0 AS {kind.simpleString()})"      # -0.0 is the same value as 0.0
+            return f"'{c}', CAST(CASE WHEN `{c}` = 0 THEN {zero} ELSE `{c}` END AS STRING)"
+        return f"'{c}', CAST(`{c}` AS {cast})"
+
+    pairs = ", ".join(map(item, cols))
     return df.select(*keep, F.expr(f"stack({len(cols)}, {pairs}) AS ({name}, {value})"))
 
 
@@ -151,25 +158,45 @@ def _count_or_null(cond) -> "F.Column":
     return F.when(n > 0, n).cast("bigint")
 
 
-def crosstab(df: DataFrame, col: str, target: str, values: Sequence = (0, 1)) -> DataFrame:
+def _target_values(df: DataFrame, target: str) -> list:
+    """The target's distinct values, sorted.  Each becomes a column, so more of
+    them than Spark allows a pivot (``spark.sql.pivotMaxValues``) is an error."""
+    most = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+    rows = (df.select(F.col(target).alias("v")).where(F.col("v").isNotNull()).distinct()
+            .limit(most + 1).collect())
+    if len(rows) > most:
+        raise ValueError(f"{target} has more than {most} values, each would be a column")
+    return sorted(r["v"] for r in rows)
+
+
+def crosstab(df: DataFrame, col: str, target: str,
+             values: Sequence | None = None) -> DataFrame:
     """Target values become columns ``n_<v>``; an absent pair is NULL.
-    The target values are explicit, so no extra pass discovers them."""
+    Without ``values`` one more pass finds all of the target's values; rows
+    without a target are in no column."""
+    values = _target_values(df, target) if values is None else values
     # conditional counts in one aggregation (one shuffle; a pivot plans two)
     return df.groupBy(col).agg(*[_count_or_null(F.col(target) == F.lit(v)).alias(f"n_{v}")
                                  for v in values])
 
 
 def crosstab_percent(df: DataFrame, cols: Sequence[str], target: str,
-                     values: Sequence = (0, 1)) -> DataFrame:
+                     values: Sequence | None = None) -> DataFrame:
     """Stacked count + row-percent table for several categoricals (A14, P10):
-    ``(column, value, n_<v>..., pct_<v>...)``; one unpivot, one group-by."""
+    ``(column, value, n_<v>..., pct_<v>...)``; one unpivot, one group-by.
+
+    Without ``values`` one more pass finds all of the target's values.
+    Percentages are of all rows of the category that have a target, whether
+    their value is listed or not."""
+    values = _target_values(df, target) if values is None else values
     long = _stack(df, cols, "STRING", keep=[target])
-    names = [f"n_{v}" for v in values]
+    total = F.count(F.col(target))
     p = long.groupBy("column", "value").agg(
-        *[_count_or_null(F.col(target) == F.lit(v)).alias(f"n_{v}") for v in values])
-    row_total = sum((F.coalesce(F.col(n), F.lit(0)) for n in names), F.lit(0))
-    return p.select("*", *[row_percent(F.col(f"n_{v}"), row_total).alias(f"pct_{v}")
-                           for v in values])
+        *[_count_or_null(F.col(target) == F.lit(v)).alias(f"n_{v}") for v in values],
+        total.alias("__total"))
+    return p.select("column", "value", *[f"`n_{v}`" for v in values],
+                    *[row_percent(F.col(f"`n_{v}`"), F.col("__total")).alias(f"pct_{v}")
+                      for v in values])
 
 
 # --------------------------------------------------------------------- A8

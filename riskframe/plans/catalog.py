@@ -27,7 +27,7 @@ from riskframe.operators import training as TR
 from riskframe.plans import features as FE
 from riskframe.plans.jobs import prepare
 from riskframe.session import cut_lineage
-from riskframe.sources.tables import embedding_features, loans
+from riskframe.sources.tables import embedding_features, loans, table
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -161,6 +161,19 @@ def q_csv_source(spark, sf):
     return rounded(IO.read_csv(spark, path, P.LOAN_SCHEMA))
 
 
+def q_csv_by_name(spark, sf):
+    """The file's columns stand in another order than the schema's, with
+    one more among them; they are read by name."""
+    import uuid
+    from riskframe.session import ensure_checkpoint_dir
+    from riskframe.sources import io as IO
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskframe-csv/{uuid.uuid4().hex}"
+    given = loans(spark, sf)
+    turned = given.select(F.lit("x").alias("further"), *reversed(given.columns))
+    turned.write.option("header", True).csv(path)
+    return rounded(IO.read_csv(spark, path, P.LOAN_SCHEMA))
+
+
 # ------------------------------------------------------------------ R
 def q_under_sample(spark, sf):
     return balanced(spark, sf).select("id", "loan_status")
@@ -216,6 +229,12 @@ def q_crosstab(spark, sf):
     return PR.crosstab(filtered(spark, sf), "loan_grade", P.TARGET)
 
 
+def q_crosstab_3class(spark, sf):
+    """A14 with a target of three classes, found in the data."""
+    return rounded(PR.crosstab_percent(table(spark, sf, "orders"), ["o_orderpriority"],
+                                       "o_orderstatus"))
+
+
 def q_crosstab_pct(spark, sf):
     df = FE.bins(filtered(spark, sf))
     cols = P.CATEGORICAL + ["emp_length_bin"]
@@ -474,6 +493,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "group_sizes": q_group_sizes,
     "crosstab": q_crosstab,
     "crosstab_pct": q_crosstab_pct,
+    "crosstab_3class": q_crosstab_3class,
+    "csv_by_name": q_csv_by_name,
     "correlation": q_correlation,
     "anova_f": q_anova_f,
     "anova_pvalue": q_anova_pvalue,

@@ -37,14 +37,18 @@ from riskframe.session import cut_lineage
 from riskframe.sources import io as IO
 
 
-def prepare(loans: DataFrame, preset: str = "full", seed: int = P.SEED, fit_on: str = "train"):
-    """Features, exact balance, nested split, scaler.  ``fit_on="train"``
+def prepare(loans: DataFrame, preset: str = "full", seed: int = P.SEED, fit_on: str = "train",
+            balance: bool = True):
+    """Features, exact balance (unless ``balance`` is off), nested split,
+    scaler.  ``fit_on="train"``
     fits the scaler on training rows only; ``"all"`` fits it on the whole
     balanced table before splitting, as the modelled scripts do (it lets test
     statistics into the scaler - for parity runs only)."""
     plan = {"full": FE.full_features, "subset": FE.subset_features,
             "raw_with_id": FE.raw_with_id_features}[preset](loans)
-    balanced = cut_lineage(S.balanced_undersample(plan.frame, plan.target, P.KEY, seed=seed))
+    rows = (S.balanced_undersample(plan.frame, plan.target, P.KEY, seed=seed) if balance
+            else plan.frame)
+    balanced = cut_lineage(rows)
     split = cut_lineage(S.random_split(balanced, P.KEY, (P.TEST_FRACTION, P.VAL_FRACTION),
                                        seed=seed))
     fit_rows = split.where(F.col("split") == "train") if fit_on == "train" else split
@@ -55,12 +59,12 @@ def prepare(loans: DataFrame, preset: str = "full", seed: int = P.SEED, fit_on:
 
 def train_and_evaluate(loans: DataFrame, out_dir: str, preset: str = "full",
                        configs: Sequence[dict] | None = None, seed: int = P.SEED,
-                       fit_on: str = "train", **train_kw) -> dict:
+                       fit_on: str = "train", balance: bool = True, **train_kw) -> dict:
     """E-1.  Returns ``{"results", "best", "report", "confusion"}`` DataFrames
     and writes ``model``, ``history``, ``report`` and ``metrics`` under
     ``out_dir`` (any shared filesystem path)."""
     spark = loans.sparkSession
-    plan, scaled, scaler = prepare(loans, preset, seed, fit_on)
+    plan, scaled, scaler = prepare(loans, preset, seed, fit_on, balance)
     configs = list(configs or [{"hidden": [h]} for h in P.SWEEP_NEURONS_FULL])
     rows, models = TR.sweep(scaled, plan.features, plan.target, configs, **train_kw)
     results = spark.createDataFrame(
@@ -72,7 +76,7 @@ def train_and_evaluate(loans: DataFrame, out_dir: str, preset: str = "full",
     report = M.classification_report(test, plan.target, "prediction", [0, 1])
     confusion = M.confusion_matrix(test, plan.target, "prediction", [0, 1])
     history = TR.history_frame(spark, [h for m in models for h in m.history])
-    bundle = {"preset": preset, "features": json.dumps(plan.features),
+    bundle = {"preset": preset, "balanced": json.dumps(balance), "features": json.dumps(plan.features),
               "mlp": best.to_json(), "scaler": scaler.to_json(),
               "labels": plan.label_encoding.to_json() if plan.label_encoding else "{}"}
     if plan.one_hot is not None:
@@ -89,7 +93,8 @@ def train_and_evaluate(loans: DataFrame, out_dir: str, preset: str = "full",
 
 
 def _apply_bundle(loans: DataFrame, bundle: dict) -> tuple[DataFrame, list[str]]:
-    """Rebuild the preset's features from the saved fitted state (no re-fit)."""
+    """Rebuild the preset's features from the saved fitted state (no re-fit),
+    not scaled yet: a key that is a feature too still draws the same samples."""
     preset = bundle["preset"]
     feats = json.loads(bundle["features"])
     labels = E.LabelEncoding.from_json(bundle["labels"]) if bundle["labels"] != "{}" else None
@@ -101,7 +106,7 @@ def _apply_bundle(loans: DataFrame, bundle: dict) -> tuple[DataFrame, list[str]]
         df = outlier_filter(loans, P.OUTLIER_BOUNDS)
     if labels is not None:
         df = labels.transform(df)
-    return E.Standardization.from_json(bundle["scaler"]).transform(df, feats), feats
+    return df, feats
 
 
 def evaluate_saved(loans: DataFrame, model_dir: str, seed: int = P.SEED) -> DataFrame:
@@ -109,10 +114,12 @@ def evaluate_saved(loans: DataFrame, model_dir: str, seed: int = P.SEED) -> Data
     split is re-derived deterministically from the same seed."""
     spark = loans.sparkSession
     bundle = IO.load_model(spark, model_dir)
-    scaled, feats = _apply_bundle(loans, bundle)
-    balanced = S.balanced_undersample(scaled, P.TARGET, P.KEY, seed=seed)
-    split = S.random_split(balanced, P.KEY, (P.TEST_FRACTION, P.VAL_FRACTION), seed=seed)
-    scored = SC.score(split, SC.MLP.from_json(bundle["mlp"]), feats)
+    rows, feats = _apply_bundle(loans, bundle)
+    if json.loads(bundle.get("balanced", "true")):
+        rows = S.balanced_undersample(rows, P.TARGET, P.KEY, seed=seed)
+    split = S.random_split(rows, P.KEY, (P.TEST_FRACTION, P.VAL_FRACTION), seed=seed)
+    scaled = E.Standardization.from_json(bundle["scaler"]).transform(split, feats)
+    scored = SC.score(scaled, SC.MLP.from_json(bundle["mlp"]), feats)
     return M.evaluate_by(scored, "split", P.TARGET)
 
 
@@ -158,26 +165,16 @@ def sensitivity(loans: DataFrame, model_dir: str, n_resamples: int = P.SOBOL_BOO
     its observed range; ``"unit"`` samples [0, 1] in raw units as the
     modelled script does."""
     bundle = IO.load_model(loans.sparkSession, model_dir)
-    scaled, feats = _apply_bundle(loans, bundle)
-    raw = scaled.select(P.KEY)  # the design only needs the keys
+    unscaled, feats = _apply_bundle(loans, bundle)
+    raw = unscaled.select(P.KEY)  # the design only needs the keys
     if n_base is not None:
         raw = S.sample_exact(raw, P.KEY, n_base, salt="sobol_base")
     if bounds == "unit":
         problem = Y.unit_problem(feats)
     else:
-        unscaled, _ = _apply_bundle_raw(loans, bundle)
         problem = Y.problem_from_data(unscaled, feats)
     scaler = E.Standardization.from_json(bundle["scaler"])
     design = Y.saltelli_design(raw, P.KEY, len(feats))
     out = Y.evaluate_design(design, P.KEY, problem, SC.MLP.from_json(bundle["mlp"]),
                             transform=lambda j, x: scaler.column(feats[j], source=x))
     return Y.sobol_confidence(out, P.KEY, feats, n_resamples=n_resamples)
-
-
-def _apply_bundle_raw(loans: DataFrame, bundle: dict):
-    """Features before scaling (for the sample bounds)."""
-    no_scale = dict(bundle)
-    feats = json.loads(bundle["features"])
-    no_scale["scaler"] = E.Standardization({f: 0.0 for f in feats},
-                                           {f: 1.0 for f in feats}).to_json()
-    return _apply_bundle(loans, no_scale)

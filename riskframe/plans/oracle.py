@@ -289,6 +289,14 @@ SQL["crosstab"] = with_(FILTERED) + (
     "FROM filtered GROUP BY loan_grade")
 
 _CT_COLS = P.CATEGORICAL + ["emp_length_bin"]
+_STATUS = ("F", "O", "P")
+SQL["crosstab_3class"] = (
+    "WITH c AS (SELECT o_orderpriority AS value, count(*) AS tot, "
+    + ", ".join(f"NULLIF(count(*) FILTER (WHERE o_orderstatus = '{v}'), 0) AS n_{v}"
+                for v in _STATUS)
+    + " FROM orders GROUP BY o_orderpriority) SELECT 'o_orderpriority' AS column, value, "
+    + ", ".join(f"CAST(n_{v} AS BIGINT) AS n_{v}" for v in _STATUS) + ", "
+    + ", ".join(f"{R(f'100.0 * n_{v} / tot')} AS pct_{v}" for v in _STATUS) + " FROM c")
 SQL["crosstab_pct"] = with_(
     FILTERED,
     f"binned AS (SELECT *, {_bins('person_emp_length', P.EMP_EDGES, P.EMP_LABELS)} "
@@ -703,3 +711,6 @@ def _boot_sql(n_rep: int = 100, n_blocks: int = 1000) -> str:
 
 
 SQL["sobol_conf"] = _boot_sql(P.SOBOL_BOOTSTRAP)
+
+# the same rows, whatever order the file has its columns in
+SQL["csv_by_name"] = SQL["csv_source"]

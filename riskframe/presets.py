@@ -74,8 +74,8 @@ THRESHOLD = 0.5
 SWEEP_NEURONS_SUBSET = [5, 10, 15, 20]
 SWEEP_NEURONS_FULL = [20]
 SWEEP_NEURONS_TORCH = [5]
-SWEEP_LAYERS_ACT = [(2, "relu"), (3, "relu"), (5, "relu"),
-                    (2, "sigmoid"), (3, "sigmoid"), (5, "sigmoid")]
+SWEEP_LAYERS_ACT = [(2, "relu"), (2, "sigmoid"), (3, "relu"), (3, "sigmoid"),
+                    (5, "relu"), (5, "sigmoid")]
 SWEEP_LAYERS_DEEP = [2, 3, 4, 5, 7, 10]
 LAYER_SWEEP_NEURONS = 15          # per hidden layer, depth x activation sweep
 DEEP_NEURONS = 10                 # per hidden layer, relu depth sweep

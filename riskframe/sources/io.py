@@ -29,18 +29,36 @@ HISTORY_SCHEMA = ("run_id string, epoch int, train_loss double, val_loss double,
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = P.LOAN_SCHEMA,
-             mode: str = "PERMISSIVE") -> DataFrame:
+             mode: str = "PERMISSIVE", corrupt: str | None = None) -> DataFrame:
     """Header CSV with an explicit schema (no inference pass).
 
-    Unparsable or empty numeric fields become NULL (PERMISSIVE) or fail the
-    job (FAILFAST); NaN is folded into NULL; NA text markers in string
-    columns become NULL.  A missing path raises at once (S2)."""
+    Columns are taken by their name in the header, in any order; further
+    columns of the file are left out, a column that the header lacks raises
+    at once, and a file whose header differs from the first file's fails the
+    job.  Unparsable or empty numeric fields become NULL (PERMISSIVE) or fail
+    the job (FAILFAST); ``corrupt`` names a further column that holds the raw
+    line of a record that could not be parsed (else NULL).  NaN is folded into
+    NULL; NA text markers in string columns become NULL.  A missing path
+    raises at once (S2)."""
     try:
-        df = (spark.read.schema(schema).option("header", True).option("mode", mode)
-              .option("nullValue", "").option("nanValue", "NaN").csv(path))
+        header = spark.read.option("header", True).csv(path).columns
     except AnalysisException:
         log.error("cannot read %s", path)
         raise
+    absent = [f.name for f in schema.fields if f.name not in header]
+    if absent:
+        raise ValueError(f"{path}: the header lacks the columns {absent}")
+    wanted = {f.name: f.dataType for f in schema.fields}
+    in_file = T.StructType([T.StructField(n, wanted.get(n, T.StringType())) for n in header])
+    reader = (spark.read.option("header", True).option("mode", mode)
+              .option("enforceSchema", False)
+              .option("nullValue", "").option("nanValue", "NaN"))
+    names = list(wanted)
+    if corrupt is not None:
+        in_file = in_file.add(corrupt, T.StringType())
+        reader = reader.option("columnNameOfCorruptRecord", corrupt)
+        names.append(corrupt)
+    df = reader.schema(in_file).csv(path).select(*[F.col(f"`{n}`") for n in names])
     fixes = {}
     for f in schema.fields:
         c = F.col(f.name)

@@ -3,7 +3,7 @@
 The ``loans`` fixture is a deterministic loan table derived from ``orders`` and
 ``customer`` (the column formulas are fixed so an independent SQL engine builds
 the very same rows).  On real data, read the loan file with
-:func:`riskframe.sources.io.read_loans_csv` or ``spark.read.parquet`` instead.
+:func:`riskframe.sources.io.read_csv` or ``spark.read.parquet`` instead.
 """
 
 from __future__ import annotations
