@@ -1,164 +1,106 @@
 """Exact, reproducible sampling and splitting.
 
 Every row gets ``h = md5(salt:seed:key)``.  "The first ``q`` rows of a group in
-``(h, key)`` order" is then an exact, partitioning-independent selection that
-an SQL engine reproduces with ``row_number() OVER (PARTITION BY g ORDER BY h,
-key) <= q``.  A ``row_number`` window over a whole class would put that class
-(possibly a third of the table) into one task, so the rank is found by radix
-selection on the hex digits of ``h`` instead:
-
-1. count rows per (group, first 4 hex digits) - 65,536 uniform buckets, the
-   counts are partially aggregated map-side;
-2. a running sum over the bucket counts (a small table) locates the bucket
-   holding rank ``q`` and the rank left inside it;
-3. if that bucket still holds more than ``max_rank_rows`` rows, repeat on the
-   next 4 digits restricted to it (one more pass per 65,536x more data);
-4. rows before the cut bucket are decided by a string comparison (map-only);
-   only rows inside a cut bucket are ranked with a window, a bounded set
-   because md5 spreads rows evenly over buckets whatever the data skew.
-
-The per-class counts come out of the first radix pass (one row per class
-reaches the driver); otherwise only one row per cut point does.
+``h`` order" is then an exact, partitioning-independent selection that an SQL
+engine reproduces with ``row_number() OVER (PARTITION BY g ORDER BY h, key) <=
+q``.  Ranking a whole group (possibly a third of the table) would put it into
+one task; instead the hash of its ``q``-th row is found, and one comparison
+with that hash decides every row, without a shuffle or a window over rows:
+
+1. rows are counted per (group, first 4 hex digits): at most 65,536 evenly
+   filled buckets a group, counted map-side first;
+2. running sums over the counts name the bucket that holds rank ``q``; the
+   hashes of its rows (1/65,536 of the group) are written to the shared folder;
+3. the same is done there with the next 4 digits, which leaves 1 row in 2^32
+   of the group, and these few are ranked.
+
+Cut points are a table with one row per group and rank, joined to the rows, so
+groups may be as many as they like; Spark broadcasts that table while it is
+small by its measured size.  A null group is a group like any other; a null key
+fails; so does a repeated key if the cut falls between its rows (elsewhere the
+rows of one key stay together and every size is exact).
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.functions.hashing import hash_hex
-
-DIGITS_PER_LEVEL = 4
-MAX_RANK_ROWS = 1_000_000
-MAX_GROUPS = 10_000
-
-_H, _G, _SEG = "__h", "__g", "__segment"
-
-
-def _eq(c: Column, v) -> Column:
-    return c.isNull() if v is None else (c == F.lit(v))
-
-
-def rank_segments(df: DataFrame, key: str, seed: int, salt: str,
-                  cuts, group: str | None = None,
-                  counts: dict | None = None,
-                  max_rank_rows: int = MAX_RANK_ROWS) -> DataFrame:
-    """Add ``__segment`` = number of cut points the row's rank (1-based, by
-    ``(h, key)`` within ``group``) exceeds.  ``cuts`` maps group value -> list
-    of ranks (ascending), or is a function of the per-group row counts that
-    returns that mapping (then the counts come out of the first radix pass,
-    no separate counting scan)."""
-    spark = df.sparkSession
-    work = df.withColumn(_H, hash_hex(key, seed, salt)).withColumn(
-        _G, F.col(group) if group is not None else F.lit(0))
-    g, h = F.col(_G), F.col(_H)
-    g_type = df.schema[group].dataType.simpleString() if group else "int"
-
-    # level-1 bucket counts of every group: small (groups x 65,536 rows at most),
-    # kept for the driver-side steps below and released before returning
-    level1 = (work.groupBy(_G, F.substring(h, 1, DIGITS_PER_LEVEL).alias("b")).count()
-              .withColumn("parent", F.lit("")).persist())
-    try:
-        if counts is None:
-            rows = (level1.groupBy(_G).agg(F.sum("count").alias("n"))
-                    .limit(MAX_GROUPS + 1).collect())
-            if len(rows) > MAX_GROUPS:
-                raise ValueError(f"more than {MAX_GROUPS} groups to sample from")
-            counts = {r[_G]: r["n"] for r in rows}
-        if callable(cuts):
-            cuts = cuts(counts)
-
-        always, never, search = [], [], []          # trivial and real cut points
-        for gv, qs in cuts.items():
-            n = counts.get(gv, 0)
-            for q in qs:
-                if q <= 0:
-                    always.append(gv)
-                elif q >= n:
-                    never.append(gv)
-                else:
-                    search.append({"g": gv, "prefix": "", "quota": q})
-
-        # -- radix selection ---------------------------------------------------
-        level = 0
-        active = list(search)
-        while active:
-            level += 1
-            plen = DIGITS_PER_LEVEL * level
-            if level == 1:
-                bucket_counts = level1
-            else:
-                in_parent = reduce(lambda a, b: a | b, [
-                    _eq(g, c["g"]) & (F.substring(h, 1, plen - DIGITS_PER_LEVEL)
-                                      == F.lit(c["prefix"])) for c in active])
-                bucket_counts = (work.where(in_parent)
-                                 .groupBy(_G, F.substring(h, 1, plen).alias("b")).count()
-                                 .withColumn("parent",
-                                             F.substring("b", 1, plen - DIGITS_PER_LEVEL)))
-            cut_rows = spark.createDataFrame(
-                [(i, c["g"], c["prefix"], c["quota"]) for i, c in enumerate(active)],
-                f"cut_id int, __cg {g_type}, __cp string, quota bigint")
-            # cut_rows has one row per cut point: a proven-small broadcast side;
-            # null-safe on the group so a NULL class is a class like any other
-            on = F.col(_G).eqNullSafe(F.col("__cg")) & (F.col("parent") == F.col("__cp"))
-            cum = (bucket_counts.join(F.broadcast(cut_rows), on)
-                   .withColumn("cum", F.sum("count").over(
-                       Window.partitionBy("cut_id").orderBy("b")
-                       .rowsBetween(Window.unboundedPreceding, 0))))
-            found = (cum.where((F.col("cum") >= F.col("quota")) &
-                               (F.col("cum") - F.col("count") < F.col("quota")))
-                     .select("cut_id", "b", "count", (F.col("quota") - F.col("cum")
-                                                      + F.col("count")).alias("within"))
-                     .collect())
-            nxt = []
-            for r in found:
-                c = active[r["cut_id"]]
-                c["prefix"], c["quota"], c["size"] = r["b"], r["within"], r["count"]
-                if r["count"] > max_rank_rows and len(c["prefix"]) + DIGITS_PER_LEVEL <= 32:
-                    nxt.append(c)
-            active = nxt
-    finally:
-        level1.unpersist()
-
-    # -- assignment ------------------------------------------------------------
-    exceed_terms: list[Column] = [_eq(g, gv).cast("int") for gv in always]
-    in_cut_terms = []
-    for i, c in enumerate(search):
-        pre = F.substring(h, 1, len(c["prefix"]))
-        in_cut_terms.append(_eq(g, c["g"]) & (pre == F.lit(c["prefix"])))
-    in_any_cut = reduce(lambda a, b: a | b, in_cut_terms) if in_cut_terms else F.lit(False)
-
-    base_terms = list(exceed_terms)
-    for c in search:
-        pre = F.substring(h, 1, len(c["prefix"]))
-        base_terms.append((_eq(g, c["g"]) & (pre > F.lit(c["prefix"]))).cast("int"))
-    base = reduce(lambda a, b: a + b, base_terms) if base_terms else F.lit(0)
-
-    outside = work.where(~in_any_cut).withColumn(_SEG, base)
-    if not search:
-        return outside.drop(_H, _G)
-    inside = work.where(in_any_cut)
-    rank_terms = []
-    for i, (c, in_c) in enumerate(zip(search, in_cut_terms)):
-        w = Window.partitionBy(_G, in_c).orderBy(_H, key)
-        rank_terms.append((in_c & (F.row_number().over(w) > F.lit(c["quota"]))).cast("int"))
-    inside = inside.withColumn(_SEG, base + reduce(lambda a, b: a + b, rank_terms))
-    return outside.unionByName(inside).drop(_H, _G)
+from riskframe.session import cut_lineage
+
+#: Hex digits of one step of the search.
+DIGITS = 4
+
+_H, _G, _CUT = "__h", "__g", "__cut"
+
+
+def _hashed(df: DataFrame, key: str, seed: int, salt: str, group: str | None) -> DataFrame:
+    return df.select(F.col(group).alias("g") if group is not None else F.lit(0).alias("g"),
+                     hash_hex(key, seed, salt).alias("h"))
+
+
+def group_counts(df: DataFrame, key: str, seed: int, salt: str,
+                 group: str | None = None) -> DataFrame:
+    """(g, b, n): rows per group and hash bucket, written to the shared folder."""
+    rows = _hashed(df, key, seed, salt, group)
+    return cut_lineage(rows.groupBy("g", F.substring("h", 1, DIGITS).alias("b"))
+                       .agg(F.count("*").alias("n")))
+
+
+def _holding(counts: DataFrame, bucket: str) -> DataFrame:
+    """Of (g, i, q, ``bucket``, n) the buckets that hold the ``q``-th row of
+    (g, i); ``q`` becomes its rank in there."""
+    before = F.col("end") - F.col("n")
+    return (counts.withColumn("end", F.sum("n").over(
+                Window.partitionBy("g", "i").orderBy(bucket)
+                .rowsBetween(Window.unboundedPreceding, 0)))
+            .where((F.col("end") >= F.col("q")) & (before < F.col("q")))
+            .select("g", "i", bucket, "n", (F.col("q") - before).alias("q")))
+
+
+def cut_points(df: DataFrame, counts: DataFrame, ranks: DataFrame, key: str, seed: int,
+               salt: str, group: str | None = None) -> DataFrame:
+    """(g, i, cut): hash of the ``q``-th row of group ``g`` for every row
+    (g, i, q, total) of ``ranks``, of its last row if ``q`` is beyond the
+    ``total``; no row if ``q`` is below 1.  ``counts`` comes from
+    :func:`group_counts`."""
+    wanted = ranks.select(F.col("g").alias("wg"), "i", F.least("q", "total").alias("q"))
+    first = cut_lineage(_holding(
+        counts.join(wanted, F.col("g").eqNullSafe(F.col("wg"))), "b")
+        .select(F.col("g").alias("wg"), "i", "q", "b"))
+    near = cut_lineage(_hashed(df, key, seed, salt, group).join(
+        first, F.col("g").eqNullSafe(F.col("wg")) & (F.substring("h", 1, DIGITS) == F.col("b")))
+        .select("g", "i", "q", "h"))
+    part = F.substring("h", DIGITS + 1, DIGITS)
+    second = _holding(near.groupBy("g", "i", "q", part.alias("p")).agg(F.count("*").alias("n")),
+                      "p").select(F.col("g").alias("wg"), F.col("i").alias("wi"), "q", "p")
+    last = _holding(
+        near.drop("q").join(second, F.col("g").eqNullSafe(F.col("wg"))
+                            & (F.col("i") == F.col("wi")) & (part == F.col("p")))
+        .groupBy("g", "i", "q", "h").agg(F.count("*").alias("n")), "h")
+    return last.select("g", "i", F.when(F.col("q") == F.col("n"), F.col("h")).otherwise(
+        F.raise_error(F.lit("a cut falls between rows with the same key")).cast("string"))
+        .alias("cut"))
 
 
 def balanced_undersample(df: DataFrame, label: str, key: str, seed: int = 42,
                          salt: str = "sample") -> DataFrame:
     """Keep every row of the smallest class and exactly that many rows,
     without replacement, from each other class (same seed -> same rows)."""
-    def cuts(counts):
-        n_min = min(counts.values())
-        return {gv: [n_min] for gv in counts}
-    segs = rank_segments(df, key, seed, salt, cuts, group=label)
-    return segs.where(F.col(_SEG) == 0).drop(_SEG)
+    counts = group_counts(df, key, seed, salt, label)
+    totals = counts.groupBy("g").agg(F.sum("n").alias("total"))
+    smallest = totals.agg(F.min("total")).first()[0]
+    ranks = totals.select("g", F.lit(0).alias("i"),
+                          F.lit(smallest or 0).cast("bigint").alias("q"), "total")
+    cuts = cut_lineage(cut_points(df, counts, ranks, key, seed, salt, label)).select(
+        F.col("g").alias(_G), F.col("cut").alias(_CUT))
+    rows = df.withColumn(_H, hash_hex(key, seed, salt))
+    return (rows.join(cuts, F.col(label).eqNullSafe(F.col(_G)))
+            .where(F.col(_H) <= F.col(_CUT)).drop(_H, _G, _CUT))
 
 
 def split_sizes(n: int, fractions: Sequence[float]) -> list[int]:
@@ -172,6 +114,17 @@ def split_sizes(n: int, fractions: Sequence[float]) -> list[int]:
     return sizes
 
 
+def _cuts_at(df: DataFrame, counts: DataFrame, ranks: Sequence[int], total: int, key: str,
+             seed: int, salt: str) -> list[str]:
+    """Hashes of the rows of the given ranks in the whole table, in order; a
+    rank below 1 has one before all hashes."""
+    table = df.sparkSession.createDataFrame(
+        [(0, i, int(q), total) for i, q in enumerate(ranks)], "g int, i int, q bigint, total bigint")
+    found = cut_points(df, counts, table, key, seed, salt).collect()   # one row per rank
+    at = {r["i"]: r["cut"] for r in found}
+    return [at.get(i, "") for i in range(len(ranks))]
+
+
 def random_split(df: DataFrame, key: str, fractions: Sequence[float] = (0.2, 0.2),
                  names: Sequence[str] = ("test", "val", "train"), seed: int = 42,
                  salt: str = "split", output: str = "split") -> DataFrame:
@@ -180,16 +133,21 @@ def random_split(df: DataFrame, key: str, fractions: Sequence[float] = (0.2, 0.2
     (0.64 / 0.16 / 0.20)."""
     if len(names) != len(fractions) + 1:
         raise ValueError("need one name per fraction plus one for the rest")
-    def cuts(counts):
-        sizes = split_sizes(counts.get(0, 0), fractions)
-        return {0: [sum(sizes[: i + 1]) for i in range(len(sizes))]}
-    segs = rank_segments(df, key, seed, salt, cuts)
-    label = F.element_at(F.array(*[F.lit(x) for x in names]), F.col(_SEG) + 1)
-    return segs.withColumn(output, label).drop(_SEG)
+    counts = group_counts(df, key, seed, salt)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    sizes = split_sizes(total, fractions)
+    cuts = _cuts_at(df, counts, [sum(sizes[: i + 1]) for i in range(len(sizes))], total, key,
+                    seed, salt)
+    h, part = hash_hex(key, seed, salt), F.lit(names[-1])
+    for cut, name in reversed(list(zip(cuts, names))):
+        part = F.when(h <= cut, name).otherwise(part)
+    return df.withColumn(output, part)
 
 
 def sample_exact(df: DataFrame, key: str, n: int, seed: int = 42,
                  salt: str = "sample") -> DataFrame:
     """Exactly ``n`` rows without replacement (no stratification)."""
-    segs = rank_segments(df, key, seed, salt, {0: [n]})
-    return segs.where(F.col(_SEG) == 0).drop(_SEG)
+    counts = group_counts(df, key, seed, salt)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    cut, = _cuts_at(df, counts, [n], total, key, seed, salt)
+    return df.where(hash_hex(key, seed, salt) <= cut)

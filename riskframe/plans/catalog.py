@@ -176,7 +176,8 @@ def q_csv_by_name(spark, sf):
 
 # ------------------------------------------------------------------ R
 def q_under_sample(spark, sf):
-    return balanced(spark, sf).select("id", "loan_status")
+    frame = full_plan(spark, sf).frame.select(P.KEY, P.TARGET)
+    return S.balanced_undersample(frame, P.TARGET, P.KEY, seed=P.SEED)
 
 
 def q_split_2way(spark, sf):
@@ -187,7 +188,10 @@ def q_split_2way(spark, sf):
 
 
 def q_split_3way(spark, sf):
-    return split3(spark, sf).select("id", "loan_status", "split")
+    """Test, validation and training rows of the balanced table."""
+    out = S.random_split(balanced(spark, sf), P.KEY, (P.TEST_FRACTION, P.VAL_FRACTION),
+                         seed=P.SEED)
+    return out.select("id", "loan_status", "split")
 
 
 # ------------------------------------------------------------------ A / O
@@ -210,7 +214,7 @@ def q_distinct_values_numeric(spark, sf):
 
 
 def q_value_counts(spark, sf):
-    return PR.value_counts(balanced(spark, sf), P.TARGET).withColumnRenamed("value", "loan_status")
+    return PR.value_counts(q_under_sample(spark, sf), P.TARGET).withColumnRenamed("value", "loan_status")
 
 
 def q_column_info(spark, sf):

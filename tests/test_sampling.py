@@ -4,6 +4,7 @@ row_number ranking, and partition independence."""
 import hashlib
 import math
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -26,12 +27,52 @@ def test_balanced_matches_brute_force(spark):
     assert kept0 == _md5_rank([i for i, y in rows if y == 0], 42, "sample", counts[1])
 
 
-def test_radix_refinement_path(spark):
-    """Force several refinement levels with a tiny max_rank_rows."""
-    df = spark.createDataFrame([(i, 0) for i in range(3000)], "id long, g int")
-    segs = S.rank_segments(df, "id", 7, "t", {0: [1234]}, group="g", max_rank_rows=2)
-    kept = {r.id for r in segs.where("__segment = 0").collect()}
-    assert kept == _md5_rank(range(3000), 7, "t", 1234)
+def test_every_rank_is_cut_exactly(spark):
+    """Cuts at the edges, in the middle and beyond, several per group, and a
+    null group; the search needs its second step in crowded buckets."""
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else i % 2) for i in range(3000)],
+                               "id long, g int")
+    sizes = {None: 600, 0: 1200, 1: 1200}
+    ranks = [(g, i, q, n) for g, n in sizes.items() for i, q in enumerate((0, 1, 234, 599, 5000))]
+    counts = S.group_counts(df, "id", 7, "t", "g")
+    cuts = S.cut_points(df, counts, spark.createDataFrame(ranks, "g int, i int, q long, total long"),
+                        "id", 7, "t", "g").collect()
+    got = {(r.g, r.i): r.cut for r in cuts}
+    assert len(got) == len(cuts) == 12              # none for rank 0
+    for g, i, q, _ in ranks:
+        keys = [k for k in range(3000) if (None if k % 5 == 0 else k % 2) == g]
+        kept = {k for k in keys
+                if hashlib.md5(f"t:7:{k}".encode()).hexdigest() <= got.get((g, i), "")}
+        assert kept == _md5_rank(keys, 7, "t", q)
+
+
+def test_rank_inside_one_bucket(spark, monkeypatch):
+    """With one digit per step both steps have many rows to tell apart."""
+    monkeypatch.setattr(S, "DIGITS", 1)
+    df = spark.range(3000)
+    assert {r.id for r in S.sample_exact(df, "id", 1234, 7, "t").collect()} == \
+        _md5_rank(range(3000), 7, "t", 1234)
+
+
+def test_repeated_keys(spark):
+    """Rows of one key stay together; a cut between them fails."""
+    df = spark.range(100).unionAll(spark.range(100))
+    assert S.sample_exact(df, "id", 40).count() == 40
+    with pytest.raises(Exception, match="same key"):
+        S.sample_exact(df, "id", 41).count()
+
+
+def test_many_groups_and_plan(spark):
+    """No bound on the number of groups; rows meet no window and no union."""
+    df = spark.range(24_000).withColumn("y", F.col("id") % 12_000)
+    df = df.unionAll(spark.range(24_000, 24_500).withColumn("y", F.lit(7).cast("long")))
+    out = S.balanced_undersample(df.where("not (y = 3 and id > 12000)"), "y", "id")
+    assert out.count() == 12_000 and out.select("y").distinct().count() == 12_000
+    split = S.random_split(df, "id")
+    for plan in (out._jdf.queryExecution().executedPlan().toString(),
+                 split._jdf.queryExecution().executedPlan().toString()):
+        assert "Window" not in plan
+    assert "Exchange" not in split._jdf.queryExecution().executedPlan().toString()
 
 
 def test_split_sizes_nested():
