@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import col, fresh_name
+from riskframe.llm.common import col, fresh_name, shared_table
 
 MIN_SITES = 5
 #: Relative band around the threshold that is counted exactly: about six standard
@@ -49,18 +49,24 @@ def _line_sites(docs: DataFrame, text: str, site: str) -> DataFrame:
 
 def boilerplate(docs: DataFrame, text: str = "text", site: str = "source",
                 min_sites: int = MIN_SITES, margin: float = MARGIN) -> DataFrame:
-    """(line, sites) of the lines on at least ``min_sites`` sites."""
+    """(line, sites) of the lines on at least ``min_sites`` sites, written to the
+    shared folder.
+
+    The lines in question are written before they are joined to all lines:
+    Spark then broadcasts them by their measured size or, where they are too
+    many, splits the share of a line that very many documents hold."""
     lines = _line_sites(docs, text, site)
-    spread = (lines.groupBy("line")
-              .agg(F.hll_sketch_agg("site", F.lit(SKETCH_BITS)).alias("sketch"))
-              .select("line", F.hll_sketch_estimate("sketch").alias("sites")))
     low, high = min_sites * (1 - margin), min_sites * (1 + margin)
-    near = spread.where(F.col("sites").between(low, high)).select("line")
+    spread = shared_table(lines.groupBy("line")
+                          .agg(F.hll_sketch_agg("site", F.lit(SKETCH_BITS)).alias("sketch"))
+                          .select("line", F.hll_sketch_estimate("sketch").alias("sites"))
+                          .where(F.col("sites") >= low))
+    near = spread.where(F.col("sites") <= high).select("line")
     exact = (lines.join(near, "line", "left_semi")
              .groupBy("line", "site").agg(F.lit(1).alias("one"))
              .groupBy("line").agg(F.count("*").alias("sites"))
              .where(F.col("sites") >= min_sites))
-    return spread.where(F.col("sites") > high).unionByName(exact)
+    return shared_table(spread.where(F.col("sites") > high).unionByName(exact))
 
 
 def remove_boilerplate(docs: DataFrame, text: str = "text", site: str = "source",
