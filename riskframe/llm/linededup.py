@@ -84,8 +84,9 @@ def remove_boilerplate(docs: DataFrame, text: str = "text", site: str = "source"
              .select(col(key), F.explode(F.array_distinct(
                  F.transform(line_array(col(text)), line_hash))).alias("line"))
              .where("line is not null"))
-    hits = (lines.join(found, "line", "left_semi")
-            .groupBy(col(key)).agg(F.collect_set("line").alias(hit)))
+    # written as well: a text that very many rows repeat can be split in the join
+    hits = shared_table(lines.join(found, "line", "left_semi")
+                        .groupBy(col(key)).agg(F.collect_set("line").alias(hit)))
     joined = keyed.join(hits, key, "left")
     all_lines = line_array(col(text))
     kept = F.filter(all_lines, lambda x: ~F.coalesce(
