@@ -418,6 +418,13 @@ def q_sobol_conf(spark, sf):
     return rounded(ind)
 
 
+def q_sobol_pairs_conf(spark, sf):
+    """Y6 of the second order: every pair's index with its half-width."""
+    out, feats = sobol_outputs(spark, sf)
+    _ind, pairs = Y.sobol_confidence(out, P.KEY, feats, n_resamples=P.SOBOL_BOOTSTRAP)
+    return rounded(pairs)
+
+
 # ------------------------------------------------------------------ M1-M5 (rows-only)
 def q_mlp_train(spark, sf):
     """History of the baseline configuration (5 hidden sigmoid units, L-BFGS
@@ -521,6 +528,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sobol_indices": q_sobol_indices,
     "sobol_pairs": q_sobol_pairs,
     "sobol_conf": q_sobol_conf,
+    "sobol_pairs_conf": q_sobol_pairs_conf,
     "mlp_train": q_mlp_train,
     "mlp_sweep": q_mlp_sweep,
     "mlp_deep": q_mlp_deep,

@@ -672,12 +672,14 @@ def _poisson_sql(u: str) -> str:
     return "(" + " + ".join(f"CAST({u} > {D(c)} AS INTEGER)" for c in cdf) + ")"
 
 
-def _boot_sql(n_rep: int = 100, n_blocks: int = 1000) -> str:
+def _boot_sql(n_rep: int = 100, n_blocks: int = 1000, second: bool = False) -> str:
+    pairs = [(j, k) for j in range(_D) for k in range(j + 1, _D)] if second else []
     qs = [("y_A", "y_A"), ("y_B", "y_B")] + [(f"y_AB{j}", f"y_AB{j}") for j in range(_D)] \
         + [(f"y_BA{j}", f"y_BA{j}") for j in range(_D)] \
         + [("A2", "y_A * y_A"), ("B2", "y_B * y_B"), ("AxB", "y_A * y_B")] \
         + [(f"BxAB{j}", f"y_B * y_AB{j}") for j in range(_D)] \
-        + [(f"st{j}", f"(y_A - y_AB{j}) * (y_A - y_AB{j})") for j in range(_D)]
+        + [(f"st{j}", f"(y_A - y_AB{j}) * (y_A - y_AB{j})") for j in range(_D)] \
+        + [(f"p{j}_{k}", f"y_BA{j} * y_AB{k}") for j, k in pairs]
     blk = f"CAST(floor({_u_text('CAST(id AS VARCHAR)', 'boot_block')} * {n_blocks}) AS INTEGER)"
     blocks = ("b_sums AS (SELECT blk, count(*) AS n, " + ", ".join(
         f"sum({e}) AS s_{n}" for n, e in qs) + f" FROM (SELECT *, {blk} AS blk FROM outs) "
@@ -696,7 +698,9 @@ def _boot_sql(n_rep: int = 100, n_blocks: int = 1000) -> str:
     est = ("r_e AS (SELECT rep, " + ", ".join(
         [f"(m_BxAB{j} - m_AxB - mu * (m_y_AB{j} - m_y_A)) / NULLIF(var, 0) AS S1_{j}"
          for j in range(_D)]
-        + [f"(m_st{j} / 2.0) / NULLIF(var, 0) AS ST_{j}" for j in range(_D)]) + " FROM r_v)")
+        + [f"(m_st{j} / 2.0) / NULLIF(var, 0) AS ST_{j}" for j in range(_D)]
+        + [f"(m_p{j}_{k} - m_AxB - mu * (m_y_BA{j} + m_y_AB{k} - m_y_A - m_y_B)) / NULLIF(var, 0) "
+           f"AS V_{j}_{k}" for j, k in pairs]) + " FROM r_v)")
     z = 1.959963984540054
     fin = ("r_f AS (SELECT " + ", ".join(
         [f"max(CASE WHEN rep = 0 THEN S1_{j} END) AS S1_{j}, "
@@ -704,6 +708,16 @@ def _boot_sql(n_rep: int = 100, n_blocks: int = 1000) -> str:
          f"max(CASE WHEN rep = 0 THEN ST_{j} END) AS ST_{j}, "
          f"stddev_samp(CASE WHEN rep > 0 THEN ST_{j} END) * {z} AS c_ST_{j}"
          for j in range(_D)]) + " FROM r_e)")
+    if second:
+        s2 = [(j, k, f"V_{j}_{k} - S1_{j} - S1_{k}") for j, k in pairs]
+        fin = ("r_f AS (SELECT " + ", ".join(
+            f"max(CASE WHEN rep = 0 THEN {e} END) AS S2_{j}_{k}, "
+            f"stddev_samp(CASE WHEN rep > 0 THEN {e} END) * {z} AS c_S2_{j}_{k}"
+            for j, k, e in s2) + " FROM r_e)")
+        body = " UNION ALL ".join(
+            f"SELECT '{_FF[j]}' AS feature_i, '{_FF[k]}' AS feature_j, {R(f'S2_{j}_{k}')} AS s2, "
+            f"{R(f'c_S2_{j}_{k}')} AS s2_conf FROM r_f" for j, k in pairs)
+        return with_(*_SOBOL[:-1], blocks, reps, rsums, means, mv, est, fin) + body
     body = " UNION ALL ".join(
         f"SELECT '{c}' AS feature, {R(f'S1_{j}')} AS s1, {R(f'c_S1_{j}')} AS s1_conf, "
         f"{R(f'ST_{j}')} AS st, {R(f'c_ST_{j}')} AS st_conf FROM r_f" for j, c in enumerate(_FF))
@@ -711,6 +725,7 @@ def _boot_sql(n_rep: int = 100, n_blocks: int = 1000) -> str:
 
 
 SQL["sobol_conf"] = _boot_sql(P.SOBOL_BOOTSTRAP)
+SQL["sobol_pairs_conf"] = _boot_sql(P.SOBOL_BOOTSTRAP, second=True)
 
 # the same rows, whatever order the file has its columns in
 SQL["csv_by_name"] = SQL["csv_source"]
