@@ -28,8 +28,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take cross-site boilerplate lines out of the texts."""
-    return linededup.remove_boilerplate(docs).withColumn(
+    """Take cross-site boilerplate lines out of every text, whatever its share
+    of them; copies made of such lines alone are left to the next stage."""
+    return linededup.remove_boilerplate(docs, max_share=None).withColumn(
         "n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

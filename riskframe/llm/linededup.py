@@ -6,9 +6,10 @@ small sketch per task.  Lines whose estimate lies within ``margin`` of the
 threshold are counted exactly.  Lines on at least ``min_sites`` sites are
 boilerplate and leave their documents.
 
-A document in which boilerplate makes up more than ``max_share`` of the
-characters is a copy rather than a page with boilerplate: it stays whole, for
-document-level dedup to handle.
+With a ``max_share``, a document in which boilerplate makes up more than that
+share of the characters stays whole.  Without one (None), boilerplate leaves
+every document; only a text of nothing but boilerplate that has a near copy of
+the same kind stays whole, for document-level dedup to keep one of them.
 
 Cases: a null text stays null and has no lines; blank lines are never
 boilerplate; a null site counts for no line; repeated rows count once per
@@ -21,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.llm import ngramjoin
 from riskframe.llm.common import col, fresh_name, shared_table
 
 MIN_SITES = 5
@@ -69,9 +71,18 @@ def boilerplate(docs: DataFrame, text: str = "text", site: str = "source",
     return shared_table(spread.where(F.col("sites") > high).unionByName(exact))
 
 
+def _copies(found: DataFrame, key: str, text: str, hit: str) -> DataFrame:
+    """Keys of the texts of boilerplate only that have a near copy among them."""
+    bare = F.forall(line_array(col(text)), lambda x: (F.length(F.trim(x)) == 0)
+                    | F.array_contains(col(hit), F.xxhash64(x)))
+    emptied = found.where(bare).select(col(key).alias("doc_id"), col(text).alias("text"))
+    return (ngramjoin.near_duplicates(emptied).where("n_links > 0")
+            .select(F.col("doc_id").alias(key)).distinct())
+
+
 def remove_boilerplate(docs: DataFrame, text: str = "text", site: str = "source",
                        min_sites: int = MIN_SITES, margin: float = MARGIN,
-                       max_share: float = MAX_SHARE) -> DataFrame:
+                       max_share: float | None = MAX_SHARE) -> DataFrame:
     """``docs`` with the boilerplate lines taken out of ``text``, plus
     ``n_lines`` and ``n_removed``.
 
@@ -87,6 +98,8 @@ def remove_boilerplate(docs: DataFrame, text: str = "text", site: str = "source"
     # written as well: a text that very many rows repeat can be split in the join
     hits = shared_table(lines.join(found, "line", "left_semi")
                         .groupBy(col(key)).agg(F.collect_set("line").alias(hit)))
+    if max_share is None:
+        hits = hits.join(_copies(keyed.join(hits, key), key, text, hit), key, "left_anti")
     joined = keyed.join(hits, key, "left")
     all_lines = line_array(col(text))
     kept = F.filter(all_lines, lambda x: ~F.coalesce(
@@ -95,7 +108,9 @@ def remove_boilerplate(docs: DataFrame, text: str = "text", site: str = "source"
     planned = joined.withColumn(plan, F.when(col(hit).isNotNull(), F.struct(
         kept.alias("kept"), (size(all_lines) - size(kept)).alias("gone"),
         size(all_lines).alias("all"))))
-    acts = col(plan).isNotNull() & (col(plan)["gone"] <= F.lit(max_share) * col(plan)["all"])
+    acts = col(plan).isNotNull()
+    if max_share is not None:
+        acts = acts & (col(plan)["gone"] <= F.lit(max_share) * col(plan)["all"])
     n_lines = F.when(col(text).isNotNull(), F.size(all_lines)).otherwise(0)
     out = [F.when(acts, F.array_join(col(plan)["kept"], "\n")).otherwise(col(text)).alias(c)
            if c == text else col(c) for c in docs.columns]
