@@ -44,8 +44,10 @@ TREES = 32
 DEPTH = 8
 TARGET_RECALL = 0.9999
 SEED = 11
-#: Shingles that a chunk of a cell aims at.
+#: Shingles and rows that a chunk of a cell aims at; a block compares all rows of
+#: two chunks in dense arrays.
 CHUNK_SHINGLES = 400_000
+CHUNK_ROWS = 1024
 #: Representatives (8 bytes each) up to which their row numbers are broadcast.
 BROADCAST_ROWS = 2_000_000
 #: Word hashes that a task keeps at hand.
@@ -214,7 +216,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text",
         .withColumnRenamed("root", "cell")
     members = shared_table(members.join(classes.select("node", "copies", "n"), "node"))
     texts = of(picked.select("node", "text"), members, members.count())
-    placed = block_rows(texts, ["cell"], "node", F.col("n"), CHUNK_SHINGLES)
+    weight = F.greatest(F.col("n").cast("double"), F.lit(CHUNK_SHINGLES / CHUNK_ROWS))
+    placed = block_rows(texts, ["cell"], "node", weight, CHUNK_SHINGLES)
     found = per_block(placed, ["cell"], ["node", "copies", "text"], _verifier(words, threshold),
                       "node bigint, links bigint, root bigint")
     result = grouped(classes, found)

@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline as P
+from riskframe.llm import ngramjoin
+
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -27,3 +29,20 @@ def test_boilerplate_leaves_documents_that_consist_mostly_of_it(spark):
     assert got == [*own, "", *texts[7:]]
     left = P.near_duplicates(spark, after, SF).collect()
     assert sum(article[0] in r.text for r in left) == 1
+
+
+# ------------------------------------------------------------------ op6, pipeline
+def test_blocks_of_short_texts_are_bounded_in_rows(spark, monkeypatch):
+    rng = random.Random(22)
+    base, n, seen = prose(rng, 40), 6000, []
+    per_block = ngramjoin.per_block
+
+    def watched(placed, cell, *rest):
+        seen.append(placed.groupBy(*cell, "i", "j").count().agg({"count": "max"}).first()[0])
+        return per_block(placed, cell, *rest)
+
+    monkeypatch.setattr(ngramjoin, "per_block", watched)
+    df = spark.createDataFrame([(i, f"{base} w{i}") for i in range(n)], "doc_id long, text string")
+    out = ngramjoin.near_duplicates(df).collect()
+    assert seen[0] <= 2.5 * 1024
+    assert {(r.class_id, r.n_links) for r in out} == {(0, n - 1)} and sum(r.kept for r in out) == 1
