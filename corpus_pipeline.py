@@ -22,7 +22,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents without a determinable language: no letter at all, or
-    a text that resembles no language it was taught (``langid.MIN_SCORE``)."""
+    a text of some length (``langid.MIN_LETTERS``) that resembles no language
+    it was taught (``langid.MIN_SCORE``)."""
     judged = langid.identify(docs, langid.prototypes(docs))
     return judged.where(langid.accepted()).select(*COLUMNS)
 

@@ -32,6 +32,9 @@ DIMENSIONS = 512
 SEED = 20_240_601
 #: Cosine below which a text resembles none of the languages it could be.
 MIN_SCORE = 0.08
+#: Letters from which a low cosine counts as evidence: in shorter pieces of texts of
+#: known languages it gets likelier with every letter less, from here on it does not.
+MIN_LETTERS = 32
 #: Letter classes; Latin letters have one each, the other scripts share the rest.
 LETTERS = 255
 #: Trigram vectors kept by a worker (int8); others are bound again when met.
@@ -187,6 +190,8 @@ def identify(docs: DataFrame, protos: dict[str, np.ndarray], text: str = "text",
     return map_arrow(given, judge, schema).toDF(*names, pred, score)
 
 
-def accepted(pred: str = "lang_pred", score: str = "score") -> Column:
-    """Whether a language was found: a letter, and some resemblance."""
-    return (F.col(pred) != UNDETERMINED) & (F.col(score) >= MIN_SCORE)
+def accepted(text: str = "text", pred: str = "lang_pred", score: str = "score") -> Column:
+    """Whether a language was found: a letter, and no evidence against it, that
+    is, some resemblance or too few letters to tell."""
+    letters = F.length(F.regexp_replace(col(text), r"\P{L}+", ""))
+    return (F.col(pred) != UNDETERMINED) & ((F.col(score) >= MIN_SCORE) | (letters < MIN_LETTERS))

@@ -14,6 +14,22 @@ def prose(rng, n):
                     for _ in range(n))
 
 
+# ------------------------------------------------------------------ pipeline, language
+def test_short_texts_of_a_known_language_stay(spark):
+    rng = random.Random(23)
+    docs = spark.read.parquet(SF + "/documents.parquet")
+    firsts = [(w, r.lang) for r in docs.limit(100).collect() for w in r.text.split()[:2] if w.isalpha()]
+    rows = [(-1 - i, t, k, "s", len(t)) for i, (t, k) in enumerate(
+        [("A.", "en"), ("Avec.", "fr"), *firsts])]
+    unlike = ["".join(rng.choice("αβγδεζηθικλμνξοπρστυφχψω ") for _ in range(600)) for _ in range(20)]
+    rows += [(-10_000 - i, t, None, "s", len(t)) for i, t in enumerate(unlike)]
+    after = P.language(spark, docs.unionByName(spark.createDataFrame(rows, docs.schema)), SF)
+    kept = {r.doc_id for r in after.collect()}
+    clean = {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text)}
+    assert clean | {r[0] for r in rows if r[2]} <= kept
+    assert sum(r[0] in kept for r in rows if not r[2]) <= 10      # long texts are judged
+
+
 # ------------------------------------------------------------------ pipeline, lines
 def test_boilerplate_leaves_documents_that_consist_mostly_of_it(spark):
     rng = random.Random(21)
