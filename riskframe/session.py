@@ -76,7 +76,19 @@ def cut_lineage(df):
     base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
     path = f"{base}/riskframe-tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._riskframe_table = path
+    return out
+
+
+def drop_table(df) -> None:
+    """Delete the table that :func:`cut_lineage` wrote for ``df``, once nothing
+    will read it again.  Frames of other origin are left alone."""
+    path = getattr(df, "_riskframe_table", None)
+    if path:
+        spark = df.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def input_bytes(df) -> int | None:
