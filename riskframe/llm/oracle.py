@@ -117,3 +117,75 @@ best AS (
 SELECT p.page_id, p.host, p.path, best.rule, coalesce(best.verdict, 'allow') AS verdict
 FROM p LEFT JOIN best ON p.page_id = best.page_id AND p.host = best.host AND p.path = best.path
 """
+
+
+def _lloyd(parts: int, width: int, entries: int, rounds: int) -> str:
+    """Vector codes by full scans, one set of relations per round."""
+    sql = [f"""v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (
+  SELECT r, p, list_transform(embedding[p * {width} + 1:(p + 1) * {width}],
+                              lambda x: floor(1024 * CAST(x AS DOUBLE))) AS w
+  FROM v, (SELECT unnest(range({parts})) AS p)),
+c0 AS MATERIALIZED (SELECT p, r - 1 AS e, w FROM x WHERE r <= {entries})"""]
+    for k in range(rounds + 1):
+        sql.append(f"""b{k} AS (
+  SELECT r, x.p, x.w, min(CAST(list_inner_product(x.w, x.w) - 2 * list_inner_product(x.w, c.w)
+                               + list_inner_product(c.w, c.w) AS BIGINT) * {entries} + e) AS m
+  FROM x JOIN c{k} c ON x.p = c.p GROUP BY ALL),
+a{k} AS MATERIALIZED (SELECT r, p, w, m % {entries} AS e, m // {entries} AS d FROM b{k})""")
+        if k < rounds:
+            sql.append(f"""u{k} AS (
+  SELECT p, e, i, count(*) AS n, sum(CAST(w[i] AS BIGINT)) AS s
+  FROM a{k}, (SELECT unnest(range(1, {width + 1})) AS i) GROUP BY ALL),
+n{k} AS (SELECT p, e, list(CAST((s - (s % n + n) % n) // n AS DOUBLE) ORDER BY i) AS w
+         FROM u{k} GROUP BY ALL),
+c{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(n.w, c.w) AS w FROM c{k} c LEFT JOIN n{k} n USING (p, e))""")
+    return f"""WITH {(',' + chr(10)).join(sql)},
+coded AS (SELECT r, string_agg(format('{{:02x}}', CAST(e AS BIGINT)), '' ORDER BY p) AS code,
+                 CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY r),
+flat AS (SELECT p, e, unnest(w) AS x, unnest(range(len(w))) AS i FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, i)) FROM flat)
+         AS codebooks_sha256
+FROM v JOIN coded USING (r)"""
+
+
+SQL["op12_vector_codes"] = _lloyd(parts=4, width=16, entries=256, rounds=4)
+
+SQL["op13_periodic_runs"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+         xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+               list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+             lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda u, z:
+               CASE WHEN u % 2 = 1 THEN xor(u >> 1, CAST(3988292384 AS BIGINT)) ELSE u >> 1 END)),
+           CAST(4294967295 AS BIGINT)) AS h
+  FROM documents),
+g AS (SELECT r, doc_id, w, coalesce(len(w), 0) AS n, h, h // 10 AS g FROM d),
+k AS (SELECT *, CASE WHEN n > 0 THEN g % n ELSE 0 END AS a,
+             CASE WHEN n > 0 THEN 1 + (n - g % n) // (3 + g % 8) ELSE 1 END AS p FROM g),
+i AS (SELECT r, n, h, a, p, w, unnest(range(n)) AS i FROM k),
+t AS MATERIALIZED (
+  SELECT r, n, i, CASE WHEN h % 10 = 0 AND i >= a THEN w[a + (i - a) % p + 1] ELSE w[i + 1] END AS x FROM i),
+same AS (SELECT s.r, s.i, o.i - s.i AS q FROM t s JOIN t o
+         ON s.r = o.r AND s.x = o.x AND o.i > s.i AND (o.i - s.i) * 4 <= s.n),
+marked AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM same),
+long AS (SELECT r, q, min(i) AS s, count(*) + q AS len FROM marked GROUP BY r, q, island
+         HAVING count(*) >= greatest(6, 4 * q) - q),
+runs AS MATERIALIZED (
+  SELECT r, q, s, len FROM long o WHERE NOT EXISTS (
+    SELECT 1 FROM long f WHERE f.r = o.r AND f.q < o.q AND f.s <= o.s AND f.s + f.len >= o.s + o.len)),
+per AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS listed
+        FROM runs GROUP BY r),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (
+           PARTITION BY r ORDER BY CAST(len AS DOUBLE) / q DESC, s, q) = 1),
+left_over AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS kept FROM t WHERE NOT EXISTS (
+                SELECT 1 FROM runs WHERE runs.r = t.r AND t.i >= s + q AND t.i < s + len) GROUP BY r)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(s AS BIGINT) AS start, CAST(len AS BIGINT) AS length,
+       CAST(q AS BIGINT) AS period, CAST(1000 * len // q AS BIGINT) AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN per USING (r) LEFT JOIN best USING (r) LEFT JOIN left_over USING (r)
+"""
