@@ -1,8 +1,9 @@
 """Fitted encoders.
 
-Each ``fit_*`` runs one aggregation over the data and returns a small fitted
-object holding plain numbers/strings; ``transform`` is pure Column arithmetic
-(no UDF, no join for dictionaries up to ``INLINE_LIMIT`` entries).
+Scalers and one-hot columns are fitted by one aggregation and applied as pure
+Column arithmetic.  Label dictionaries are tables applied by a join
+(:mod:`riskframe.operators.dictionaries`); a dictionary that is given as a
+parameter is a literal map.
 """
 
 from __future__ import annotations
@@ -17,83 +18,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Dictionaries up to this many entries are inlined as literal maps; larger
-# ones are applied with a join against the dictionary table.
-INLINE_LIMIT = 10_000
-# Largest dictionary a fitted encoder holds (it is the fitted state, like the
-# label list of StringIndexer); a column over this is not categorical.
-MAX_CATEGORIES = 2_000_000
-
-
-def _distinct_values(df: DataFrame, cols: Sequence[str]) -> dict[str, list]:
-    """Distinct values per column (NULL included as ``None``), one pass.
-
-    Unpivot to (column, value) and aggregate; partial aggregation collapses
-    duplicates map-side, so a hot value costs one row per task.  At most
-    ``MAX_CATEGORIES`` rows per column are brought back (a bounded collect);
-    more than that fails instead of filling the driver.
-    """
-    if not cols:
-        return {}
-    pairs = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in cols)
-    long = df.selectExpr(f"stack({len(cols)}, {pairs}) AS (column, value)")
-    cap = MAX_CATEGORIES * len(cols)
-    rows = long.groupBy("column", "value").count().select("column", "value") \
-        .limit(cap + 1).collect()
-    out: dict[str, list] = {c: [] for c in cols}
-    for r in rows:
-        out[r["column"]].append(r["value"])
-    too_big = {c: len(v) for c, v in out.items() if len(v) > MAX_CATEGORIES}
-    if too_big or len(rows) > cap:
-        raise ValueError(f"columns with more than {MAX_CATEGORIES} distinct values "
-                         f"cannot be label/one-hot encoded: {too_big or cols}")
-    return out
+from riskframe.operators.dictionaries import LabelDictionary, fit_label_dictionary
 
 
 @dataclass
 class LabelEncoding:
-    """Fitted label encoder (E1): sorted distinct values -> 0..k-1.
-
-    ``classes[c]`` holds the sorted non-NULL values of column ``c``.  NULL and
-    (with ``handle_invalid="keep"``) unseen values get code ``k``; with
-    ``"error"`` an unseen non-NULL value fails the task.
-    """
+    """Label encoder with given dictionaries (E1): ``classes[c]`` lists the values
+    of column ``c`` in the order of their codes.  NULL and (with
+    ``handle_invalid="keep"``) unseen values get code ``k``; with ``"error"`` an
+    unseen non-NULL value fails the task."""
 
     classes: dict[str, list[str]] = field(default_factory=dict)
     handle_invalid: str = "keep"
 
     def transform(self, df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-        cols = list(cols) if cols is not None else list(self.classes)
-        spark = df.sparkSession
         exprs = {}
-        joins = []
-        for c in cols:
+        for c in cols if cols is not None else self.classes:
             values = self.classes[c]
-            k = len(values)
-            if k <= INLINE_LIMIT:
-                pairs = []
-                for i, v in enumerate(values):
-                    pairs += [F.lit(v), F.lit(i)]
-                code = F.create_map(*pairs)[F.col(c).cast("string")] if pairs else F.lit(None)
-            else:
-                d = spark.createDataFrame(
-                    [(v, i) for i, v in enumerate(values)],
-                    T.StructType([T.StructField(f"__v_{c}", T.StringType()),
-                                  T.StructField(f"__code_{c}", T.IntegerType())]))
-                joins.append((c, d))
-                code = F.col(f"__code_{c}")
+            pairs = [x for i, v in enumerate(values) for x in (F.lit(v), F.lit(i))]
+            code = F.create_map(*pairs)[F.col(c).cast("string")] if pairs else F.lit(None)
             if self.handle_invalid == "error":
                 unseen = F.col(c).isNotNull() & code.isNull()
                 code = F.when(unseen, F.raise_error(F.concat(
                     F.lit(f"unseen label in {c}: "), F.col(c).cast("string")))).otherwise(code)
-            exprs[c] = F.coalesce(code, F.lit(k)).cast("int")
-        for c, d in joins:
-            # dictionary size is bounded by MAX_CATEGORIES; AQE picks the join
-            df = df.join(d, F.col(c).cast("string") == F.col(f"__v_{c}"), "left")
-        out = df.withColumns(exprs)
-        for c, _ in joins:
-            out = out.drop(f"__v_{c}", f"__code_{c}")
-        return out
+            exprs[c] = F.coalesce(code, F.lit(len(values))).cast("int")
+        return df.withColumns(exprs)
 
     def to_json(self) -> str:
         return json.dumps({"classes": self.classes, "handle_invalid": self.handle_invalid})
@@ -105,11 +54,9 @@ class LabelEncoding:
 
 
 def fit_label_encoder(df: DataFrame, cols: Sequence[str],
-                      handle_invalid: str = "keep") -> LabelEncoding:
+                      handle_invalid: str = "keep") -> LabelDictionary:
     """Fit E1 on ``cols`` (string or boolean columns; values compared as text)."""
-    values = _distinct_values(df, cols)
-    return LabelEncoding({c: sorted(v for v in values[c] if v is not None) for c in cols},
-                         handle_invalid)
+    return fit_label_dictionary(df, cols, handle_invalid)
 
 
 def label_encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -145,13 +92,22 @@ class OneHotEncoding:
 
 
 def fit_one_hot(df: DataFrame, cols: Sequence[str]) -> OneHotEncoding:
-    values = _distinct_values(df, cols)
-    too_wide = {c: len(v) for c, v in values.items() if len(v) > INLINE_LIMIT}
+    """The categories of ``cols``; each becomes a column, so a column with more
+    of them than Spark allows a pivot (``spark.sql.pivotMaxValues``) is an error
+    (:func:`one_hot_vector` has no such bound)."""
+    most = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+    pairs = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in cols)
+    rows = (df.selectExpr(f"stack({len(cols)}, {pairs}) AS (column, value)")
+            .where(F.col("value").isNotNull()).distinct().limit(most * len(cols) + 1).collect())
+    values: dict[str, list[str]] = {c: [] for c in cols}
+    for r in rows:
+        values[r["column"]].append(r["value"])
+    too_wide = {c: len(v) for c, v in values.items() if len(v) > most}
     if too_wide:
         raise ValueError(f"one-hot would create too many columns: {too_wide}")
     numeric = {c for c in cols if isinstance(df.schema[c].dataType, T.NumericType)}
-    return OneHotEncoding({c: sorted((v for v in values[c] if v is not None),
-                                     key=Decimal if c in numeric else None) for c in cols})
+    return OneHotEncoding({c: sorted(values[c], key=Decimal if c in numeric else None)
+                           for c in cols})
 
 
 def one_hot(df: DataFrame, cols: Sequence[str]) -> DataFrame:

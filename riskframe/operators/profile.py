@@ -13,18 +13,20 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskframe.functions.columns import row_percent
 from riskframe.operators.filters import columns_of
-from riskframe.operators.quantiles import exact_quantiles
+from riskframe.operators.quantiles import quantile_table
+from riskframe.session import cut_lineage, ship_package
 
 
-# Class-conditional operators build per-class literals/grids on the driver;
-# a class column beyond this many values is not a class label.
-MAX_CLASSES = 1_000
+def _number(c: str) -> Column:
+    """The column as double, NaN as NULL: a missing value like any other."""
+    return F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))
 
 
 def _stack(df: DataFrame, cols: Sequence[str], cast: str, keep: Sequence[str] = (),
@@ -44,8 +46,9 @@ def _stack(df: DataFrame, cols: Sequence[str], cast: str, keep: Sequence[str] =
 def describe(df: DataFrame, cols: Sequence[str] | None = None,
              probs: Sequence[float] = (0.25, 0.5, 0.75), exact: bool = True,
              accuracy: int = 10_000) -> DataFrame:
-    """count (non-NULL), mean, sample std, min, exact linear quantiles, max per
-    numeric column, one row per column (the transposed ``describe``).
+    """count (neither NULL nor NaN), mean, sample std, min, exact linear quantiles,
+    max per numeric column, one row per column (the transposed ``describe``); a
+    column without values has count 0 and NULL elsewhere.
 
     ``exact=False`` answers in one pass with mergeable ``percentile_approx``
     sketches (rank error <= n / accuracy) for very large or wide tables."""
@@ -53,29 +56,22 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None,
     qnames = [f"p{int(round(p * 100))}" for p in probs]
     if not exact:
         return _describe_one_pass(df, cols, probs, qnames, accuracy)
-    moments = []
-    for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        moments += [F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}")]
-    # mean and std ride along in the quantile sketch pass
-    q = exact_quantiles(df, cols, probs, extra_aggs=moments)
-    r = q[((), "__extra__")]
-    rows = []
+    aggs = []
     for i, c in enumerate(cols):
-        e = q[((), c)]
-        rows.append((c, int(e["n"]), r[f"m{i}"], r[f"s{i}"], e["min"],
-                     *[e[p] for p in probs], e["max"]))
-    schema = T.StructType(
-        [T.StructField("column", T.StringType()), T.StructField("count", T.LongType())]
-        + [T.StructField(n, T.DoubleType()) for n in ["mean", "std", "min", *qnames, "max"]])
-    return df.sparkSession.createDataFrame(rows, schema)
+        aggs += [F.avg(_number(c)).alias(f"m{i}"), F.stddev_samp(_number(c)).alias(f"s{i}")]
+    items = ", ".join(f"'{c}', m{i}, s{i}" for i, c in enumerate(cols))
+    moments = df.agg(*aggs).selectExpr(f"stack({len(cols)}, {items}) AS (column, mean, std)")
+    # one row per column on either side
+    return moments.join(quantile_table(df, cols, probs), "column", "left").select(
+        "column", F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("count"), "mean", "std",
+        "min", *[F.col(f"q{i}").alias(n) for i, n in enumerate(qnames)], "max")
 
 
 def _describe_one_pass(df, cols, probs, qnames, accuracy) -> DataFrame:
     """Approximate describe: one aggregation over all columns, unpivoted."""
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
+        x = _number(c)
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"),
                  F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"),
                  F.max(x).alias(f"hi{i}"),
@@ -200,83 +196,99 @@ def crosstab_percent(df: DataFrame, cols: Sequence[str], target: str,
 
 
 # --------------------------------------------------------------------- A8
-CORR_SHIFT_SAMPLE = 1_000
+#: A variance below this multiple of the squared mean is rounding, not variance.
+ROUNDING = 1e-30
+
+_MOMENTS = ("n", "mx", "my", "xx", "yy", "xy")
+
+
+def co_moments(x: np.ndarray) -> dict[str, np.ndarray]:
+    """Moments of every pair of columns over the rows in which both have a value
+    (NaN: none): count, the two means, the two sums of squared deviations and
+    the sum of products of deviations, as matrices."""
+    there = ~np.isnan(x)
+    count = there.sum(0)
+    shift = np.divide(np.where(there, x, 0.0).sum(0), count, out=np.zeros(x.shape[1]),
+                      where=count > 0)
+    low = np.where(there, x, np.inf).min(0, initial=np.inf)
+    high = np.where(there, x, -np.inf).max(0, initial=-np.inf)
+    shift = np.where(low == high, low, shift)              # a constant leaves exact zeros
+    z = np.where(there, x - shift, 0.0)
+    mask = there.astype(float)
+    n = mask.T @ mask
+    sums, squares = z.T @ mask, (z * z).T @ mask
+    own = np.divide(sums, n, out=np.zeros_like(n), where=n > 0)
+    return {"n": n, "mx": shift[:, None] + own, "my": shift[None, :] + own.T,
+            "xx": squares - own * sums, "yy": (squares - own * sums).T,
+            "xy": z.T @ z - own * sums.T}
+
+
+def merged(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Moments of two disjoint sets of rows together."""
+    n = a["n"] + b["n"]
+    part = np.divide(b["n"], n, out=np.zeros_like(n), where=n > 0)
+    both = a["n"] * part
+    dx, dy = b["mx"] - a["mx"], b["my"] - a["my"]
+    return {"n": n, "mx": a["mx"] + dx * part, "my": a["my"] + dy * part,
+            "xx": a["xx"] + b["xx"] + dx * dx * both, "yy": a["yy"] + b["yy"] + dy * dy * both,
+            "xy": a["xy"] + b["xy"] + dx * dy * both}
+
+
+def _moment_blocks(width: int):
+    """mapInArrow body: the moments of a task's rows, one row per pair a <= b."""
+    def run(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float)
+                                     for c in batch.columns])
+                own = co_moments(x)
+                total = own if total is None else merged(total, own)
+        if total is not None:
+            a, b = np.triu_indices(width)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)),
+                 *[pa.array(total[m][a, b]) for m in _MOMENTS]], ["a", "b", *_MOMENTS])
+    return run
 
 
 def correlation(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation over pairwise-complete rows, all ordered pairs.
 
-    One pass of plain sums (one buffer each): values are shifted by a
-    per-column constant - the mean of the first ``CORR_SHIFT_SAMPLE`` rows;
-    anything within a few standard deviations of the true mean keeps the
-    shifted co-moments free of cancellation - then
-    ``cov = S_xy/n - (S_x/n)(S_y/n)`` per pair.  For pairs that may hold
-    NULLs (per the schema) the sums run over the pair's complete rows only.
-    A constant column gives NULL, not a divide-by-zero error.
+    One scan: each task reduces its rows to mergeable co-moments of every pair
+    (count, means, centred sums; matrix products over Arrow batches), a few
+    numbers per pair whatever the rows.  The blocks are a small table, merged by
+    the exact rule: centred sums add up, plus the products of the blocks'
+    distances from the common mean.  No value is shifted by a guess, so the
+    result does not depend on the order of the rows.
+
+    NULL and NaN are missing.  A pair with a constant column, an infinite value
+    or fewer than two complete rows has NULL.
     """
     cols = list(cols) if cols is not None else columns_of(df)
-    nullable = {c: df.schema[c].nullable for c in cols}
-    # leading rows only (``take`` computes just as many partitions as it needs)
-    head = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)]) \
-        .take(CORR_SHIFT_SAMPLE)
-    shift = {}
-    for i, c in enumerate(cols):
-        vals = [r[i] for r in head if r[i] is not None and r[i] == r[i]]
-        shift[c] = sum(vals) / len(vals) if vals else 0.0
-
-    def q(c: str) -> str:
-        return "`" + c.replace("`", "``") + "`"
-
-    def z(c: str) -> str:
-        return f"(CAST({q(c)} AS DOUBLE) - ({float(shift[c])!r}D))"
-
-    # sums and formulas as SQL text: one driver call per column, small trees
-    aggs = ["count(1) AS n_all"]
-    idx = {}
-    pairs = []
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            k = len(pairs)
-            if nullable[a] or nullable[b]:
-                both = f"({q(a)} IS NOT NULL AND {q(b)} IS NOT NULL)"
-                za, zb = f"IF({both}, {z(a)}, NULL)", f"IF({both}, {z(b)}, NULL)"
-                aggs += [f"count_if({both}) AS pn{k}", f"sum({za}) AS pa{k}",
-                         f"sum({zb}) AS pb{k}", f"sum({za} * {za}) AS paa{k}",
-                         f"sum({zb} * {zb}) AS pbb{k}", f"sum({za} * {zb}) AS pab{k}"]
-                pairs.append((a, b, "masked"))
-            else:
-                for c in (a, b):
-                    if c not in idx:
-                        idx[c] = len(idx)
-                        aggs += [f"sum({z(c)}) AS s{idx[c]}", f"sum({z(c)} * {z(c)}) AS q{idx[c]}"]
-                if a != b:
-                    aggs.append(f"sum({z(a)} * {z(b)}) AS x{k}")
-                pairs.append((a, b, "dense"))
-    wide = df.agg(*[F.expr(e) for e in aggs])
-
-    def cov(n, sa, sb, sab):
-        return f"(try_divide({sab}, {n}) - try_divide({sa}, {n}) * try_divide({sb}, {n}))"
-
-    rs = []
-    for k, (a, b, kind) in enumerate(pairs):
-        if kind == "dense":
-            n = "CAST(n_all AS DOUBLE)"
-            sa, sb = f"s{idx[a]}", f"s{idx[b]}"
-            sab = f"q{idx[a]}" if a == b else f"x{k}"
-            va, vb = cov(n, sa, sa, f"q{idx[a]}"), cov(n, sb, sb, f"q{idx[b]}")
-        else:
-            n = f"CAST(pn{k} AS DOUBLE)"
-            sa, sb, sab = f"pa{k}", f"pb{k}", f"pab{k}"
-            va, vb = cov(n, sa, sa, f"paa{k}"), cov(n, sb, sb, f"pbb{k}")
-        denom = f"sqrt(greatest({va}, 0.0D) * greatest({vb}, 0.0D))"
-        rs.append(f"try_divide({cov(n, sa, sb, sab)}, IF({denom} > 0, {denom}, NULL)) AS r{k}")
-    wide = wide.selectExpr(*rs)
-    items = []
-    for k, (a, b, _kind) in enumerate(pairs):
-        items.append(f"'{a}', '{b}', r{k}")
-        if a != b:
-            items.append(f"'{b}', '{a}', r{k}")
-    return wide.selectExpr(f"stack({len(items)}, {', '.join(items)}) AS (col_a, col_b, r)")
+    ship_package(df.sparkSession)
+    blocks = cut_lineage(df.select(*[_number(c).alias(f"x{i}") for i, c in enumerate(cols)]).mapInArrow(
+        _moment_blocks(len(cols)),
+        "a int, b int, " + ", ".join(f"{m} double" for m in _MOMENTS)).where("n > 0"))
+    means = blocks.groupBy(F.col("a").alias("ka"), F.col("b").alias("kb")).agg(
+        F.sum("n").alias("k"), (F.sum(F.col("n") * F.col("mx")) / F.sum("n")).alias("ox"),
+        (F.sum(F.col("n") * F.col("my")) / F.sum("n")).alias("oy"))
+    dx, dy, n = F.col("mx") - F.col("ox"), F.col("my") - F.col("oy"), F.col("n")
+    sums = blocks.join(means, (F.col("a") == F.col("ka")) & (F.col("b") == F.col("kb"))).groupBy(
+        "a", "b", "k", "ox", "oy").agg(
+        F.sum(F.col("xx") + n * dx * dx).alias("xx"), F.sum(F.col("yy") + n * dy * dy).alias("yy"),
+        F.sum(F.col("xy") + n * dx * dy).alias("xy"))
+    noise = F.lit(ROUNDING) * F.col("k")
+    varies = ((F.col("xx") > noise * F.col("ox") ** 2) & (F.col("yy") > noise * F.col("oy") ** 2))
+    r = F.nanvl(F.when(varies, F.col("xy") / (F.sqrt("xx") * F.sqrt("yy"))),
+                F.lit(None).cast("double"))
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    grid = df.sparkSession.createDataFrame(
+        [(i, j, cols[p], cols[q]) for i, j in pairs for p, q in {(i, j), (j, i)}],
+        "ga int, gb int, col_a string, col_b string")
+    return grid.join(sums.select("a", "b", r.alias("r")),
+                     (F.col("ga") == F.col("a")) & (F.col("gb") == F.col("b")), "left").select(
+        "col_a", "col_b", "r")
 
 
 # --------------------------------------------------------------------- A9, A10
@@ -375,37 +387,59 @@ def select_k_best(df: DataFrame, features: Sequence[str], label: str,
 
 
 # --------------------------------------------------------------------- A11
+def _finite(c: str) -> Column:
+    """The column as double, NULL where it is not a finite number."""
+    x = F.col(f"`{c}`").cast("double")
+    return F.when(F.abs(x) < float("inf"), x)
+
+
+def _finite_long(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """``(keep..., column, value)`` of the finite values."""
+    named = df.select(*[F.col(f"`{k}`") for k in keep],
+                      *[_finite(c).alias(f"__x{i}") for i, c in enumerate(cols)])
+    items = ", ".join(f"'{c}', __x{i}" for i, c in enumerate(cols))
+    return named.select(*[F.col(f"`{k}`") for k in keep],
+                        F.expr(f"stack({len(cols)}, {items}) AS (column, value)")).where(
+        F.col("value").isNotNull())
+
+
+def _ranges(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """Least and greatest finite value per column that has one (half a unit to
+    each side of a constant one); one pass, two numbers per column."""
+    r = df.agg(*[e for i, c in enumerate(cols) for e in (
+        F.min(_finite(c)).alias(f"lo{i}"), F.max(_finite(c)).alias(f"hi{i}"))]).collect()[0]
+    out = {}
+    for i, c in enumerate(cols):
+        lo, hi = r[f"lo{i}"], r[f"hi{i}"]
+        if lo is not None:
+            out[c] = (lo - 0.5, hi + 0.5) if lo == hi else (lo, hi)
+    return out
+
+
 def histogram(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 20) -> DataFrame:
     """Equal-width histogram per column between its min and max; the last bin
     is closed on the right; a constant column uses ``[v - 0.5, v + 0.5]``.
     All bins are returned, empty ones with count 0:
-    ``(column, bin, bin_lo, bin_hi, count)``."""
+    ``(column, bin, bin_lo, bin_hi, count)``.  NULL, NaN and infinite values are
+    in no bin; a column without finite values, or an empty table, has no bins."""
     cols = list(cols) if cols is not None else columns_of(df)
-    r = df.agg(*[e for i, c in enumerate(cols) for e in (
-        F.min(F.col(c).cast("double")).alias(f"lo{i}"),
-        F.max(F.col(c).cast("double")).alias(f"hi{i}"))]).collect()[0]
-    ranges = {}
-    exprs = []
-    for i, c in enumerate(cols):
-        lo, hi = r[f"lo{i}"], r[f"hi{i}"]
-        if lo is None:
-            continue
-        if lo == hi:
-            lo, hi = lo - 0.5, hi + 0.5
-        ranges[c] = (lo, hi)
-        x = F.col(c).cast("double")
-        b = F.floor((x - F.lit(lo)) * F.lit(float(bins)) / F.lit(hi - lo))
-        exprs.append(F.least(F.greatest(b, F.lit(0)), F.lit(bins - 1)).alias(f"b{i}"))
-        exprs[-1] = F.when(x.isNotNull(), exprs[-1]).alias(f"b{i}")
-    wide = df.select(*exprs)
-    items = ", ".join(f"'{c}', b{cols.index(c)}" for c in ranges)
-    long = wide.selectExpr(f"stack({len(ranges)}, {items}) AS (column, bin)")
-    counts = long.where(F.col("bin").isNotNull()).groupBy("column", "bin").agg(
-        F.count(F.lit(1)).alias("count"))
+    ranges = _ranges(df, cols)
     grid = df.sparkSession.createDataFrame(
         [(c, b, lo + (hi - lo) * b / bins, lo + (hi - lo) * (b + 1) / bins)
          for c, (lo, hi) in ranges.items() for b in range(bins)],
         "column string, bin bigint, bin_lo double, bin_hi double")
+    if not ranges:
+        return grid.withColumn("count", F.lit(0).cast("bigint"))
+    exprs = []
+    for c, (lo, hi) in ranges.items():
+        x = _finite(c)
+        b = F.floor((x - F.lit(lo)) * F.lit(float(bins)) / F.lit(hi - lo))
+        b = F.least(F.greatest(b, F.lit(0)), F.lit(bins - 1))
+        exprs.append(F.when(x.isNotNull(), b).alias(f"b{len(exprs)}"))
+    items = ", ".join(f"'{c}', b{i}" for i, c in enumerate(ranges))
+    long = df.select(*exprs).selectExpr(f"stack({len(ranges)}, {items}) AS (column, bin)")
+    counts = long.where(F.col("bin").isNotNull()).groupBy("column", "bin").agg(
+        F.count(F.lit(1)).alias("count"))
     # counts has at most columns x bins rows (bin index is clamped): broadcast
     return (grid.join(F.broadcast(counts), ["column", "bin"], "left")
             .select("column", "bin", "bin_lo", "bin_hi",
@@ -416,40 +450,25 @@ def histogram(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 20)
 def box_stats(df: DataFrame, cols: Sequence[str], by: str, whis: float = 1.5) -> DataFrame:
     """Box-plot statistics per (column, class): quartiles (exact, linear), the
     whiskers (furthest values within ``whis`` x IQR of the box) and the count
-    of values beyond them."""
-    q = exact_quantiles(df, cols, (0.25, 0.5, 0.75), group_cols=[by])
-    groups = sorted({g for (g, _c) in q}, key=lambda g: (g[0] is None, g[0]))
-    if len(groups) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes in {by}")
-    long = _stack(df, cols, "DOUBLE", keep=[by]).where(F.col("value").isNotNull())
-    lo_fence, hi_fence = None, None
-    rows = []
-    for g in groups:
-        for c in cols:
-            e = q[(g, c)]
-            if not e["n"]:
-                continue
-            iqr = e[0.75] - e[0.25]
-            lo, hi = e[0.25] - whis * iqr, e[0.75] + whis * iqr
-            rows.append((g[0], c, e[0.25], e[0.5], e[0.75], lo, hi))
-            cond = (F.col(by) == F.lit(g[0])) & (F.col("column") == F.lit(c))
-            lo_fence = (F.when(cond, F.lit(lo)) if lo_fence is None
-                        else lo_fence.when(cond, F.lit(lo)))
-            hi_fence = (F.when(cond, F.lit(hi)) if hi_fence is None
-                        else hi_fence.when(cond, F.lit(hi)))
+    of values beyond them.  NULL and NaN are missing; a NULL class is a class
+    like any other; a class without values of a column has no row for it."""
+    q = quantile_table(df, cols, (0.25, 0.5, 0.75), by=[by])
+    iqr = F.col("q2") - F.col("q0")
+    boxes = q.select(F.col(f"`{by}`").alias("__by"), F.col("column").alias("__column"),
+                     F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"),
+                     (F.col("q0") - whis * iqr).alias("__lo"), (F.col("q2") + whis * iqr).alias("__hi"))
+    long = _stack(df, cols, "DOUBLE", keep=[by]).where(
+        F.col("value").isNotNull() & ~F.isnan("value"))
     v = F.col("value")
-    inside = (v >= lo_fence) & (v <= hi_fence)
-    agg = long.groupBy(by, "column").agg(
+    # one box per class and column: a written table, joined by its measured size
+    joined = long.join(boxes, F.col(by).eqNullSafe(F.col("__by"))
+                       & (F.col("column") == F.col("__column")))
+    inside = (v >= F.col("__lo")) & (v <= F.col("__hi"))
+    box = ["q1", "median", "q3"]
+    return joined.groupBy("column", by, *box).agg(
         F.min(F.when(inside, v)).alias("whisker_lo"),
         F.max(F.when(inside, v)).alias("whisker_hi"),
         F.count_if(~inside).cast("bigint").alias("n_outliers"))
-    quart = df.sparkSession.createDataFrame(
-        rows, T.StructType([df.schema[by], T.StructField("column", T.StringType()),
-                            *[T.StructField(n, T.DoubleType()) for n in
-                              ("q1", "median", "q3", "fence_lo", "fence_hi")]]))
-    # quart holds one row per (class, column), built on the driver: broadcast
-    return agg.join(F.broadcast(quart), [by, "column"]).select(
-        "column", by, "q1", "median", "q3", "whisker_lo", "whisker_hi", "n_outliers")
 
 
 # --------------------------------------------------------------------- A13
@@ -459,61 +478,55 @@ def class_density(df: DataFrame, cols: Sequence[str], by: str, bins: int = 64) -
     Binned kernel density estimate: values are counted into ``bins`` equal
     bins over the column's range (one pass), then for every (class, column)
     the density at each bin centre is the Gaussian-weighted sum of all bin
-    counts of its group (a ``bins``-entry array gathered by one window, so
-    no pairs are materialised and nothing grows with the data).  Bandwidth is
-    Scott's rule per class, ``h = std * n^(-1/5)``; each class density
-    integrates to 1.  Output ``(column, by, bin, x, density)``.
+    counts of its group (a ``bins``-entry array, so no pairs are materialised
+    and nothing grows with the data).  Bandwidth is Scott's rule per class,
+    ``h = std * n^(-1/5)``; each class density integrates to 1.  Output
+    ``(column, by, bin, x, density)``.
+
+    NULL, NaN and infinite values are left out; a NULL class is a class like any
+    other; a class of one value (no bandwidth) has NULL densities; a column
+    without finite values, or an empty table, has no rows.
     """
     cols = list(cols)
-    r = df.agg(*[e for i, c in enumerate(cols) for e in (
-        F.min(F.col(c).cast("double")).alias(f"lo{i}"),
-        F.max(F.col(c).cast("double")).alias(f"hi{i}"))]).collect()[0]
-    ranges = {}
-    for i, c in enumerate(cols):
-        lo, hi = r[f"lo{i}"], r[f"hi{i}"]
-        if lo is None:
-            continue
-        if lo == hi:
-            lo, hi = lo - 0.5, hi + 0.5
-        ranges[c] = (lo, (hi - lo) / bins)
-    lo_of = F.lit(None).cast("double")
-    step_of = F.lit(None).cast("double")
-    for c, (lo, step) in ranges.items():
-        is_c = F.col("column") == F.lit(c)
-        lo_of = F.when(is_c, F.lit(lo)).otherwise(lo_of)
-        step_of = F.when(is_c, F.lit(step)).otherwise(step_of)
-    long = _stack(df, list(ranges), "DOUBLE", keep=[by]).where(F.col("value").isNotNull())
-    long = long.withColumn("bin", F.least(F.greatest(
-        F.floor((F.col("value") - lo_of) / step_of), F.lit(0)), F.lit(bins - 1)))
-    stats = long.groupBy(by, "column").agg(
-        F.count(F.lit(1)).alias("n"), F.stddev_samp("value").alias("sd"))
-    counts = long.groupBy(by, "column", "bin").agg(F.count(F.lit(1)).alias("c"))
-    groups = [g[0] for g in df.select(by).distinct().limit(MAX_CLASSES + 1).collect()]
-    if len(groups) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes in {by}")
-    grid = df.sparkSession.createDataFrame(
-        [(g, c, b) for g in groups for c in ranges for b in range(bins)],
-        T.StructType([df.schema[by], T.StructField("column", T.StringType()),
-                      T.StructField("bin", T.LongType())]))
-    # counts / stats have at most classes x columns x bins rows: broadcast
-    dense = (grid.join(F.broadcast(counts), [by, "column", "bin"], "left")
-             .join(F.broadcast(stats), [by, "column"])
-             .withColumn("c", F.coalesce(F.col("c"), F.lit(0)).cast("double"))
-             .withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
-             .withColumn("step", step_of))
-    # the group's bin counts as one array (``bins`` entries, independent of
-    # the data size), then the Gaussian-weighted sum over it
-    w = (Window.partitionBy(by, "column").orderBy("bin")
-         .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    dense = dense.withColumn("cs", F.collect_list("c").over(w))
+    ranges = _ranges(df, cols)
+    names = f"column string, `{by}` {df.schema[by].dataType.simpleString()}, bin bigint, x double, density double"
+    if not ranges:
+        return df.sparkSession.createDataFrame([], names)
+    lows, steps = ([x for c, (lo, hi) in ranges.items() for x in (F.lit(c), F.lit(v(lo, hi)))]
+                   for v in (lambda lo, hi: lo, lambda lo, hi: (hi - lo) / bins))
+    low, step = F.create_map(*lows)[F.col("column")], F.create_map(*steps)[F.col("column")]
+    long = _finite_long(df, list(ranges), [by]).withColumn("bin", F.least(F.greatest(
+        F.floor((F.col("value") - low) / step), F.lit(0)), F.lit(bins - 1)))
+    # moments per bin, so that one shuffle of bins x classes x columns gives all
+    per_bin = cut_lineage(long.groupBy(by, "column", "bin").agg(
+        F.count(F.lit(1)).alias("c"), F.avg("value").alias("m"), F.var_pop("value").alias("v")))
+    totals = per_bin.groupBy(F.col(by).alias("__by"), F.col("column").alias("__column")).agg(
+        F.sum("c").alias("n"), F.sum(F.col("c") * F.col("m")).alias("__s"),
+        F.map_from_entries(F.collect_list(F.struct("bin", F.col("c").cast("double")))).alias("__counts"))
+    totals = totals.withColumn("__mean", F.col("__s") / F.col("n"))
+    spread = per_bin.join(totals.select("__by", "__column", "__mean"),
+                          F.col(by).eqNullSafe(F.col("__by"))
+                          & (F.col("column") == F.col("__column"))).groupBy(
+        F.col(by).alias("__b"), F.col("column").alias("__c")).agg(F.sum(
+            F.col("c") * (F.col("v") + (F.col("m") - F.col("__mean")) ** 2)).alias("__ss"))
+    groups = totals.join(spread, F.col("__by").eqNullSafe(F.col("__b"))
+                         & (F.col("__column") == F.col("__c")))
+    sd = F.sqrt(F.try_divide(F.col("__ss"), (F.col("n") - 1).cast("double")))
+    h = sd * F.pow(F.col("n").cast("double"), F.lit(-0.2))
+    all_bins = F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))
+    dense = groups.select(
+        F.col("__column").alias("column"), F.col("__by").alias(by), "n", h.alias("h"),
+        F.transform(all_bins, lambda j: F.coalesce(
+            F.col("__counts")[j], F.lit(0.0))).alias("cs"),
+        F.explode(all_bins).alias("bin")).withColumn("step", step)
     acc = F.aggregate(
         F.sequence(F.lit(0), F.lit(bins - 1)), F.lit(0.0),
         lambda total, j: total + F.element_at("cs", j + 1) * F.exp(
-            F.lit(-0.5) * F.pow((F.col("bin") - j).cast("double") * F.col("step") / F.col("h"),
-                                F.lit(2.0))))
+            F.lit(-0.5) * F.pow(F.try_divide((F.col("bin") - j).cast("double") * F.col("step"),
+                                             F.col("h")), F.lit(2.0))))
     norm = F.col("n").cast("double") * F.col("h") * F.lit(math.sqrt(2 * math.pi))
     return dense.select("column", by, "bin",
-                        (lo_of + (F.col("bin") + F.lit(0.5)) * F.col("step")).alias("x"),
+                        (low + (F.col("bin") + F.lit(0.5)) * F.col("step")).alias("x"),
                         F.try_divide(acc, norm).alias("density"))
 
 

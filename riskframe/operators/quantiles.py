@@ -1,240 +1,124 @@
-"""Exact quantiles without gathering a column into one task.
+"""Exact quantiles by radix selection.
 
 ``percentile`` keeps every distinct value of a group in one aggregation buffer,
-which a high-cardinality column on a large table cannot afford.  Instead:
-
-1. one pass: per (group, column) the count, min, max and a bracket
-   ``[approx(p - d), approx(p + d)]`` around every wanted rank from the
-   mergeable ``percentile_approx`` sketch (rank error <= n / accuracy, so the
-   true order statistics lie inside the bracket);
-2. one pass: how many values fall below / inside each bracket; a bracket still
-   holding more than ``max_candidates`` values is narrowed again with a sketch
-   over just its rows (each round shrinks it ~accuracy/4 times);
-3. one pass: the distinct values inside the brackets with their counts (a
-   bounded set), from which the exact order statistics follow.
-
-When the sketch's guarantee already bounds every bracket below
-``max_candidates`` rows (the usual case), passes 2 and 3 are one grouped pass:
-each value is labelled "inside bracket j" (kept exactly) or "in gap j"
-(only counted), which yields the ranks below every bracket and the candidates
-together; if a wanted rank lands in a gap the general path runs instead.
-
-Interpolation is linear between order statistics ``floor(p(n-1))`` and the
-next one (the usual "linear" quantile definition).  The driver only ever sees
-per-(group, column, p) bounds and the bracketed candidates.
+which a high-cardinality column on a large table cannot afford.  Here the wanted
+order statistics are closed in on digit by digit over order-preserving 64-bit
+keys of the values (:mod:`riskframe.functions.keys`):
+
+1. values are counted per (group, column, leading ``bits`` bits of the key),
+   with the least and the greatest key of each such bucket; running counts name
+   the bucket that holds each wanted rank, and the rank inside it;
+2. while a bucket still holds unlike keys, the rows between its least and its
+   greatest key are counted again by the next ``bits`` bits of their distance
+   from the least one.
+
+A digit leaves 2^-bits of a bucket's range at least, so four passes of 16 bits
+settle any column; a column of whole numbers is mostly settled by two.  Counting
+is map-side first.  Counts, buckets and ranks are tables in the shared folder;
+buckets (two per group, column and quantile at most) meet the rows in a join
+that Spark plans by their measured size.  Nothing is collected.
+
+Interpolation is linear between order statistics ``floor(p(n-1))`` and the next
+one (the usual "linear" quantile definition).  NULL and NaN are missing values;
+0.0 and -0.0 are one value; a NULL group is a group like any other.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 10_000
-MAX_CANDIDATES = 1_000_000
-MAX_GROUPS = 10_000
-
-
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    group_cols: Sequence[str] = (), accuracy: int = ACCURACY,
-                    max_candidates: int = MAX_CANDIDATES, extra_aggs: Sequence = ()) -> dict:
-    """Return ``{(group_tuple, column): {"n": n, "min":..., "max":..., p: q}}``.
-
-    ``extra_aggs`` (aliased aggregate Columns) ride along in the first pass;
-    their values are returned per group under ``(group_tuple, "__extra__")``."""
-    cols = list(cols)
-    group_cols = list(group_cols)
-    probs = list(probs)
-    delta = 2.0 / accuracy
-
-    # -- pass 1: counts, extremes and approximate brackets -------------------
-    bracket_ps = sorted({min(1.0, max(0.0, p + s * delta)) for p in probs for s in (-1, 1)})
-    aggs = []
-    for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"),
-                 F.max(x).alias(f"hi{i}"),
-                 F.percentile_approx(x, bracket_ps, accuracy).alias(f"a{i}")]
-    grouped = df.groupBy(*group_cols) if group_cols else df
-    rows = grouped.agg(*aggs, *extra_aggs).limit(MAX_GROUPS + 1).collect()
-    if len(rows) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups")
-
-    # target: (gkey, col, p) -> state
-    out: dict = {}
-    targets = []
-    for r in rows:
-        g = tuple(r[gc] for gc in group_cols)
-        out[(g, "__extra__")] = r.asDict()
-        for i, c in enumerate(cols):
-            n = r[f"n{i}"]
-            entry = {"n": n, "min": r[f"lo{i}"], "max": r[f"hi{i}"]}
-            out[(g, c)] = entry
-            if not n:
-                for p in probs:
-                    entry[p] = None
-                continue
-            approx = dict(zip(bracket_ps, r[f"a{i}"]))
-            for p in probs:
-                pos = p * (n - 1)
-                k = int(math.floor(pos))
-                need = [k] if k + 1 > n - 1 else [k, k + 1]
-                plo, phi = max(0.0, p - delta), min(1.0, p + delta)
-                lo = entry["min"] if plo <= 0.0 else approx[plo]
-                hi = entry["max"] if phi >= 1.0 else approx[phi]
-                targets.append({"g": g, "c": c, "p": p, "pos": pos, "need": need,
-                                "lo": lo, "hi": hi, "n": n})
-
-    if not targets:
-        return out
-
-    def group_match(t):
-        if not group_cols:
-            return F.lit(True)
-        return reduce(lambda a, b: a & b,
-                      [(F.col(gc) == F.lit(v)) if v is not None else F.col(gc).isNull()
-                       for gc, v in zip(group_cols, t["g"])])
-
-    bound = max(6.0 * t["n"] / accuracy for t in targets)
-    if bound <= max_candidates and _single_pass(df, cols, group_cols, targets, out,
-                                                group_match):
-        return out
-    return _general(df, cols, group_cols, targets, out, accuracy, max_candidates,
-                    group_match)
-
-
-def _single_pass(df, cols, group_cols, targets, out, group_match) -> bool:
-    """Below-counts and candidates of every bracket in one grouped pass."""
-    by_gc: dict = {}
-    for t in targets:
-        by_gc.setdefault((t["g"], t["c"]), []).append(t)
-    seg_expr = None
-    intervals: dict = {}
-    v = F.col("__v")
-    for (g, c), ts in by_gc.items():
-        merged = []
-        for lo, hi in sorted((t["lo"], t["hi"]) for t in ts):
-            if merged and lo <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], hi)
-            else:
-                merged.append([lo, hi])
-        intervals[(g, c)] = merged
-        seg = None
-        for j, (lo, hi) in enumerate(merged):          # inside bracket j -> 2j+1
-            cond = (v >= F.lit(lo)) & (v <= F.lit(hi))
-            seg = F.when(cond, F.lit(2 * j + 1)) if seg is None else seg.when(cond, F.lit(2 * j + 1))
-        for j, (lo, _hi) in enumerate(merged):          # gap before bracket j -> 2j
-            seg = seg.when(v < F.lit(lo), F.lit(2 * j))
-        seg = seg.otherwise(F.lit(2 * len(merged)))
-        cond = (F.col("__col") == F.lit(c)) & group_match(ts[0])
-        seg_expr = F.when(cond, seg) if seg_expr is None else seg_expr.when(cond, seg)
-    pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
-    long = df.select(*group_cols, F.expr(f"stack({len(cols)}, {pairs}) AS (__col, __v)")) \
-        .where(v.isNotNull())
-    long = long.withColumn("__seg", seg_expr).where(F.col("__seg").isNotNull())
-    rows = (long.groupBy(*group_cols, "__col", "__seg",
-                         F.when(F.col("__seg") % 2 == 1, v).alias("__val"))
-            .count().collect())
-    items: dict = {}
-    for r in rows:
-        g = tuple(r[gc] for gc in group_cols)
-        items.setdefault((g, r["__col"]), []).append((r["__seg"], r["__val"], r["count"]))
-    found: dict = {}
-    for (g, c), ts in by_gc.items():
-        seq = sorted(items.get((g, c), []), key=lambda x: (x[0], -1e308 if x[1] is None else x[1]))
-        for t in ts:
-            vals = {}
-            rank = 0
-            for seg, val, cnt in seq:
-                for need in t["need"]:
-                    if need not in vals and rank <= need < rank + cnt:
-                        vals[need] = val
-                rank += cnt
-            if any(vals.get(need) is None for need in t["need"]):
-                return False                         # a wanted rank fell in a gap
-            found[id(t)] = vals
-    for t in targets:
-        vals = found[id(t)]
-        k = t["need"][0]
-        q = vals[k]
-        if len(t["need"]) > 1:
-            q = q + (vals[k + 1] - q) * (t["pos"] - k)
-        out[(t["g"], t["c"])][t["p"]] = q
-    return True
-
-
-def _general(df, cols, group_cols, targets, out, accuracy, max_candidates, group_match):
-    delta = 2.0 / accuracy
-
-    def in_bracket(t, x):
-        return (x >= F.lit(t["lo"])) & (x <= F.lit(t["hi"]))
-
-    # -- pass 2 (+ refinement): counts below and inside each bracket ---------
-    for _round in range(8):
-        aggs = []
-        for j, t in enumerate(targets):
-            x = F.col(t["c"]).cast("double")
-            gm = group_match(t)
-            aggs += [F.count_if(gm & (x < F.lit(t["lo"]))).alias(f"b{j}"),
-                     F.count_if(gm & in_bracket(t, x)).alias(f"w{j}")]
-        r = df.agg(*aggs).collect()[0]
-        wide = []
-        for j, t in enumerate(targets):
-            t["below"], t["inside"] = r[f"b{j}"], r[f"w{j}"]
-            ok = t["below"] <= t["need"][0] and t["below"] + t["inside"] > t["need"][-1]
-            if not ok:                                   # sketch bound missed: widen
-                t["lo"], t["hi"] = out[(t["g"], t["c"])]["min"], out[(t["g"], t["c"])]["max"]
-                wide.append(t)
-            elif t["inside"] > max_candidates:
-                wide.append(t)
-        if not wide:
-            break
-        # narrow over-full brackets with a sketch of just their rows
-        aggs = []
-        for j, t in enumerate(wide):
-            if t["lo"] == out[(t["g"], t["c"])]["min"] and t["hi"] == out[(t["g"], t["c"])]["max"] \
-                    and t["inside"] <= max_candidates:
-                continue
-            x = F.col(t["c"]).cast("double")
-            rel = [(rank - t["below"]) / max(1, t["inside"] - 1) for rank in t["need"]]
-            ps = [min(1.0, max(0.0, rel[0] - 2 * delta)), min(1.0, max(0.0, rel[-1] + 2 * delta))]
-            sel = group_match(t) & in_bracket(t, x)
-            aggs.append(F.percentile_approx(F.when(sel, x), ps, accuracy).alias(f"r{j}"))
-        if aggs:
-            rr = df.agg(*aggs).collect()[0]
-            for j, t in enumerate(wide):
-                if f"r{j}" in rr.asDict():
-                    t["lo"], t["hi"] = rr[f"r{j}"][0], rr[f"r{j}"][1]
-
-    # -- pass 3: bracketed candidates with multiplicities --------------------
+from riskframe.functions.keys import from_order_key, with_order_key
+from riskframe.session import cut_lineage, drop_table
+
+#: Bits of one digit: at most 2^BITS buckets a group and column in one pass.
+BITS = 16
+
+
+def _same(names: Sequence[str], other: str = "o_") -> Column:
+    """Equality with the columns of the other side (prefixed), NULL with NULL."""
+    on = F.lit(True)
+    for n in names:
+        on = on & F.col(n).eqNullSafe(F.col(other + n))
+    return on
+
+
+def _prefixed(df: DataFrame, names: Sequence[str], prefix: str = "o_") -> DataFrame:
+    return df.withColumnsRenamed({n: prefix + n for n in names})
+
+
+def _closer(targets: DataFrame, counts: DataFrame, bucket: Sequence[str]) -> DataFrame:
+    """Targets with the counted bucket that holds their rank, and the rank in it.
+    ``counts``: (bucket columns, digit, n, least, most)."""
+    ends = F.sum("n").over(Window.partitionBy(*bucket).orderBy("digit")
+                           .rowsBetween(Window.unboundedPreceding, 0))
+    held = _prefixed(counts.withColumn("end", ends).drop("digit"), bucket)
+    held = held.withColumn("before", F.col("end") - F.col("n")).withColumnsRenamed({"n": "n_held"})
+    return (targets.join(held, _same(bucket) & (F.col("rank") >= F.col("before"))
+                         & (F.col("rank") < F.col("end")))
+            .withColumn("rank", F.col("rank") - F.col("before")))
+
+
+def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+                   by: Sequence[str] = (), bits: int = BITS) -> DataFrame:
+    """``(by..., column, n, min, max, q0, q1, ...)``: one row per group and column
+    that has values, ``q<i>`` the quantile ``probs[i]``."""
+    cols, by = list(cols), list(by)
+    g = [f"g{i}" for i in range(len(by))]
     pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in cols)
-    long = df.select(*group_cols, F.expr(f"stack({len(cols)}, {pairs}) AS (__col, __v)"))
-    v = F.col("__v")
-    keep = reduce(lambda a, b: a | b,
-                  [(F.col("__col") == F.lit(t["c"])) & group_match(t) & in_bracket(t, v)
-                   for t in targets])
-    cand = (long.where(keep).groupBy(*group_cols, "__col", "__v").count().collect())
-    by_gc: dict = {}
-    for r in cand:
-        g = tuple(r[gc] for gc in group_cols)
-        by_gc.setdefault((g, r["__col"]), []).append((r["__v"], r["count"]))
-    for t in targets:
-        vals = sorted(x for x in by_gc.get((t["g"], t["c"]), [])
-                      if t["lo"] <= x[0] <= t["hi"])
-        rank = t["below"]
-        found = {}
-        for v, cnt in vals:
-            for need in t["need"]:
-                if need not in found and rank <= need < rank + cnt:
-                    found[need] = v
-            rank += cnt
-        k = t["need"][0]
-        q = found[k]
-        if len(t["need"]) > 1:
-            frac = t["pos"] - k
-            q = q + (found[k + 1] - q) * frac
-        out[(t["g"], t["c"])][t["p"]] = q
-    return out
+    rows = (df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(by, g)],
+                      F.expr(f"stack({max(len(cols), 1)}, {pairs or 'NULL, NULL'}) AS (column, x)"))
+            .where(F.col("x").isNotNull() & ~F.isnan("x")))
+    keyed = with_order_key(rows, "x", "key").drop("x")
+    place = [*g, "column"]
+
+    def counted(frame: DataFrame, bucket: Sequence[str], digit: Column) -> DataFrame:
+        return frame.groupBy(*bucket, digit.alias("digit")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("key").alias("least"), F.max("key").alias("most"))
+
+    first = cut_lineage(counted(keyed, place, F.shiftright("key", 64 - bits)))
+    totals = first.groupBy(*place).agg(F.sum("n").alias("total"), F.min("least").alias("lowest"),
+                                       F.max("most").alias("highest"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"),
+                                          F.lit(s).alias("side"))
+                                 for i, p in enumerate(probs) for s in (0, 1)]))
+    at = F.floor(F.col("p") * (F.col("total") - 1))
+    targets = totals.select("*", wanted.alias("w")).select(
+        *place, "total", "lowest", "highest", "w.i", "w.p", "w.side").withColumn(
+        "rank", F.least(at + F.col("side"), F.col("total") - 1))
+    kept = [*place, "total", "lowest", "highest", "i", "p", "side", "rank"]
+    targets = cut_lineage(_closer(targets, first, place).select(
+        *kept, F.col("least").alias("lo"), F.col("most").alias("hi")))
+    drop_table(first)
+    bucket = [*place, "lo", "hi"]
+    open_ = F.col("lo") < F.col("hi")
+    while targets.where(open_).limit(1).count():
+        held = _prefixed(targets.where(open_).select(*bucket).distinct(), place)
+        inside = keyed.join(held, _same(place) & F.col("key").between(F.col("lo"), F.col("hi")))
+        digit = F.expr(f"shiftright(key - lo, greatest(0, length(bin(hi - lo)) - {bits}))")
+        counts = counted(inside.select(*place, "lo", "hi", "key"), bucket, digit)
+        narrowed = _closer(targets.where(open_), counts, bucket).select(
+            *kept, F.col("least").alias("lo"), F.col("most").alias("hi"))
+        before, targets = targets, cut_lineage(narrowed.unionByName(targets.where(~open_)))
+        drop_table(before)
+    value = from_order_key(F.col("lo"))
+    found = targets.withColumn("v", value)
+    aggs = [F.first("total").alias("n"), from_order_key(F.first("lowest")).alias("min"),
+            from_order_key(F.first("highest")).alias("max")]
+    for i in range(len(probs)):
+        for s in (0, 1):
+            aggs.append(F.max(F.when((F.col("i") == i) & (F.col("side") == s), F.col("v")))
+                        .alias(f"v{i}_{s}"))
+    wide = found.groupBy(*place).agg(*aggs)
+    quantiles = []
+    for i, p in enumerate(probs):
+        pos = F.lit(float(p)) * (F.col("n") - 1)
+        a, b = F.col(f"v{i}_0"), F.col(f"v{i}_1")
+        part = pos - F.floor(pos)
+        quantiles.append(F.when((a == b) | (part == 0), a).otherwise(a + (b - a) * part)
+                         .alias(f"q{i}"))
+    out = cut_lineage(wide.select(*place, "n", "min", "max", *quantiles))
+    drop_table(targets)
+    return out.withColumnsRenamed(dict(zip(g, by)))

@@ -1,9 +1,14 @@
-"""Batch scoring of multilayer perceptrons as Column expressions.
+"""Batch scoring of multilayer perceptrons.
 
-A fitted network is a few hundred numbers; its forward pass is written as
-plain Column arithmetic (one projection per layer, hidden units as named
-columns) so scoring is whole-stage-codegen work with no Python, no UDF and no
-model broadcast.  The same expressions score streaming frames unchanged.
+Small networks are compiled: the forward pass is written as plain Column
+arithmetic (one projection per layer, hidden units as named columns), so scoring
+is whole-stage-codegen work with no Python, no UDF and no model broadcast.  The
+same expressions score streaming frames unchanged.
+
+The generated code grows with the weights, and beyond the JVM's limit for one
+method (64 KB) it would be interpreted.  Larger networks go through
+:func:`batched_probabilities`: matrix products layer by layer over Arrow
+batches, whose cost per weight does not depend on the network's depth.
 """
 
 from __future__ import annotations
@@ -12,10 +17,14 @@ import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskframe.functions.columns import threshold
+from riskframe.session import ship_package
 
 
 @dataclass
@@ -46,7 +55,6 @@ class MLP:
 
     def forward_numpy(self, x):
         """Reference forward pass on a numpy matrix (tests, small checks)."""
-        import numpy as np
         a = np.asarray(x, dtype=float)
         for i, (w, b) in enumerate(self.layers):
             z = a @ np.asarray(w, dtype=float).T + np.asarray(b, dtype=float)
@@ -146,6 +154,42 @@ def probability_columns(df: DataFrame, mlp: MLP, inputs: Mapping[str, Sequence[s
     return frame.selectExpr(*keep, *finals)
 
 
+#: Weights up to which a network's generated code stays well below the limit.
+COMPILED_WEIGHTS = 300
+
+
+def n_weights(mlp: MLP) -> int:
+    return sum(len(b) * (1 + len(w[0])) for w, b in mlp.layers)
+
+
+def batched_probabilities(df: DataFrame, models: Mapping[str, MLP],
+                          features: Sequence[str]) -> DataFrame:
+    """``df`` plus P(class 1) of each model (output name -> network) on the named
+    feature columns, computed in Arrow batches; all models share one pass.  A row
+    with a missing feature has NULL."""
+    ship_package(df.sparkSession)
+    given = df.columns
+    fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema.fields)]
+    schema = T.StructType(fields + [T.StructField(f"p{i}", T.DoubleType())
+                                    for i in range(len(models))])
+    inputs = [F.col(f"`{f}`").cast("double").alias(f"f{i}") for i, f in enumerate(features)]
+    nets, kept = list(models.values()), len(given)
+
+    def run(batches):
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float)
+                                 for c in batch.columns[kept:]])
+            known = ~np.isnan(x).any(axis=1)
+            out = []
+            for net in nets:
+                with np.errstate(over="ignore"):
+                    out.append(pa.array(net.forward_numpy(x), pa.float64(), mask=~known))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *out], schema.names)
+
+    renamed = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(given)], *inputs)
+    return renamed.mapInArrow(run, schema).toDF(*given, *models)
+
+
 def feature_inputs(features: Sequence[str]) -> list[str]:
     """Input expressions for named feature columns (as doubles)."""
     return [f"CAST({quote(f)} AS DOUBLE)" for f in features]
@@ -154,7 +198,9 @@ def feature_inputs(features: Sequence[str]) -> list[str]:
 def score(df: DataFrame, mlp: MLP, features: Sequence[str], output: str = "probability",
           prediction: str | None = "prediction", t: float = 0.5) -> DataFrame:
     """Append P(class 1) (and the thresholded class, ``p >= t`` -> 1)."""
-    out = probability_columns(df, mlp, {output: feature_inputs(features)})
+    out = (probability_columns(df, mlp, {output: feature_inputs(features)})
+           if n_weights(mlp) <= COMPILED_WEIGHTS
+           else batched_probabilities(df, {output: mlp}, features))
     if prediction:
         out = out.withColumn(prediction, threshold(output, t))
     return out

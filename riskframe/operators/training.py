@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from riskframe.operators.encoders import assemble
 from riskframe.operators.metrics import bce_column
-from riskframe.operators.scoring import MLP, feature_inputs, mlp_from_spark, probability_columns
+from riskframe.operators.scoring import MLP, mlp_from_spark, score
 from riskframe.session import cut_lineage, ship_package
 
 
@@ -46,8 +46,7 @@ class TrainResult:
 def round_metrics(df: DataFrame, mlp: MLP, features: Sequence[str], label: str,
                   split_col: str = "split", threshold: float = 0.5) -> dict:
     """Loss and accuracy per split for the current weights (one aggregation)."""
-    scored = probability_columns(df, mlp, {"__p": feature_inputs(features)},
-                                 keep=[split_col, label])
+    scored = score(df.select(*features, split_col, label), mlp, features, "__p", None)
     rows = scored.groupBy(split_col).agg(
         F.avg(bce_column(label, "__p")).alias("loss"),
         F.avg(((F.col("__p") >= threshold).cast("int") == F.col(label)).cast("double"))

@@ -316,6 +316,23 @@ def q_mlp_score(spark, sf):
     return rounded(predictions(spark, sf))
 
 
+#: Networks of the deep scoring check: name -> hidden layers, units in each.
+DEEP_SCORED = {"p_10x10": (10, 10), "p_5x15": (5, 15)}
+
+
+def deep_literal(n_inputs: int, layers: int, units: int) -> SC.MLP:
+    """A fixed-weight deep network (no training)."""
+    return SC.rule_weights([n_inputs, *[units] * layers, 1], scale=1.6)
+
+
+def q_mlp_score_deep(spark, sf):
+    """M6 of deep networks: 10 layers of 10 units and 5 layers of 15, in one pass."""
+    scaled, feats = scaled_split(spark, sf)
+    nets = {n: deep_literal(len(feats), *shape) for n, shape in DEEP_SCORED.items()}
+    out = SC.batched_probabilities(scaled, nets, feats)
+    return rounded(out.select("id", "split", P.TARGET, *nets))
+
+
 def q_confusion(spark, sf):
     return M.confusion_matrix(test_predictions(spark, sf), P.TARGET, "prediction", [0, 1])
 
@@ -515,6 +532,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "class_density": q_class_density,
     "preview": q_preview,
     "mlp_score": q_mlp_score,
+    "mlp_score_deep": q_mlp_score_deep,
     "confusion": q_confusion,
     "confusion_norm": q_confusion_norm,
     "class_report": q_class_report,

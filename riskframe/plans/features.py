@@ -26,7 +26,7 @@ class FeaturePlan:
     frame: DataFrame
     features: list[str]
     target: str
-    label_encoding: E.LabelEncoding | None = None
+    label_encoding: E.LabelDictionary | None = None
     one_hot: E.OneHotEncoding | None = None
     risk_scaler: E.Standardization | None = None
     extras: dict = field(default_factory=dict)

@@ -78,7 +78,9 @@ def train_and_evaluate(loans: DataFrame, out_dir: str, preset: str = "full",
     history = TR.history_frame(spark, [h for m in models for h in m.history])
     bundle = {"preset": preset, "balanced": json.dumps(balance), "features": json.dumps(plan.features),
               "mlp": best.to_json(), "scaler": scaler.to_json(),
-              "labels": plan.label_encoding.to_json() if plan.label_encoding else "{}"}
+              "labels": json.dumps(plan.label_encoding is not None)}
+    if plan.label_encoding is not None:
+        plan.label_encoding.save(_labels_of(f"{out_dir}/model"))
     if plan.one_hot is not None:
         bundle["one_hot"] = json.dumps(plan.one_hot.categories)
     if plan.risk_scaler is not None:
@@ -92,12 +94,18 @@ def train_and_evaluate(loans: DataFrame, out_dir: str, preset: str = "full",
         "confusion": confusion}
 
 
-def _apply_bundle(loans: DataFrame, bundle: dict) -> tuple[DataFrame, list[str]]:
+def _labels_of(model_dir: str) -> str:
+    """Folder of a bundle's label dictionary: a table beside the bundle."""
+    return f"{model_dir.rstrip('/')}_labels"
+
+
+def _apply_bundle(loans: DataFrame, bundle: dict, model_dir: str) -> tuple[DataFrame, list[str]]:
     """Rebuild the preset's features from the saved fitted state (no re-fit),
     not scaled yet: a key that is a feature too still draws the same samples."""
     preset = bundle["preset"]
     feats = json.loads(bundle["features"])
-    labels = E.LabelEncoding.from_json(bundle["labels"]) if bundle["labels"] != "{}" else None
+    labels = (E.LabelDictionary.load(loans.sparkSession, _labels_of(model_dir))
+              if json.loads(bundle["labels"]) else None)
     if preset == "subset":
         eng = FE.engineer(loans, E.Standardization.from_json(bundle["risk_scaler"]))
         df = E.OneHotEncoding(json.loads(bundle["one_hot"])).transform(
@@ -114,7 +122,7 @@ def evaluate_saved(loans: DataFrame, model_dir: str, seed: int = P.SEED) -> Data
     split is re-derived deterministically from the same seed."""
     spark = loans.sparkSession
     bundle = IO.load_model(spark, model_dir)
-    rows, feats = _apply_bundle(loans, bundle)
+    rows, feats = _apply_bundle(loans, bundle, model_dir)
     if json.loads(bundle.get("balanced", "true")):
         rows = S.balanced_undersample(rows, P.TARGET, P.KEY, seed=seed)
     split = S.random_split(rows, P.KEY, (P.TEST_FRACTION, P.VAL_FRACTION), seed=seed)
@@ -165,7 +173,7 @@ def sensitivity(loans: DataFrame, model_dir: str, n_resamples: int = P.SOBOL_BOO
     its observed range; ``"unit"`` samples [0, 1] in raw units as the
     modelled script does."""
     bundle = IO.load_model(loans.sparkSession, model_dir)
-    unscaled, feats = _apply_bundle(loans, bundle)
+    unscaled, feats = _apply_bundle(loans, bundle, model_dir)
     raw = unscaled.select(P.KEY)  # the design only needs the keys
     if n_base is not None:
         raw = S.sample_exact(raw, P.KEY, n_base, salt="sobol_base")

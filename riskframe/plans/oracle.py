@@ -479,6 +479,28 @@ _PRED = [FILTERED, FULL, _balanced(), SPLIT, _scaled_split_cte(),
 SQL["mlp_score"] = with_(*_PRED) + (
     f"SELECT id, split, loan_status, {R('probability')} AS probability, prediction FROM preds")
 
+
+
+def _deep_ctes(shapes: dict) -> str:
+    """Deep networks one after another, a relation per layer; final relation ``deep``."""
+    from riskframe.operators.scoring import rule_weights
+    z = [f"z_{f}" for f in P.FULL_FEATURES]
+    carry, prev, ctes, done = ["id", "split", "loan_status", *z], "scaled", [], []
+    for name, (depth, units) in shapes.items():
+        layers, out = mlp_sql(rule_weights([len(z), *[units] * depth, 1], scale=1.6), z, name)
+        for li, exprs in enumerate(layers):
+            ctes.append(f"{name}_{li} AS (SELECT {', '.join(carry + done + exprs)} FROM {prev})")
+            prev = f"{name}_{li}"
+        ctes.append(f"{name}_out AS (SELECT {', '.join(carry + done)}, {out} AS {name} FROM {prev})")
+        prev = f"{name}_out"
+        done.append(name)
+    return ",\n".join([*ctes, f"deep AS (SELECT * FROM {prev})"])
+
+
+SQL["mlp_score_deep"] = with_(FILTERED, FULL, _balanced(), SPLIT, _scaled_split_cte(),
+                              _deep_ctes({"p_10x10": (10, 10), "p_5x15": (5, 15)})) + (
+    f"SELECT id, split, loan_status, {R('p_10x10')} AS p_10x10, {R('p_5x15')} AS p_5x15 FROM deep")
+
 _CM = ("cm AS (SELECT a.v AS actual, b.v AS predicted, CAST(count(t.id) AS BIGINT) AS count "
        "FROM (VALUES (0), (1)) a(v) CROSS JOIN (VALUES (0), (1)) b(v) "
        "LEFT JOIN tpred t ON t.loan_status = a.v AND t.prediction = b.v GROUP BY a.v, b.v)")

@@ -65,9 +65,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df):
+def cut_lineage(df, partition_by=()):
     """Materialise ``df`` as a parquet table in the shared checkpoint folder
-    and return the re-read frame.
+    and return the re-read frame; ``partition_by`` names columns whose values
+    get a folder each.
 
     One computation plus one write (``Dataset.checkpoint`` would compute the
     plan a second time to save it); the files survive executor loss, unlike a
@@ -75,7 +76,7 @@ def cut_lineage(df):
     import uuid
     base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
     path = f"{base}/riskframe-tables/{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._riskframe_table = path
     return out

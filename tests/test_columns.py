@@ -1,6 +1,8 @@
 """Edge-case literals for column functions, filters and encoders (FIXTURES F-7)."""
 
 import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,10 +120,38 @@ def test_cut_lineage_writes_to_checkpoint_folder(spark):
                for f in df.inputFiles())
 
 
-def test_label_encoder_join_path_equals_inline(spark, monkeypatch):
+def test_label_dictionary_equals_the_literal_map(spark):
     df = spark.createDataFrame([(v,) for v in ["b", "a", "c", None, "a", "d"]], "c string")
-    inline = [r[0] for r in E.fit_label_encoder(df, ["c"]).transform(df).collect()]
-    monkeypatch.setattr(E, "INLINE_LIMIT", 2)        # force the dictionary join
-    joined_df = E.fit_label_encoder(df, ["c"]).transform(df.withColumn("k", F.lit(1)))
+    fitted = E.fit_label_encoder(df, ["c"])
+    inline = [r[0] for r in E.LabelEncoding(fitted.classes).transform(df).collect()]
+    joined_df = fitted.transform(df.withColumn("k", F.lit(1)))
     assert joined_df.columns == ["c", "k"]
     assert sorted(r[0] for r in joined_df.collect()) == sorted(inline) == [0, 0, 1, 2, 3, 4]
+
+
+def test_label_dictionary_over_several_ranges(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(rng.choice(["x", "y", "é", None, "_", "Z"]) and f"{rng.randint(0, 400)}", rng.choice("pqr"), None)
+            for _ in range(2000)]
+    df = spark.createDataFrame(rows, "a string, `b c` string, e string").repartition(3)
+    fitted = E.fit_label_dictionary(df, ["a", "b c", "e"], "error", rows_per_task=60)
+    want = [sorted({r[i] for r in rows if r[i] is not None}) for i in (0, 1)]
+    assert fitted.classes == {"a": want[0], "b c": want[1], "e": []}
+    fitted.save(str(tmp_path / "d"))
+    for d in (fitted, E.LabelDictionary.load(spark, str(tmp_path / "d"))):
+        got = Counter(map(tuple, d.transform(df).collect()))
+        assert got == Counter((want[0].index(a) if a is not None else len(want[0]),
+                               want[1].index(b), 0) for a, b, _ in rows)
+    with pytest.raises(Exception, match="unseen"):
+        fitted.transform(spark.createDataFrame([("none", "p", None)], df.schema)).collect()
+    none = E.fit_label_dictionary(df.limit(0), ["a"])
+    assert none.transform(df.select("a").limit(1)).first()[0] == 0
+
+
+def test_label_dictionary_of_millions_of_values(spark):
+    n = 3_000_000
+    df = spark.range(n).select("id", F.lpad(F.col("id").cast("string"), 9, "0").alias("v"))
+    fitted = E.fit_label_encoder(df, ["v"])
+    assert fitted.sizes == {"v": n}
+    r = fitted.transform(df).agg(F.count_if(F.col("id") == F.col("v")), F.count("*")).first()
+    assert tuple(r) == (n, n)

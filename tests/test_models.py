@@ -257,3 +257,26 @@ def test_csv_source_failfast_rejects_bad_numbers(spark, tmp_path):
     assert [r.a for r in IO.read_csv(spark, str(p), schema).collect()] == [1.5, None]
     with pytest.raises(Exception):
         IO.read_csv(spark, str(p), schema, mode="FAILFAST").collect()
+
+
+@pytest.mark.parametrize("kind,output", [("sigmoid", "sigmoid"), ("relu", "sigmoid"), ("sigmoid", "softmax2")])
+def test_batched_scoring_equals_compiled(spark, kind, output):
+    shallow, deep = SC.rule_weights([3, 5, 2 if output == "softmax2" else 1]), SC.rule_weights(
+        [3, *[12] * 8, 2 if output == "softmax2" else 1], scale=1.6)
+    rng = np.random.default_rng(2)
+    rows = [(i, *[float(v) for v in rng.normal(0, 3, 3)], "k") for i in range(200)]
+    rows += [(900, None, 1.0, 2.0, "k"), (901, float("nan"), 1.0, 2.0, None)]
+    df = spark.createDataFrame(rows, "id long, a double, `b.c` double, d double, note string")
+    for net in (shallow, deep):
+        net.hidden_activation, net.output = kind, output
+        compiled = SC.probability_columns(df, net, {"p": SC.feature_inputs(["a", "b.c", "d"])})
+        batched = SC.batched_probabilities(df, {"p": net, "q": net}, ["a", "b.c", "d"])
+        assert batched.columns == [*df.columns, "p", "q"]
+        want = {r.id: r.p for r in compiled.collect()}
+        for r in batched.collect():
+            if r.id < 900:
+                assert r.p == pytest.approx(want[r.id], abs=1e-12) and r.q == r.p
+            else:
+                assert r.p is None
+    assert SC.n_weights(deep) > SC.COMPILED_WEIGHTS >= SC.n_weights(shallow)
+    assert "MapInArrow" in SC.score(df, deep, ["a", "b.c", "d"])._jdf.queryExecution().toString()

@@ -1,13 +1,19 @@
 """Profiling operators against numpy / pandas on literal data."""
 
+import math
+import random
+import struct
+
 import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from riskframe.operators import profile as PR
-from riskframe.operators.quantiles import exact_quantiles
+from riskframe.functions.keys import from_order_key, with_order_key
+from riskframe.operators.quantiles import quantile_table
 
 
 def test_correlation_constant_is_null(spark):
@@ -25,21 +31,86 @@ def test_correlation_pairwise_complete(spark):
     assert got[("a", "b")] == pytest.approx(expect)
 
 
-@settings(max_examples=15, deadline=None)
+@settings(max_examples=6, deadline=None)
 @given(st.lists(st.integers(-50, 50), min_size=1, max_size=60),
        st.sampled_from([0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]))
 def test_exact_quantiles_match_numpy(spark, values, p):
     df = spark.createDataFrame([(float(v),) for v in values], "x double")
-    q = exact_quantiles(df, ["x"], [p], accuracy=50)
-    assert q[((), "x")][p] == pytest.approx(np.quantile(values, p))
+    q = quantile_table(df, ["x"], [p]).first()
+    assert q.q0 == pytest.approx(np.quantile(values, p))
+    assert (q.n, q.min, q.max) == (len(values), min(values), max(values))
 
 
 def test_exact_quantiles_heavy_ties_and_refinement(spark):
     values = [5.0] * 500 + [float(v) for v in range(300)]
     df = spark.createDataFrame([(v,) for v in values], "x double")
-    q = exact_quantiles(df, ["x"], [0.25, 0.5, 0.75], accuracy=20, max_candidates=10)
-    for p in (0.25, 0.5, 0.75):
-        assert q[((), "x")][p] == pytest.approx(np.quantile(values, p))
+    q = quantile_table(df, ["x"], [0.25, 0.5, 0.75], bits=8).first()
+    for p, got in zip((0.25, 0.5, 0.75), (q.q0, q.q1, q.q2)):
+        assert got == pytest.approx(np.quantile(values, p))
+
+
+@pytest.mark.parametrize("bits", [11, 16])
+def test_quantiles_by_group_with_missing_values(spark, bits):
+    rng = random.Random(bits)
+    rows = [(rng.choice(["a", "b", None]), rng.choice(
+        [None, math.nan, float(rng.randint(0, 9)), rng.gauss(0, 1e6), rng.gauss(0, 1e-6)]),
+        rng.randint(-3, 3), None) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "g string, x double, y int, z double").repartition(5)
+    probs = [0, 0.25, 0.5, 0.9, 1.0]
+    got = quantile_table(df, ["x", "y", "z"], probs, ["g"], bits).collect()
+    assert len(got) == 6                                # z has no values
+    for r in got:
+        v = [float(t[1] if r.column == "x" else t[2]) for t in rows
+             if t[0] == r.g and t[1 if r.column == "x" else 2] is not None]
+        v = [x for x in v if x == x]
+        assert r.n == len(v)
+        assert [r.q0, r.q1, r.q2, r.q3, r.q4] == pytest.approx(np.quantile(v, probs).tolist())
+    assert quantile_table(df.limit(0), ["x"], probs, ["g"], bits).count() == 0
+
+
+def test_quantiles_of_extreme_values(spark):
+    values = [-math.inf, -1.7e308, -5e-324, -0.0, 0.0, 5e-324, 2.0 ** -1022, 1.7e308, math.inf]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    probs = [i / 8 for i in range(9)]
+    q = quantile_table(df, ["x"], probs).first()
+    assert [q[f"q{i}"] for i in range(9)] == values
+
+
+def test_order_keys_are_the_bits(spark):
+    rng, values = random.Random(3), [0.0, math.inf, 1.7976931348623157e308]
+    for e in range(-1074, 1024):
+        values += [2.0 ** e, math.nextafter(2.0 ** e, 0.0), math.nextafter(2.0 ** e, math.inf)]
+    values += [v for v in (struct.unpack("d", struct.pack("Q", rng.getrandbits(64)))[0]
+                           for _ in range(3000)) if v == v]
+    df = spark.createDataFrame([(x,) for v in values for x in (v, -v)], "x double")
+    for r in with_order_key(df, "x", "k").withColumn("back", from_order_key(F.col("k"))).collect():
+        bits = struct.unpack("q", struct.pack("d", abs(r.x)))[0]
+        assert r.k == (-bits if r.x < 0 else bits) and r.back == r.x
+
+
+def test_profiles_of_empty_tables_and_odd_values(spark):
+    schema = "x double, y double, g string"
+    empty = spark.createDataFrame([], schema)
+    assert [(r["column"], r["count"], r["mean"], r["p50"]) for r in
+            PR.describe(empty, ["x", "y"]).orderBy("column").collect()] == [
+        ("x", 0, None, None), ("y", 0, None, None)]
+    for out in (PR.histogram(empty, ["x", "y"]), PR.class_density(empty, ["x"], "g"),
+                PR.box_stats(empty, ["x"], "g")):
+        assert out.count() == 0
+    rows = [(math.nan, None, "a"), (math.inf, math.nan, "a"), (1.0, None, None), (2.0, None, None),
+            (4.0, None, "a"), (None, None, "a")]
+    df = spark.createDataFrame(rows, schema)
+    d = {r["column"]: r for r in PR.describe(df, ["x", "y"]).collect()}
+    assert (d["x"]["count"], d["x"]["min"], d["x"]["p25"], d["y"]["count"]) == (4, 1.0, 1.75, 0)
+    h = PR.histogram(df, ["x", "y"], 3).collect()
+    assert sorted((r.bin, r.bin_lo, r.bin_hi, r["count"]) for r in h) == [
+        (0, 1.0, 2.0, 1), (1, 2.0, 3.0, 1), (2, 3.0, 4.0, 1)]
+    b = {r.g: r for r in PR.box_stats(df, ["x", "y"], "g").collect()}
+    assert b.keys() == {"a", None} and b[None].median == 1.5 and b[None].n_outliers == 0
+    k = PR.class_density(df, ["x", "y"], "g", bins=4).collect()
+    assert {r.g for r in k} == {"a", None} and len(k) == 8
+    assert all(r.density is None for r in k if r.g == "a")      # one finite value: no bandwidth
+    assert all(r.density > 0 for r in k if r.g is None)
 
 
 def test_describe_matches_pandas(spark):
@@ -139,16 +210,48 @@ def test_value_counts_and_group_sizes_drop_missing(spark):
     assert PR.group_sizes(df, "c", "y").count() == 2
 
 
+def test_co_moment_blocks_merge_exactly():
+    rng = np.random.default_rng(8)
+    x = rng.normal(1e6, 1.0, (500, 3))
+    x[rng.random((500, 3)) < 0.2] = np.nan
+    x[:, 2] = np.where(np.isnan(x[:, 2]), np.nan, 0.1)      # constant
+    whole = PR.co_moments(x)
+    merged = PR.co_moments(x[:1])
+    for a, b in ((1, 1), (1, 7), (7, 200), (200, 500)):
+        merged = PR.merged(merged, PR.co_moments(x[a:b]))
+    for name in whole:
+        assert np.allclose(whole[name], merged[name], rtol=1e-9, atol=1e-9), name
+    both = ~np.isnan(x[:, 0]) & ~np.isnan(x[:, 1])
+    assert whole["n"][0, 1] == both.sum()
+    assert whole["xy"][0, 1] == pytest.approx(
+        ((x[both, 0] - x[both, 0].mean()) * (x[both, 1] - x[both, 1].mean())).sum())
+
+
+def test_correlation_does_not_depend_on_order_or_leading_rows(spark):
+    rng = np.random.default_rng(9)
+    a = np.r_[rng.normal(1e9, 1e-3, 1500), rng.normal(0, 1, 3000)]      # a misleading prefix
+    pdf = pd.DataFrame({"a": a, "b": a * 0.5 + rng.normal(0, 1e8, len(a)), "c": 0.1,
+                        "d": np.where(rng.random(len(a)) < 0.3, np.nan, rng.normal(0, 1, len(a)))})
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "a double, b double, c double, d double")
+    want = pdf.corr()
+    for some in (df.coalesce(1), df.repartition(7), df.orderBy(F.desc("b"))):
+        for r in PR.correlation(some).collect():
+            if "c" in (r.col_a, r.col_b):
+                assert r.r is None
+            else:
+                assert r.r == pytest.approx(want.loc[r.col_a, r.col_b], abs=1e-12)
+    assert all(r.r is None for r in PR.correlation(df.limit(0)).collect())
+
+
 def test_exact_quantiles_grouped_general_path(spark):
     rng = np.random.RandomState(4)
     vals = rng.randint(0, 40, 600).astype(float)
     grp = rng.randint(0, 3, 600)
     df = spark.createDataFrame([(float(v), int(g)) for v, g in zip(vals, grp)], "x double, g int")
-    q = exact_quantiles(df, ["x"], [0.1, 0.5, 0.9], group_cols=["g"], accuracy=20,
-                        max_candidates=5)
+    q = {r.g: r for r in quantile_table(df, ["x"], [0.1, 0.5, 0.9], ["g"], bits=12).collect()}
     for g in range(3):
-        for p in (0.1, 0.5, 0.9):
-            assert q[((g,), "x")][p] == pytest.approx(np.quantile(vals[grp == g], p))
+        for p, got in zip((0.1, 0.5, 0.9), (q[g].q0, q[g].q1, q[g].q2)):
+            assert got == pytest.approx(np.quantile(vals[grp == g], p))
 
 
 @settings(max_examples=10, deadline=None)
