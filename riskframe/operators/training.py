@@ -31,6 +31,10 @@ from pyspark.sql import functions as F
 
 from riskframe.operators.encoders import assemble
 from riskframe.operators.metrics import bce_column
+from riskframe.operators.networks import flatten as _flatten
+from riskframe.operators.networks import gradient, log_loss, n_parameters
+from riskframe.operators.networks import init_layers as _init_layers
+from riskframe.operators.networks import unflatten as _unflatten
 from riskframe.operators.scoring import MLP, mlp_from_spark, score
 from riskframe.session import cut_lineage, ship_package
 
@@ -114,69 +118,19 @@ def train_mlpc(data: DataFrame, features: Sequence[str], label: str, hidden: Seq
 
 
 # --------------------------------------------------------------------------- M2
-def _init_layers(sizes: Sequence[int], seed: int) -> list:
-    rng = np.random.RandomState(seed)
-    layers = []
-    for n_in, n_out in zip(sizes[:-1], sizes[1:]):
-        lim = np.sqrt(6.0 / (n_in + n_out))
-        layers.append((rng.uniform(-lim, lim, (n_out, n_in)), np.zeros(n_out)))
-    return layers
-
-
-def _flatten(layers) -> np.ndarray:
-    return np.concatenate([np.concatenate([w.ravel(), b]) for w, b in layers])
-
-
-def _unflatten(vec: np.ndarray, sizes: Sequence[int]) -> list:
-    out, pos = [], 0
-    for n_in, n_out in zip(sizes[:-1], sizes[1:]):
-        w = vec[pos: pos + n_in * n_out].reshape(n_out, n_in)
-        pos += n_in * n_out
-        b = vec[pos: pos + n_out]
-        pos += n_out
-        out.append((w, b))
-    return out
-
-
 def _partition_gradients(sizes, activation, features, label, vec_bc):
     """mapInPandas body: sum of BCE gradients (and loss, count) of a partition,
     emitted as (index, value) rows - index -1 loss, -2 count."""
     def run(batches):
         layers = _unflatten(np.asarray(vec_bc.value), sizes)
-        grad = np.zeros(sum(n_in * n_out + n_out for n_in, n_out in zip(sizes[:-1], sizes[1:])))
-        loss, count = 0.0, 0
+        grad, loss, count = np.zeros(n_parameters(sizes)), 0.0, 0
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = pdf[list(features)].to_numpy(dtype=float)
-            y = pdf[label].to_numpy(dtype=float)
-            acts, pre = [x], []
-            a = x
-            for i, (w, b) in enumerate(layers):
-                z = a @ w.T + b
-                pre.append(z)
-                if i < len(layers) - 1:
-                    a = np.maximum(z, 0) if activation == "relu" else 1 / (1 + np.exp(-z))
-                else:
-                    a = 1 / (1 + np.exp(-z[:, 0]))
-                acts.append(a)
-            p = np.clip(acts[-1], 1e-7, 1 - 1e-7)
-            loss += float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).sum())
-            count += len(y)
-            delta = (acts[-1] - y)[:, None]                       # dL/dz of the output
-            grads = []
-            for i in range(len(layers) - 1, -1, -1):
-                w, _b = layers[i]
-                grads.append((delta.T @ acts[i], delta.sum(axis=0)))
-                if i > 0:
-                    da = delta @ w
-                    z = pre[i - 1]
-                    if activation == "relu":
-                        delta = da * (z > 0)
-                    else:
-                        s = 1 / (1 + np.exp(-z))
-                        delta = da * s * (1 - s)
-            grad += _flatten(list(reversed(grads)))
+            if len(pdf):
+                y = pdf[label].to_numpy(dtype=float)
+                g, p = gradient(layers, activation, pdf[list(features)].to_numpy(dtype=float), y)
+                grad += g
+                loss += float(log_loss(y, p).sum())
+                count += len(y)
         idx = np.arange(len(grad), dtype=np.int64)
         yield pd.DataFrame({"i": np.concatenate([idx, [-1, -2]]),
                             "v": np.concatenate([grad, [loss, float(count)]])})

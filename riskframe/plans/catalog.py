@@ -19,6 +19,7 @@ from riskframe.functions import columns as C
 from riskframe.operators import encoders as E
 from riskframe.operators import filters as FL
 from riskframe.operators import metrics as M
+from riskframe.operators import minibatch as MB
 from riskframe.operators import profile as PR
 from riskframe.operators import sampling as S
 from riskframe.operators import scoring as SC
@@ -443,6 +444,11 @@ def q_sobol_pairs_conf(spark, sf):
 
 
 # ------------------------------------------------------------------ M1-M5 (rows-only)
+#: Limits at which early stopping ends the sweeps' networks: so many epochs in a
+#: row that do not lower the validation loss by a thousandth; and their rate.
+SWEEP_LIMITS = {"epochs": 100, "patience": 5, "min_delta": 1e-3, "lr": 0.02}
+
+
 def q_mlp_train(spark, sf):
     """History of the baseline configuration (5 hidden sigmoid units, L-BFGS
     in rounds, early stopping on the validation split)."""
@@ -451,15 +457,31 @@ def q_mlp_train(spark, sf):
     return TR.history_frame(spark, res.history)
 
 
+SWEEP_SCHEMA = ("config_idx int, hidden string, activation string, val_loss double, "
+                "test_accuracy double, epochs int, best_epoch int, stopped_early boolean")
+
+
+def shared_sweep(spark, scaled, feats, configs, **kw) -> DataFrame:
+    """Result table of networks trained side by side, one row per configuration."""
+    trained = MB.train_shared(scaled, feats, P.TARGET, configs, P.KEY, **kw)
+    return spark.createDataFrame(MB.sweep_rows(configs, trained), SWEEP_SCHEMA)
+
+
+def q_mlp_minibatch(spark, sf):
+    """M3: history of the baseline network (5 hidden units) trained by mini-batches
+    as the published run was: batches of 512, rate 0.1, 100 epochs, patience 200."""
+    scaled, feats = scaled_split(spark, sf)
+    trained = MB.train_shared(scaled, feats, P.TARGET, [{"hidden": [5], "run_id": "minibatch_5"}],
+                              P.KEY, epochs=100, batch=512, lr=0.1, patience=200)
+    return TR.history_frame(spark, trained[0].history)
+
+
 def q_mlp_sweep(spark, sf):
-    """Sweep of the hidden size (5, 10, 15, 20 units) on the subset features,
-    test accuracy each; configurations train concurrently."""
+    """Sweep of the hidden size (5, 10, 15, 20 units) on the subset features, test
+    accuracy each; all configurations share every pass, early stopping ends each."""
     scaled, feats = scaled_split_subset(spark, sf)
-    configs = [{"hidden": [h]} for h in P.SWEEP_NEURONS_SUBSET]
-    rows, _ = TR.sweep(scaled, feats, P.TARGET, configs, rounds=3, iters_per_round=20)
-    return spark.createDataFrame(
-        rows, "config_idx int, hidden string, activation string, val_loss double, "
-              "test_accuracy double, seconds double").drop("seconds")
+    return shared_sweep(spark, scaled, feats, [{"hidden": [h]} for h in P.SWEEP_NEURONS_SUBSET],
+                        batch=128, **SWEEP_LIMITS)
 
 
 def scaled_split_subset(spark, sf) -> tuple[DataFrame, list[str]]:
@@ -470,23 +492,28 @@ def scaled_split_subset(spark, sf) -> tuple[DataFrame, list[str]]:
 
 def q_mlp_layer_sweep(spark, sf):
     """Depth x activation sweep on the subset features (2, 3, 5 hidden layers
-    of 15 units; relu and sigmoid): sigmoid networks by L-BFGS, relu networks
-    by full-batch Adam, trained concurrently."""
+    of 15 units; relu and sigmoid), all networks in shared passes."""
     scaled, feats = scaled_split_subset(spark, sf)
     configs = [{"hidden": [P.LAYER_SWEEP_NEURONS] * n, "activation": act}
                for n, act in P.SWEEP_LAYERS_ACT]
-    rows, _ = TR.sweep(scaled, feats, P.TARGET, configs, rounds=2, iters_per_round=20,
-                       steps=20, lr=0.05, parallelism=len(configs))
-    return spark.createDataFrame(
-        rows, "config_idx int, hidden string, activation string, val_loss double, "
-              "test_accuracy double, seconds double").drop("seconds")
+    return shared_sweep(spark, scaled, feats, configs, batch=128, **SWEEP_LIMITS)
+
+
+def q_mlp_depth_sweep(spark, sf):
+    """Relu networks of 2, 3, 4, 5, 7 and 10 hidden layers of 10 units, batches of
+    32, rate 0.001, 50 epochs, in shared passes."""
+    scaled, feats = scaled_split(spark, sf)
+    configs = [{"hidden": [P.DEEP_NEURONS] * n, "activation": "relu"}
+               for n in P.SWEEP_LAYERS_DEEP]
+    return shared_sweep(spark, scaled, feats, configs, epochs=50, batch=32, lr=1e-3,
+                        patience=10)
 
 
 def q_mlp_deep(spark, sf):
     """Relu network of two hidden layers (the layer sweep's first config),
     full-batch Adam; returns its history."""
     scaled, feats = scaled_split(spark, sf)
-    res = TR.train_dense(scaled, feats, P.TARGET, [P.DEEP_NEURONS] * 2, "relu", steps=20,
+    res = TR.train_dense(scaled, feats, P.TARGET, [P.DEEP_NEURONS] * 2, "relu", steps=60,
                          lr=0.05, eval_every=5)
     return TR.history_frame(spark, res.history)
 
@@ -548,7 +575,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sobol_conf": q_sobol_conf,
     "sobol_pairs_conf": q_sobol_pairs_conf,
     "mlp_train": q_mlp_train,
+    "mlp_minibatch": q_mlp_minibatch,
     "mlp_sweep": q_mlp_sweep,
+    "mlp_depth_sweep": q_mlp_depth_sweep,
     "mlp_deep": q_mlp_deep,
     "mlp_layer_sweep": q_mlp_layer_sweep,
 }
