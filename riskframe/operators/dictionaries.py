@@ -2,10 +2,8 @@
 
 A fitted dictionary is a table (column, value, code) in the shared folder: the
 distinct values of each column in ascending order, numbered from 0 without
-gaps.  Finding the numbers is a distributed ranking: the distinct values are
-range-partitioned and sorted, each partition numbers its own, and the running
-sizes of the partitions (a few numbers each) are added.  Applying a dictionary
-is a join, planned by the dictionary's measured size: a small one is broadcast,
+gaps by a distributed ranking (:mod:`riskframe.functions.ranking`).  Applying a
+dictionary is a join, planned by the dictionary's measured size: a small one is broadcast,
 a large one is sorted and merged, a hot value split by AQE.  Neither fitting nor
 applying collects a value, so a column may have as many as it likes.
 """
@@ -15,16 +13,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskframe.functions.ranking import ROWS_PER_TASK, drop_source, row_numbers
 from riskframe.session import cut_lineage, drop_table
 
-#: Distinct values that one task sorts.
-ROWS_PER_TASK = 1_000_000
-#: Bits of ``monotonically_increasing_id`` below the partition's number.
-_PARTITION_BITS = 33
-
 
 def _text(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column, value) of every non-NULL value, as text."""
@@ -97,19 +91,8 @@ def fit_label_dictionary(df: DataFrame, cols: Sequence[str], handle_invalid: str
     values = cut_lineage(_text(df, cols).distinct())
     found = {r["column"]: r["count"] for r in values.groupBy("column").count().collect()}
     sizes = {c: found.get(c, 0) for c in cols}                       # one number per column
-    tasks = 1 + sum(sizes.values()) // rows_per_task
-    ordered = cut_lineage(values.repartitionByRange(tasks, "column", "value")
-                          .sortWithinPartitions("column", "value")
-                          .withColumn("at", F.monotonically_increasing_id()))
+    numbered = row_numbers(values, ["value"], ["column"], "code", sum(sizes.values()), rows_per_task)
+    table = cut_lineage(numbered, partition_by=["column"])
     drop_table(values)
-    part = F.shiftright("at", _PARTITION_BITS)
-    spans = ordered.groupBy("column", part.alias("part")).agg(
-        F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("column").orderBy("part").rowsBetween(
-        Window.unboundedPreceding, -1)
-    spans = spans.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    table = cut_lineage(ordered.withColumn("part", part).join(spans, ["column", "part"]).select(
-        "column", "value", (F.col("before") + F.col("at") - F.col("first")).alias("code")),
-        partition_by=["column"])
-    drop_table(ordered)
+    drop_source(numbered)
     return LabelDictionary(table, sizes, handle_invalid)

@@ -158,6 +158,71 @@ def evaluate_by(df: DataFrame, by: str = "split", label: str = "label",
                       "n", "accuracy", "bce", "tp", "fp", "tn", "fn")
 
 
+def evaluation_cube(df: DataFrame, by: str = "split", label: str = "label",
+                    prediction: str = "prediction", overall: str = "all") -> DataFrame:
+    """``(by, actual, predicted, count)`` of every population and of all rows
+    together (``by = overall``), in one scan: rows are counted per (by, actual,
+    predicted), and these few counts are added up again.  Rows without a truth
+    label are left out; a missing prediction is ``predicted`` NULL (V8)."""
+    counts = df.where(F.col(label).isNotNull()).groupBy(
+        F.col(by).cast("string").alias(by), F.col(label).alias("actual"),
+        F.col(prediction).alias("predicted")).agg(F.count(F.lit(1)).alias("count"))
+    return counts.withColumn(by, F.explode(F.array(by, F.lit(overall)))).groupBy(
+        by, "actual", "predicted").agg(F.sum("count").cast("bigint").alias("count"))
+
+
+def _classes(cube: DataFrame, by: str) -> DataFrame:
+    """``(by, class)``: in every population the classes that occur in any."""
+    values = cube.select(F.explode(F.array("actual", "predicted")).alias("class")).where(
+        F.col("class").isNotNull()).distinct()
+    return cube.select(by).distinct().join(F.broadcast(values))     # populations x classes
+
+
+def cube_confusion(cube: DataFrame, by: str = "split") -> DataFrame:
+    """Confusion matrices of all populations of a cube, zeros filled:
+    ``(by, actual, predicted, count, fraction)``, ``fraction`` of the truth row."""
+    grid = _classes(cube, by).withColumnRenamed("class", "actual")
+    grid = grid.join(_classes(cube, by).withColumnRenamed("class", "predicted"), by)
+    full = grid.join(cube, [by, "actual", "predicted"], "left").unionByName(
+        cube.where(F.col("predicted").isNull()))
+    rows = cube.groupBy(by, "actual").agg(F.sum("count").alias("__row"))
+    return full.join(rows, [by, "actual"], "left").select(
+        by, "actual", "predicted", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"),
+        _safe(F.coalesce("count", F.lit(0)), F.col("__row")).alias("fraction"))
+
+
+def cube_report(cube: DataFrame, by: str = "split") -> DataFrame:
+    """Classification reports of all populations of a cube (V3): ``(by, label,
+    precision, recall, f1, support)`` with the rows ``accuracy`` (in the f1
+    column), ``macro avg`` and ``weighted avg``; 0/0 counts as 0."""
+    hit = F.when(F.col("actual") == F.col("predicted"), F.col("count")).otherwise(0)
+    truth = cube.groupBy(by, F.col("actual").alias("class")).agg(
+        F.sum("count").alias("support"), F.sum(hit).alias("tp"))
+    said = cube.where(F.col("predicted").isNotNull()).groupBy(
+        by, F.col("predicted").alias("class")).agg(F.sum("count").alias("said"))
+    per = (_classes(cube, by).join(truth, [by, "class"], "left").join(said, [by, "class"], "left")
+           .na.fill(0, ["support", "tp", "said"])
+           .withColumn("precision", _safe(F.col("tp"), F.col("said")))
+           .withColumn("recall", _safe(F.col("tp"), F.col("support")))
+           .withColumn("f1", _safe(2 * F.col("precision") * F.col("recall"),
+                                   F.col("precision") + F.col("recall"))))
+    none, names = F.lit(None).cast("double"), ["precision", "recall", "f1"]
+    total = per.groupBy(by).agg(
+        F.sum("support").alias("n"), F.sum("tp").alias("tp"),
+        *[F.avg(c).alias(f"m_{c}") for c in names],
+        *[F.sum(F.col(c) * F.col("support")).alias(f"w_{c}") for c in names])
+    lines = F.explode(F.array(
+        F.struct(F.lit("accuracy").alias("label"), none.alias("precision"), none.alias("recall"),
+                 _safe(F.col("tp"), F.col("n")).alias("f1")),
+        F.struct(F.lit("macro avg").alias("label"), *[F.col(f"m_{c}").alias(c) for c in names]),
+        F.struct(F.lit("weighted avg").alias("label"),
+                 *[_safe(F.col(f"w_{c}"), F.col("n")).alias(c) for c in names])))
+    support = F.col("support").cast("bigint").alias("support")
+    return per.select(by, F.col("class").cast("string").alias("label"), *names, support).unionByName(
+        total.select(by, lines.alias("r"), F.col("n").alias("support")).select(
+            by, "r.label", *[f"r.{c}" for c in names], support))
+
+
 def best_configuration(results: DataFrame, metric: str = "accuracy",
                        order: str = "config_idx") -> DataFrame:
     """The configuration with the highest metric; ties go to the first (V7)."""

@@ -6,6 +6,8 @@ Y2 ``saltelli_design``: for each base row two independent uniform vectors
    The layout is wide: the 2D+2 evaluation points A, B, AB_j (A with column j
    from B) and BA_j are expressions of the same row, so the design needs no
    explode and no join (a small base is only spread over the cores first).
+   ``halton_design`` and ``lattice_design`` give low-discrepancy points of the
+   same layout over a gap-free row index.
 Y3 optional scaling of the raw samples with a fitted scaler.
 Y4 model evaluation of all points (compiled MLP - first layer by rank-one
    updates - or any Column function).
@@ -28,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.hashing import uniform
+from riskframe.functions.ranking import row_numbers
 from riskframe.operators.scoring import MLP, affine, probability_columns, quote, sql_double
 from riskframe.session import spread
 
@@ -79,6 +82,58 @@ def saltelli_design(base: DataFrame, key: str, d: int, seed: int = 42) -> DataFr
         *[uniform(key, seed, f"sobol_b{j}").alias(f"b_{j}") for j in range(d)])
 
 
+def first_primes(n: int) -> list[int]:
+    out, k = [], 2
+    while len(out) < n:
+        if all(k % p for p in out):
+            out.append(k)
+        k += 1
+    return out
+
+
+def radical_inverse(index: str, base: int, rows: int) -> str:
+    """SQL text of the digits of ``index`` (below ``rows``) in ``base``, mirrored at
+    the point: i = sum d_k base^k becomes sum d_k base^-(k+1)."""
+    terms, power = [], 1
+    while power < rows or not terms:
+        terms.append(f"CAST((CAST({index} AS BIGINT) div {power}L) % {base} AS DOUBLE)"
+                     f" * {sql_double(1.0 / (power * base))}")
+        power *= base
+    return "(" + " + ".join(terms) + ")"
+
+
+def indexed(base: DataFrame, key: str, rows: int) -> DataFrame:
+    """``(key, number)``: the rows numbered from 0 in the order of their keys."""
+    return row_numbers(base.select(key), [key], output="number", rows=rows)
+
+
+def halton_design(base: DataFrame, key: str, d: int) -> DataFrame:
+    """As :func:`saltelli_design` with the Halton sequence: the point of the n-th
+    row (from 1, by key) has the radical inverses of n in the first 2d primes.
+    Fills the cube more evenly than independent draws, so the indices' errors
+    fall faster with the rows.  Keys must be unique and not NULL."""
+    rows = base.count()
+    cols = [radical_inverse("(number + 1)", p, rows + 1) for p in first_primes(2 * d)]
+    return indexed(base, key, rows).selectExpr(
+        quote(key), *[f"{c} AS {'ab'[j // d]}_{j % d}" for j, c in enumerate(cols)])
+
+
+#: Generator of the lattice rule: its powers modulo the rows are the vector.
+LATTICE_GENERATOR = 76
+
+
+def lattice_design(base: DataFrame, key: str, d: int, generator: int = LATTICE_GENERATOR
+                   ) -> DataFrame:
+    """As :func:`saltelli_design` with a rank-1 lattice of Korobov's kind: the n-th
+    row (from 0, by key) of N has the coordinates frac((n + 1/2) g^j / N), j below
+    2d.  The products are exact (decimals); keys must be unique and not NULL."""
+    rows = max(base.count(), 1)
+    cols = [f"CAST((CAST(2 * number + 1 AS DECIMAL(19,0)) * {pow(generator, j, rows)})"
+            f" % {2 * rows} AS DOUBLE) / {sql_double(2.0 * rows)}" for j in range(2 * d)]
+    return indexed(base, key, rows).selectExpr(
+        quote(key), *[f"{c} AS {'ab'[j // d]}_{j % d}" for j, c in enumerate(cols)])
+
+
 def _points(problem: Problem, transform: Callable[[int, Column], Column] | None):
     d = problem.d
     xa, xb = [], []

@@ -24,6 +24,7 @@ from riskframe.operators import profile as PR
 from riskframe.operators import sampling as S
 from riskframe.operators import scoring as SC
 from riskframe.operators import sensitivity as Y
+from riskframe.operators import stages as ST
 from riskframe.operators import training as TR
 from riskframe.plans import features as FE
 from riskframe.plans.jobs import prepare
@@ -360,6 +361,56 @@ def q_eval_by_split(spark, sf):
     return rounded(M.evaluate_by(predictions(spark, sf), "split", P.TARGET))
 
 
+def scratch(spark, name: str) -> str:
+    """A new folder under the shared checkpoint folder."""
+    import uuid
+    from riskframe.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskframe-{name}/{uuid.uuid4().hex}"
+
+
+def saved_literal_bundle(spark, sf) -> str:
+    """A bundle of the fixed-weight network with its fitted dictionary and scaler,
+    saved as the training job saves one; its folder."""
+    from riskframe.plans import jobs
+    plan, _, scaler = prepare(loans(spark, sf), "full", P.SEED)
+    path = scratch(spark, "bundle") + "/model"
+    jobs.save_bundle(spark, path, "full", plan, scaler, literal_model(len(plan.features)))
+    return path
+
+
+def q_saved_report(spark, sf):
+    """V8: classification reports of a saved and reloaded model, test and all."""
+    from riskframe.plans import jobs
+    out = jobs.report_saved(loans(spark, sf), saved_literal_bundle(spark, sf))["report"]
+    return rounded(out.where("split IN ('test', 'all')"))
+
+
+def q_saved_confusion(spark, sf):
+    """V8: confusion matrices of a saved and reloaded model, test and all."""
+    from riskframe.plans import jobs
+    out = jobs.report_saved(loans(spark, sf), saved_literal_bundle(spark, sf))["confusion"]
+    return rounded(out.where("split IN ('test', 'all')"))
+
+
+def q_saved_pipeline_score(spark, sf):
+    """Dictionary, scaler and network as one ML pipeline, saved, loaded and
+    applied to the raw rows."""
+    from pyspark.ml import PipelineModel
+    rows = filtered(spark, sf)
+    labels = ST.LabelDictionaryEstimator(columns=P.CATEGORICAL).fit(rows)
+    sample = cut_lineage(S.balanced_undersample(rows, P.TARGET, P.KEY, seed=P.SEED))
+    split = cut_lineage(S.random_split(sample, P.KEY, (P.TEST_FRACTION, P.VAL_FRACTION),
+                                       seed=P.SEED))
+    scaler = ST.StandardizationEstimator(columns=P.FULL_FEATURES).fit(
+        labels.transform(split.where("split = 'train'")))
+    network = ST.DenseNetworkModel(columns=P.FULL_FEATURES, threshold=P.THRESHOLD,
+                                   network=literal_model(len(P.FULL_FEATURES)).to_json())
+    path = scratch(spark, "pipeline")
+    PipelineModel([labels, scaler, network]).write().overwrite().save(path)
+    out = PipelineModel.load(path).transform(split)
+    return rounded(out.select("id", "split", P.TARGET, "probability", "prediction"))
+
+
 def sweep_results(spark, sf) -> DataFrame:
     """Test accuracy of one fixed-weight network per hidden size, scored in
     one pass: ``(config_idx, neurons, accuracy)``."""
@@ -420,6 +471,18 @@ def q_sobol_design(spark, sf):
     return rounded(Y.saltelli_design(plan.frame, P.KEY, len(plan.features), seed=P.SEED))
 
 
+def q_sobol_design_halton(spark, sf):
+    """Y2: Halton points over the loans in the order of their keys."""
+    plan = full_plan(spark, sf)
+    return rounded(Y.halton_design(plan.frame, P.KEY, len(plan.features)))
+
+
+def q_sobol_design_lattice(spark, sf):
+    """Y2: rank-1 lattice points over the loans in the order of their keys."""
+    plan = full_plan(spark, sf)
+    return rounded(Y.lattice_design(plan.frame, P.KEY, len(plan.features)))
+
+
 def q_sobol_indices(spark, sf):
     out, feats = sobol_outputs(spark, sf)
     return rounded(Y.sobol_indices(out, feats))
@@ -567,9 +630,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bce": q_bce,
     "eval_by_split": q_eval_by_split,
     "best_config": q_best_config,
+    "saved_report": q_saved_report,
+    "saved_confusion": q_saved_confusion,
+    "saved_pipeline_score": q_saved_pipeline_score,
     "embedding_score": q_embedding_score,
     "embedding_anova": q_embedding_anova,
     "sobol_design": q_sobol_design,
+    "sobol_design_halton": q_sobol_design_halton,
+    "sobol_design_lattice": q_sobol_design_lattice,
     "sobol_indices": q_sobol_indices,
     "sobol_pairs": q_sobol_pairs,
     "sobol_conf": q_sobol_conf,

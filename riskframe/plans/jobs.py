@@ -76,16 +76,7 @@ def train_and_evaluate(loans: DataFrame, out_dir: str, preset: str = "full",
     report = M.classification_report(test, plan.target, "prediction", [0, 1])
     confusion = M.confusion_matrix(test, plan.target, "prediction", [0, 1])
     history = TR.history_frame(spark, [h for m in models for h in m.history])
-    bundle = {"preset": preset, "balanced": json.dumps(balance), "features": json.dumps(plan.features),
-              "mlp": best.to_json(), "scaler": scaler.to_json(),
-              "labels": json.dumps(plan.label_encoding is not None)}
-    if plan.label_encoding is not None:
-        plan.label_encoding.save(_labels_of(f"{out_dir}/model"))
-    if plan.one_hot is not None:
-        bundle["one_hot"] = json.dumps(plan.one_hot.categories)
-    if plan.risk_scaler is not None:
-        bundle["risk_scaler"] = plan.risk_scaler.to_json()
-    IO.save_model(spark, f"{out_dir}/model", bundle)
+    save_bundle(spark, f"{out_dir}/model", preset, plan, scaler, best, balance)
     IO.write_history(history, f"{out_dir}/history")
     IO.write_report(report, f"{out_dir}/report")
     IO.append_metrics(results.withColumn("run", F.lit(out_dir)), f"{out_dir}/metrics")
@@ -94,6 +85,22 @@ def train_and_evaluate(loans: DataFrame, out_dir: str, preset: str = "full",
         "confusion": confusion}
 
 
+def save_bundle(spark, model_dir: str, preset: str, plan: FE.FeaturePlan, scaler: E.Standardization,
+                network: SC.MLP, balance: bool = True) -> None:
+    """Everything that scoring needs: the fitted numbers as a one-row table,
+    the label dictionary as a table beside it."""
+    bundle = {"preset": preset, "balanced": json.dumps(balance),
+              "features": json.dumps(plan.features), "mlp": network.to_json(),
+              "scaler": scaler.to_json(), "labels": json.dumps(plan.label_encoding is not None)}
+    if plan.label_encoding is not None:
+        plan.label_encoding.save(_labels_of(model_dir))
+    if plan.one_hot is not None:
+        bundle["one_hot"] = json.dumps(plan.one_hot.categories)
+    if plan.risk_scaler is not None:
+        bundle["risk_scaler"] = plan.risk_scaler.to_json()
+    IO.save_model(spark, model_dir, bundle)
+
+
 def _labels_of(model_dir: str) -> str:
     """Folder of a bundle's label dictionary: a table beside the bundle."""
     return f"{model_dir.rstrip('/')}_labels"
@@ -117,18 +124,28 @@ def _apply_bundle(loans: DataFrame, bundle: dict, model_dir: str) -> tuple[DataF
     return df, feats
 
 
-def evaluate_saved(loans: DataFrame, model_dir: str, seed: int = P.SEED) -> DataFrame:
-    """V8: per-split and overall metrics of a saved bundle in one pass; the
-    split is re-derived deterministically from the same seed."""
-    spark = loans.sparkSession
-    bundle = IO.load_model(spark, model_dir)
+def score_saved(loans: DataFrame, model_dir: str, seed: int = P.SEED) -> DataFrame:
+    """The rows of the saved bundle's population with split, probability and
+    prediction; samples and split are re-derived from the same seed."""
+    bundle = IO.load_model(loans.sparkSession, model_dir)
     rows, feats = _apply_bundle(loans, bundle, model_dir)
     if json.loads(bundle.get("balanced", "true")):
         rows = S.balanced_undersample(rows, P.TARGET, P.KEY, seed=seed)
     split = S.random_split(rows, P.KEY, (P.TEST_FRACTION, P.VAL_FRACTION), seed=seed)
     scaled = E.Standardization.from_json(bundle["scaler"]).transform(split, feats)
-    scored = SC.score(scaled, SC.MLP.from_json(bundle["mlp"]), feats)
-    return M.evaluate_by(scored, "split", P.TARGET)
+    return SC.score(scaled, SC.MLP.from_json(bundle["mlp"]), feats)
+
+
+def evaluate_saved(loans: DataFrame, model_dir: str, seed: int = P.SEED) -> DataFrame:
+    """V8: per-split and overall metrics of a saved bundle in one pass."""
+    return M.evaluate_by(score_saved(loans, model_dir, seed), "split", P.TARGET)
+
+
+def report_saved(loans: DataFrame, model_dir: str, seed: int = P.SEED) -> dict[str, DataFrame]:
+    """V8: classification reports and confusion matrices of a saved bundle on
+    every split and on all rows, all from one scan of the scored rows."""
+    cube = cut_lineage(M.evaluation_cube(score_saved(loans, model_dir, seed), "split", P.TARGET))
+    return {"report": M.cube_report(cube), "confusion": M.cube_confusion(cube)}
 
 
 def explore(df: DataFrame, target: str = P.TARGET, key: str | None = P.KEY,

@@ -552,6 +552,37 @@ SELECT CASE WHEN grouping(split) = 1 THEN 'all' ELSE split END AS split,
        CAST(count(*) FILTER (WHERE loan_status = 1 AND prediction = 0) AS BIGINT) AS fn
 FROM preds GROUP BY GROUPING SETS ((split), ())"""
 
+SQL["saved_pipeline_score"] = SQL["mlp_score"]
+
+_POPS = ("pops AS (SELECT split, loan_status AS a, prediction AS p FROM preds WHERE split = 'test' "
+         "UNION ALL SELECT 'all', loan_status, prediction FROM preds),\n"
+         "cells AS (SELECT s.split, x.v AS actual, y.v AS predicted, (SELECT count(*) FROM pops "
+         "WHERE pops.split = s.split AND a = x.v AND p = y.v) AS count "
+         "FROM (SELECT DISTINCT split FROM pops) s, (VALUES (0), (1)) x(v), (VALUES (0), (1)) y(v))")
+SQL["saved_confusion"] = with_(*_PRED, _POPS) + f"""
+SELECT split, actual, predicted, CAST(count AS BIGINT) AS count,
+       {R('coalesce(count / nullif(sum(count) OVER (PARTITION BY split, actual), 0), 0.0)')} AS fraction
+FROM cells"""
+
+_PER_POP = ("cls AS (SELECT split, v AS class, "
+            "sum(count) FILTER (WHERE actual = v) AS support, "
+            "sum(count) FILTER (WHERE predicted = v) AS said, "
+            "sum(count) FILTER (WHERE actual = v AND predicted = v) AS tp "
+            "FROM cells, (VALUES (0), (1)) c(v) GROUP BY split, v),\n"
+            "pr AS (SELECT *, coalesce(tp / nullif(said, 0), 0.0) AS pre, "
+            "coalesce(tp / nullif(support, 0), 0.0) AS rec FROM cls),\n"
+            "prf AS (SELECT *, coalesce(2 * pre * rec / nullif(pre + rec, 0), 0.0) AS f FROM pr)")
+SQL["saved_report"] = with_(*_PRED, _POPS, _PER_POP) + f"""
+SELECT split, CAST(class AS VARCHAR) AS label, {R('pre')} AS precision, {R('rec')} AS recall,
+       {R('f')} AS f1, CAST(support AS BIGINT) AS support FROM prf
+UNION ALL SELECT split, 'accuracy', NULL, NULL, {R('sum(tp) / sum(support)')}, CAST(sum(support) AS BIGINT)
+FROM prf GROUP BY split
+UNION ALL SELECT split, 'macro avg', {R('avg(pre)')}, {R('avg(rec)')}, {R('avg(f)')},
+       CAST(sum(support) AS BIGINT) FROM prf GROUP BY split
+UNION ALL SELECT split, 'weighted avg', {R('sum(pre * support) / sum(support)')},
+       {R('sum(rec * support) / sum(support)')}, {R('sum(f * support) / sum(support)')},
+       CAST(sum(support) AS BIGINT) FROM prf GROUP BY split"""
+
 _SWEEP = [5, 10, 15, 20]
 _SW_MODELS = {f"p{i}": _literal(h, 0.37 * i) for i, h in enumerate(_SWEEP)}
 SQL["best_config"] = with_(
@@ -580,6 +611,28 @@ SQL["sobol_design"] = with_(FILTERED, FULL, _DESIGN) + (
     "SELECT id, " + ", ".join([f"{R(f'a_{j}')} AS a_{j}" for j in range(_D)]
                                + [f"{R(f'b_{j}')} AS b_{j}" for j in range(_D)]) + " FROM design")
 
+
+
+def _mirrored(index: str, base: int, digits: int) -> str:
+    """Radical inverse by the digits of the index."""
+    return " + ".join(f"CAST(({index} // CAST({base ** k} AS BIGINT)) % {base} AS DOUBLE) / "
+                      f"CAST({base ** (k + 1)} AS DOUBLE)" for k in range(digits))
+
+
+_PRIMES = [2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47, 53, 59, 61, 67, 71, 73, 79]
+_NUMBERED = "numbered AS (SELECT id, row_number() OVER (ORDER BY id) AS k, count(*) OVER () AS n FROM full_enc)"
+_AB = [f"{x}_{j}" for x in "ab" for j in range(_D)]
+SQL["sobol_design_halton"] = with_(FILTERED, FULL, _NUMBERED) + "SELECT id, " + ", ".join(
+    f"{R(_mirrored('k', p, 1 + next(d for d in range(60) if p ** d > 10 ** 7)))} AS {c}"
+    for p, c in zip(_PRIMES, _AB)) + " FROM numbered"
+
+_GENERATORS = ",\n".join(
+    ["g0 AS (SELECT CAST(max(n) AS HUGEINT) AS big_n, CAST(1 AS HUGEINT) % max(n) AS z0 FROM numbered)"]
+    + [f"g{j} AS (SELECT *, z{j - 1} * 76 % big_n AS z{j} FROM g{j - 1})" for j in range(1, 2 * _D)])
+SQL["sobol_design_lattice"] = with_(FILTERED, FULL, _NUMBERED, _GENERATORS) + "SELECT id, " + ", ".join(
+    f"{R(f'CAST(((2 * (k - 1) + 1) * z{j}) % (2 * big_n) AS DOUBLE) / CAST(2 * big_n AS DOUBLE)')} AS {c}"
+    for j, c in enumerate(_AB)) + f" FROM numbered, g{2 * _D - 1}"
+
 _BOUNDS = ("bounds AS (SELECT " + ", ".join(
     f"min(CAST({c} AS DOUBLE)) AS lo_{c}, max(CAST({c} AS DOUBLE)) AS hi_{c}" for c in _FF)
     + " FROM full_enc)")
