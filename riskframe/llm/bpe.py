@@ -13,7 +13,8 @@ whole table fits, nothing is left for the join.
 
 Cases: a null or empty text has no ids and decodes to the empty text; texts of
 any length are encoded whole; equal texts get equal ids; an empty table gives
-an empty result; further columns pass through.
+an empty result; further columns pass through, and one named like a result is
+replaced by it.
 """
 
 from __future__ import annotations
@@ -178,18 +179,25 @@ def split_hot(table: DataFrame, kind: str, hot_bytes: int = HOT_BYTES
 
 
 def encode(docs: DataFrame, text: str = "text", ids: str = "ids", vocabulary: str | None = None,
-           hot_bytes: int = HOT_BYTES) -> DataFrame:
-    """``docs`` plus the token ids of ``text`` (array of int)."""
+           hot_bytes: int = HOT_BYTES, decoded: str | None = None,
+           keep: list[str] | None = None) -> DataFrame:
+    """``docs`` plus the token ids of ``text`` (array of int); with ``decoded``
+    also the text that the ids decode to, in the same pass: the pieces of each
+    distinct word's ids are looked up once.  ``keep`` names the columns that pass
+    through, by default all; one named like a result is replaced by it."""
     vocabulary = vocabulary or default_vocabulary()
     kind = id_type(vocabulary)
     packed, rest = split_hot(word_table(docs, text, vocabulary), kind, hot_bytes)
-    shared = docs.sparkSession.sparkContext.broadcast(packed)
-    names = docs.columns
+    shared = docs.sparkSession.sparkContext.broadcast(
+        (packed, pieces(vocabulary) if decoded is not None else None))
+    new = {n.lower() for n in (ids, decoded) if n is not None}
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
+    place = names.index(text) if text in names else len(names)
     own, more, key = (fresh_name(docs, n) for n in ("the_text", "more", "text_key"))
     given = docs.withColumn(own, col(text))
     if rest is not None:
         def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hot = shared.value
+            hot = shared.value[0]
             for batch in batches:
                 for part in parts(batch, 1):
                     keys, words = [], []
@@ -210,46 +218,57 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", vocabulary: st
         given = given.join(found, key, "left").drop(key)
     else:
         given = given.withColumn(more, F.lit(None).cast("array<struct<word:string,ids:array<int>>>"))
+    at_more = max(place + 1, len(names))
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = shared.value
-        kept: dict[bytes, bytes] = {}
+        hot, piece = shared.value
+        kept: dict[bytes, bytes] = {}            # ids of a chunk
+        spelt: dict[bytes, bytes] = {}           # its pieces, each after a space
 
-        def remember(chunks: set[bytes], extra: list | None) -> None:
-            chunks = list(chunks)
+        def remember(chunks: list[bytes], extra: list | None) -> None:
             split = [parts_of(c.decode()) for c in chunks]
             starts, sizes = hot.look_up([w for p in split for w in p])
             joined = {x["word"]: np.array(x["ids"], dtype=kind).tobytes() for x in extra or ()}
             found = zip(starts.tolist(), sizes.tolist())
             for chunk, words in zip(chunks, split):
-                kept[chunk] = b"".join([hot.ids[s:s + n].tobytes() if n >= 0 else joined[w]
-                                        for w, (s, n) in zip(words, found)])
+                coded = b"".join([hot.ids[s:s + n].tobytes() if n >= 0 else joined[w]
+                                  for w, (s, n) in zip(words, found)])
+                kept[chunk] = coded
+                if piece is not None:
+                    spelt[chunk] = "".join(
+                        [" " + piece[i] for i in np.frombuffer(coded, kind).tolist()]).encode()
 
         for batch in batches:
-            for part in parts(batch, len(names)):
-                out = []
-                for t, extra in zip(part.column(len(names)).to_pylist(),
-                                    part.column(len(names) + 1).to_pylist()):
+            for part in parts(batch, place):
+                out, back = [], []
+                for t, extra in zip(part.column(place).to_pylist(),
+                                    part.column(at_more).to_pylist()):
                     chunks = split_words(t)
                     try:
                         out.append(b"".join([kept[c] for c in chunks]))
                     except KeyError:
                         if len(kept) > KEPT_WORDS:
                             kept.clear()
-                        remember({c for c in chunks if c not in kept}, extra)
+                            spelt.clear()
+                        remember(list({c for c in chunks if c not in kept}), extra)
                         out.append(b"".join([kept[c] for c in chunks]))
-                ids = np.frombuffer(b"".join(out), kind).astype(np.int32)
+                    if piece is not None:
+                        back.append(b"".join([spelt[c] for c in chunks])[1:])
+                flat = np.frombuffer(b"".join(out), kind).astype(np.int32)
                 ends = np.cumsum([0, *map(len, out)]) // np.dtype(kind).itemsize
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:len(names)], lists],
-                    [f"c{i}" for i in range(len(names) + 1)])
+                made = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))]
+                if piece is not None:
+                    made.append(pa.array(back, pa.binary()).cast(pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(names)], *made], schema.names)
 
-    types = [f.dataType for f in docs.schema.fields] + [T.ArrayType(T.IntegerType())]
+    types = [docs.schema[c].dataType for c in names] + [T.ArrayType(T.IntegerType())]
+    types += [T.StringType()] if decoded is not None else []
     schema = T.StructType([T.StructField(f"c{i}", t) for i, t in enumerate(types)])
     renamed = given.select(*[col(c).alias(f"c{i}") for i, c in enumerate(names)],
-                           col(own).alias("own"), col(more).alias("more"))
-    return map_arrow(renamed, positions, schema).toDF(*names, ids)
+                           *([col(own).alias("own")] if place == len(names) else []),
+                           col(more).alias("more"))
+    return map_arrow(renamed, positions, schema).toDF(
+        *names, ids, *([decoded] if decoded is not None else []))
 
 
 def pieces(vocabulary: str | None = None) -> list[str]:

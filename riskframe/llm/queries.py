@@ -87,13 +87,12 @@ def op8_token_shards(spark: SparkSession, sf: str) -> DataFrame:
 
 def op9_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """Digests of every document's token ids and of what they decode to."""
-    coded = bpe.encode(table(spark, sf, "documents").select("doc_id", "text"))
-    digests = coded.select(
+    coded = bpe.encode(table(spark, sf, "documents").select("doc_id", "text"),
+                       decoded="decoded", keep=["doc_id"])
+    return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        "ids")
-    return bpe.decode(digests).select("doc_id", "n_tokens", "ids_sha256",
-                                      F.sha2("decoded", 256).alias("decoded_sha256"))
+        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op10_url_filter(spark: SparkSession, sf: str) -> DataFrame:

@@ -24,7 +24,6 @@ only the text and key columns are read, others may have any name.
 
 from __future__ import annotations
 
-import base64
 import uuid
 import zlib
 from array import array
@@ -39,6 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.llm.bytebpe import default_pattern, encode_text, load_encoding
 from riskframe.llm.common import col, map_arrow
 from riskframe.llm.words import parts
 from riskframe.session import ensure_checkpoint_dir
@@ -48,11 +48,6 @@ SHARD_SLOTS = 8192
 KEY = 0x5EED_0F_0DE5
 ROUNDS = 4
 DOCUMENT_END = 50256
-#: White space that words can't be told apart by: more than one single space or
-#: line end in a row, or any other kind.
-_ODD = ["  ", "\n ", " \n", *(chr(c) for c in range(0x3001) if chr(c).isspace() and c not in (32, 10))]
-#: Distinct words with their ids that a task keeps at hand.
-KEPT_WORDS = 800_000
 
 
 def default_vocabulary() -> str:
@@ -62,55 +57,17 @@ def default_vocabulary() -> str:
 
 
 class Coder:
-    """Byte BPE ids of whole texts.
-
-    A word and the one space before it are always pieces of their own, so words
-    are remembered; a text with other white space next to a space goes to the
-    tokenizer whole."""
+    """Byte BPE ids of whole texts."""
 
     def __init__(self, vocabulary: str):
-        import public_tokenizers
-        import tiktoken
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN,
-                                       mergeable_ranks=ranks, special_tokens={})
-        self.kept: dict[str, bytes] = {}
-        self.ends: dict[str, bytes] = {}
-
-    def chunk(self, text: str) -> bytes:
-        return array("H", self.plain.encode_ordinary(text)).tobytes()
-
-    def remember(self, words: list[str]) -> None:
-        """Ids of words after a space.  Full stops and commas at the end are a
-        piece of their own, so the letters before them serve all endings."""
-        kept = self.kept
-        for w in words:
-            if w not in kept:
-                body = w.rstrip(".,")
-                if len(body) == len(w) or not body.isalpha():
-                    kept[w] = self.chunk(" " + w)
-                    continue
-                if body not in kept:
-                    kept[body] = self.chunk(" " + body)
-                tail = w[len(body):]
-                if (ends := self.ends.get(tail)) is None:
-                    ends = self.ends[tail] = self.chunk(tail)
-                kept[w] = kept[body] + ends
+        self.plain = load_encoding(vocabulary, default_pattern())
+
+    def count(self, text: str) -> int:
+        return len(encode_text(self.plain, text))
 
     def ids(self, text: str) -> bytes:
         """Little-endian ids of a whole text."""
-        if not text or text[0] == " " or text[-1] == " " or any(x in text for x in _ODD):
-            return self.chunk(text)
-        first, *words = text.split(" ")
-        kept = self.kept
-        try:
-            return self.chunk(first) + b"".join([kept[w] for w in words])
-        except KeyError:
-            if len(kept) > KEPT_WORDS:
-                kept.clear()
-            self.remember(words)
-            return self.chunk(first) + b"".join([kept[w] for w in words])
+        return array("H", encode_text(self.plain, text)).tobytes()
 
 
 def feistel(numbers: np.ndarray, total: int, key: int = KEY, rounds: int = ROUNDS,
@@ -217,7 +174,11 @@ def write_shards(docs: DataFrame, key: str = "doc_id", text: str = "text",
     given = docs.select(col(key).cast("string").alias("key"), col(text).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(1 for _ in _packed(batches, vocabulary, sequence))
+        coder, ids = Coder(vocabulary), 0
+        for batch in batches:
+            for some in parts(batch, 1):
+                ids += sum(coder.count(t or "") + 1 for t in some.column(1).to_pylist())
+        n = -(-ids // sequence)
         yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()),
                                           "n": pa.array([n], pa.int64())})
 
@@ -259,8 +220,8 @@ def write_shards(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     n_shards = -(-total // shard_slots)
     dealt = map_arrow(given, deal, "shard int, slot bigint, first_key string, n_ids int, block binary")
-    parts = max(1, min(n_shards, 20_000))
-    ranged = dealt.repartitionById(parts, (F.col("shard") % parts).cast("int")) \
+    tasks = max(1, min(n_shards, 20_000))
+    ranged = dealt.repartitionById(tasks, (F.col("shard") % tasks).cast("int")) \
         .sortWithinPartitions("shard", "slot")
     layout = Layout(path, total, sequence, shard_slots)
 

@@ -4,6 +4,7 @@ empty and very long texts, ties and repeated rows, empty tables, extra columns."
 import hashlib
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -269,6 +270,23 @@ def test_shards(spark, tmp_path):
     read = list(shards.read_slots(layout, 0, layout.total))
     got = Counter(int(x) for s, block in enumerate(read) for x in block[:rows[s].n_ids])
     assert got == want
+    # a text read back from its slots: the sequences of one input part in their first order
+    numbers = shards.feistel(np.arange(layout.total), layout.total, inverse=True)
+    in_order = [read[s] for s in np.argsort(numbers)]
+    sizes = [rows[s].n_ids for s in np.argsort(numbers)]
+    ids = [int(x) for block, n in zip(in_order, sizes) for x in block[:n]]
+    read_back, at = Counter(), 0
+    while at < len(ids):
+        end = ids.index(shards.DOCUMENT_END, at)
+        read_back[tuple(ids[at:end])] += 1
+        at = end + 1
+    assert read_back == Counter(tuple(coder.plain.encode_ordinary(t or "")) for t in texts)
+    for s, block in enumerate(read):
+        r = rows[s]
+        assert (r.shard, r.at) == (s // 50, s % 50 * layout.stride)
+        assert r.crc == zlib.crc32(block.astype("<u2").tobytes()) and r.first_key.isdigit()
+    again, same = shards.write_shards(docs, path=str(tmp_path / "again"), sequence=64, shard_slots=50)
+    assert {r.slot: r.crc for r in again.collect()} == {s: r.crc for s, r in rows.items()}
     resumed = list(shards.read_slots(layout, 70, 40))
     assert all((a == b).all() for a, b in zip(resumed, read[70:110], strict=True))
     assert sum((tmp_path / "out").joinpath(f).stat().st_size for f in
@@ -300,6 +318,10 @@ def test_bpe(spark, hot_bytes):
         want = library.encode(t or "", add_special_tokens=False).ids
         assert list(got[i].ids) == want
         assert got[i].decoded == library.decode(want, skip_special_tokens=False)
+    both = {r.ids2: r for r in bpe.encode(df, hot_bytes=hot_bytes, decoded="back", keep=["ids2"]).collect()}
+    assert both.keys() == got.keys()
+    for k, r in both.items():
+        assert (r.ids, r.back) == (got[k].ids, got[k].decoded)
     assert bpe.encode(df.limit(0)).count() == 0
 
 
