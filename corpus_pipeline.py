@@ -47,8 +47,8 @@ def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document that is left."""
-    return bpe.encode(docs.select("doc_id", "lang", "source", "text")).withColumn(
-        "n_tokens", F.size("ids").cast("long")).drop("text")
+    return bpe.encode(docs, keep=["doc_id", "lang", "source"]).withColumn(
+        "n_tokens", F.size("ids").cast("long"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
