@@ -10,8 +10,8 @@ Cases: a null text or a text without a letter is ``und`` with score 0; with
 nothing to learn from, every text is ``und``.  Equal cosines go to the label
 first in alphabetical order.  Rows are judged one by one, so repeated rows get
 equal answers; an empty table gives an empty result.  Any number of further
-columns passes through, a clash with an output name is an error of the caller
-and avoided by choosing ``prefix``.
+columns passes through; one named like a result (``pred``, ``score``) is replaced
+by it.
 """
 
 from __future__ import annotations
@@ -48,10 +48,10 @@ def letter_classes() -> np.ndarray:
     own: dict[int, int] = {}
     for cp in range(0x180):
         low = chr(cp).lower()
-        if chr(cp).isalpha() and len(low) == 1 and ord(low) < 0x180:
-            out[cp] = own.setdefault(ord(low), len(own) + 1)
+        if chr(cp).isalpha() and ord(low[0]) < 0x180:
+            out[cp] = own.setdefault(ord(low[0]), len(own) + 1)
     first, spare = len(own) + 1, LETTERS - len(own)
-    for cp in [*range(0x180, 0x30000)]:
+    for cp in range(0x180, 0x110000):
         c = chr(cp)
         if c.isalpha():
             low = ord(c.lower()[0])
@@ -157,7 +157,7 @@ def identify(docs: DataFrame, protos: dict[str, np.ndarray], text: str = "text",
     Only the text goes to Python; the rows keep all their columns."""
     labels = list(protos)
     matrix = np.array([protos[k] for k in labels]).reshape(len(labels), dimensions)
-    names = docs.columns
+    names = [c for c in docs.columns if c.lower() not in (pred.lower(), score.lower())]
     out = fresh_name(docs, "judged")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +183,7 @@ def identify(docs: DataFrame, protos: dict[str, np.ndarray], text: str = "text",
                     [*batch.columns[:len(names)], pa.array(preds, pa.string()),
                      pa.array(scores, pa.float64())], [f"c{i}" for i in range(len(names) + 2)])
 
-    types = [f.dataType for f in docs.schema.fields] + [T.StringType(), T.DoubleType()]
+    types = [docs.schema[c].dataType for c in names] + [T.StringType(), T.DoubleType()]
     schema = T.StructType([T.StructField(f"c{i}", t) for i, t in enumerate(types)])
     given = docs.select(*[col(c).alias(f"c{i}") for i, c in enumerate(names)],
                         col(text).alias(out))

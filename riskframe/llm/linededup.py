@@ -6,15 +6,16 @@ small sketch per task.  Lines whose estimate lies within ``margin`` of the
 threshold are counted exactly.  Lines on at least ``min_sites`` sites are
 boilerplate and leave their documents.
 
-With a ``max_share``, a document in which boilerplate makes up more than that
-share of the characters stays whole.  Without one (None), boilerplate leaves
-every document; only a text of nothing but boilerplate that has a near copy of
-the same kind stays whole, for document-level dedup to keep one of them.
+Boilerplate leaves every document, whatever its share of it.  Only a text of
+nothing but boilerplate that has a near copy of the same kind (five-word
+shingles, similarity 0.8) stays whole: it is a copied document, for
+document-level dedup to keep one of, not a page of repeated lines.
 
 Cases: a null text stays null and has no lines; blank lines are never
 boilerplate; a null site counts for no line; repeated rows count once per
 site; a line repeated within a document leaves at each place; an empty table
-gives an empty result; further columns pass through.
+gives an empty result; further columns pass through, and one named like a result
+is replaced by it.
 """
 
 from __future__ import annotations
@@ -30,7 +31,6 @@ MIN_SITES = 5
 #: errors of a sketch with 2^12 registers.
 MARGIN = 0.1
 SKETCH_BITS = 12
-MAX_SHARE = 0.5
 
 
 def line_array(text: Column) -> Column:
@@ -81,8 +81,7 @@ def _copies(found: DataFrame, key: str, text: str, hit: str) -> DataFrame:
 
 
 def remove_boilerplate(docs: DataFrame, text: str = "text", site: str = "source",
-                       min_sites: int = MIN_SITES, margin: float = MARGIN,
-                       max_share: float | None = MAX_SHARE) -> DataFrame:
+                       min_sites: int = MIN_SITES, margin: float = MARGIN) -> DataFrame:
     """``docs`` with the boilerplate lines taken out of ``text``, plus
     ``n_lines`` and ``n_removed``.
 
@@ -98,23 +97,18 @@ def remove_boilerplate(docs: DataFrame, text: str = "text", site: str = "source"
     # written as well: a text that very many rows repeat can be split in the join
     hits = shared_table(lines.join(found, "line", "left_semi")
                         .groupBy(col(key)).agg(F.collect_set("line").alias(hit)))
-    if max_share is None:
-        hits = hits.join(_copies(keyed.join(hits, key), key, text, hit), key, "left_anti")
+    hits = hits.join(_copies(keyed.join(hits, key), key, text, hit), key, "left_anti")
     joined = keyed.join(hits, key, "left")
     all_lines = line_array(col(text))
     kept = F.filter(all_lines, lambda x: ~F.coalesce(
         F.array_contains(col(hit), F.xxhash64(x)), F.lit(False)) | (F.length(F.trim(x)) == 0))
-    size = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.length(x))
-    planned = joined.withColumn(plan, F.when(col(hit).isNotNull(), F.struct(
-        kept.alias("kept"), (size(all_lines) - size(kept)).alias("gone"),
-        size(all_lines).alias("all"))))
+    planned = joined.withColumn(plan, F.when(col(hit).isNotNull(), kept))
     acts = col(plan).isNotNull()
-    if max_share is not None:
-        acts = acts & (col(plan)["gone"] <= F.lit(max_share) * col(plan)["all"])
     n_lines = F.when(col(text).isNotNull(), F.size(all_lines)).otherwise(0)
-    out = [F.when(acts, F.array_join(col(plan)["kept"], "\n")).otherwise(col(text)).alias(c)
-           if c == text else col(c) for c in docs.columns]
+    out = [F.when(acts, F.array_join(col(plan), "\n")).otherwise(col(text)).alias(c)
+           if c == text else col(c) for c in docs.columns
+           if c.lower() not in ("n_lines", "n_removed")]
     return planned.select(
         *out, n_lines.cast("long").alias("n_lines"),
-        F.when(acts, n_lines - F.size(col(plan)["kept"])).otherwise(0).cast("long")
+        F.when(acts, n_lines - F.size(col(plan))).otherwise(0).cast("long")
         .alias("n_removed"))

@@ -79,7 +79,7 @@ SELECT doc_id, least(doc_id, coalesce(b.least, doc_id)) AS class_id, coalesce(m.
 FROM d LEFT JOIN m USING (r) LEFT JOIN b USING (r)
 """
 
-SQL["op7_line_dedup"] = """
+SQL["op7_line_dedup"] = r"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, source, text,
                      string_split(text, chr(10)) AS lines FROM documents),
 l AS (SELECT r, source, unnest(lines) AS line, unnest(range(len(lines))) AS k FROM docs),
@@ -88,13 +88,24 @@ spread AS (SELECT line FROM l WHERE trim(line, ' ') <> '' GROUP BY line
 marked AS (SELECT l.r, l.line, l.k, spread.line IS NOT NULL AS gone
            FROM l LEFT JOIN spread ON l.line = spread.line),
 per AS (SELECT r, count(*) FILTER (WHERE gone) AS n_gone,
-               coalesce(sum(length(line)) FILTER (WHERE gone), 0) AS c_gone, sum(length(line)) AS c_all,
+               count(*) FILTER (WHERE NOT gone AND trim(line, ' ') <> '') AS n_own,
                coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '') AS kept
-        FROM marked GROUP BY r)
+        FROM marked GROUP BY r),
+bare AS (SELECT r, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w
+         FROM docs JOIN per USING (r) WHERE n_gone > 0 AND n_own = 0),
+s AS (SELECT DISTINCT r, unnest(list_transform(range(greatest(len(w) - 4, 1)),
+                         lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS g
+      FROM bare WHERE len(w) > 0),
+z AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+c AS (SELECT a.r, b.r AS o, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY ALL),
+copies AS (SELECT DISTINCT c.r FROM c JOIN z x ON x.r = c.r JOIN z y ON y.r = c.o
+           WHERE c.k * 10 >= 8 * (x.n + y.n - c.k)),
+final AS (SELECT docs.*, per.kept, per.n_gone, n_gone > 0 AND copies.r IS NULL AS acts
+          FROM docs LEFT JOIN per USING (r) LEFT JOIN copies USING (r))
 SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(lines) END AS n_lines,
-       CASE WHEN n_gone > 0 AND c_gone <= 0.5 * c_all THEN n_gone ELSE 0 END AS n_removed,
-       sha256(CASE WHEN n_gone > 0 AND c_gone <= 0.5 * c_all THEN kept ELSE text END) AS text_sha256
-FROM docs LEFT JOIN per USING (r)
+       CASE WHEN acts THEN n_gone ELSE 0 END AS n_removed,
+       sha256(CASE WHEN acts THEN kept ELSE text END) AS text_sha256
+FROM final
 """
 
 SQL["op10_url_filter"] = r"""

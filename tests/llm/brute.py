@@ -65,22 +65,23 @@ def leaks(docs, items):
     return out
 
 
-def without_boilerplate(rows, min_sites=5, max_share=0.5):
-    """rows: (text, site) -> texts without the lines spread over many sites."""
+def without_boilerplate(rows, min_sites=5):
+    """rows: (text, site) -> texts without the lines spread over many sites; near
+    copies of nothing but such lines stay."""
     sites = defaultdict(set)
     for text, site in rows:
         for line in (text or "").split("\n"):
             if line.strip(" ") and site is not None and text is not None:
                 sites[line].add(site)
-    out = []
+    out, bare = [], []
     for text, _ in rows:
-        if text is None:
-            out.append(None)
-            continue
-        lines = text.split("\n")
-        kept = [x for x in lines if len(sites[x]) < min_sites]
-        gone = sum(map(len, lines)) - sum(map(len, kept))
-        out.append("\n".join(kept) if gone and gone <= max_share * sum(map(len, lines)) else text)
+        kept = [x for x in (text or "").split("\n") if len(sites[x]) < min_sites]
+        out.append(None if text is None else "\n".join(kept))
+        bare.append(text is not None and out[-1] != text and not any(x.strip(" ") for x in kept))
+    emptied = [(i, rows[i][0]) for i in range(len(rows)) if bare[i]]
+    for (i, _, links), _n in near(emptied)[0].items():
+        if links:
+            out[i] = rows[i][0]
     return out
 
 

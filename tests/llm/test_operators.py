@@ -40,6 +40,11 @@ def test_language_id(spark):
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.95 * len(rows)
     assert all(0 <= r.score <= 1 and r.pred == 1 for r in rows)
     odd = spark.createDataFrame([(t,) for t in odd_texts(random.Random(1))], "text string")
+    letters = [c * 40 for c in "\u0130\U00030000\U000323af\u0434\u4e00"]
+    rare = langid.identify(spark.createDataFrame([(t, "x", 1) for t in letters],
+                                                 "text string, lang_pred string, Score int"), protos)
+    assert rare.columns == ["text", "lang_pred", "score"]       # columns of these names are replaced
+    assert all(r.lang_pred in protos for r in rare.collect())
     got = langid.identify(odd, protos).collect()
     for r in got:
         assert (r.lang_pred == "und") == (not any(c.isalpha() for c in r.text or ""))
@@ -240,6 +245,8 @@ def test_line_dedup(spark):
         rows.append(("\n".join(lines + [""] * (i % 3)), f"s{rng.randrange(9)}"))
     rows += [("\n".join(common), f"s{i}") for i in range(7)] + [(common[5], None), (None, "s1"), ("", "s2")]
     rows += [rows[0], rows[0]]
+    rows += [("\n".join([common[0], common[4], common[5], "x"]), f"t{i}") for i in range(3)]
+    rows += [(common[2] + "\n\n" + common[3], "u"), (common[4], "v")]
     df = spark.createDataFrame([(i, t, s, 1) for i, (t, s) in enumerate(rows)],
                                "doc_id long, text string, source string, line int")
     out = linededup.remove_boilerplate(df).orderBy("doc_id").collect()
@@ -247,6 +254,8 @@ def test_line_dedup(spark):
     assert [r.text for r in out] == want and want != [t for t, _ in rows]
     assert sum(r.n_removed for r in out) > 0 and all(r.line == 1 for r in out)
     assert linededup.remove_boilerplate(df.limit(0)).count() == 0
+    clash = linededup.remove_boilerplate(df.withColumn("N_removed", F.lit("x")))
+    assert clash.columns == [*df.columns, "n_lines", "n_removed"]
 
 
 # ------------------------------------------------------------------ shards
