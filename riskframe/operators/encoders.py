@@ -114,6 +114,41 @@ def one_hot(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return fit_one_hot(df, cols).transform(df)
 
 
+def one_hot_vector(df: DataFrame, cols: Sequence[str], output: str = "one_hot",
+                   dictionary: LabelDictionary | None = None) -> DataFrame:
+    """``df`` plus one sparse vector of all of ``cols``: the values of a column, in
+    the order of their codes, follow those of the columns before it.  NULL and
+    unseen values add nothing.  The width is the number of values altogether,
+    which only the vector type bounds; a row stores one entry per column.
+
+    The vector is a struct (size, indices, values) of ascending indices, as Spark
+    ML's sparse vectors are; :func:`as_ml_vector` turns it into one."""
+    fitted = dictionary or fit_label_dictionary(df, cols)
+    names, codes = df.columns, []
+    at = 0
+    for i, c in enumerate(cols):
+        part = fitted.of(c).select(F.col("value").alias(f"__value{i}"), F.col("code").alias(f"__code{i}"))
+        df = df.join(part, F.col(f"`{c}`").cast("string") == F.col(f"__value{i}"), "left")
+        codes.append((F.col(f"__code{i}") + at).cast("int"))
+        at += fitted.sizes[c]
+    indices = F.filter(F.array(*codes), lambda x: x.isNotNull())
+    vector = F.struct(F.lit(at).alias("size"), indices.alias("indices"),
+                      F.transform(indices, lambda x: F.lit(1.0)).alias("values"))
+    kept = [F.col(f"`{n}`") for n in names if n.lower() != output.lower()]
+    return df.select(*kept, vector.alias(output))
+
+
+def as_ml_vector(df: DataFrame, column: str) -> DataFrame:
+    """The sparse struct of :func:`one_hot_vector` as a Spark ML vector."""
+    from pyspark.ml.linalg import Vectors, VectorUDT
+
+    @F.udf(VectorUDT())
+    def vector(v):
+        return None if v is None else Vectors.sparse(v["size"], v["indices"], v["values"])
+
+    return df.withColumn(column, vector(F.col(f"`{column}`")))
+
+
 @dataclass
 class Standardization:
     """Fitted standard scaler (E4): ``(x - mean) / std`` with the population

@@ -292,49 +292,73 @@ def correlation(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 
 # --------------------------------------------------------------------- A9, A10
+#: Terms after which a continued fraction that has not settled is an error.
+MOST_TERMS = 10_000_000
+
+
 def _f_sf(f: float, d1: float, d2: float) -> float:
-    """Upper tail of the F distribution via the regularised incomplete beta
-    ``I_x(d2/2, d1/2)`` with ``x = d2 / (d2 + d1 f)`` (continued fraction)."""
+    """Upper tail of the F distribution: the regularised incomplete beta function
+    ``I_x(d2/2, d1/2)`` at ``x = d2 / (d2 + d1 f)``, accurate for any number of
+    rows: the logarithms of x and of the beta function are taken without
+    differences of large numbers."""
     if f is None or d1 <= 0 or d2 <= 0 or math.isnan(f):
         return float("nan")
     if f <= 0:
         return 1.0
-    x = d2 / (d2 + d1 * f)
-    a, b = d2 / 2.0, d1 / 2.0
-    return _betainc(a, b, x)
-
-
-def _betainc(a: float, b: float, x: float) -> float:
-    if x <= 0.0:
+    if math.isinf(f):
+        return 0.0
+    ratio = d1 * f / d2
+    return _betainc(d2 / 2.0, d1 / 2.0, -math.log1p(ratio), -math.log1p(1.0 / ratio),
+                    1.0 / (1.0 + ratio), ratio / (1.0 + ratio))
+
+
+def _stirling(x: float) -> float:
+    """lgamma(x) - ((x - 1/2) ln x - x + ln(2 pi)/2) for x of 10 or more."""
+    y = 1.0 / (x * x)
+    return (1 / 12 - y * (1 / 360 - y * (1 / 1260 - y * (1 / 1680 - y / 1188)))) / x
+
+
+def _log_beta(a: float, b: float) -> float:
+    """ln B(a, b)."""
+    a, b = max(a, b), min(a, b)
+    if a < 10:
+        return math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
+    # lgamma(a) - lgamma(a + b) by Stirling's series, the large terms cancelled by hand
+    gone = (b - (a - 0.5) * math.log1p(b / a) - b * math.log(a + b)
+            + _stirling(a) - _stirling(a + b))
+    if b < 10:
+        return math.lgamma(b) + gone
+    return ((b - 0.5) * math.log(b) - b + 0.5 * math.log(2 * math.pi) + _stirling(b)) + gone
+
+
+def _betainc(a: float, b: float, ln_x: float, ln_y: float, x: float, y: float,
+             beyond: float | None = None) -> float:
+    """I_x(a, b) for x + y = 1, given the logarithms of both: the even part of the
+    continued fraction, in terms of the distance from the mean so that nothing
+    cancels when x is next to 1, run until it has settled."""
+    if x <= 0.0 or y <= 0.0:
+        return 0.0 if x <= 0.0 else 1.0
+    if beyond is None:
+        beyond = (a + b) * y - b               # a - (a + b) x, from the smaller of the two
+    if beyond < 0:
+        return 1.0 - _betainc(b, a, ln_y, ln_x, y, x, -beyond)
+    front = math.exp(a * ln_x + b * ln_y - _log_beta(a, b))
+    if front == 0.0:
         return 0.0
-    if x >= 1.0:
-        return 1.0
-    ln_front = (math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-                + a * math.log(x) + b * math.log1p(-x))
-    if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - _betainc(b, a, 1.0 - x)
     tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 500):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((a + m2 - 1.0) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (a + b + m) * x / ((a + m2) * (a + m2 + 1.0))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < 1e-15:
-            break
-    return math.exp(ln_front) * h / a
+    h = a / (a + 1.0) * (beyond + 1.0) or tiny
+    c, d = h, 0.0
+    for n in range(1, MOST_TERMS):
+        top = (a + n - 1.0) / (a + 2 * n - 1.0) * n * (b - n) * x * x * (
+            (a + b + n - 1.0) / (a + 2 * n - 1.0))
+        bottom = (n + n * (b - n) * x / (a + 2 * n - 1.0)
+                  + (a + n) / (a + 2 * n + 1.0) * (beyond + 1.0 + n * (1.0 + y)))
+        d = 1.0 / (bottom + top * d or tiny)
+        c = bottom + top / c or tiny
+        h *= c * d
+        if abs(c * d - 1.0) < 1e-15:
+            return front / h
+    raise ArithmeticError(f"the tail of F with beta parameters {a}, {b} did not settle")
 
 
 @F.pandas_udf(T.DoubleType())

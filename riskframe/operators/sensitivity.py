@@ -184,6 +184,36 @@ def evaluate_design(design: DataFrame, key: str, problem: Problem,
     return inputs.select(key, *[model(cols).alias(name) for name, cols in sets.items()])
 
 
+def evaluate_design_long(design: DataFrame, key: str, problem: Problem,
+                         scored: Callable[[DataFrame], DataFrame], output: str = "probability",
+                         transform: Callable[[int, Column], Column] | None = None,
+                         second_order: bool = True) -> DataFrame:
+    """As :func:`evaluate_design` for a model that only scores tables (Y4): any
+    pipeline's ``transform``, say.  Each base row becomes its 2d + 2 points, one
+    row per point with the features as columns; ``scored`` adds the column
+    ``output`` and must keep the columns ``__key`` and ``__set``; the outputs are
+    folded back by one aggregate per key.  Unlike the compiled form this shuffles
+    the outputs (not the features)."""
+    xa, xb, d = _points(problem, transform)
+    inputs = design.select(F.col(f"`{key}`").alias("__key"),
+                           *[x.alias(f"xa_{j}") for j, x in enumerate(xa)],
+                           *[x.alias(f"xb_{j}") for j, x in enumerate(xb)])
+    A, B = [f"xa_{j}" for j in range(d)], [f"xb_{j}" for j in range(d)]
+    where = {"y_A": A, "y_B": B}
+    for j in range(d):
+        where[f"y_AB{j}"] = [B[i] if i == j else A[i] for i in range(d)]
+        if second_order:
+            where[f"y_BA{j}"] = [A[i] if i == j else B[i] for i in range(d)]
+    points = F.explode(F.array(*[F.struct(
+        F.lit(name).alias("__set"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(cols)])
+        for name, cols in where.items()]))
+    long = inputs.select("__key", points.alias("p")).select(
+        "__key", "p.__set", *[F.col(f"p.x{i}").alias(n) for i, n in enumerate(problem.names)])
+    return scored(long).groupBy("__key").agg(*[
+        F.max(F.when(F.col("__set") == name, F.col(output))).alias(name) for name in where]
+    ).withColumnRenamed("__key", key)
+
+
 def _quantities(d: int, second_order: bool) -> dict:
     """Per-row quantities (Spark SQL text) whose means give every estimator.
 

@@ -132,6 +132,15 @@ def q_one_hot(spark, sf):
     return oh.transform(df).select("id", *oh.output_columns())
 
 
+def q_one_hot_vector(spark, sf):
+    """E2 as one sparse vector: order status, customers and order keys, as many
+    entries as there are of them; each row's indices as text."""
+    df = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    out = E.one_hot_vector(df, ["o_orderstatus", "o_custkey", "o_orderkey"], "v")
+    return out.select("o_orderkey", F.col("v.size").cast("long").alias("width"),
+                      F.array_join(F.col("v.indices").cast("array<string>"), ",").alias("indices"))
+
+
 def q_standard_scale(spark, sf):
     plan = full_plan(spark, sf)
     sc = E.fit_standard_scaler(plan.frame, plan.features)
@@ -488,6 +497,19 @@ def q_sobol_indices(spark, sf):
     return rounded(Y.sobol_indices(out, feats))
 
 
+def q_sobol_indices_long(spark, sf):
+    """Y4 of a model that only scores tables: the design's points as rows, scored by
+    a fitted stage, folded back; the same indices as the compiled form."""
+    plan = full_plan(spark, sf)
+    feats = plan.features
+    problem, scaler = Y.problem_from_data(plan.frame, feats, with_scaler=True)
+    design = Y.saltelli_design(plan.frame, P.KEY, len(feats), seed=P.SEED)
+    stage = ST.DenseNetworkModel(columns=feats, network=literal_model(len(feats)).to_json())
+    out = Y.evaluate_design_long(design, P.KEY, problem, stage.transform, "probability",
+                                 lambda j, x: scaler.column(feats[j], source=x))
+    return rounded(Y.sobol_indices(out, feats))
+
+
 def q_sobol_pairs(spark, sf):
     out, feats = sobol_outputs(spark, sf)
     return rounded(Y.sobol_pairs(out, feats))
@@ -593,6 +615,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "age_bins": q_age_bins,
     "label_encode": q_label_encode,
     "one_hot": q_one_hot,
+    "one_hot_vector": q_one_hot_vector,
     "standard_scale": q_standard_scale,
     "select_dtypes": q_select_dtypes,
     "csv_source": q_csv_source,
@@ -639,6 +662,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sobol_design_halton": q_sobol_design_halton,
     "sobol_design_lattice": q_sobol_design_lattice,
     "sobol_indices": q_sobol_indices,
+    "sobol_indices_long": q_sobol_indices_long,
     "sobol_pairs": q_sobol_pairs,
     "sobol_conf": q_sobol_conf,
     "sobol_pairs_conf": q_sobol_pairs_conf,

@@ -804,3 +804,17 @@ SQL["sobol_pairs_conf"] = _boot_sql(P.SOBOL_BOOTSTRAP, second=True)
 
 # the same rows, whatever order the file has its columns in
 SQL["csv_by_name"] = SQL["csv_source"]
+
+SQL["sobol_indices_long"] = SQL["sobol_indices"]
+
+SQL["one_hot_vector"] = """
+WITH s AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT o_orderstatus AS v FROM orders)),
+c AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code
+      FROM (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS v FROM orders)),
+k AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code
+      FROM (SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS v FROM orders)),
+n AS (SELECT (SELECT count(*) FROM s) AS ns, (SELECT count(*) FROM c) AS nc, (SELECT count(*) FROM k) AS nk)
+SELECT o_orderkey, CAST(ns + nc + nk AS BIGINT) AS width,
+       s.code || ',' || (ns + c.code) || ',' || (ns + nc + k.code) AS indices
+FROM orders, n, s, c, k WHERE s.v = o_orderstatus AND c.v = CAST(o_custkey AS VARCHAR)
+  AND k.v = CAST(o_orderkey AS VARCHAR)"""

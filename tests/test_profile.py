@@ -148,6 +148,22 @@ def test_f_pvalue_known_values():
     assert PR._f_sf(3.4928, 2, 20) == pytest.approx(0.05, abs=1e-4)
 
 
+@pytest.mark.parametrize("rows", [30, 1e4, 1e9, 1e12])
+def test_f_pvalue_at_any_number_of_rows(rows):
+    # two degrees of freedom above: the tail is (1 + 2 f / d2) ^ (-d2 / 2)
+    for f in (1e-9, 0.1, 1.0, 3.0, 20.0, 200.0):
+        want = math.exp(-rows / 2 * math.log1p(2 * f / rows))
+        assert PR._f_sf(f, 2, rows) == pytest.approx(want, rel=1e-8)
+    # one degree: the normal tail in the limit; many: a sum of Poisson terms
+    if rows >= 1e9:
+        for f in (0.01, 1.0, 4.0, 30.0):
+            assert PR._f_sf(f, 1, rows) == pytest.approx(math.erfc(math.sqrt(f / 2)), rel=1e-6)
+            z = 10 * f / 2
+            tail = math.exp(-z) * sum(z ** k / math.factorial(k) for k in range(5))
+            assert PR._f_sf(f, 10, rows) == pytest.approx(tail, rel=1e-6)
+    assert PR._f_sf(math.inf, 3, rows) == 0.0 and PR._f_sf(0.0, 3, rows) == 1.0
+
+
 def test_histogram_matches_numpy(spark):
     rng = np.random.RandomState(3)
     v = rng.normal(size=500)

@@ -123,3 +123,30 @@ def test_low_discrepancy_designs_are_closer_to_ishigami(spark):
 
     base = spark.range(4096)
     assert error(Y.halton_design(base, "id", 3)) < error(Y.saltelli_design(base, "id", 3))
+
+
+def test_points_as_rows_equal_the_compiled_design(spark):
+    net = SC.rule_weights([3, 4, 1])
+    prob = Y.Problem(["a", "b.c", "d"], [(0.0, 2.0), (-1.0, 1.0), (5.0, 6.0)])
+    design = Y.saltelli_design(spark.range(60), "id", 3)
+    want = {r.id: r.asDict() for r in Y.evaluate_design(design, "id", prob, net).collect()}
+    stage = ST.DenseNetworkModel(columns=prob.names, network=net.to_json())
+    got = Y.evaluate_design_long(design, "id", prob, stage.transform).collect()
+    assert len(got) == 60
+    for r in got:
+        assert r.asDict() == pytest.approx(want[r.id], abs=1e-12)
+
+
+def test_one_hot_vectors(spark):
+    from riskframe.operators import encoders as E
+    rows = [("b", 10, "x"), ("a", 9, "x"), (None, None, "x"), ("b", 9, "x")]
+    df = spark.createDataFrame(rows, "c string, `n.o` int, V string")
+    out = E.one_hot_vector(df, ["c", "n.o"], "v")
+    got = {(r["c"], r["n.o"]): (r.v.size, r.v.indices, r.v["values"]) for r in out.collect()}
+    assert out.columns == ["c", "n.o", "v"]
+    assert got == {("b", 10): (4, [1, 2], [1.0, 1.0]), ("a", 9): (4, [0, 3], [1.0, 1.0]),
+                   (None, None): (4, [], []), ("b", 9): (4, [1, 3], [1.0, 1.0])}
+    vectors = {r["c"]: r.v for r in E.as_ml_vector(out, "v").collect()}
+    assert vectors["a"].toArray().tolist() == [1.0, 0.0, 0.0, 1.0]
+    wide = spark.range(20_000)
+    assert E.one_hot_vector(wide, ["id"]).select("one_hot.size").first()[0] == 20_000
