@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,9 +77,11 @@ def parts_of(chunk: str) -> tuple[str, ...]:
 
 
 def word_table(docs: DataFrame, text: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """(word, n, h, ids) of all distinct words, written to the shared folder.
-    ``n`` counts occurrences, ``h`` is the word's hash, ``ids`` its token ids."""
+    """(word, n, h, ids, packed) of all distinct words, written to the shared
+    folder.  ``n`` counts occurrences, ``h`` is the word's hash, ``ids`` its token
+    ids, ``packed`` the same in as few bytes as an id needs."""
     vocabulary = vocabulary or default_vocabulary()
+    kind = id_type(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks: Counter[bytes] = Counter()
@@ -109,13 +112,15 @@ def word_table(docs: DataFrame, text: str = "text", vocabulary: str | None = Non
                 coded = tokenizer.encode_batch(words, add_special_tokens=False)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(hashes(words).view(np.int64)),
-                     pa.array([x.ids for x in coded], pa.list_(pa.int32()))],
-                    ["word", "n", "h", "ids"])
+                     pa.array([x.ids for x in coded], pa.list_(pa.int32())),
+                     pa.array([np.array(x.ids, kind).tobytes() for x in coded], pa.binary())],
+                    ["word", "n", "h", "ids", "packed"])
 
     counted = (map_arrow(docs.select(col(text)).where(col(text).isNotNull()), count,
                          "word string, n bigint")
                .groupBy("word").agg(F.sum("n").alias("n")))
-    return shared_table(map_arrow(counted, encode, "word string, n bigint, h bigint, ids array<int>"))
+    return shared_table(map_arrow(counted, encode, "word string, n bigint, h bigint, ids array<int>, "
+                                           "packed binary"))
 
 
 def hashes(words: list[str]) -> np.ndarray:
@@ -127,15 +132,21 @@ class Packed:
     """Words as sorted 64-bit hashes with their ids end to end."""
 
     def __init__(self, table: pa.Table, kind: str):
-        """``table``: ``h`` and ``ids`` of the words; ``kind``: type of an id."""
+        """``table``: ``h`` and ``packed`` of the words; ``kind``: type of an id."""
         own = table["h"].to_numpy().view(np.uint64)
         order = np.argsort(own)
         self.hashes = own[order]
         if (self.hashes[1:] == self.hashes[:-1]).any():
             raise ValueError("two words share a hash")
-        taken = table["ids"].combine_chunks().take(pa.array(order))
-        self.ids = taken.flatten().to_numpy().astype(kind)
-        self.ends = np.cumsum(taken.value_lengths().to_numpy()).astype(np.uint32)
+        taken = table["packed"].take(pa.array(order)).combine_chunks()
+        if isinstance(taken, pa.ChunkedArray):
+            taken = pa.concat_arrays(taken.chunks) if taken.num_chunks else pa.array([], pa.binary())
+        sizes = pc.binary_length(taken).to_numpy() // np.dtype(kind).itemsize
+        self.ends = np.cumsum(sizes).astype(np.uint32)
+        start = taken.buffers()[1]
+        first = int(np.frombuffer(start, np.int32)[taken.offset]) if len(taken) else 0
+        n = int(sizes.sum())
+        self.ids = np.frombuffer(taken.buffers()[2], kind, n, first) if n else np.zeros(0, kind)
 
     def look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Start and number of the words' ids in ``ids``; -1 ids: not here."""
@@ -174,7 +185,7 @@ def split_hot(table: DataFrame, kind: str, hot_bytes: int = HOT_BYTES
     else:
         hot = table.where(power >= least)
         rest = table.where(power < least) if total > hot_bytes else None
-    packed = Packed(hot.select("h", "ids").toArrow(), kind)
+    packed = Packed(hot.select("h", "packed").toArrow(), kind)
     return packed, None if rest is None else rest.select("word", "ids")
 
 
