@@ -39,8 +39,9 @@ from riskframe.llm.words import parts, split_words
 HOT_BYTES = 160_000_000
 #: Distinct words a counting task holds before it passes them on.
 FLUSH_WORDS = 60_000
-#: Distinct chunks with their ids that a task keeps at hand.
-KEPT_WORDS = 80_000
+#: Distinct chunks with their ids and pieces that a task keeps at hand (some 300
+#: bytes each).
+KEPT_WORDS = 400_000
 #: Texts decoded together.
 ROWS = 128
 
@@ -200,7 +201,7 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", vocabulary: st
     kind = id_type(vocabulary)
     packed, rest = split_hot(word_table(docs, text, vocabulary), kind, hot_bytes)
     shared = docs.sparkSession.sparkContext.broadcast(
-        (packed, pieces(vocabulary) if decoded is not None else None))
+        (packed, [f" {p}".encode() for p in pieces(vocabulary)] if decoded is not None else None))
     new = {n.lower() for n in (ids, decoded) if n is not None}
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
     place = names.index(text) if text in names else len(names)
@@ -236,35 +237,30 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", vocabulary: st
         kept: dict[bytes, bytes] = {}            # ids of a chunk
         spelt: dict[bytes, bytes] = {}           # its pieces, each after a space
 
-        def remember(chunks: list[bytes], extra: list | None) -> None:
+        def remember(chunks: list[bytes], joined: dict[str, bytes]) -> None:
             split = [parts_of(c.decode()) for c in chunks]
             starts, sizes = hot.look_up([w for p in split for w in p])
-            joined = {x["word"]: np.array(x["ids"], dtype=kind).tobytes() for x in extra or ()}
             found = zip(starts.tolist(), sizes.tolist())
             for chunk, words in zip(chunks, split):
                 coded = b"".join([hot.ids[s:s + n].tobytes() if n >= 0 else joined[w]
                                   for w, (s, n) in zip(words, found)])
                 kept[chunk] = coded
                 if piece is not None:
-                    spelt[chunk] = "".join(
-                        [" " + piece[i] for i in np.frombuffer(coded, kind).tolist()]).encode()
+                    spelt[chunk] = b"".join([piece[i] for i in np.frombuffer(coded, kind).tolist()])
 
         for batch in batches:
             for part in parts(batch, place):
-                out, back = [], []
-                for t, extra in zip(part.column(place).to_pylist(),
-                                    part.column(at_more).to_pylist()):
-                    chunks = split_words(t)
-                    try:
-                        out.append(b"".join([kept[c] for c in chunks]))
-                    except KeyError:
-                        if len(kept) > KEPT_WORDS:
-                            kept.clear()
-                            spelt.clear()
-                        remember(list({c for c in chunks if c not in kept}), extra)
-                        out.append(b"".join([kept[c] for c in chunks]))
-                    if piece is not None:
-                        back.append(b"".join([spelt[c] for c in chunks])[1:])
+                texts = [split_words(t) for t in part.column(place).to_pylist()]
+                own = set().union(*texts)
+                if len(kept) + len(own) > KEPT_WORDS:
+                    kept.clear()
+                    spelt.clear()
+                remember([c for c in own if c not in kept],
+                         {x["word"]: np.array(x["ids"], dtype=kind).tobytes()
+                          for extra in part.column(at_more).to_pylist() for x in extra or ()})
+                out = [b"".join([kept[c] for c in chunks]) for chunks in texts]
+                back = [] if piece is None else [
+                    b"".join([spelt[c] for c in chunks])[1:] for chunks in texts]
                 flat = np.frombuffer(b"".join(out), kind).astype(np.int32)
                 ends = np.cumsum([0, *map(len, out)]) // np.dtype(kind).itemsize
                 made = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))]
