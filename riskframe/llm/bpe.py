@@ -20,7 +20,6 @@ replaced by it.
 from __future__ import annotations
 
 import os
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -45,8 +44,7 @@ KEPT_WORDS = 400_000
 #: Texts decoded together.
 ROWS = 128
 
-_TAIL = re.compile(r"([.,!?;:|&]+)\Z")
-_LOWER = {c: c + 32 for c in range(65, 91)}
+_TAIL = b".,!?;:|&"
 
 
 def default_vocabulary() -> str:
@@ -65,15 +63,15 @@ def load_tokenizer(vocabulary: str):
     return out
 
 
-def parts_of(chunk: str) -> tuple[str, ...]:
+def parts_of(chunk: bytes) -> tuple[bytes, ...]:
     """A chunk as one or two words: its lower-cased body, punctuation after an
     ASCII letter."""
-    if "<" in chunk:                      # may hold an added token, found as it is spelt
+    if b"<" in chunk:                     # may hold an added token, found as it is spelt
         return (chunk,)
-    low = chunk.translate(_LOWER)
-    found = _TAIL.search(low)
-    if found and found.start() and "a" <= low[found.start() - 1] <= "z":
-        return low[:found.start()], found[1]
+    low = chunk.lower()                   # of bytes: A-Z alone
+    body = low.rstrip(_TAIL)
+    if len(body) < len(low) and body[-1:].isalpha():
+        return body, low[len(body):]
     return (low,)
 
 
@@ -88,14 +86,14 @@ def word_table(docs: DataFrame, text: str = "text", vocabulary: str | None = Non
         chunks: Counter[bytes] = Counter()
 
         def passed_on() -> pa.RecordBatch:
-            words: Counter[str] = Counter()
+            words: Counter[bytes] = Counter()
             for chunk, n in chunks.items():
-                for word in parts_of(chunk.decode()):
+                for word in parts_of(chunk):
                     words[word] += n
             chunks.clear()
             return pa.RecordBatch.from_arrays(
-                [pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())],
-                ["word", "n"])
+                [pa.array(words.keys(), pa.binary()).cast(pa.string()),
+                 pa.array(words.values(), pa.int64())], ["word", "n"])
 
         for batch in batches:
             for part in parts(batch, 0):
@@ -124,7 +122,7 @@ def word_table(docs: DataFrame, text: str = "text", vocabulary: str | None = Non
                                            "packed binary"))
 
 
-def hashes(words: list[str]) -> np.ndarray:
+def hashes(words: list[str] | list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), dtype=np.uint64,
                        count=len(words))
 
@@ -149,7 +147,7 @@ class Packed:
         n = int(sizes.sum())
         self.ids = np.frombuffer(taken.buffers()[2], kind, n, first) if n else np.zeros(0, kind)
 
-    def look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Start and number of the words' ids in ``ids``; -1 ids: not here."""
         wanted = hashes(words)
         if not len(self.hashes):
@@ -214,12 +212,13 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", vocabulary: st
                 for part in parts(batch, 1):
                     keys, words = [], []
                     for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                        own = list({w for c in set(split_words(t)) for w in parts_of(c.decode())})
+                        own = list({w for c in set(split_words(t)) for w in parts_of(c)})
                         missing = np.nonzero(hot.look_up(own)[1] < 0)[0].tolist()
                         keys += [k] * len(missing)
                         words += [own[i] for i in missing]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys, pa.string()), pa.array(words, pa.string())], ["k", "word"])
+                        [pa.array(keys, pa.string()),
+                         pa.array(words, pa.binary()).cast(pa.string())], ["k", "word"])
 
         given = given.withColumn(key, F.sha2(col(text), 256))
         asked = map_arrow(given.where(col(own).isNotNull()).select(key, own), rare,
@@ -237,16 +236,27 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", vocabulary: st
         kept: dict[bytes, bytes] = {}            # ids of a chunk
         spelt: dict[bytes, bytes] = {}           # its pieces, each after a space
 
-        def remember(chunks: list[bytes], joined: dict[str, bytes]) -> None:
-            split = [parts_of(c.decode()) for c in chunks]
-            starts, sizes = hot.look_up([w for p in split for w in p])
-            found = zip(starts.tolist(), sizes.tolist())
-            for chunk, words in zip(chunks, split):
-                coded = b"".join([hot.ids[s:s + n].tobytes() if n >= 0 else joined[w]
-                                  for w, (s, n) in zip(words, found)])
-                kept[chunk] = coded
+        def remember(chunks: list[bytes], joined: dict[bytes, np.ndarray]) -> None:
+            split = [parts_of(c) for c in chunks]
+            words = [w for p in split for w in p]
+            starts, sizes = hot.look_up(words)
+            lost = np.flatnonzero(sizes < 0).tolist()
+            sizes[lost] = [len(joined[words[i]]) for i in lost]
+            ends = np.cumsum(sizes)
+            at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+            flat = hot.ids.take(at, mode="clip") if len(hot.ids) else np.zeros(len(at), kind)
+            for i in lost:
+                flat[ends[i] - sizes[i]:ends[i]] = joined[words[i]]
+            coded, wide = flat.tobytes(), np.dtype(kind).itemsize
+            spell = [] if piece is None else [piece[i] for i in flat.tolist()]
+            at, last, ends = 0, 0, ends.tolist()
+            for chunk, p in zip(chunks, split):
+                at += len(p)
+                end = ends[at - 1]
+                kept[chunk] = coded[last * wide:end * wide]
                 if piece is not None:
-                    spelt[chunk] = b"".join([piece[i] for i in np.frombuffer(coded, kind).tolist()])
+                    spelt[chunk] = b"".join(spell[last:end])
+                last = end
 
         for batch in batches:
             for part in parts(batch, place):
@@ -256,7 +266,7 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", vocabulary: st
                     kept.clear()
                     spelt.clear()
                 remember([c for c in own if c not in kept],
-                         {x["word"]: np.array(x["ids"], dtype=kind).tobytes()
+                         {x["word"].encode(): np.array(x["ids"], dtype=kind)
                           for extra in part.column(at_more).to_pylist() for x in extra or ()})
                 out = [b"".join([kept[c] for c in chunks]) for chunks in texts]
                 back = [] if piece is None else [
