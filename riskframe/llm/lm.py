@@ -6,9 +6,11 @@ The model predicts a token's class from the classes of the two tokens before
 it: ``s(w) = q_w . (C1 r_v + C2 r_u) + b_w``.  A class is the end, one of the
 most frequent words, or a group of all other words with the same ending; a word
 of a group gets the group's probability times its smoothed share in it, so the
-distribution covers every word.  Tasks train in numpy on their own rows, in
-rounds over disjoint slices of all training rows, and the parameters are
-averaged by tokens after every round.
+distribution covers every word.  Training runs in rounds over disjoint slices of
+all training rows.  A round deals its rows by a hash of the row to groups, whose
+number follows the training tokens; each group trains in numpy in the order of
+that hash, and the parameters are averaged by tokens in the order of the groups.
+Scores therefore do not depend on how the input is laid out in files.
 
 As contexts are pairs of classes, batched matrix products give the normaliser of
 every context, and tokens look up normalised log-probabilities.
@@ -55,7 +57,9 @@ SEED = 5
 SMOOTH = 0.1
 #: Distinct words a counting task holds before it passes them on.
 FLUSH_WORDS = 200_000
-#: Parameter rows that one averaging task takes on in the first of two steps.
+#: Training tokens of a group, on average.
+GROUP_TOKENS = 500_000
+#: Parameter rows that one averaging task takes on.
 FAN_IN = 64
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -140,23 +144,22 @@ def lexicon(counts: DataFrame, hot_words: int = HOT_WORDS) -> tuple[Lexicon, Dat
             place += 1
     # sums of the groups over all other words
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, mass = np.zeros(CLASSES), np.zeros(CLASSES)
+        n, k = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
         for batch in batches:
             at = np.array([ending(w.encode()) if w else 0 for w in batch.column(0).to_pylist()],
                           dtype=np.int64)
-            more = batch.column(1).to_numpy().astype(np.float64)
-            n += np.bincount(at, more, CLASSES)
-            mass += np.bincount(at, more + SMOOTH, CLASSES)
+            np.add.at(n, at, batch.column(1).to_numpy())
+            k += np.bincount(at, minlength=CLASSES)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(CLASSES)), pa.array(n), pa.array(mass)], ["kind", "n", "mass"])
+            [pa.array(np.arange(CLASSES)), pa.array(n), pa.array(k)], ["kind", "n", "k"])
 
-    n = np.bincount(kind, c, CLASSES).astype(np.float64)
-    mass = np.bincount(kind, c + SMOOTH, CLASSES).astype(np.float64)
-    for r in (map_arrow(rest, sums, "kind bigint, n double, mass double").groupBy("kind")
-              .agg(F.sum("n").alias("n"), F.sum("mass").alias("mass")).collect()):
+    n, k = np.zeros(CLASSES, np.int64), np.bincount(kind, minlength=CLASSES)
+    np.add.at(n, kind, c)
+    for r in (map_arrow(rest, sums, "kind bigint, n bigint, k bigint").groupBy("kind")
+              .agg(F.sum("n").alias("n"), F.sum("k").alias("k")).collect()):
         n[r["kind"]] += r["n"]
-        mass[r["kind"]] += r["mass"]
-    mass += SMOOTH                                        # one unseen word in every group
+        k[r["kind"]] += r["k"]
+    mass = n + SMOOTH * (k + 1)                           # one unseen word in every group
     log_mass = np.where(np.arange(CLASSES) > WORDS, np.log10(mass), 0.0)
     noise = (n + 1) / (n + 1).sum()
     return Lexicon({w.encode(): i for i, w in enumerate(words)}, kind, np.log10(c + SMOOTH),
@@ -246,7 +249,7 @@ class Model:
 class Trainer:
     """Adagrad on the noise-contrastive loss; a batch shares its noise words."""
 
-    def __init__(self, model: Model, noise: np.ndarray, seed: int):
+    def __init__(self, model: Model, noise: np.ndarray, seed: int | list[int]):
         self.m, self.rng = model, np.random.default_rng(seed)
         self.log_noise = np.log(noise * NOISE).astype(np.float32)
         self.edges = np.cumsum(noise)
@@ -266,22 +269,19 @@ class Trainer:
         gy = -1 / (1 + np.exp(np.clip(yes, -30, 30)))
         gn = 1 / (1 + np.exp(np.clip(-no, -30, 30)))
         dh = gy[:, None] * qw + gn @ qn
-        dr, dq, db = np.zeros_like(m.r), np.zeros_like(m.q), np.zeros_like(m.b)
-        np.add.at(dr, v, dh @ m.c[0].T)
-        np.add.at(dr, u, dh @ m.c[1].T)
-        np.add.at(dq, w, gy[:, None] * h)
-        np.add.at(dq, drawn, gn.T @ h)
-        np.add.at(db, w, gy)
-        np.add.at(db, drawn, gn.sum(axis=0))
+        read, dr = summed(np.concatenate([v, u]),
+                          np.concatenate([dh @ m.c[0].T, dh @ m.c[1].T]))
+        aimed, dq = summed(np.concatenate([w, drawn]),
+                           np.concatenate([np.column_stack([gy[:, None] * h, gy]),
+                                           np.column_stack([gn.T @ h, gn.sum(axis=0)])]))
         dc = np.stack([rv.T @ dh, ru.T @ dh])
-        for p, g, past in zip(m.parameters(), (dr, dq, dc, db), self.past):
-            g /= n
-            if p.ndim == 2:
-                past += (g * g).mean(axis=1) * n
-                p -= RATE * g / np.sqrt(past / n)[:, None]
-            else:
-                past += g * g * n
-                p -= RATE * g / np.sqrt(past / n)
+        for p, past, at, g in zip(m.parameters(), self.past, (read, aimed, slice(None), aimed),
+                                  (dr, dq[:, :-1], dc, dq[:, -1])):
+            g = g / n
+            square = (g * g).mean(axis=1) if p.ndim == 2 else g * g
+            past[at] += square * n
+            scale = np.sqrt(past[at] / n)
+            p[at] -= RATE * g / (scale[:, None] if p.ndim == 2 else scale)
         self.tokens += n
 
     def texts(self, ids: list[bytes]) -> None:
@@ -292,6 +292,14 @@ class Trainer:
             self.step(v[part], u[part], w[part])
 
 
+def summed(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct indexes of ``at``, ascending, and the sum of the ``rows`` of each."""
+    order = np.argsort(at, kind="stable")
+    ranked = at[order]
+    starts = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+    return ranked[starts], np.add.reduceat(rows[order], starts, axis=0)
+
+
 def contexts(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Classes of all tokens, of the token before each and of the one before
     that; before a text stand ends."""
@@ -304,22 +312,27 @@ def contexts(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return w, v, u
 
 
-def train(rows: DataFrame, noise: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Train on ``rows`` (row, ids): all of them, a slice in every round."""
+def train(rows: DataFrame, noise: np.ndarray, tokens: int, rounds: int = ROUNDS) -> Model:
+    """Train on ``rows`` (place, ids): all of them, a slice in every round.
+
+    ``place`` is a hash of the row that decides its round, its group and its
+    order there; ``tokens`` is the number of all tokens of ``rows``."""
     model = Model(noise)
     width = model.flat().size
     context = rows.sparkSession.sparkContext
+    groups = max(1, -(-tokens // (rounds * GROUP_TOKENS)))
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held = 0, np.zeros(width)
+        total, held, place = 0, np.zeros(width), 0
         for batch in batches:
-            for n, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for g, n, x in zip(*(c.to_pylist() for c in batch.columns)):
                 held += n * np.frombuffer(x, np.float32).astype(np.float64)
                 total += n
+                place = g // FAN_IN
         if total:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([total]), pa.array([(held / total).astype(np.float32).tobytes()])],
-                ["n", "x"])
+                [pa.array([place], pa.int32()), pa.array([total]),
+                 pa.array([(held / total).astype(np.float32).tobytes()])], ["g", "n", "x"])
 
     for k in range(rounds):
         start = context.broadcast(model.flat())
@@ -327,19 +340,32 @@ def train(rows: DataFrame, noise: np.ndarray, rounds: int = ROUNDS) -> Model:
         def learn(batches: Iterator[pa.RecordBatch], start=start, k=k) -> Iterator[pa.RecordBatch]:
             own = Model(noise)
             own.load(start.value)
-            trainer = Trainer(own, noise, SEED + k)
+            trainer, group = None, 0
             for batch in batches:
-                ids = batch.column(0).to_pylist()
+                ids = batch.column(1).to_pylist()
+                if trainer is None:
+                    group = batch.column(0)[0].as_py()
+                    trainer = Trainer(own, noise, [SEED, k, group])
                 for at in range(0, len(ids), 256):
                     trainer.texts(ids[at:at + 256])
-            if trainer.tokens:
+            if trainer is not None:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([trainer.tokens]), pa.array([own.flat().tobytes()])], ["n", "x"])
-
-        mine = rows.where(F.pmod(F.xxhash64(F.lit(3), "row"), F.lit(rounds)) == k).select("ids")
-        learnt = map_arrow(mine, learn, "n bigint, x binary")
-        once = map_arrow(learnt.repartition(FAN_IN), mean, "n bigint, x binary")
-        for r in map_arrow(once.repartition(1), mean, "n bigint, x binary").collect():
+                    [pa.array([group], pa.int32()), pa.array([trainer.tokens]),
+                     pa.array([own.flat().tobytes()])], ["g", "n", "x"])
+
+        dealt = F.pmod(F.xxhash64(F.lit(k), "place"), F.lit(groups)).cast("int")
+        mine = (rows.where(F.pmod(F.xxhash64(F.lit(-1), "place"), F.lit(rounds)) == k)
+                .withColumn("g", dealt).repartitionById(groups, "g")       # a group is one task
+                .sortWithinPartitions("place", "ids").select("g", "ids"))
+        learnt, left = map_arrow(mine, learn, "g int, n bigint, x binary"), groups
+        while True:
+            left = -(-left // FAN_IN)
+            learnt = map_arrow(
+                learnt.repartitionById(left, (F.col("g") / FAN_IN).cast("int"))
+                .sortWithinPartitions("g"), mean, "g int, n bigint, x binary")
+            if left == 1:
+                break
+        for r in learnt.collect():                        # one row
             model.load(np.frombuffer(bytes(r["x"]), np.float32))
     return model
 
@@ -385,7 +411,11 @@ def score(docs: DataFrame, train_on: Column, text: str = "text", rounds: int = R
     counts = count_words(given.where("learns"), "the_text")
     lex, rest = lexicon(counts, hot_words)
     coded = encoded(given, lex, "the_text")
-    model = train(coded.where("learns").select("row", "ids"), lex.noise, rounds)
+    # equal rows are interchangeable; maps have no hash
+    keys = [c for c in coded.columns if c.startswith("c") and c[1:].isdigit()
+            and "map<" not in coded.schema[c].dataType.simpleString()]
+    model = train(coded.where("learns").select(F.xxhash64(*keys, "ids").alias("place"), "ids"),
+                  lex.noise, lex.total, rounds)
     near = model.r @ model.c[0] @ model.q.T + model.b
     far = model.r @ model.c[1] @ model.q.T
     tables = spark.sparkContext.broadcast((near, far, normalisers(spark, model)))
