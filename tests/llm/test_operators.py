@@ -64,7 +64,8 @@ def test_bundles_are_sums_of_bound_letters():
 
 
 # ------------------------------------------------------------------ decontamination
-def test_decontamination(spark):
+@pytest.mark.parametrize("broadcast_bytes", [decontam.BROADCAST_BYTES, 0])
+def test_decontamination(spark, broadcast_bytes):
     rng = random.Random(2)
     items = [(i, prose(rng, n)) for i, n in enumerate([8, 9, 12, 13, 14, 30, 60])]
     items += [(7, None), (8, ""), (9, items[5][1])]
@@ -81,7 +82,8 @@ def test_decontamination(spark):
     docs += [(1000, None), (1001, ""), (None, items[4][1]), (1002, items[5][1]), (1002, items[5][1])]
     d = spark.createDataFrame(docs, "doc_id long, text string")
     b = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r.doc_id, r.item_id): r.n_match for r in decontam.overlaps(d, b, ["doc_id"]).collect()}
+    got = {(r.doc_id, r.item_id): r.n_match for r in decontam.overlaps(
+        d, b, ["doc_id"], broadcast_bytes=broadcast_bytes).collect()}
     want = brute.leaks(docs, items)
     assert got == want and len(want) > 20
     left = Counter(r.doc_id for r in decontam.remove_contaminated(d, b).collect())
@@ -90,6 +92,15 @@ def test_decontamination(spark):
     assert decontam.overlaps(d.limit(0), b, ["doc_id"]).count() == 0
 
 
+def test_long_item_and_long_document(spark):
+    """Work is linear in the length of an item that a document repeats."""
+    text = " ".join(f"w{i}" for i in range(30_000))
+    d = spark.createDataFrame([(1, text), (2, f"a b {text} c")], "doc_id long, text string")
+    b = spark.createDataFrame([(5, text)], "item_id long, text string")
+    got = sorted(map(tuple, decontam.overlaps(d, b, ["doc_id"]).collect()))
+    assert got == [(1, 5, 13, 0), (2, 5, 13, 2)]
+
+
 def test_masks_are_lossless():
     from itertools import combinations
     for gone in combinations(range(decontam.WINDOW), decontam.WINDOW - decontam.MATCHES):
@@ -141,6 +152,25 @@ def test_lm_counts_and_base_score(spark, hot_words):
         assert r.base_score == pytest.approx(want, rel=1e-9) and r.score < 0
 
 
+def test_lm_scores_do_not_follow_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(lm, "GROUP_TOKENS", 2_000)
+    rng = random.Random(8)
+    df = spark.createDataFrame([(i, prose(rng, 60)) for i in range(300)], "doc_id long, text string")
+    one, many = ({r.doc_id: r.score for r in lm.score(
+        df.repartition(n), F.col("doc_id") % 10 > 0, rounds=2).collect()} for n in (1, 7))
+    assert one.keys() == many.keys()
+    assert all(many[k] == pytest.approx(x, abs=1e-6) for k, x in one.items())
+
+
+def test_summed():
+    rng = np.random.default_rng(9)
+    at, rows = rng.integers(0, 20, 200), rng.normal(size=(200, 3))
+    want = np.zeros((20, 3))
+    np.add.at(want, at, rows)
+    places, sums = lm.summed(at, rows)
+    assert (places == np.unique(at)).all() and np.allclose(sums, want[places])
+
+
 def test_lm_is_normalised(spark):
     """Probabilities of all classes after a context, and of all words and the
     unseen one in a group, sum to one."""
