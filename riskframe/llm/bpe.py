@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import os
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,8 @@ from riskframe.llm.words import parts, split_words
 
 #: Bytes of packed words that may be broadcast.
 HOT_BYTES = 160_000_000
+#: Bytes of packed words that reach the driver at once.
+SLICE_BYTES = 24_000_000
 #: Distinct words a counting task holds before it passes them on.
 FLUSH_WORDS = 60_000
 #: Distinct chunks with their ids and pieces that a task keeps at hand (some 300
@@ -130,26 +132,30 @@ def hashes(words: list[str] | list[bytes]) -> np.ndarray:
 class Packed:
     """Words as sorted 64-bit hashes with their ids end to end."""
 
-    def __init__(self, table: pa.Table, kind: str):
-        """``table``: ``h`` and ``packed`` of the words; ``kind``: type of an id."""
-        own = table["h"].to_numpy().view(np.uint64)
-        order = np.argsort(own)
-        self.hashes = own[order]
+    def __init__(self, tables: Iterable[pa.Table], kind: str):
+        """``tables``: ``h`` and ``packed`` of the words, each table beyond the
+        hashes of the one before; ``kind``: type of an id."""
+        own, sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, kind)]
+        for table in tables:
+            if not table.num_rows:
+                continue
+            h = table["h"].to_numpy()
+            order = np.argsort(h)
+            own.append(h[order])
+            taken = pa.concat_arrays(table["packed"].chunks).take(pa.array(order))
+            sizes.append(pc.binary_length(taken).to_numpy() // np.dtype(kind).itemsize)
+            n = int(sizes[-1].sum())
+            if n:
+                ids.append(np.frombuffer(taken.buffers()[2], kind, n))
+        self.hashes = np.concatenate(own)
         if (self.hashes[1:] == self.hashes[:-1]).any():
             raise ValueError("two words share a hash")
-        taken = table["packed"].take(pa.array(order)).combine_chunks()
-        if isinstance(taken, pa.ChunkedArray):
-            taken = pa.concat_arrays(taken.chunks) if taken.num_chunks else pa.array([], pa.binary())
-        sizes = pc.binary_length(taken).to_numpy() // np.dtype(kind).itemsize
-        self.ends = np.cumsum(sizes).astype(np.uint32)
-        start = taken.buffers()[1]
-        first = int(np.frombuffer(start, np.int32)[taken.offset]) if len(taken) else 0
-        n = int(sizes.sum())
-        self.ids = np.frombuffer(taken.buffers()[2], kind, n, first) if n else np.zeros(0, kind)
+        self.ends = np.cumsum(np.concatenate(sizes)).astype(np.uint32)
+        self.ids = np.concatenate(ids)
 
     def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Start and number of the words' ids in ``ids``; -1 ids: not here."""
-        wanted = hashes(words)
+        wanted = hashes(words).view(np.int64)
         if not len(self.hashes):
             return np.zeros(len(words), np.int64), np.full(len(words), -1, np.int64)
         at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
@@ -162,6 +168,17 @@ def id_type(vocabulary: str) -> str:
     return "<u2" if load_tokenizer(vocabulary).get_vocab_size() <= 65536 else "<i4"
 
 
+def hash_slices(words: DataFrame, cost: int) -> Iterator[pa.Table]:
+    """``words`` in ascending ranges of ``h``, one after the other, so that the
+    driver holds ``SLICE_BYTES`` or so of them besides what it has packed."""
+    bits = max(0, (cost // SLICE_BYTES).bit_length())
+    if not bits:
+        yield words.toArrow()
+        return
+    for k in range(-2 ** (bits - 1), 2 ** (bits - 1)):
+        yield words.where(F.shiftright("h", 64 - bits) == k).toArrow()
+
+
 def split_hot(table: DataFrame, kind: str, hot_bytes: int = HOT_BYTES
               ) -> tuple[Packed, DataFrame | None]:
     """The packed frequent words and the rest of the table (null: none is left).
@@ -184,7 +201,7 @@ def split_hot(table: DataFrame, kind: str, hot_bytes: int = HOT_BYTES
     else:
         hot = table.where(power >= least)
         rest = table.where(power < least) if total > hot_bytes else None
-    packed = Packed(hot.select("h", "packed").toArrow(), kind)
+    packed = Packed(hash_slices(hot.select("h", "packed"), min(total, hot_bytes)), kind)
     return packed, None if rest is None else rest.select("word", "ids")
 
 

@@ -343,8 +343,10 @@ def test_feistel_is_a_permutation():
 
 
 # ------------------------------------------------------------------ BPE
-@pytest.mark.parametrize("hot_bytes", [bpe.HOT_BYTES, 2000, 0])
-def test_bpe(spark, hot_bytes):
+@pytest.mark.parametrize("hot_bytes, slice_bytes", [
+    (bpe.HOT_BYTES, bpe.SLICE_BYTES), (bpe.HOT_BYTES, 500), (2000, 500), (0, 500)])
+def test_bpe(spark, monkeypatch, hot_bytes, slice_bytes):
+    monkeypatch.setattr(bpe, "SLICE_BYTES", slice_bytes)
     rng = random.Random(11)
     texts = [prose(rng, rng.randint(1, 50)).title() + rng.choice([".", "!?", ",", "'s", ""])
              for _ in range(60)] + odd_texts(rng) + ["a.\u0301 ' ;x;", "<|ENDOFTEXT|>. <|startoftext|>,",
