@@ -32,6 +32,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskframe.llm.common import col, map_arrow, shared_table
-from riskframe.llm.words import parts, split_words
+from riskframe.llm.words import parts
 
 #: Classes: the end, WORDS frequent words, ENDINGS groups of other words.
 WORDS = 767
@@ -67,7 +68,7 @@ _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 def tokens_of(text: str | None) -> list[bytes]:
     """Lower-cased words of a text; its end is left to the caller."""
-    return split_words(text.encode("utf-8", "replace").translate(_LOWER).decode()) if text else []
+    return text.encode("utf-8", "replace").translate(_LOWER).split() if text else []
 
 
 def ending(word: bytes) -> int:
@@ -175,39 +176,46 @@ def encoded(docs: DataFrame, lex: Lexicon, text: str) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = known.value
-        code, end = lex.codes.get, lex.codes.get(b"", -1)
+        code = lex.codes.get
         for batch in batches:
             for part in parts(batch, len(names)):
-                ids, n, hot, hot_known, words, numbers, lost = [], [], [], [], [], [], []
-                shares = []
+                tokens, ends = [], []                     # of all texts, each with its end
                 for t in part.column(len(names)).to_pylist():
-                    tokens = tokens_of(t)
-                    at = np.array([code(w, -1) for w in tokens] + [end], dtype=np.int64)
-                    there = at >= 0
-                    kinds = np.zeros(len(at), dtype=np.int64)
-                    kinds[there] = lex.kind[at[there]]
-                    gone = np.nonzero(~there[:-1])[0].tolist()
-                    if gone:
-                        kinds[gone] = [ending(tokens[i]) for i in gone]
-                    rare = Counter(tokens[i] for i in gone)
-                    if end < 0:                           # the end itself may be unseen
-                        rare[b""] += 1
-                    in_group = there & (kinds > WORDS)
-                    ids.append(kinds.astype("<u2").tobytes())
-                    n.append(len(at))
-                    hot.append(float(lex.log_count[at[there]].sum()))
-                    hot_known.append(int(there.sum()))
-                    # of the score: shares of hot words in their groups, masses of all groups
-                    shares.append(float(lex.log_count[at[in_group]].sum() - lex.log_mass[kinds].sum()))
+                    tokens += tokens_of(t)
+                    tokens.append(b"")
+                    ends.append(len(tokens))
+                starts = np.array([0, *ends[:-1]])
+                at = np.fromiter(map(code, tokens, repeat(-1)), np.int64, len(tokens))
+                there = at >= 0
+                kinds, logs = np.zeros(len(at), dtype=np.int64), np.zeros(len(at))
+                kinds[there] = lex.kind[at[there]]
+                logs[there] = lex.log_count[at[there]]
+                gone = np.flatnonzero(~there)
+                unseen = [tokens[i] for i in gone.tolist()]   # the end itself may be unseen
+                kinds[gone] = [ending(w) if w else 0 for w in unseen]
+                # of the score: shares of hot words in their groups, masses of all groups
+                shares = np.add.reduceat(np.where(kinds > WORDS, logs, 0.0) - lex.log_mass[kinds],
+                                         starts)
+                n = np.array(ends) - starts
+                hot = np.add.reduceat(logs, starts)
+                hot_known = np.add.reduceat(there, starts, dtype=np.int64)
+                words, numbers, lost, last = [], [], [], 0
+                for upto in np.searchsorted(gone, ends).tolist():
+                    rare = Counter(unseen[last:upto])
                     words += [w.decode() for w in rare]
                     numbers += rare.values()
                     lost.append(len(rare))
+                    last = upto
+                ids = pa.Array.from_buffers(
+                    pa.binary(), len(ends),
+                    [None, pa.py_buffer(np.array([0, *ends], np.int32) * np.int32(2)),
+                     pa.py_buffer(kinds.astype("<u2"))])
                 structs = pa.StructArray.from_arrays(
                     [pa.array(words, pa.string()), pa.array(numbers, pa.int64())], ["word", "n"])
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.cumsum([0, *lost]).astype(np.int32)), structs)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:len(names)], pa.array(ids, pa.binary()),
+                    [*part.columns[:len(names)], ids,
                      pa.array(n, pa.int64()), pa.array(hot, pa.float64()),
                      pa.array(hot_known, pa.int64()), pa.array(shares, pa.float64()), lists],
                     [*names, "ids", "n_tokens", "hot", "hot_known", "shares", "rare"])
