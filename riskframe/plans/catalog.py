@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +30,7 @@ from riskframe.operators import training as TR
 from riskframe.plans import features as FE
 from riskframe.plans.jobs import prepare
 from riskframe.session import cut_lineage
+from riskframe.sources import io as IO
 from riskframe.sources.tables import embedding_features, loans, table
 
 
@@ -151,6 +153,17 @@ def q_features_full(spark, sf):
     return rounded(full_plan(spark, sf).frame)
 
 
+def q_features_raw_with_id(spark, sf):
+    """The preset that keeps the key as a feature, assembled into
+    one vector whose places are the columns here."""
+    df = loans(spark, sf)
+    FL.require_target(df, P.TARGET)
+    plan = FE.raw_with_id_features(df)
+    places = vector_to_array(F.col("features"))
+    return rounded(E.assemble(plan.frame, plan.features).select(
+        *[places[i].alias(f"f_{i}") for i in range(len(plan.features))], P.TARGET))
+
+
 def q_features_subset(spark, sf):
     return rounded(FE.subset_features(loans(spark, sf)).frame)
 
@@ -166,7 +179,6 @@ def q_csv_source(spark, sf):
     back with the explicit schema (NULLs written as empty fields)."""
     import uuid
     from riskframe.session import ensure_checkpoint_dir
-    from riskframe.sources import io as IO
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskframe-csv/{uuid.uuid4().hex}"
     loans(spark, sf).write.option("header", True).csv(path)
     return rounded(IO.read_csv(spark, path, P.LOAN_SCHEMA))
@@ -177,7 +189,6 @@ def q_csv_by_name(spark, sf):
     one more among them; they are read by name."""
     import uuid
     from riskframe.session import ensure_checkpoint_dir
-    from riskframe.sources import io as IO
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskframe-csv/{uuid.uuid4().hex}"
     given = loans(spark, sf)
     turned = given.select(F.lit("x").alias("further"), *reversed(given.columns))
@@ -370,6 +381,24 @@ def q_eval_by_split(spark, sf):
     return rounded(M.evaluate_by(predictions(spark, sf), "split", P.TARGET))
 
 
+def q_report_sink(spark, sf):
+    """The classification report written as JSON lines and read back."""
+    report = q_class_report(spark, sf)
+    path = scratch(spark, "report")
+    IO.write_report(report, path)
+    return spark.read.schema(report.schema).json(path)
+
+
+def q_metrics_sink(spark, sf):
+    """The figures of every split appended by a run of its own, then read
+    back as one table."""
+    figures = cut_lineage(q_eval_by_split(spark, sf))
+    path = scratch(spark, "metrics")
+    for split in ("train", "val", "test", "all"):
+        IO.append_metrics(figures.where(F.col("split") == split), path)
+    return spark.read.schema(figures.schema).parquet(path)
+
+
 def scratch(spark, name: str) -> str:
     """A new folder under the shared checkpoint folder."""
     import uuid
@@ -620,6 +649,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "select_dtypes": q_select_dtypes,
     "csv_source": q_csv_source,
     "features_full": q_features_full,
+    "features_raw_with_id": q_features_raw_with_id,
     "features_subset": q_features_subset,
     "under_sample": q_under_sample,
     "split_2way": q_split_2way,
@@ -652,6 +682,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "accuracy": q_accuracy,
     "bce": q_bce,
     "eval_by_split": q_eval_by_split,
+    "report_sink": q_report_sink,
+    "metrics_sink": q_metrics_sink,
     "best_config": q_best_config,
     "saved_report": q_saved_report,
     "saved_confusion": q_saved_confusion,

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from riskframe import presets as P
 from riskframe.operators import encoders as E
-from riskframe.operators.filters import outlier_filter
+from riskframe.operators.filters import outlier_filter, require_target
 from riskframe.operators import metrics as M
 from riskframe.operators import profile as PR
 from riskframe.operators import sampling as S
@@ -44,6 +44,7 @@ def prepare(loans: DataFrame, preset: str = "full", seed: int = P.SEED, fit_on:
     fits the scaler on training rows only; ``"all"`` fits it on the whole
     balanced table before splitting, as the modelled scripts do (it lets test
     statistics into the scaler - for parity runs only)."""
+    require_target(loans, P.TARGET)
     plan = {"full": FE.full_features, "subset": FE.subset_features,
             "raw_with_id": FE.raw_with_id_features}[preset](loans)
     rows = (S.balanced_undersample(plan.frame, plan.target, P.KEY, seed=seed) if balance

@@ -818,3 +818,10 @@ SELECT o_orderkey, CAST(ns + nc + nk AS BIGINT) AS width,
        s.code || ',' || (ns + c.code) || ',' || (ns + nc + k.code) AS indices
 FROM orders, n, s, c, k WHERE s.v = o_orderstatus AND c.v = CAST(o_custkey AS VARCHAR)
   AND k.v = CAST(o_orderkey AS VARCHAR)"""
+
+SQL["features_raw_with_id"] = with_(FILTERED, FULL) + "SELECT " + ", ".join(
+    f"{R(c)} AS f_{i}" for i, c in enumerate([P.KEY, *P.FULL_FEATURES])) + ", loan_status FROM full_enc"
+
+SQL["report_sink"] = SQL["class_report"]
+
+SQL["metrics_sink"] = SQL["eval_by_split"]

@@ -35,3 +35,17 @@ def test_entry_smoke(spark):
 
 def test_every_sql_query_is_registered():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("sink, source", [("report_sink", "class_report"), ("metrics_sink", "eval_by_split")])
+def test_sinks_give_back_what_they_got(spark, sink, source):
+    registered = entry.queries()
+    got, want = registered[sink](spark, SF001), registered[source](spark, SF001)
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_preparing_without_a_target_fails(spark):
+    from riskframe.plans import jobs
+    with pytest.raises(ValueError, match=P.TARGET):
+        jobs.prepare(loans(spark, SF001).drop(P.TARGET))
