@@ -1,12 +1,13 @@
 """Mini-batch training of many networks in shared passes (M2-M5).
 
 The rows are dealt by the hash of their key into blocks of some thousand rows,
-written once.  An epoch is one pass over the blocks for all networks that still
+once, and as many to every task.  An epoch is one pass over the blocks for all networks that still
 train: every block starts from the epoch's weights, shuffles its rows by a seed
 of (seed, epoch, block), and takes Adam steps over its batches; the networks'
 new weights and moments are the averages over blocks, weighted by their training
 rows.  What a block does depends on its rows, the weights and the seed only, not
-on tasks or files, so runs repeat.  Tasks add up their blocks before Spark adds
+on tasks or files, so runs repeat.  A task takes its blocks' steps some blocks at
+a time, in matrix products over all of them.  Tasks add up their blocks before Spark adds
 up the tasks; the driver sees the weights and a few sums per network.
 
 The same pass measures the epoch's first weights on every split, so the history
@@ -22,17 +23,23 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.hashing import hash_hex, uniform
-from riskframe.operators.networks import (flatten, gradient, init_layers, log_loss, n_parameters,
-                                          probabilities, unflatten)
+from riskframe.operators.networks import (Stack, flatten, init_layers, log_loss, n_parameters,
+                                          unflatten)
 from riskframe.operators.scoring import MLP
-from riskframe.session import cut_lineage, drop_table, ship_package
+from riskframe.session import ship_package
 
 #: Rows of a block, on average.
 BLOCK_ROWS = 4_096
+#: Blocks of a task at most, and those that a task trains together.
+TASK_BLOCKS = 64
+STACKED = 16
+#: Rows measured together.
+MEASURED_ROWS = 1_024
 #: Adam's decay rates and the guard of its quotient.
 BETA1, BETA2, EPS = 0.9, 0.999, 1e-8
 
@@ -68,56 +75,117 @@ class _Run:
 
 
 def blocks_of(data: DataFrame, features: Sequence[str], label: str, key: str, split_col: str,
-              seed: int = 42, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``(block, rows)``, written: about ``block_rows`` rows each, dealt and
-    ordered by the hash of the key.  Rows without a label or with a missing
-    feature are left out."""
+              seed: int = 42, block_rows: int = BLOCK_ROWS,
+              splits: Sequence[str] = ("train", "val", "test")) -> DataFrame:
+    """``(block, n, x, y)``, kept by the executors: about ``block_rows`` rows each,
+    dealt by the hash of the key, by split and then by that hash; ``n`` counts the
+    rows of every split, ``x`` has their features end to end.  Every task gets as
+    many blocks as the others, or one less.  Rows without a label or with a missing
+    feature are left out, so are rows of no split, which no pass would use."""
     x = [F.nanvl(F.col(f"`{f}`").cast("double"), F.lit(None).cast("double")) for f in features]
+    part = F.col(split_col).cast("string")
     rows = data.select(hash_hex(key, seed, "order").alias("h"),
                        uniform(key, seed, "block").alias("u"), F.array(*x).alias("x"),
-                       F.col(label).cast("double").alias("y"), F.col(split_col).alias("s"))
+                       F.col(label).cast("double").alias("y"),
+                       F.coalesce(*[F.when(part == s, i) for i, s in enumerate(splits)]).alias("s"))
     rows = rows.where(F.col("y").isNotNull() & F.forall("x", lambda v: v.isNotNull()))
     n = max(1, round(rows.count() / block_rows))
-    return cut_lineage(rows.groupBy(F.floor(F.col("u") * n).alias("block")).agg(
-        F.sort_array(F.collect_list(F.struct("h", "x", "y", "s"))).alias("rows")))
+    cores = data.sparkSession.sparkContext.defaultParallelism
+    tasks = min(n, cores * -(-n // (cores * TASK_BLOCKS)))
+    made = (rows.where("s IS NOT NULL").groupBy(F.floor(F.col("u") * n).alias("block"))
+            .agg(F.array(*[F.count_if(F.col("s") == i) for i in range(len(splits))]).alias("n"),
+                 F.sort_array(F.collect_list(F.struct("s", "h", "x", "y"))).alias("rows")))
+    return made.select(
+        "block", "n", F.flatten("rows.x").alias("x"), F.col("rows.y").alias("y")
+    ).repartitionById(tasks, (F.col("block") % tasks).cast("int")).persist(
+        StorageLevel.MEMORY_AND_DISK)
 
 
-def _one_epoch(run: _Run, x: np.ndarray, y: np.ndarray, order: np.ndarray) -> tuple:
-    """Weights and moments after a block's batches."""
-    vec, m, v, step = run.vec.copy(), run.m.copy(), run.v.copy(), run.steps
-    for at in range(0, len(order), run.batch):
-        rows = order[at:at + run.batch]
-        g, _ = gradient(unflatten(vec, run.sizes), run.activation, x[rows], y[rows])
-        g = g / len(rows)
-        step += 1
-        m = BETA1 * m + (1 - BETA1) * g
-        v = BETA2 * v + (1 - BETA2) * g * g
-        vec = vec - run.lr * (m / (1 - BETA1 ** step)) / (np.sqrt(v / (1 - BETA2 ** step)) + EPS)
-    return vec, m, v, step - run.steps
+def _one_epoch(run: _Run, x: np.ndarray, y: np.ndarray, order: np.ndarray,
+               counts: np.ndarray | None = None) -> tuple:
+    """Weights and moments after a block's batches, for several blocks at once.
 
+    ``order`` has a row per block, the numbers of its rows in ``x`` and ``y`` as
+    they are taken; of these the first ``counts`` belong to it, and blocks come by
+    falling count.  Every block takes the steps that it would take alone."""
+    order = np.atleast_2d(order)
+    counts = np.full(len(order), order.shape[1]) if counts is None else counts
+    steps = -(-counts // run.batch)
+    stack = Stack(run.sizes, run.activation, len(order), run.batch)
+    state = [np.repeat(a[None, stack.order], len(order), axis=0) for a in (run.vec, run.m, run.v)]
+    scratch = np.empty_like(state[0])
+    every = np.zeros((len(order), run.batch), order.dtype)
+    for t in range(int(steps.max(initial=0))):
+        k, at = int((steps > t).sum()), t * run.batch
+        sizes = np.minimum(counts[:k] - at, run.batch)
+        taken = order[:k, at:at + run.batch]
+        real = None
+        if taken.shape[1] < run.batch or sizes[-1] < run.batch:
+            wide = every[:k]
+            wide[:, :taken.shape[1]] = taken
+            taken, real = wide, np.arange(run.batch) < sizes[:, None]
+        vec, m, v, s = (a[:k] for a in (*state, scratch))
+        g = stack.gradients(stack.layers(vec), x[taken].transpose(0, 2, 1), y[taken], real)
+        g /= sizes[:, None]
+        step = run.steps + t + 1
+        m *= BETA1
+        m += np.multiply(g, 1 - BETA1, out=s)
+        v *= BETA2
+        np.multiply(g, 1 - BETA2, out=s)
+        s *= g
+        v += s
+        np.sqrt(v, out=s)
+        s *= (1 - BETA2 ** step) ** -0.5
+        s += EPS
+        np.multiply(m, run.lr / (1 - BETA1 ** step), out=g)
+        g /= s
+        vec -= g
+    return *(a[:, stack.back] for a in state), steps
 
-def _pass(runs: dict[int, _Run], epoch: int, seed: int, splits: Sequence[str], width: int):
+
+def _measured(run: _Run, x: np.ndarray, y: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Count, loss and hits of the first weights on every split, whose rows lie
+    between ``bounds``; some rows at a time, so that they stay in the cache."""
+    stack = Stack(run.sizes, run.activation, 1, MEASURED_ROWS)
+    layers, out = stack.layers(run.vec[None, stack.order]), np.zeros((len(bounds) - 1, 3))
+    p = np.empty(len(y))
+    for at in range(0, len(y), MEASURED_ROWS):
+        some = x[at:at + MEASURED_ROWS]
+        full = np.zeros((1, x.shape[1], MEASURED_ROWS))
+        full[0, :, :len(some)] = some.T
+        p[at:at + len(some)] = stack.forward(layers, full)[0, 0, :len(some)]
+    loss, hit = log_loss(y, p), (p >= 0.5) == (y == 1)
+    for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+        out[i] = b - a, loss[a:b].sum(), hit[a:b].sum()
+    return out.ravel()
+
+
+def _pass(runs: dict[int, _Run], epoch: int, seed: int, width: int):
     """mapInArrow body: per network the weighted sums of the blocks' weights,
     moments and steps, then per split the count, loss and hits of the first weights."""
     def work(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = rows.values
-                n = len(own)
-                x = own.field("x").flatten().to_numpy(zero_copy_only=False).reshape(n, width)
-                y = own.field("y").to_numpy(zero_copy_only=False)
-                split = np.array(own.field("s").to_pylist(), object)
-                train = np.flatnonzero(split == splits[0])
-                order = np.random.default_rng((seed, epoch, int(block))).permutation(train)
+            for at in range(0, batch.num_rows, STACKED):
+                some = batch.slice(at, STACKED)
+                n = some.column(1).flatten().to_numpy().reshape(some.num_rows, -1)
+                x = some.column(2).flatten().to_numpy().reshape(-1, width)
+                y = some.column(3).flatten().to_numpy()
+                starts = np.cumsum([0, *n.sum(axis=1)])
+                falling = np.argsort(-n[:, 0], kind="stable")
+                trained = n[falling, 0]
+                order = np.zeros((len(n), int(trained.max(initial=0))), np.int64)
+                blocks = some.column(0).to_pylist()
+                for row, b in zip(order, falling.tolist()):
+                    row[:n[b, 0]] = np.random.default_rng((seed, epoch, int(blocks[b]))) \
+                        .permutation(np.arange(n[b, 0])) + starts[b]
+                weights = trained.astype(float)
                 for k, run in runs.items():
-                    p = probabilities(unflatten(run.vec, run.sizes), run.activation, x)
-                    loss, hit = log_loss(y, p), (p >= 0.5) == (y == 1)
-                    measured = [f(split == s) for s in splits for f in (
-                        np.count_nonzero, lambda w: loss[w].sum(), lambda w: hit[w].sum())]
-                    vec, m, v, steps = _one_epoch(run, x, y, order)
-                    own_sums = np.concatenate([vec, m, v, [float(steps)]]) * len(train)
-                    row = np.concatenate([own_sums, [float(len(train))], measured])
+                    measured = sum(_measured(run, x[a:b], y[a:b], np.cumsum([0, *sizes]))
+                                   for a, b, sizes in zip(starts[:-1], starts[1:], n))
+                    *state, steps = _one_epoch(run, x, y, order, trained)
+                    row = np.concatenate([*(weights @ a for a in state), [weights @ steps],
+                                          [weights.sum()], measured])
                     sums[k] = sums[k] + row if k in sums else row
         for k, row in sums.items():
             yield pa.RecordBatch.from_arrays(
@@ -143,11 +211,11 @@ def train_shared(data: DataFrame, features: Sequence[str], label: str, configs:
         runs[k] = _Run(sizes, cfg.get("activation", "sigmoid"), cfg.get("lr", lr),
                        cfg.get("batch", batch), cfg.get("epochs", epochs), vec,
                        np.zeros_like(vec), np.zeros_like(vec))
-    blocks = blocks_of(data, features, label, key, split_col, seed, block_rows)
     splits, passes = (train, val, test), 0
+    blocks = blocks_of(data, features, label, key, split_col, seed, block_rows, splits)
     while any(not r.done for r in runs.values()):
         active = {k: r for k, r in runs.items() if not r.done}
-        rows = (blocks.mapInArrow(_pass(active, passes, seed, splits, width),
+        rows = (blocks.mapInArrow(_pass(active, passes, seed, width),
                                   "k int, i int, v double")
                 .groupBy("k", "i").agg(F.sum("v").alias("v")).toArrow())
         got = {k: np.zeros(3 * n_parameters(r.sizes) + 2 + 3 * len(splits))
@@ -157,7 +225,7 @@ def train_shared(data: DataFrame, features: Sequence[str], label: str, configs:
         for k, r in active.items():
             _take(r, got[k], configs[k].get("run_id", f"config_{k}"), passes, patience, min_delta)
         passes += 1
-    drop_table(blocks)
+    blocks.unpersist()
     out = []
     for r in runs.values():
         _, vec, epoch, accuracy = r.best

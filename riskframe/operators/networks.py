@@ -78,3 +78,72 @@ def gradient(layers, activation: str, x: np.ndarray, y: np.ndarray) -> tuple[np.
             else:
                 delta = da * acts[i] * (1 - acts[i])
     return flatten(list(reversed(grads))), acts[-1]
+
+
+class Stack:
+    """Copies of one network, each with weights of its own, that take their steps
+    together: a matrix product or an element-wise call goes over all copies.
+
+    A layer's weights and biases lie side by side here (``units x (inputs + 1)``),
+    and activations are ``(inputs + 1) x rows`` with a last row of ones, so that
+    biases need no calls of their own.  ``weights``, ``m`` and ``v`` are matrices
+    of a row per copy in that order; ``back`` brings them into ``flatten``'s."""
+
+    def __init__(self, sizes: Sequence[int], activation: str, copies: int, rows: int):
+        self.activation, own, order = activation, np.arange(n_parameters(sizes)), []
+        for w, b in unflatten(own, sizes):
+            order.append(np.column_stack([w, b]).ravel())
+        self.order = np.concatenate(order)
+        self.back = np.argsort(self.order)
+        self.shapes = [(n_out, n_in + 1) for n_in, n_out in zip(sizes[:-1], sizes[1:])]
+        self.grads = np.empty((copies, len(own)))
+        self.acts = [np.ones((copies, n_in, rows)) for _, n_in in self.shapes]
+        self.last = np.empty((copies, 1, rows))
+        self.deltas = [np.empty((copies, n_out, rows)) for n_out, _ in self.shapes]
+
+    def layers(self, weights: np.ndarray) -> list[np.ndarray]:
+        """Views of ``weights`` as one stack of matrices per layer."""
+        out, at = [], 0
+        for n_out, n_in in self.shapes:
+            out.append(weights[..., at:at + n_out * n_in].reshape(*weights.shape[:-1], n_out, n_in))
+            at += n_out * n_in
+        return out
+
+    def forward(self, layers: list[np.ndarray], x: np.ndarray) -> np.ndarray:
+        """Probabilities of ``x`` (copies, inputs, rows), (copies, 1, rows)."""
+        k, last = len(x), len(layers) - 1
+        self.acts[0][:k, :-1] = x
+        for i, w in enumerate(layers):
+            z = self.last[:k] if i == last else self.acts[i + 1][:k, :-1]
+            np.matmul(w, self.acts[i][:k], out=z)
+            if i < last and self.activation == "relu":
+                np.maximum(z, 0, out=z)
+            else:
+                np.negative(z, out=z)
+                with np.errstate(over="ignore"):
+                    np.exp(z, out=z)
+                z += 1
+                np.reciprocal(z, out=z)
+        return z
+
+    def gradients(self, layers: list[np.ndarray], x: np.ndarray, y: np.ndarray,
+                  real: np.ndarray | None = None) -> np.ndarray:
+        """Sums over the rows of the loss's gradients, a row per copy; ``y`` and
+        ``real`` (0 for a row that is not there) are (copies, rows)."""
+        k = len(x)
+        delta = self.deltas[-1][:k]
+        np.subtract(self.forward(layers, x), y[:, None], out=delta)
+        if real is not None:
+            delta *= real[:, None]
+        for i, grad in reversed(list(enumerate(self.layers(self.grads[:k])))):
+            np.matmul(delta, self.acts[i][:k].transpose(0, 2, 1), out=grad)
+            if i > 0:
+                a, da = self.acts[i][:k, :-1], self.deltas[i - 1][:k]
+                np.matmul(layers[i][:, :, :-1].transpose(0, 2, 1), delta, out=da)
+                if self.activation == "relu":
+                    da *= a > 0
+                else:
+                    da *= a
+                    da *= 1 - a
+                delta = da
+        return self.grads[:k]

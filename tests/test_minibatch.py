@@ -79,3 +79,39 @@ def test_batch_steps_follow_adam():
         m1, v1 = 0.9 * m1 + 0.1 * g, 0.999 * v1 + 0.001 * g * g
         want = want - 0.1 * (m1 / (1 - 0.9 ** t)) / (np.sqrt(v1 / (1 - 0.999 ** t)) + 1e-8)
     assert np.allclose(got, want) and np.allclose(m, m1) and np.allclose(v, v1)
+
+
+def test_blocks_trained_together_take_the_steps_they_would_take_alone():
+    rng = np.random.default_rng(2)
+    counts, width = np.array([21, 16, 9, 0]), 3
+    x, y = rng.normal(size=(60, width)), (rng.random(60) > 0.4).astype(float)
+    order = np.zeros((4, 21), np.int64)
+    for row, n in zip(order, counts):
+        row[:n] = rng.permutation(60)[:n]
+    for activation in ("relu", "sigmoid"):
+        sizes = [width, 5, 4, 1]
+        vec = N.flatten(N.init_layers(sizes, 3, activation)) + 0.01
+        run = MB._Run(sizes, activation, 0.05, 8, 1, vec, rng.normal(size=len(vec)) / 9,
+                      rng.random(len(vec)) / 9, steps=5)
+        *got, steps = MB._one_epoch(run, x, y, order, counts)
+        assert steps.tolist() == [3, 2, 2, 0]
+        for b, n in enumerate(counts):
+            want, m, v = run.vec, run.m, run.v
+            for t, at in enumerate(range(0, n, 8), 6):
+                rows = order[b, at:min(at + 8, n)]
+                g = N.gradient(N.unflatten(want, sizes), activation, x[rows], y[rows])[0] / len(rows)
+                m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+                want = want - 0.05 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+            for a, w in zip(got, (want, m, v)):
+                assert np.allclose(a[b], w, rtol=1e-10, atol=1e-12)
+
+
+def test_every_task_gets_as_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(MB, "TASK_BLOCKS", 2)
+    blocks = MB.blocks_of(keyed(spark, 2000), FEATURES, "y", "id", "split", block_rows=40)
+    held = [r["n"] for r in blocks.groupBy(F.spark_partition_id()).agg(
+        F.count("*").alias("n")).collect()]
+    assert sum(held) == 50 and len(held) > 1 and max(held) <= 2 and max(held) - min(held) <= 1
+    one = blocks.selectExpr("size(y) = n[0] + n[1] + n[2] AND size(x) = 2 * size(y) AS whole")
+    assert {r["whole"] for r in one.collect()} == {True}
+    blocks.unpersist()
