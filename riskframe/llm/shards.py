@@ -24,6 +24,8 @@ only the text and key columns are read, others may have any name.
 
 from __future__ import annotations
 
+import functools
+import re
 import uuid
 import zlib
 from array import array
@@ -38,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.bytebpe import default_pattern, encode_text, load_encoding
+from riskframe.llm.bytebpe import WHITE_SPACE, default_pattern, encode_text, load_encoding
 from riskframe.llm.common import col, map_arrow
 from riskframe.llm.words import parts
 from riskframe.session import ensure_checkpoint_dir
@@ -56,18 +58,45 @@ def default_vocabulary() -> str:
     return path("byte_bpe_50k.tiktoken")
 
 
+#: End of the pattern: white space before a word keeps its last character for it.
+#: The look-ahead takes the matcher's slow way; between words that one white space
+#: character parts, its two rules match what ``\s+`` does.
+BLANK_RULES, BLANK_RULE = r"|\s+(?!\S)|\s+", r"|\s+"
+_BLANKS = re.compile(f"[{''.join(map(chr, WHITE_SPACE))}]{{2}}")
+_BLANK_BYTES = bytes.maketrans(b"\t\n\v\f\r", b"     ")
+
+
+def blanks_in_a_row(text: str) -> bool:
+    """Whether two white space characters of the text are neighbours."""
+    if text.isascii():
+        return b"  " in text.encode().translate(_BLANK_BYTES)
+    return _BLANKS.search(text) is not None
+
+
 class Coder:
     """Byte BPE ids of whole texts."""
 
     def __init__(self, vocabulary: str):
-        self.plain = load_encoding(vocabulary, default_pattern())
+        pattern = default_pattern()
+        self.plain = self.quick = load_encoding(vocabulary, pattern)
+        if pattern.endswith(BLANK_RULES):
+            self.quick = load_encoding(vocabulary, pattern.removesuffix(BLANK_RULES) + BLANK_RULE)
+
+    def coded(self, text: str) -> list[int]:
+        return encode_text(self.plain if blanks_in_a_row(text) else self.quick, text)
 
     def count(self, text: str) -> int:
-        return len(encode_text(self.plain, text))
+        return len(self.coded(text))
 
     def ids(self, text: str) -> bytes:
         """Little-endian ids of a whole text."""
-        return array("H", encode_text(self.plain, text)).tobytes()
+        return array("H", self.coded(text)).tobytes()
+
+
+@functools.lru_cache(maxsize=1)
+def loaded(vocabulary: str) -> Coder:
+    """The coder, read once by a worker and kept for its next tasks."""
+    return Coder(vocabulary)
 
 
 def feistel(numbers: np.ndarray, total: int, key: int = KEY, rounds: int = ROUNDS,
@@ -141,7 +170,7 @@ def _packed(batches: Iterator[pa.RecordBatch], vocabulary: str, sequence: int
             ) -> Iterator[tuple[object, bytes, int]]:
     """Sequences of one input partition: key of the row that a sequence starts
     in, its bytes, its ids without padding."""
-    coder, end = Coder(vocabulary), DOCUMENT_END.to_bytes(2, "little")
+    coder, end = loaded(vocabulary), DOCUMENT_END.to_bytes(2, "little")
     stride, left, left_key = 2 * sequence, b"", None
     for batch in batches:
         for part in parts(batch, 1):
@@ -174,7 +203,7 @@ def write_shards(docs: DataFrame, key: str = "doc_id", text: str = "text",
     given = docs.select(col(key).cast("string").alias("key"), col(text).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, ids = Coder(vocabulary), 0
+        coder, ids = loaded(vocabulary), 0
         for batch in batches:
             for some in parts(batch, 1):
                 ids += sum(coder.count(t or "") + 1 for t in some.column(1).to_pylist())

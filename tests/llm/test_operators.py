@@ -8,11 +8,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import brute
-from riskframe.llm import (blocks, bpe, chat, components, decontam, embedjoin, langid, linededup, lm,
+from riskframe.llm import (blocks, bpe, bytebpe, chat, components, decontam, embedjoin, langid, linededup, lm,
                            ngramjoin, shards, urlfilter)
 
 SF001 = "/root/testdata/sf0.001"
@@ -342,6 +343,23 @@ def test_feistel_is_a_permutation():
         assert (shards.feistel(a, n, inverse=True) == np.arange(n)).all()
 
 
+def test_token_ids_without_look_ahead():
+    coder = shards.loaded(shards.default_vocabulary())
+    assert coder.quick is not coder.plain and shards.loaded(shards.default_vocabulary()) is coder
+    blanks = [chr(c) for c in bytebpe.WHITE_SPACE]
+    for a in blanks:
+        assert not shards.blanks_in_a_row(f"{a}x{a}") and not shards.blanks_in_a_row(a)
+        assert all(shards.blanks_in_a_row(f"x{a}{b}y") for b in blanks)
+    ends = ["x", "é", "7", "'s", "'", "!", "\x1c", "\u200b", "中", ""]
+    texts = [f"{left}{a}{right}{a}" for a in blanks for left in ends for right in ends]
+    texts += [f"{t} {t}\n" for t in texts] + [f"a{a}{b}b" for a in blanks for b in blanks]
+    used = [shards.blanks_in_a_row(t) for t in texts]
+    assert 0 < sum(used) < len(texts)
+    for t in texts + ["word 12, " * 20_000]:
+        assert np.frombuffer(coder.ids(t), "<u2").tolist() == bytebpe.encode_text(coder.plain, t)
+        assert coder.count(t) == len(coder.ids(t)) // 2
+
+
 # ------------------------------------------------------------------ BPE
 @pytest.mark.parametrize("hot_bytes, slice_bytes", [
     (bpe.HOT_BYTES, bpe.SLICE_BYTES), (bpe.HOT_BYTES, 500), (2000, 500), (0, 500)])
@@ -366,6 +384,40 @@ def test_bpe(spark, monkeypatch, hot_bytes, slice_bytes):
     assert bpe.encode(df.limit(0)).count() == 0
 
 
+def test_bpe_asks_for_a_chunk_once(monkeypatch):
+    rng = random.Random(13)
+    library = bpe.load_tokenizer(bpe.default_vocabulary())
+    texts = [prose(rng, rng.randint(0, 30)).title() + rng.choice(["", ".", " l.l", " É!?"]) for _ in range(40)]
+    split = [t.encode().split() for t in [*texts, "", *texts]]
+    words = sorted({w for chunks in split for c in chunks for w in bpe.parts_of(c)})
+    ids = {w: library.encode(w.decode(), add_special_tokens=False).ids for w in words}
+    some = words[::2]
+    packed = bpe.Packed([pa.table({
+        "h": pa.array(bpe.hashes(some).view(np.int64)),
+        "packed": pa.array([np.array(ids[w], "<u2").tobytes() for w in some], pa.binary())})], "<u2")
+    rest = {w: np.array(ids[w], "<u2") for w in words[1::2]}
+    piece = pa.array([f" {p}".encode() for p in bpe.pieces()], pa.large_binary())
+    asked = []
+    look_up = packed.look_up
+    packed.look_up = lambda w: (asked.extend(w), look_up(w))[1]
+    for most in (bpe.KEPT_WORDS, 0):
+        monkeypatch.setattr(bpe, "KEPT_WORDS", most)
+        asked.clear()
+        known = bpe.Known(packed, "<u2")
+        for _ in range(2):
+            flat, ends = known.ids_of(split, lambda: rest)
+            back = bpe.spelt(piece, pa.array(flat.astype(np.int32)), ends).to_pylist()
+            for t, a, b, spelled in zip([*texts, "", *texts], ends[:-1], ends[1:], back, strict=True):
+                want = library.encode(t, add_special_tokens=False).ids
+                assert flat[a:b].tolist() == want
+                assert spelled == library.decode(want, skip_special_tokens=False)
+        met = [w for c in {c for chunks in split for c in chunks} for w in bpe.parts_of(c)]
+        assert Counter(asked) == Counter(met * (1 if most else 2))
+    flat, ends = bpe.Known(packed, "<u2").ids_of([[], []], lambda: rest)
+    assert len(flat) == 0 and ends.tolist() == [0, 0, 0]
+    assert bpe.spelt(piece, pa.array(flat.astype(np.int32)), ends).to_pylist() == ["", ""]
+
+
 # ------------------------------------------------------------------ URL rules
 def test_url_rules(spark):
     rng = random.Random(12)
