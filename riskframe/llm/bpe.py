@@ -20,8 +20,9 @@ replaced by it.
 from __future__ import annotations
 
 import os
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,7 @@ HOT_BYTES = 160_000_000
 SLICE_BYTES = 24_000_000
 #: Distinct words a counting task holds before it passes them on.
 FLUSH_WORDS = 60_000
-#: Distinct chunks with their ids and pieces that a task keeps at hand (some 300
-#: bytes each).
+#: Distinct chunks with their ids that a task keeps at hand (some 200 bytes each).
 KEPT_WORDS = 400_000
 #: Texts decoded together.
 ROWS = 128
@@ -71,6 +71,8 @@ def parts_of(chunk: bytes) -> tuple[bytes, ...]:
     if b"<" in chunk:                     # may hold an added token, found as it is spelt
         return (chunk,)
     low = chunk.lower()                   # of bytes: A-Z alone
+    if low[-1:] not in _TAIL:
+        return (low,)
     body = low.rstrip(_TAIL)
     if len(body) < len(low) and body[-1:].isalpha():
         return body, low[len(body):]
@@ -163,6 +165,68 @@ class Packed:
         return starts, np.where(self.hashes[at] == wanted, self.ends[at] - starts, -1)
 
 
+class Known:
+    """Chunks that a task has met, by number in the order of their first use, with
+    their ids end to end: a text asks for each of its chunks once."""
+
+    def __init__(self, hot: Packed, kind: str):
+        self.hot, self.kind = hot, kind
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
+        self.ends, self.ids = np.zeros(1, np.int64), np.zeros(0, self.kind)
+
+    def ids_of(self, texts: list[list[bytes]], joined: Callable[[], dict[bytes, np.ndarray]]
+               ) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts' chunks end to end, and the places in between texts;
+        ``joined`` gives the ids of words that are not among the packed ones."""
+        if len(self.numbers) > KEPT_WORDS:
+            self.forget()
+        known, sizes = len(self.numbers), np.fromiter(map(len, texts), np.int64, len(texts))
+        asked = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(texts)), np.int64,
+                            int(sizes.sum()))
+        if len(self.numbers) > known:
+            self._learn(list(islice(self.numbers, known, None)), joined)
+        starts = self.ends[asked]
+        lengths = self.ends[asked + 1] - starts
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        return (gathered(self.ids, starts, lengths),
+                ends[np.concatenate([[0], np.cumsum(sizes)])])
+
+    def _learn(self, chunks: list[bytes], joined: Callable[[], dict[bytes, np.ndarray]]) -> None:
+        split = [parts_of(c) for c in chunks]
+        words = [w for p in split for w in p]
+        starts, sizes = self.hot.look_up(words)
+        lost = np.flatnonzero(sizes < 0).tolist()
+        if lost:
+            more = joined()
+            sizes[lost] = [len(more[words[i]]) for i in lost]
+        flat, ends = gathered(self.hot.ids, starts, sizes), np.cumsum(sizes)
+        for i in lost:
+            flat[ends[i] - sizes[i]:ends[i]] = more[words[i]]
+        last = np.cumsum(np.fromiter(map(len, split), np.int64, len(split))) - 1
+        self.ends = np.concatenate([self.ends, self.ends[-1] + ends[last]])
+        self.ids = np.concatenate([self.ids, flat])
+
+
+def gathered(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``ids`` that begin at ``starts``, end to end."""
+    ends = np.cumsum(sizes)
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+    return ids.take(at, mode="clip") if len(ids) else np.zeros(len(at), ids.dtype)
+
+
+def spelt(pieces: pa.Array, ids: pa.Array, ends: np.ndarray) -> pa.Array:
+    """Texts of the pieces of ``ids`` cut at ``ends``; a piece has a space before
+    it, which the first of a text loses."""
+    spelled = pieces.take(ids)
+    places = np.frombuffer(spelled.buffers()[1], np.int64, len(ids) + 1, spelled.offset * 8)[ends]
+    raw = memoryview(spelled.buffers()[2] or b"")
+    return pa.array([bytes(raw[a + 1:b]) for a, b in zip(places[:-1].tolist(), places[1:].tolist())],
+                    pa.binary()).cast(pa.string())
+
+
 def id_type(vocabulary: str) -> str:
     """Smallest type that holds every id of the vocabulary."""
     return "<u2" if load_tokenizer(vocabulary).get_vocab_size() <= 65536 else "<i4"
@@ -216,7 +280,8 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", vocabulary: st
     kind = id_type(vocabulary)
     packed, rest = split_hot(word_table(docs, text, vocabulary), kind, hot_bytes)
     shared = docs.sparkSession.sparkContext.broadcast(
-        (packed, [f" {p}".encode() for p in pieces(vocabulary)] if decoded is not None else None))
+        (packed, pa.array([f" {p}".encode() for p in pieces(vocabulary)], pa.large_binary())
+         if decoded is not None else None))
     new = {n.lower() for n in (ids, decoded) if n is not None}
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
     place = names.index(text) if text in names else len(names)
@@ -250,49 +315,17 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", vocabulary: st
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, piece = shared.value
-        kept: dict[bytes, bytes] = {}            # ids of a chunk
-        spelt: dict[bytes, bytes] = {}           # its pieces, each after a space
-
-        def remember(chunks: list[bytes], joined: dict[bytes, np.ndarray]) -> None:
-            split = [parts_of(c) for c in chunks]
-            words = [w for p in split for w in p]
-            starts, sizes = hot.look_up(words)
-            lost = np.flatnonzero(sizes < 0).tolist()
-            sizes[lost] = [len(joined[words[i]]) for i in lost]
-            ends = np.cumsum(sizes)
-            at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
-            flat = hot.ids.take(at, mode="clip") if len(hot.ids) else np.zeros(len(at), kind)
-            for i in lost:
-                flat[ends[i] - sizes[i]:ends[i]] = joined[words[i]]
-            coded, wide = flat.tobytes(), np.dtype(kind).itemsize
-            spell = [] if piece is None else [piece[i] for i in flat.tolist()]
-            at, last, ends = 0, 0, ends.tolist()
-            for chunk, p in zip(chunks, split):
-                at += len(p)
-                end = ends[at - 1]
-                kept[chunk] = coded[last * wide:end * wide]
-                if piece is not None:
-                    spelt[chunk] = b"".join(spell[last:end])
-                last = end
-
+        kept = Known(hot, kind)
         for batch in batches:
             for part in parts(batch, place):
                 texts = [split_words(t) for t in part.column(place).to_pylist()]
-                own = set().union(*texts)
-                if len(kept) + len(own) > KEPT_WORDS:
-                    kept.clear()
-                    spelt.clear()
-                remember([c for c in own if c not in kept],
-                         {x["word"].encode(): np.array(x["ids"], dtype=kind)
-                          for extra in part.column(at_more).to_pylist() for x in extra or ()})
-                out = [b"".join([kept[c] for c in chunks]) for chunks in texts]
-                back = [] if piece is None else [
-                    b"".join([spelt[c] for c in chunks])[1:] for chunks in texts]
-                flat = np.frombuffer(b"".join(out), kind).astype(np.int32)
-                ends = np.cumsum([0, *map(len, out)]) // np.dtype(kind).itemsize
-                made = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))]
+                flat, ends = kept.ids_of(texts, lambda: {
+                    x["word"].encode(): np.array(x["ids"], dtype=kind)
+                    for extra in part.column(at_more).to_pylist() for x in extra or ()})
+                flat = pa.array(flat.astype(np.int32))
+                made = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat)]
                 if piece is not None:
-                    made.append(pa.array(back, pa.binary()).cast(pa.string()))
+                    made.append(spelt(piece, flat, ends))
                 yield pa.RecordBatch.from_arrays([*part.columns[:len(names)], *made], schema.names)
 
     types = [docs.schema[c].dataType for c in names] + [T.ArrayType(T.IntegerType())]
