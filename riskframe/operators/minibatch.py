@@ -101,31 +101,40 @@ def blocks_of(data: DataFrame, features: Sequence[str], label: str, key: str, sp
         StorageLevel.MEMORY_AND_DISK)
 
 
-def _one_epoch(run: _Run, x: np.ndarray, y: np.ndarray, order: np.ndarray,
-               counts: np.ndarray | None = None) -> tuple:
-    """Weights and moments after a block's batches, for several blocks at once.
+def dealt(x: np.ndarray, y: np.ndarray, order: np.ndarray, batch: int
+          ) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that ``order`` names, a row per block, as (blocks, inputs, rows) and
+    (blocks, rows), with room for a last batch behind them."""
+    blocks, n = order.shape
+    xs, ys = np.zeros((blocks, x.shape[1], n + batch)), np.zeros((blocks, n + batch))
+    for own, to in zip(order, xs):
+        to[:, :n] = x[own].T
+    ys[:, :n] = y[order]
+    return xs, ys
 
-    ``order`` has a row per block, the numbers of its rows in ``x`` and ``y`` as
-    they are taken; of these the first ``counts`` belong to it, and blocks come by
-    falling count.  Every block takes the steps that it would take alone."""
-    order = np.atleast_2d(order)
-    counts = np.full(len(order), order.shape[1]) if counts is None else counts
+
+def _one_epoch(run: _Run, x: np.ndarray, y: np.ndarray, order: np.ndarray) -> tuple:
+    """Weights and moments after a block's batches."""
+    *state, steps = _together(run, *dealt(x, y, order[None], run.batch), np.array([len(order)]))
+    return *(a[0] for a in state), int(steps[0])
+
+
+def _together(run: _Run, x: np.ndarray, y: np.ndarray, counts: np.ndarray) -> tuple:
+    """Weights and moments after the batches of several blocks, a row per block, and
+    their steps.  ``x`` and ``y`` are dealt; the first ``counts`` rows belong to a
+    block, and blocks come by falling count.  Every block takes the steps that it
+    would take alone."""
     steps = -(-counts // run.batch)
-    stack = Stack(run.sizes, run.activation, len(order), run.batch)
-    state = [np.repeat(a[None, stack.order], len(order), axis=0) for a in (run.vec, run.m, run.v)]
+    stack = Stack(run.sizes, run.activation, len(counts), run.batch)
+    state = [np.repeat(a[None, stack.order], len(counts), axis=0) for a in (run.vec, run.m, run.v)]
     scratch = np.empty_like(state[0])
-    every = np.zeros((len(order), run.batch), order.dtype)
     for t in range(int(steps.max(initial=0))):
         k, at = int((steps > t).sum()), t * run.batch
         sizes = np.minimum(counts[:k] - at, run.batch)
-        taken = order[:k, at:at + run.batch]
-        real = None
-        if taken.shape[1] < run.batch or sizes[-1] < run.batch:
-            wide = every[:k]
-            wide[:, :taken.shape[1]] = taken
-            taken, real = wide, np.arange(run.batch) < sizes[:, None]
+        real = np.arange(run.batch) < sizes[:, None] if sizes[-1] < run.batch else None
         vec, m, v, s = (a[:k] for a in (*state, scratch))
-        g = stack.gradients(stack.layers(vec), x[taken].transpose(0, 2, 1), y[taken], real)
+        g = stack.gradients(stack.layers(vec), x[:k, :, at:at + run.batch],
+                            y[:k, at:at + run.batch], real)
         g /= sizes[:, None]
         step = run.steps + t + 1
         m *= BETA1
@@ -143,26 +152,25 @@ def _one_epoch(run: _Run, x: np.ndarray, y: np.ndarray, order: np.ndarray,
     return *(a[:, stack.back] for a in state), steps
 
 
-def _measured(run: _Run, x: np.ndarray, y: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Count, loss and hits of the first weights on every split, whose rows lie
-    between ``bounds``; some rows at a time, so that they stay in the cache."""
+def _measured(run: _Run, x: np.ndarray, y: np.ndarray, part: np.ndarray, splits: int) -> np.ndarray:
+    """Count, loss and hits of the first weights on every split; ``part`` numbers the
+    rows' splits, ``x`` is (inputs, rows) and goes on to a whole number of
+    ``MEASURED_ROWS``, which are taken together so that they stay in the cache."""
     stack = Stack(run.sizes, run.activation, 1, MEASURED_ROWS)
-    layers, out = stack.layers(run.vec[None, stack.order]), np.zeros((len(bounds) - 1, 3))
-    p = np.empty(len(y))
-    for at in range(0, len(y), MEASURED_ROWS):
-        some = x[at:at + MEASURED_ROWS]
-        full = np.zeros((1, x.shape[1], MEASURED_ROWS))
-        full[0, :, :len(some)] = some.T
-        p[at:at + len(some)] = stack.forward(layers, full)[0, 0, :len(some)]
-    loss, hit = log_loss(y, p), (p >= 0.5) == (y == 1)
-    for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
-        out[i] = b - a, loss[a:b].sum(), hit[a:b].sum()
-    return out.ravel()
+    layers, p = stack.layers(run.vec[None, stack.order]), np.empty(x.shape[1])
+    for at in range(0, len(p), MEASURED_ROWS):
+        rows = slice(at, at + MEASURED_ROWS)
+        p[rows] = stack.forward(layers, x[None, :, rows])[0, 0]
+    p = p[:len(y)]
+    return np.column_stack([np.bincount(part, w, splits) for w in (
+        np.ones(len(y)), log_loss(y, p), (p >= 0.5) == (y == 1))]).ravel()
 
 
 def _pass(runs: dict[int, _Run], epoch: int, seed: int, width: int):
     """mapInArrow body: per network the weighted sums of the blocks' weights,
     moments and steps, then per split the count, loss and hits of the first weights."""
+    most = max(run.batch for run in runs.values())
+
     def work(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -179,11 +187,14 @@ def _pass(runs: dict[int, _Run], epoch: int, seed: int, width: int):
                 for row, b in zip(order, falling.tolist()):
                     row[:n[b, 0]] = np.random.default_rng((seed, epoch, int(blocks[b]))) \
                         .permutation(np.arange(n[b, 0])) + starts[b]
+                xs, ys = dealt(x, y, order, most)
+                part = np.repeat(np.tile(np.arange(n.shape[1]), len(n)), n.ravel())
+                every = np.zeros((width, -(-len(y) // MEASURED_ROWS) * MEASURED_ROWS))
+                every[:, :len(y)] = x.T
                 weights = trained.astype(float)
                 for k, run in runs.items():
-                    measured = sum(_measured(run, x[a:b], y[a:b], np.cumsum([0, *sizes]))
-                                   for a, b, sizes in zip(starts[:-1], starts[1:], n))
-                    *state, steps = _one_epoch(run, x, y, order, trained)
+                    measured = _measured(run, every, y, part, n.shape[1])
+                    *state, steps = _together(run, xs, ys, trained)
                     row = np.concatenate([*(weights @ a for a in state), [weights @ steps],
                                           [weights.sum()], measured])
                     sums[k] = sums[k] + row if k in sums else row

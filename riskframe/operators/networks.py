@@ -99,7 +99,7 @@ class Stack:
         self.grads = np.empty((copies, len(own)))
         self.acts = [np.ones((copies, n_in, rows)) for _, n_in in self.shapes]
         self.last = np.empty((copies, 1, rows))
-        self.deltas = [np.empty((copies, n_out, rows)) for n_out, _ in self.shapes]
+        self.deltas = [np.empty((copies, n_in, rows)) for _, n_in in self.shapes[1:]]
 
     def layers(self, weights: np.ndarray) -> list[np.ndarray]:
         """Views of ``weights`` as one stack of matrices per layer."""
@@ -109,41 +109,50 @@ class Stack:
             at += n_out * n_in
         return out
 
+    def _activate(self, z: np.ndarray, output: bool = False) -> None:
+        if self.activation == "relu" and not output:
+            np.maximum(z, 0, out=z)
+            return
+        np.negative(z, out=z)
+        with np.errstate(over="ignore"):
+            np.exp(z, out=z)
+        z += 1
+        np.reciprocal(z, out=z)
+
     def forward(self, layers: list[np.ndarray], x: np.ndarray) -> np.ndarray:
-        """Probabilities of ``x`` (copies, inputs, rows), (copies, 1, rows)."""
-        k, last = len(x), len(layers) - 1
+        """Probabilities of ``x`` (copies, inputs, rows), (copies, 1, rows).  The
+        element-wise calls take the ones along, so that they run over whole blocks
+        of memory."""
+        k = len(x)
         self.acts[0][:k, :-1] = x
-        for i, w in enumerate(layers):
-            z = self.last[:k] if i == last else self.acts[i + 1][:k, :-1]
-            np.matmul(w, self.acts[i][:k], out=z)
-            if i < last and self.activation == "relu":
-                np.maximum(z, 0, out=z)
-            else:
-                np.negative(z, out=z)
-                with np.errstate(over="ignore"):
-                    np.exp(z, out=z)
-                z += 1
-                np.reciprocal(z, out=z)
-        return z
+        for i, w in enumerate(layers[:-1]):
+            a = self.acts[i + 1][:k]
+            np.matmul(w, self.acts[i][:k], out=a[:, :-1])
+            self._activate(a)
+            a[:, -1] = 1
+        np.matmul(layers[-1], self.acts[-1][:k], out=self.last[:k])
+        self._activate(self.last[:k], output=True)
+        return self.last[:k]
 
     def gradients(self, layers: list[np.ndarray], x: np.ndarray, y: np.ndarray,
                   real: np.ndarray | None = None) -> np.ndarray:
         """Sums over the rows of the loss's gradients, a row per copy; ``y`` and
         ``real`` (0 for a row that is not there) are (copies, rows)."""
         k = len(x)
-        delta = self.deltas[-1][:k]
-        np.subtract(self.forward(layers, x), y[:, None], out=delta)
+        delta = self.forward(layers, x)
+        delta -= y[:, None]
         if real is not None:
             delta *= real[:, None]
         for i, grad in reversed(list(enumerate(self.layers(self.grads[:k])))):
-            np.matmul(delta, self.acts[i][:k].transpose(0, 2, 1), out=grad)
+            a = self.acts[i][:k]
+            np.matmul(delta, a.transpose(0, 2, 1), out=grad)
             if i > 0:
-                a, da = self.acts[i][:k, :-1], self.deltas[i - 1][:k]
-                np.matmul(layers[i][:, :, :-1].transpose(0, 2, 1), delta, out=da)
+                da = self.deltas[i - 1][:k]               # its last row is of no use
+                np.matmul(layers[i].transpose(0, 2, 1), delta, out=da)
                 if self.activation == "relu":
                     da *= a > 0
                 else:
                     da *= a
                     da *= 1 - a
-                delta = da
+                delta = da[:, :-1]
         return self.grads[:k]

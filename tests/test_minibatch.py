@@ -93,7 +93,7 @@ def test_blocks_trained_together_take_the_steps_they_would_take_alone():
         vec = N.flatten(N.init_layers(sizes, 3, activation)) + 0.01
         run = MB._Run(sizes, activation, 0.05, 8, 1, vec, rng.normal(size=len(vec)) / 9,
                       rng.random(len(vec)) / 9, steps=5)
-        *got, steps = MB._one_epoch(run, x, y, order, counts)
+        *got, steps = MB._together(run, *MB.dealt(x, y, order, 8), counts)
         assert steps.tolist() == [3, 2, 2, 0]
         for b, n in enumerate(counts):
             want, m, v = run.vec, run.m, run.v
