@@ -223,6 +223,48 @@ def test_embedding_join(spark, monkeypatch, cell_rows):
     assert embedjoin.range_join(df.limit(0)).count() == 0
 
 
+def test_embedding_join_moves_no_vector_to_every_cell(spark, monkeypatch):
+    """Vectors without structure visit most cells: they are met where they lie."""
+    rng = np.random.default_rng(16)
+    x = rng.normal(size=(500, 24))
+    x[300:380] = x[300] + rng.normal(size=(80, 24)) * 0.05           # a dense cluster
+    x[400:480] = x[:80] + rng.normal(size=(80, 24)) * 0.38           # about the threshold
+    x[490:] = x[300]
+    rows = [(i, v, (0, 0, 0, 1, 2 + i % 7)[i % 5])
+            for i, v in enumerate(x.astype(np.float32).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    dealt, rounds = [], []
+    per_block, one_round = embedjoin.per_block, getattr(embedjoin, "_round", None)
+
+    def watched(placed, *rest):
+        dealt.append(placed.count())
+        return per_block(placed, *rest)
+
+    def counted(placed, bounds, *rest):
+        rounds.append(bounds)
+        return one_round(placed, bounds, *rest)
+
+    monkeypatch.setattr(embedjoin, "per_block", watched)
+    monkeypatch.setattr(embedjoin, "_round", counted, raising=False)
+    monkeypatch.setattr(embedjoin, "ROUND_BYTES", 80 * 24 * 8, raising=False)
+    got = Counter((r.vec_id, r.n_links, r.component_id) for r in
+                  embedjoin.range_join(df, cell_rows=30).collect())
+    assert got == brute.cosine_links(rows)
+    assert sum(dealt) <= len(rows)
+    assert len(rounds) > 3
+
+
+def test_screens_of_pairs_are_never_below_their_cosine():
+    rng = np.random.default_rng(17)
+    x = embedjoin._normal(rng.normal(size=(400, 40)) * np.linspace(2, 0.1, 40))
+    x[200:] = embedjoin._normal(x[:200] + rng.normal(size=(200, 40)) * 0.03)
+    axes = embedjoin._axes(x, 0.93)
+    assert axes is not None and axes.shape[1] < 40
+    s = embedjoin._screen(x, axes)
+    cosine, bound = x @ x.T, embedjoin._screen_bound(s.shape[1], 0.0)
+    assert (s @ s.T >= cosine + bound).all()
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(i, i + 1) for i in range(300, 500)] + [(0, i) for i in range(1, 50)]
