@@ -34,6 +34,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,7 @@ from pyspark.sql import types as T
 from riskframe.llm.blocks import per_block
 from riskframe.llm.common import col, map_arrow, shared_table, slices
 from riskframe.llm.links import grouped
+from riskframe.session import drop_table
 
 THRESHOLD = 0.93
 #: Vectors that a cell aims at, and the most pivots of all groups together.
@@ -59,6 +61,8 @@ SLACK = 1e-7
 UNDECIDED = 1e-4
 #: Links held before they are joined into components.
 EDGES = 1 << 17
+#: Rounds whose results become one table.
+MERGED = 16
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
@@ -92,15 +96,17 @@ def _axes(x: np.ndarray, threshold: float) -> np.ndarray | None:
     """The fewest principal axes that decide nearly all pairs of a few rows, if
     that saves work; which ones are taken has no effect on the result."""
     length = x.shape[1]
-    if length <= 16:
+    if length <= 16 or len(x) < 2:
         return None
-    units = _normal(x[::max(1, len(x) // 1024)])
-    vectors = np.linalg.eigh(units.T @ units)[1][:, ::-1]
+    some = _normal(x[::max(1, len(x) // 1024)])
+    vectors, units = np.linalg.svd(some[::2], full_matrices=False)[2].T, some[1::2]
     linked = (units @ units.T >= threshold).mean()
-    for k in range(8, length - 8, 8):
+    k = 8
+    while k < min(length - 8, vectors.shape[1]):
         screen = _screen(units, vectors[:, :k])
         if (screen @ screen.T >= _screen_bound(k + 1, threshold)).mean() - linked <= UNDECIDED:
             return np.ascontiguousarray(vectors[:, :k])
+        k += max(8, k // 32 * 8)
     return None
 
 
@@ -180,7 +186,7 @@ class _Meeting:
         np.greater_equal(self.scores[:n], _screen_bound(screen.shape[1], self.threshold),
                          out=self.hits[:n])
         self.hits[n:8 * words] = False
-        some = np.flatnonzero(self.hits[:8 * words].view(np.uint64))   # eight at a time
+        some = np.flatnonzero(self.hits[:8 * words].view(np.uint64) != 0)   # eight at a time
         word, at = np.nonzero(self.hits[:8 * words].reshape(-1, 8)[some])
         return some[word] * 8 + at
 
@@ -380,7 +386,7 @@ def _rounds(placed: DataFrame, lengths: dict[int, int]) -> list[tuple[int, int,
 
 
 def _round(placed: DataFrame, bounds: tuple[int, int, int], pivots: dict[int, np.ndarray],
-           threshold: float) -> DataFrame:
+           axes: dict[int, np.ndarray | None], threshold: float) -> DataFrame:
     """Links between the vectors of some slices and of all not before them."""
     first, last, end = bounds
     rows = placed.where(F.col("slice").between(first, last)).select(
@@ -390,9 +396,10 @@ def _round(placed: DataFrame, bounds: tuple[int, int, int], pivots: dict[int, np
     for g in np.unique(groups).tolist():
         own = rows.take(pa.array(np.flatnonzero(groups == g)))
         x = _matrix(own["vector"].combine_chunks())
+        if g not in axes:
+            axes[g] = _axes(x, threshold)
         held[g] = _held(at, own["node"].to_numpy(), own["copies"].to_numpy(), x,
-                        own["cell"].to_numpy(), own["slice"].to_numpy(), _axes(x, threshold),
-                        pivots.get(g))
+                        own["cell"].to_numpy(), own["slice"].to_numpy(), axes[g], pivots.get(g))
         at += len(x)
     del rows
     shared = placed.sparkSession.sparkContext.broadcast(held)
@@ -423,6 +430,15 @@ def _round(placed: DataFrame, bounds: tuple[int, int, int], pivots: dict[int, np
     return out
 
 
+def _merged(tables: list[DataFrame]) -> DataFrame:
+    """Results of several rounds as one table of fewer rows and files."""
+    out = shared_table(reduce(DataFrame.unionByName, tables).groupBy("node", "root").agg(
+        F.sum("links").alias("links")).select("node", "links", "root"))
+    for table in tables:
+        drop_table(table)
+    return out
+
+
 def range_join(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
                label: str = "label", threshold: float = THRESHOLD,
                cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -468,8 +484,12 @@ def range_join(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
         F.xxhash64(*own).alias("block"))
     found = shared_table(per_block(small, own, ["node", "copies", "vector"], _verifier(threshold),
                                    FOUND))
+    tables, axes = [found], {}
     for bounds in _rounds(placed, lengths):
-        found = found.unionByName(_round(placed, bounds, pivots, threshold))
+        tables.append(_round(placed, bounds, pivots, axes, threshold))
+        if len(tables) > MERGED:
+            tables = [_merged(tables)]
+    found = _merged(tables) if len(tables) > 1 else tables[0]
     result = placed.select("label", "h1", "h2", "node").join(
         grouped(placed, found), "node").drop("node")
     out = rows.withColumn("label", F.col(label_col)).join(result, ["label", "h1", "h2"], "left")

@@ -247,6 +247,7 @@ def test_embedding_join_moves_no_vector_to_every_cell(spark, monkeypatch):
     monkeypatch.setattr(embedjoin, "per_block", watched)
     monkeypatch.setattr(embedjoin, "_round", counted, raising=False)
     monkeypatch.setattr(embedjoin, "ROUND_BYTES", 80 * 24 * 8, raising=False)
+    monkeypatch.setattr(embedjoin, "MERGED", 2, raising=False)
     got = Counter((r.vec_id, r.n_links, r.component_id) for r in
                   embedjoin.range_join(df, cell_rows=30).collect())
     assert got == brute.cosine_links(rows)
